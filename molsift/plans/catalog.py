@@ -1,3 +1,3 @@
 """Imports every plan module so that its queries register."""
 
-from . import screening  # noqa: F401
+from . import molecules, screening  # noqa: F401
