@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job of the engine expects. AQE re-plans joins and coalesces
 # small shuffle partitions at run time and splits skewed join partitions.
@@ -31,7 +34,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     """
     active = SparkSession.getActiveSession()
     if active is not None:
-        ensure_checkpoint_dir(active)
         return active
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = SparkSession.builder.appName(app_name).master(master or f"local[{cpus}]")
@@ -39,32 +41,48 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions",
                              str(shuffle_partitions or int(cpus) * 2))
-    builder = builder.config("spark.driver.memory", os.environ.get("MOLSIFT_DRIVER_MEM", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("MOLSIFT_DRIVER_MEM", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only set one of our own when it
-    is unset (local tests), and then under a fresh scratch directory.
+    A cluster names a shared folder there. Only a local master may fall back
+    on a scratch folder of its own; on any other master a missing setting is
+    an error, because executors would not see a folder of the driver.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    path = tempfile.mkdtemp(prefix="molsift-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir()
-
-
-def shared_scratch(spark: SparkSession, name: str) -> str:
-    """A folder for materialised intermediate tables, under the checkpoint dir."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}"
+    if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="molsift-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
+    return current
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Cuts the lineage: what follows starts from files that every executor can
+    read, so a lost executor costs no recomputation of the steps before.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/molsift/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def hint_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Mark ``df`` for broadcast only if counting shows at most ``max_rows``.
+
+    Beyond that it stays unmarked and the join shuffles, with AQE splitting
+    skewed partitions; the rows of the result are the same.
+    """
+    few = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if few else df
