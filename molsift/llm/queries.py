@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from molsift.llm.common import read_table
 from molsift.llm.mixing import mix_sources
+from molsift.llm.pii import KINDS, detect_pii, span_text
 from molsift.llm.quality_rules import quality_rules
 from molsift.llm.sharding import shard
 
 
+def op1_pii(spark, sf_dir):
+    found = detect_pii(read_table(spark, sf_dir, "documents"))
+
+    def is_kind(no):
+        return lambda x: x.kind == no
+
+    counts = [F.size(F.filter("base", is_kind(no))).cast("long").alias(f"n_{kind}") for no, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mix_sources(read_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -20,5 +33,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_shard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_mix_sources, op5_shard, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
