@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from molsift.llm.common import read_table
+from molsift.llm.html_text import extract_main_text
 from molsift.llm.mixing import mix_sources
 from molsift.llm.pii import KINDS, detect_pii, span_text
 from molsift.llm.quality_rules import quality_rules
 from molsift.llm.sharding import shard
+from molsift.llm.warc import archive_and_read
 
 
 def op1_pii(spark, sf_dir):
@@ -29,9 +31,17 @@ def op5_shard(spark, sf_dir):
     return shard(read_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark, sf_dir):
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark, sf_dir):
+    return archive_and_read(read_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_mix_sources, op5_shard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_mix_sources, op5_shard, op6_html_text, op7_warc, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
