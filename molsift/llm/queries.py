@@ -8,6 +8,7 @@ from molsift.llm.common import read_table
 from molsift.llm.html_text import extract_main_text
 from molsift.llm.mixing import mix_sources
 from molsift.llm.pii import KINDS, detect_pii, span_text
+from molsift.llm.quality_model import score_quality
 from molsift.llm.quality_rules import quality_rules
 from molsift.llm.sharding import shard
 from molsift.llm.warc import archive_and_read
@@ -27,6 +28,10 @@ def op3_mix_sources(spark, sf_dir):
     return mix_sources(read_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_quality_model(spark, sf_dir):
+    return score_quality(read_table(spark, sf_dir, "documents"))
+
+
 def op5_shard(spark, sf_dir):
     return shard(read_table(spark, sf_dir, "documents"))
 
@@ -43,5 +48,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_mix_sources, op5_shard, op6_html_text, op7_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
