@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from molsift.llm.common import read_table
 from molsift.llm.html_text import extract_main_text
+from molsift.llm.jaccard_join import ngram_join
 from molsift.llm.mixing import mix_sources
 from molsift.llm.pii import KINDS, detect_pii, span_text
 from molsift.llm.quality_model import score_quality
@@ -44,9 +45,13 @@ def op7_warc(spark, sf_dir):
     return archive_and_read(read_table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_join(spark, sf_dir):
+    return ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op9_ngram_join, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
