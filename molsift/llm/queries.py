@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from molsift.llm.common import read_table
+from molsift.llm.decontaminate import contaminated
 from molsift.llm.html_text import extract_main_text
 from molsift.llm.jaccard_join import ngram_join
 from molsift.llm.mixing import mix_sources
@@ -45,6 +46,11 @@ def op7_warc(spark, sf_dir):
     return archive_and_read(read_table(spark, sf_dir, "pages"))
 
 
+def op8_decontaminate(spark, sf_dir):
+    found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("item", "item_id")
+
+
 def op9_ngram_join(spark, sf_dir):
     return ngram_join(read_table(spark, sf_dir, "documents"))
 
@@ -53,5 +59,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op9_ngram_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op8_decontaminate, op9_ngram_join, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
