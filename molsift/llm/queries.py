@@ -8,6 +8,7 @@ from molsift.llm.common import read_table
 from molsift.llm.decontaminate import contaminated
 from molsift.llm.html_text import extract_main_text
 from molsift.llm.jaccard_join import ngram_join
+from molsift.llm.line_dedup import line_report
 from molsift.llm.mixing import mix_sources
 from molsift.llm.pii import KINDS, detect_pii, span_text
 from molsift.llm.quality_model import score_quality
@@ -26,6 +27,10 @@ def op1_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    return line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mix_sources(read_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -59,5 +64,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op8_decontaminate, op9_ngram_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op8_decontaminate, op9_ngram_join, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
