@@ -41,19 +41,27 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def prefix(shingles: np.ndarray, percent: int, heavy: np.ndarray | None = None) -> np.ndarray:
-    """The first shingles in a fixed order (heavy ones last, then by hash).
+def least_shared(n: int, percent: int) -> int:
+    """Shingles that a set of n shares, at the least, with a set that it links to."""
+    return -(-percent * n // 100)
 
-    Two sets that reach the threshold share one of these: a set can do without
-    size - ceil(percent * size / 100) of its shingles, and one more is taken.
+
+def prefix_length(n: int, percent: int, spare: int = 0) -> int:
+    """How many first shingles, in one order for all sets, show a link.
+
+    Two linked sets share at least one of their first n - least_shared + 1.
+    With ``spare`` hundredths of the set more they share the smaller of the two
+    sets' spare counts.
+    """
+    return min(n, n - least_shared(n, percent) + max(1, -(-spare * n // 100)))
+
+
+def need_shared(n: int, percent: int, spare: int) -> int:
+    """How many shingles of its prefix a set shares with others if it links at all.
+
+    A partner has at least percent / 100 of its size, and so of its spare.
     """
-    n = len(shingles)
-    k = n - -(-percent * n // 100) + 1
-    if heavy is not None and len(heavy) and n:
-        at = np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)
-        hit = heavy[at] == shingles
-        shingles = np.concatenate([shingles[~hit], shingles[hit]])
-    return shingles[:k]
+    return max(1, -(-spare * percent * n // 10_000))
 
 
 class Region:
@@ -119,92 +127,131 @@ class Region:
         return comp
 
 
-def _star(tau: int | None):
-    """Stream of (token, node) sorted by both -> links of nodes to a token's first node.
-
-    With ``tau``, a token of more nodes gives (node, -1, token) rows instead.
-    A task holds at most a batch and tau rows of the token it is at.
-    """
-    def emit(tok, node, first_of):
-        keep = node != first_of
-        return node[keep], first_of[keep], np.zeros(int(keep.sum()), np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_tok, held_node = np.empty(0, np.int64), np.empty(0, np.int64)
-        hot = first = None  # token known to be hot; its or the held token's first node
-        for b in batches:
-            tok = np.concatenate([held_tok, b.column(0).to_numpy()])
-            node = np.concatenate([held_node, b.column(1).to_numpy()])
-            if not len(tok):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-            lengths = np.diff(np.append(starts, len(tok)))
-            firsts = node[starts].copy()
-            if tau is None and first is not None and first[0] == tok[0]:
-                firsts[0] = first[1]
-            big = np.zeros(len(starts), bool) if tau is None else lengths > tau
-            if hot is not None and tok[0] == hot:
-                big[0] = True
-            out_a, out_b, out_t = [], [], []
-            upto = len(tok)
-            if tau is None:
-                first = (tok[-1], firsts[-1])
-                held_tok, held_node = tok[:0], node[:0]
-            elif big[-1]:
-                hot = tok[-1]
-                held_tok, held_node = tok[:0], node[:0]
-            else:
-                hot, upto = None, int(starts[-1])
-                held_tok, held_node = tok[upto:], node[upto:]
-            is_big = np.repeat(big, lengths)[:upto]
-            t, n, f = tok[:upto], node[:upto], np.repeat(firsts, lengths)[:upto]
-            a, bb, tt = emit(t[~is_big], n[~is_big], f[~is_big])
-            out_a, out_b, out_t = [a, n[is_big]], [bb, np.full(int(is_big.sum()), -1)], [tt, t[is_big]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_a, out_b, out_t)], names=["a", "b", "t"])
-        if len(held_tok):
-            a, bb, tt = emit(held_tok, held_node, np.full(len(held_node), held_node[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, bb, tt)], names=["a", "b", "t"])
-
-    return run
-
-
-def _stars(postings: DataFrame, tau: int | None) -> DataFrame:
-    sorted_rows = postings.repartition("token").sortWithinPartitions("token", "node")
-    return materialise(sorted_rows.mapInArrow(_star(tau), "a long, b long, t long").distinct(), "join-stars")
+def _grouped(tok: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, node) pairs once each, sorted; starts and lengths of the tokens' groups."""
+    order = np.lexsort((node, tok))
+    tok, node = tok[order], node[order]
+    new = np.ones(len(tok), bool)
+    new[1:] = tok[1:] != tok[:-1]
+    once = new.copy()
+    once[1:] |= node[1:] != node[:-1]
+    tok, node, new = tok[once], node[once], new[once]
+    starts = np.flatnonzero(new)
+    return tok, node, starts, np.diff(np.append(starts, len(tok)))
 
 
-def first_regions(classes: DataFrame, sets_of, percent: int, tau: int = 64, max_heavy: int = 1 << 18,
-            rounds: int = 2) -> DataFrame:
-    """First regions: every two sets that reach the threshold are in one. node, root.
+def combine_shared(tok: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-aggregate postings of one batch: (token, node, known), (node, count).
 
-    Nodes that share a prefix shingle are joined. Shingles that more than
-    ``tau`` nodes have in their prefixes are set aside: the nodes that have
-    them, and these alone, take new prefixes in an order that puts the heaviest
-    (``max_heavy`` at most travel with the tasks) last. If one of two nodes has
-    no such shingle, they share a lighter one already. The last round sets
-    nothing aside, so no link is lost whatever the counts are.
+    Of each token one row goes on, so a token of very many sets is a row per
+    batch in the shuffle; ``known`` if the batch itself shows that it is
+    shared, which is counted here for all its nodes.
     """
-    postings = classes.select(F.explode("prefix").alias("token"), "node")
-    heavy = np.empty(0, np.uint64)
-    links = None
-    for i in range(rounds):
-        stars = _stars(postings, tau if i < rounds - 1 else None)
-        found = stars.filter("b >= 0").select("a", "b")
-        links = found if links is None else links.union(found)
-        hot = stars.filter("b < 0")
-        if i == rounds - 1 or hot.isEmpty():
+    tok, node, starts, lengths = _grouped(tok, node)
+    many = lengths > 1
+    nodes, counts = np.unique(node[np.repeat(many, lengths)], return_counts=True)
+    order = np.argsort(node[starts], kind="stable")  # rows of a node together compress well
+    return tok[starts][order], node[starts][order], many[order], nodes, counts
+
+
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream of (token, node, known) sorted by token -> (node, count) of shared tokens not known before."""
+    held = None  # the last row, if its token has had one row so far; else its token alone
+    for b in batches:
+        tok, node, known = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(tok):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        lengths = np.diff(np.append(starts, len(tok)))
+        shared = np.repeat(lengths > 1, lengths)
+        extra = np.empty(0, np.int64)
+        if held is not None and held[0] == tok[0]:
+            shared[:lengths[0]] = True
+            if held[1] is not None and not held[2]:
+                extra = np.array([held[1]], np.int64)
+        alone = lengths[-1] == 1 and not shared[-1]
+        held = (tok[-1], node[-1] if alone else None, bool(known[-1]))
+        nodes, counts = np.unique(np.concatenate([node[shared & ~known], extra]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["node", "c"])
+
+
+def _shared_counts(rows: DataFrame) -> DataFrame:
+    """node, shared from pre-aggregated rows (token, node, known, c); rows with a null token are counts."""
+    met = (rows.filter("token is not null").select("token", "node", "known").repartition("token").sortWithinPartitions("token", "node")
+           .mapInArrow(_count_shared, "node long, c long"))
+    return met.union(rows.filter("token is null and c is not null").select("node", "c")).groupBy("node").agg(F.sum("c").alias("shared"))
+
+
+def _posting_batch(tok: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Pre-aggregated rows of a batch, as _shared_counts takes them."""
+    t, n, known, nodes, counts = combine_shared(tok, node)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([t, np.zeros(len(nodes), np.int64)]), mask=np.arange(len(t) + len(nodes)) >= len(t)),
+         pa.array(np.concatenate([n, nodes])), pa.array(np.concatenate([known, np.zeros(len(nodes), bool)])),
+         pa.array(np.concatenate([np.zeros(len(t), np.int64), counts]))], names=["token", "node", "known", "c"])
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The rows of an array<long> column."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+    return [flat[at[i]:at[i + 1]] for i in range(len(column))]
+
+
+def thin_out(members: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+    """Drop from members (node, set) those that share too little with all others together.
+
+    A set that links shares ``percent`` of its shingles with one other, so at
+    least as many with the others at large. Dropping sets makes others fall
+    short, so this repeats, as long as it drops many.
+    """
+    def postings(batches):
+        for b in batches:
+            sets = _arrays(b.column(1))
+            node = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
+            yield _posting_batch(np.concatenate(sets) if sets else node, node)
+
+    for _ in range(rounds):
+        before = members.count()
+        counts = _shared_counts(members.select("node", "set").mapInArrow(postings, "token long, node long, known boolean, c long"))
+        enough = counts.join(members.select("node", F.size("set").alias("n")), "node").filter(100 * F.col("shared") >= percent * F.col("n"))
+        members = materialise(members.join(enough.select("node"), "node", "left_semi"), "join-thin")
+        if members.count() > 0.9 * before:
             break
-        top = hot.groupBy("t").count().orderBy(F.desc("count"), "t").limit(max_heavy).select("t").toPandas()["t"].to_numpy()
-        heavy = np.union1d(heavy, top.astype(np.int64).view(np.uint64))
-        again = sets_of(classes.join(hot.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-                        .select("node", "rep", "dig", F.lit("").alias("region")))
-
-        def renewed(batches, heavy=heavy):
-            for b in batches:
-                rows = [prefix(np.frombuffer(s, np.uint64), percent, heavy).view(np.int64) for s in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "prefix"])
-
-        postings = again.select("node", "set").mapInArrow(renewed, "node long, prefix array<long>").select(F.explode("prefix").alias("token"), "node")
+    return members
+
+
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, prefix) -> (token, first node of the batch), and (null, node, first) links inside the batch."""
+    for b in batches:
+        sets = _arrays(b.column(1))
+        node = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
+        tok, node, starts, lengths = _grouped(np.concatenate(sets) if sets else node, node)
+        first = np.repeat(node[starts], lengths)
+        pairs = np.unique(np.stack([node, first], 1)[node != first], axis=0) if len(node) else np.empty((0, 2), np.int64)
+        cut = len(starts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([tok[starts], np.zeros(len(pairs), np.int64)]), mask=np.arange(cut + len(pairs)) >= cut),
+             pa.array(np.concatenate([node[starts], pairs[:, 0]])), pa.array(np.concatenate([node[starts], pairs[:, 1]]))], names=["token", "a", "b"])
+
+
+def first_regions(members: DataFrame, percent: int) -> DataFrame:
+    """Regions of members (node, set) such that linked sets are in one: node, root.
+
+    Shingles are put in the order of how many members have them, rarest first;
+    members that share one of their first shingles in that order are joined.
+    What many documents have in common comes last, so it joins only those that
+    have little else.
+    """
+    pairs = members.select("node", F.explode("set").alias("token"))
+    df = pairs.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = pairs.join(df, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    least = F.ceil(F.size("s") * percent / 100)
+    firsts = ranked.select("node", F.slice("s", F.lit(1), (F.size("s") - least + 1).cast("int")).alias("p"))
+    firsts = firsts.select("node", F.expr("transform(filter(p, x -> x.df > 1), x -> x.token)").alias("p")).filter(F.size("p") > 0)
+    local = materialise(firsts.mapInArrow(_local_stars, "token long, a long, b long"), "join-stars")
+    tokens = local.filter("token is not null").select("token", "a")
+    low = tokens.groupBy("token").agg(F.min("a").alias("b"), F.max("a").alias("top")).filter("b < top").select("token", "b")
+    links = tokens.join(low, "token").select("a", "b").union(local.filter("token is null").select("a", "b"))
     return components(links)
 
 
@@ -224,22 +271,21 @@ def _distances(percent: int):
     def run(batches):
         at, known = None, []
         for b in batches:
-            part, region, node, sets, is_pivot = (c.to_pylist() for c in b.columns)
+            part, region, node, is_pivot = (b.column(i).to_pylist() for i in (0, 1, 2, 4))
             out = []
-            for p, r, v, s, pivot in zip(part, region, node, sets, is_pivot):
+            for p, r, v, mine, pivot in zip(part, region, node, _arrays(b.column(3)), is_pivot):
                 if (p, r) != at:
                     at, known = (p, r), []
-                mine = np.frombuffer(s, np.uint64)
                 if pivot:
                     known.append((v, mine))
                     continue
                 shared = [len(np.intersect1d(mine, q, assume_unique=True)) for _, q in known]
                 union = [len(mine) + len(q) - n for n, (_, q) in zip(shared, known)]
-                out.append((r, v, s, [w for w, _ in known], [1 - n / u for n, u in zip(shared, union)],
+                out.append((r, v, mine, [w for w, _ in known], [1 - n / u for n, u in zip(shared, union)],
                             [100 * n >= percent * u for n, u in zip(shared, union)]))
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()),
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()),
                                                        pa.list_(pa.float64()), pa.list_(pa.bool_())))],
                 names=["region", "node", "set", "pivots", "d", "linked"])
     return run
@@ -262,7 +308,7 @@ def split_regions(members: DataFrame, percent: int, pivots: int, salts: int) ->
     heads = (members.join(chosen, ["region", "node"], "left_semi")
              .select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"), "region", "node", "set", F.lit(True).alias("is_pivot")))
     met = (parts.unionByName(heads).repartition("region", "part").sortWithinPartitions("part", "region", F.desc("is_pivot"), "node")
-           .mapInArrow(_distances(percent), "region string, node long, set binary, pivots array<long>, d array<double>, linked array<boolean>"))
+           .mapInArrow(_distances(percent), "region string, node long, set array<long>, pivots array<long>, d array<double>, linked array<boolean>"))
     met = materialise(met, "join-distances")
     links = met.select("node", F.explode(F.arrays_zip("pivots", "linked")).alias("x")).filter("x.linked and node <> x.pivots").select(
         F.col("node").alias("a"), F.col("x.pivots").alias("b"))
@@ -276,6 +322,7 @@ def split_regions(members: DataFrame, percent: int, pivots: int, salts: int) ->
              .join(size, "region").filter("c > 0.7 * count").select("region"))
     stuck = hint_if_small(materialise(stuck, "join-stuck"))
     smaller = cells.join(stuck, "region", "left_anti").select(F.concat_ws("/", "region", "cell").alias("region"), "node", "set")
+    smaller = materialise(smaller, "join-cells")
     return links, smaller, left.join(stuck, "region", "left_semi").select("region", "node", "set")
 
 
@@ -283,7 +330,7 @@ def _in_task(members: DataFrame, percent: int) -> DataFrame:
     """Exact links in regions that fit a task, as stars of components: a, b."""
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
-        comp = Region([np.frombuffer(s, np.uint64) for s in pdf["set"]], percent).link_all()
+        comp = Region(list(pdf["set"]), percent).link_all()
         root = pdf["node"].groupby(comp).transform("min")
         out = pd.DataFrame({"a": pdf["node"], "b": root})
         return out[out["a"] != out["b"]]
@@ -301,7 +348,7 @@ def link_regions(members: DataFrame, percent: int, max_tokens: int, pivots: int
     """
     links = None
     for level in range(depth + 1):
-        sizes = members.groupBy("region").agg(F.sum(F.octet_length("set") / 8).alias("tokens"))
+        sizes = members.groupBy("region").agg(F.sum(F.size("set")).alias("tokens"))
         large = hint_if_small(materialise(sizes.filter(F.col("tokens") > max_tokens), "join-large"))
         found = _in_task(members.join(large, "region", "left_anti"), percent)
         links = found if links is None else links.union(found)
@@ -313,7 +360,7 @@ def link_regions(members: DataFrame, percent: int, max_tokens: int, pivots: int
             links = links.union(near)
         else:
             stuck = members
-        chunks = stuck.groupBy("region").agg(F.ceil(F.sum(F.octet_length("set") / 8) / (max_tokens / 2)).alias("chunks"))
+        chunks = stuck.groupBy("region").agg(F.ceil(F.sum(F.size("set")) / (max_tokens / 2)).alias("chunks"))
         dealt = stuck.join(hint_if_small(chunks), "region").withColumn("c", F.pmod(F.xxhash64("node", F.lit(2)), "chunks"))
         pairs = dealt.select("region", "node", "set", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
         pairs = pairs.select(F.concat_ws("/", "region", F.least("c", "o"), F.greatest("c", "o")).alias("region"), "node", "set")
@@ -321,21 +368,23 @@ def link_regions(members: DataFrame, percent: int, max_tokens: int, pivots: int
     return links
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5,
-               max_tokens: int = 2_000_000, tau: int = 64, pivots: int = 8, salts: int = 32) -> DataFrame:
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, spare: int = 5,
+               max_tokens: int = 2_000_000, pivots: int = 8, salts: int = 32) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their shingle sets, exact.
 
     Returns one row per input row: ``key``, n_shingles and component_id, the
     smallest key reachable by links. Two documents link when
     100 * shared >= ``percent`` * union of their distinct ``width``-word shingles.
 
-    Equal sets are one class from the start. Classes that share a shingle of
-    their prefixes form the first regions (with random pivots, nearly all
-    documents are at distance 1 from every pivot, and no window would part
-    them). Jaccard distance is a metric, so inside a region pivots decide:
-    windows by the triangle inequality say which sets can still link, and large
-    regions are split into Voronoi cells whose boundary sets are replicated.
-    Texts are read once for all, and again for the classes in regions.
+    Equal sets are one class from the start. With random pivots nearly all
+    documents are at distance 1 from every pivot and no window would part them,
+    so sets that cannot link are dropped first, by exact bounds: those that
+    share too few shingles of a prefix with others, then of the whole set. What
+    stays falls into regions by its rarest shingles. Jaccard distance is a
+    metric, so inside a region pivots decide: windows by the triangle
+    inequality say which sets can still link, and large regions are split into
+    Voronoi cells whose boundary sets are replicated, again and again. Texts
+    are read once for all, and again for the sets that passed the prefix.
 
     A text without words has no shingles and is alone, as is a null text; rows
     with equal sets, repeated rows included, share a component; a null key
@@ -346,40 +395,49 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     body = docs.select(docs[key].alias("k"), docs[text].alias("t"))
 
     def describe(batches):
+        done: set[bytes] = set()
         for b in batches:
+            ids = pa.array(b.column(0))
             n, dig, pre = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, width)
                 n.append(len(s))
                 dig.append(digest(s))
-                pre.append(prefix(s, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(pre, pa.list_(pa.int64()))],
-                                             names=["k", "n", "dig", "prefix"])
-
-    rows = materialise(body.mapInArrow(describe, f"k {kind}, n long, dig binary, prefix array<long>"), "join-rows")
-    # One class per set; the id is given once, in a written table.
-    one = rows.filter("n > 0").groupBy("dig").agg(F.min("k").alias("rep"), F.any_value("prefix").alias("prefix"))
-    classes = materialise(one.withColumn("node", F.monotonically_increasing_id()), "join-classes")
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        """Shingle sets of some classes (node, rep, dig, region), from their texts."""
-        def again(batches):
-            for b in batches:
-                t, dig, node, region = (c.to_pylist() for c in b.columns)
-                sets = [shingle_set(x, width) for x in t]
-                fit = [i for i, s in enumerate(sets) if digest(s) == dig[i]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([region[i] for i in fit], pa.string()), pa.array([node[i] for i in fit], pa.int64()),
-                     pa.array([sets[i].tobytes() for i in fit], pa.binary())], names=["region", "node", "set"])
-
-        some = hint_if_small(materialise(some, "join-some"), 500_000)
-        found = body.join(some, body.k.eqNullSafe(some.rep)).select("t", "dig", "node", "region")
-        return found.mapInArrow(again, "region string, node long, set binary").dropDuplicates(["region", "node"])
-
-    first = first_regions(classes, sets_of, percent, tau)
-    members = classes.join(first, "node").select("node", "rep", "dig", F.col("root").cast("string").alias("region"))
-    members = materialise(sets_of(members), "join-members")
-    linked = components(link_regions(members, percent, max_tokens, pivots, salts))
+                fresh = len(s) and dig[-1] not in done  # copies that a task has seen give no postings
+                pre.append(s[:prefix_length(len(s), percent, spare)].view(np.int64) if fresh else np.empty(0, np.int64))
+                if fresh and len(done) < 1_000_000:
+                    done.add(dig[-1])
+            node = np.frombuffer(b"".join(x[:8] for x in dig), np.int64)
+            rest = _posting_batch(np.concatenate([np.empty(0, np.int64), *pre]), np.repeat(node, [len(p) for p in pre]))
+            m = len(rest)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(m, pa.int64())]),
+                 pa.concat_arrays([pa.array(dig, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(node), rest.column(1)]),
+                 pa.concat_arrays([pa.nulls(len(n), pa.int64()), rest.column(0)]), pa.concat_arrays([pa.nulls(len(n), pa.bool_()), rest.column(2)]),
+                 pa.concat_arrays([pa.nulls(len(n), pa.int64()), rest.column(3)])], names=["k", "n", "dig", "node", "token", "known", "c"])
+
+    def again(batches):
+        for b in batches:
+            dig, node = b.column(1).to_pylist(), b.column(2).to_pylist()
+            sets = [shingle_set(x, width) for x in b.column(0).to_pylist()]
+            fit = [i for i, s in enumerate(sets) if digest(s) == dig[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in fit], pa.int64()), pa.array([sets[i].view(np.int64) for i in fit], pa.list_(pa.int64()))],
+                                             names=["node", "set"])
+
+    scanned = materialise(body.mapInArrow(describe, f"k {kind}, n long, dig binary, node long, token long, known boolean, c long"), "join-scan")
+    rows = scanned.filter("dig is not null").select("k", "n", "dig", "node")
+    classes = materialise(rows.filter("n > 0").groupBy("dig").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")), "join-classes")
+    # The first half of a digest numbers the classes; if two classes had the
+    # same, both would stay through all filters and be told apart by the digest.
+    counts = _shared_counts(scanned.filter("dig is null").select("token", "node", "known", "c"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * (spare * percent) / 10_000))
+    some = classes.join(counts, "node").filter(F.col("shared") >= need).select("rep", "dig", "node")
+    some = hint_if_small(materialise(some, "join-some"), 500_000)
+    members = materialise(body.join(some, body.k.eqNullSafe(some.rep)).select("t", "dig", "node").mapInArrow(again, "node long, set array<long>")
+                          .dropDuplicates(["node"]), "join-members")
+    members = thin_out(members, percent)
+    members = members.join(first_regions(members, percent), "node").select(F.col("root").cast("string").alias("region"), "node", "set")
+    linked = components(link_regions(materialise(members, "join-regions"), percent, max_tokens, pivots, salts))
     roots = classes.select("node", "dig", "rep").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = roots.join(best, "root").select("dig", "component_id")
