@@ -92,8 +92,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                  min_score: float = 0.5, filter_bits: int = 1 << 26) -> DataFrame:
     """Documents that hold a benchmark item, whole or edited.
 
-    Returns one row per row of ``docs`` and item that align: ``key``, item
-    (its key), score (Smith-Waterman score over the item's score with itself,
+    Returns one row per row of ``docs`` and item that align: ``key``, text_hash
+    (xxhash64 of the text, which tells rows of one key apart), item (its key), score (Smith-Waterman score over the item's score with itself,
     0 to 1), seeds (rare n-grams shared) and end (the passage's end among the
     document's words). A pair aligns at a score of ``min_score`` or more.
 
@@ -166,17 +166,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     def score(batches):
         for b in batches:
             out = []
-            for k, t, found in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
+            for k, t, found, ph in zip(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
                 h = word_hashes(t)
                 for x in found.as_py():
                     item = np.frombuffer(x["words"], np.uint64)
                     lo = max(0, x["first"] - len(item))
                     best, end = align(item, h[lo:x["last"] + width + len(item)])
                     if best >= min_score * 2 * len(item):
-                        out.append((k.as_py(), x["item"], best / (2 * len(item)), x["seeds"], lo + end))
-            cols = list(zip(*out)) if out else [()] * 5
-            types = (b.schema.field(0).type, b.schema.field(2).type.value_type.field("item").type, pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[key, "item", "score", "seeds", "end"])
+                        out.append((k.as_py(), ph, x["item"], best / (2 * len(item)), x["seeds"], lo + end))
+            cols = list(zip(*out)) if out else [()] * 6
+            types = (b.schema.field(0).type, pa.int64(), b.schema.field(2).type.value_type.field("item").type, pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[key, "text_hash", "item", "score", "seeds", "end"])
 
-    again = body.join(tasks, body.k.eqNullSafe(F.col("pk")) & (F.col("h") == F.col("ph"))).select("k", "t", "items")
-    return again.mapInArrow(score, f"`{key}` {kind}, item {item_kind}, score double, seeds long, end long")
+    again = body.join(tasks, body.k.eqNullSafe(F.col("pk")) & (F.col("h") == F.col("ph"))).select("k", "t", "items", "h")
+    return again.mapInArrow(score, f"`{key}` {kind}, text_hash long, item {item_kind}, score double, seeds long, end long")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all columns."""
+    found = contaminated(docs, benchmark, key, text, **options)
+    found = materialise(found.select(F.col(key).alias("gk"), F.col("text_hash").alias("gh")).distinct(), "leak-found")
+    return docs.join(hint_if_small(found), docs[key].eqNullSafe(F.col("gk")) & (F.xxhash64(docs[text]) == F.col("gh")), "left_anti")

@@ -368,32 +368,8 @@ def link_regions(members: DataFrame, percent: int, max_tokens: int, pivots: int
     return links
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, spare: int = 5,
-               max_tokens: int = 2_000_000, pivots: int = 8, salts: int = 32) -> DataFrame:
-    """Components of documents linked by the Jaccard similarity of their shingle sets, exact.
-
-    Returns one row per input row: ``key``, n_shingles and component_id, the
-    smallest key reachable by links. Two documents link when
-    100 * shared >= ``percent`` * union of their distinct ``width``-word shingles.
-
-    Equal sets are one class from the start. With random pivots nearly all
-    documents are at distance 1 from every pivot and no window would part them,
-    so sets that cannot link are dropped first, by exact bounds: those that
-    share too few shingles of a prefix with others, then of the whole set. What
-    stays falls into regions by its rarest shingles. Jaccard distance is a
-    metric, so inside a region pivots decide: windows by the triangle
-    inequality say which sets can still link, and large regions are split into
-    Voronoi cells whose boundary sets are replicated, again and again. Texts
-    are read once for all, and again for the sets that passed the prefix.
-
-    A text without words has no shingles and is alone, as is a null text; rows
-    with equal sets, repeated rows included, share a component; a null key
-    takes part but is never the smallest (a component of null keys alone has a
-    null id); an empty table gives no rows. Other columns are not read.
-    """
-    kind = dict(docs.dtypes)[key]
-    body = docs.select(docs[key].alias("k"), docs[text].alias("t"))
-
+def _scan(body: DataFrame, kind: str, percent: int, width: int, spare: int, half: int) -> DataFrame:
+    """Read every text (k, t, h) once: document rows (dig not null) and pre-aggregated prefix postings."""
     def describe(batches):
         done: set[bytes] = set()
         for b in batches:
@@ -405,16 +381,26 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
                 dig.append(digest(s))
                 fresh = len(s) and dig[-1] not in done  # copies that a task has seen give no postings
                 pre.append(s[:prefix_length(len(s), percent, spare)].view(np.int64) if fresh else np.empty(0, np.int64))
-                if fresh and len(done) < 1_000_000:
+                if fresh and len(done) < 200_000:
                     done.add(dig[-1])
-            node = np.frombuffer(b"".join(x[:8] for x in dig), np.int64)
+            node = np.frombuffer(b"".join(x[half:half + 8] for x in dig), np.int64)
             rest = _posting_batch(np.concatenate([np.empty(0, np.int64), *pre]), np.repeat(node, [len(p) for p in pre]))
-            m = len(rest)
+            m, r = len(rest), len(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(m, pa.int64())]),
+                [pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.concat_arrays([b.column(2), pa.nulls(m, pa.string())]),
+                 pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(m, pa.int64())]),
                  pa.concat_arrays([pa.array(dig, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(node), rest.column(1)]),
-                 pa.concat_arrays([pa.nulls(len(n), pa.int64()), rest.column(0)]), pa.concat_arrays([pa.nulls(len(n), pa.bool_()), rest.column(2)]),
-                 pa.concat_arrays([pa.nulls(len(n), pa.int64()), rest.column(3)])], names=["k", "n", "dig", "node", "token", "known", "c"])
+                 pa.concat_arrays([pa.nulls(r, pa.int64()), rest.column(0)]), pa.concat_arrays([pa.nulls(r, pa.bool_()), rest.column(2)]),
+                 pa.concat_arrays([pa.nulls(r, pa.int64()), rest.column(3)])], names=["k", "h", "n", "dig", "node", "token", "known", "c"])
+
+    return materialise(body.mapInArrow(describe, f"k {kind}, h string, n long, dig binary, node long, token long, known boolean, c long"), "join-scan")
+
+
+def placed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, spare: int = 5,
+                max_tokens: int = 2_000_000, pivots: int = 8, salts: int = 32) -> DataFrame:
+    """Rows k, h (MD5 of the text), n and root, the number of the component, null without shingles."""
+    kind = dict(docs.dtypes)[key]
+    body = docs.select(docs[key].alias("k"), docs[text].alias("t"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("h"))
 
     def again(batches):
         for b in batches:
@@ -424,11 +410,16 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
             yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in fit], pa.int64()), pa.array([sets[i].view(np.int64) for i in fit], pa.list_(pa.int64()))],
                                              names=["node", "set"])
 
-    scanned = materialise(body.mapInArrow(describe, f"k {kind}, n long, dig binary, node long, token long, known boolean, c long"), "join-scan")
-    rows = scanned.filter("dig is not null").select("k", "n", "dig", "node")
-    classes = materialise(rows.filter("n > 0").groupBy("dig").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")), "join-classes")
-    # The first half of a digest numbers the classes; if two classes had the
-    # same, both would stay through all filters and be told apart by the digest.
+    # Half a digest numbers the classes. Should two classes share that half,
+    # the other half is taken.
+    for half in (0, 8):
+        scanned = _scan(body, kind, percent, width, spare, half)
+        rows = scanned.filter("dig is not null").select("k", "h", "n", "dig", "node")
+        classes = materialise(rows.filter("n > 0").groupBy("dig").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")), "join-classes")
+        if classes.groupBy("node").count().filter("count > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("two classes share either half of their digests")
     counts = _shared_counts(scanned.filter("dig is null").select("token", "node", "known", "c"))
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * (spare * percent) / 10_000))
     some = classes.join(counts, "node").filter(F.col("shared") >= need).select("rep", "dig", "node")
@@ -438,9 +429,56 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     members = thin_out(members, percent)
     members = members.join(first_regions(members, percent), "node").select(F.col("root").cast("string").alias("region"), "node", "set")
     linked = components(link_regions(materialise(members, "join-regions"), percent, max_tokens, pivots, salts))
-    roots = classes.select("node", "dig", "rep").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    placed = roots.join(best, "root").select("dig", "component_id")
-    return (rows.select("k", "n", "dig").join(placed, "dig", "left")
-            .select(F.col("k").alias(key), F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id")))
+    linked = hint_if_small(linked)
+    return (rows.join(linked, "node", "left")
+            .select("k", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root")))
+
+
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, spare: int = 5,
+               max_tokens: int = 2_000_000, pivots: int = 8, salts: int = 32) -> DataFrame:
+    """Components of documents linked by the Jaccard similarity of their shingle sets, exact.
+
+    Returns one row per input row: ``key``, n_shingles and component_id, the
+    smallest key reachable by links. Two documents link when
+    100 * shared >= ``percent`` * union of their distinct ``width``-word shingles.
+
+    Equal sets are one class from the start. With random pivots nearly all
+    documents are at distance 1 from every pivot and no window would part them,
+    so sets that cannot link are dropped first, by exact bounds: those that
+    share too few shingles of a prefix with others, then of the whole set. What
+    stays falls into regions by its rarest shingles. Jaccard distance is a
+    metric, so inside a region pivots decide: windows by the triangle
+    inequality say which sets can still link, and large regions are split into
+    Voronoi cells whose boundary sets are replicated, again and again. Texts
+    are read once for all, and again for the sets that passed the prefix.
+
+    A text without words has no shingles and is alone, as is a null text; rows
+    with equal sets, repeated rows included, share a component; a null key
+    takes part but is never the smallest (a component of null keys alone has a
+    null id); an empty table gives no rows. Other columns are not read.
+    """
+    rows = materialise(placed_rows(docs, key, text, percent, width, spare, max_tokens, pivots, salts), "join-placed")
+    best = rows.filter("root is not null").groupBy("root").agg(F.min("k").alias("component_id"), F.count("*").alias("m"))
+    best = hint_if_small(best.filter("m > 1").select("root", "component_id"))
+    return (rows.join(best, "root", "left")
+            .select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each component of ``docs``: that of the smallest key (nulls last), then text hash.
+
+    Rows without words are no copies of one another and all stay. Rows that go
+    are found by key and text hash; they, and not those that stay, are joined
+    to the texts, so that texts are not shuffled while those are few.
+    """
+    rows = materialise(placed_rows(docs, key, text, **options), "join-placed").filter("root is not null")
+    row = F.struct(F.col("k").isNull().alias("last"), F.col("k").alias("k"), F.col("h").alias("h"))
+    groups = rows.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("m")).filter("m > 1").select("root", "first")
+    marked = materialise(rows.join(hint_if_small(groups), "root").groupBy(F.col("k").alias("gk"), F.col("h").alias("gh"), "first").agg(F.count("*").alias("m"))
+                         .select("gk", "gh", "m", ((F.col("gh") == F.col("first.h")) & F.col("gk").eqNullSafe(F.col("first.k"))).alias("stays")), "join-marked")
+    same = docs[key].eqNullSafe(F.col("gk")) & (F.md5(F.coalesce(docs[text], F.lit(""))) == F.col("gh"))
+    out = docs.join(hint_if_small(marked.filter("not stays or m > 1").select("gk", "gh")), same, "left_anti")
+    many = marked.filter("stays and m > 1").select("gk", "gh")
+    if many.isEmpty():
+        return out
+    return out.unionByName(docs.join(hint_if_small(many), same).dropDuplicates(["gk", "gh"]).select(*[docs[c] for c in docs.columns]))

@@ -39,6 +39,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = 3) -> Da
                          F.least(F.lit(level) * F.col("w"), F.col("most").cast("double")).alias("target"))
 
 
+def _placed(docs: DataFrame, key: str, text: str, source: str, weights, max_epochs: int, seed: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (_k, _n, _h, before: words of their source placed before them) with their source's plan, and the plan."""
+    rows = docs.select(docs[key].alias("_k"), docs[source].alias("_s"), word_count(docs[text]).alias("_n"))
+    rows = materialise(rows.withColumn("_h", hash31(F.col("_k"), F.lit(seed))), "mix-rows")
+    plan = source_targets(rows.groupBy(F.col("_s").alias("source"))
+                          .agg(F.count("*").alias("n_rows"), F.sum("_n").alias("size")), weights, max_epochs)
+    budget = F.floor("target").cast("long")
+    plan = plan.withColumn("epochs", F.when(F.col("size") > 0, F.floor(budget / F.col("size"))).otherwise(0).cast("long"))
+    plan = plan.select("sid", "source", "target", "epochs", F.col("size").alias("source_size"),
+                       (budget - F.col("epochs") * F.col("size")).alias("rest"),
+                       F.ceil(F.col("n_rows") / bucket_rows).cast("long").alias("n_buckets"))
+    rows = rows.join(hint_if_small(plan), F.col("_s").eqNullSafe(F.col("source")))
+    rows = rows.withColumn("_b", hash_bucket(F.col("_h"), F.col("n_buckets")))
+    before = W.partitionBy("sid").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (rows.groupBy("sid", "_b").agg(F.sum("_n").alias("_sum"))
+               .select("sid", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off")))
+    inside = W.partitionBy("sid", "_b").orderBy("_h", "_k", "_n").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, ["sid", "_b"])
+    return rows.withColumn("before", F.col("_off") + F.col("_in")), plan
+
+
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
                 weights=WEIGHTS, max_epochs: int = 3, seed: int = 17, bucket_rows: int = 10_000) -> DataFrame:
     """How much of every document the mix takes.
@@ -61,23 +82,28 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     other (equal rows are interchangeable); an empty table gives no rows. Other
     columns, whatever their names, are not read.
     """
-    rows = docs.select(docs[key].alias("_k"), docs[source].alias("_s"), word_count(docs[text]).alias("_n"))
-    rows = materialise(rows.withColumn("_h", hash31(F.col("_k"), F.lit(seed))), "mix-rows")
-    plan = source_targets(rows.groupBy(F.col("_s").alias("source"))
-                          .agg(F.count("*").alias("n_rows"), F.sum("_n").alias("size")), weights, max_epochs)
-    budget = F.floor("target").cast("long")
-    plan = plan.withColumn("epochs", F.when(F.col("size") > 0, F.floor(budget / F.col("size"))).otherwise(0).cast("long"))
-    plan = plan.select("sid", "source", "target", "epochs", F.col("size").alias("source_size"),
-                       (budget - F.col("epochs") * F.col("size")).alias("rest"),
-                       F.ceil(F.col("n_rows") / bucket_rows).cast("long").alias("n_buckets"))
-    rows = rows.join(hint_if_small(plan), F.col("_s").eqNullSafe(F.col("source")))
-    rows = rows.withColumn("_b", hash_bucket(F.col("_h"), F.col("n_buckets")))
-    before = W.partitionBy("sid").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (rows.groupBy("sid", "_b").agg(F.sum("_n").alias("_sum"))
-               .select("sid", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off")))
-    inside = W.partitionBy("sid", "_b").orderBy("_h", "_k", "_n").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, ["sid", "_b"])
-    extra = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("rest") - F.col("_off") - F.col("_in")))
+    rows, _ = _placed(docs, key, text, source, weights, max_epochs, seed, bucket_rows)
+    extra = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("rest") - F.col("before")))
     return rows.select(F.col("_k").alias(key), F.col("_n").alias("size"), "source_size", "target",
                        (F.col("epochs") * F.col("_n") + extra).cast("long").alias("taken"),
                        F.col("epochs").alias("copies"))
+
+
+def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+                  weights=WEIGHTS, max_epochs: int = 3, seed: int = 17, bucket_rows: int = 10_000) -> DataFrame:
+    """The mix itself: the rows of ``docs``, with all columns, as often as the mix takes them.
+
+    Documents stay whole here: the one on a source's cut is taken once more if
+    half of it is within the budget. The places of all rows shrink to one cut
+    per source, and each row decides by itself on which side it is, so texts
+    are not shuffled.
+    """
+    rows, plan = _placed(docs, key, text, source, weights, max_epochs, seed, bucket_rows)
+    place = F.struct(F.col("_h").alias("h"), F.col("_k").alias("k"), F.col("_n").alias("n"))
+    cuts = rows.filter(2 * F.col("before") + F.col("_n") > 2 * F.col("rest")).groupBy("sid").agg(F.min(place).alias("_cut"))
+    cuts = plan.join(cuts, "sid", "left").select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), "_cut")
+    cuts = hint_if_small(materialise(cuts, "mix-cuts"))
+    mine = F.struct(hash31(docs[key], F.lit(seed)).alias("h"), docs[key].alias("k"), word_count(docs[text]).alias("n"))
+    times = F.col("_epochs") + F.when(F.col("_cut").isNull() | (mine < F.col("_cut")), 1).otherwise(0)
+    joined = docs.join(cuts, docs[source].eqNullSafe(F.col("_source"))).withColumn("_times", F.array_repeat(F.lit(0), times.cast("int")))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode("_times").alias("_one")).drop("_one")

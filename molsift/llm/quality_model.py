@@ -137,23 +137,15 @@ def train(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 25) ->
     return w
 
 
-def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", max_train: int = 20_000,
-                  threshold: float = 0.5) -> DataFrame:
-    """Judge every document by a linear model trained on weak labels.
+def _good(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The model's P(good) of rows of features; 0 without words."""
+    good = 1 / (1 + np.exp(np.clip(x.astype(np.float64) @ weights[:-1] + weights[-1], -30, 30)))
+    good[~x.any(1)] = 0.0
+    return good
 
-    Returns one row per input row: ``key``, weak_bad (posterior of the
-    labellers), score (model's P(good), 0 to 1) and kept. Twelve overlapping
-    heuristics vote on each text; expectation-maximisation over the counts of
-    all vote patterns (at most 3^12, whatever the corpus) estimates how often
-    each is right; the posteriors label up to ``max_train`` rows, chosen by a
-    hash of key and features, that train a logistic model of hashed character
-    trigram classes. All rows are scored.
 
-    The texts are read once; of each stay its votes and 136 numbers. Null and
-    blank texts are bad (score 0); null and repeated keys are rows like any
-    other, equal texts get equal scores; an empty table gives no rows. Other
-    columns are not read.
-    """
+def fit_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", max_train: int = 20_000) -> tuple[DataFrame, dict, np.ndarray]:
+    """Votes and features of all rows (k, votes, x), P(bad) by votes, and the weights of the model."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
@@ -167,21 +159,54 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
     counted = sorted((tuple(r[0]), r[1]) for r in rows.groupBy("votes").count().collect())
     total = sum(n for _, n in counted)
     if not total:
-        return rows.select(F.col("k").alias(key), F.lit(0.0).alias("weak_bad"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
+        return rows, {}, np.zeros(DIMS + EXTRAS + 1)
     patterns, counts = np.array([v for v, _ in counted]), np.array([n for _, n in counted], float)
     bad = {v: float(p) for (v, _), p in zip(counted, estimate(patterns, counts))}
     share = min(1.0, max_train / total)
     picked = rows.filter(hash31(F.col("k"), F.col("x")) < int(share * 2**31)).select("votes", "x").limit(2 * max_train).collect()
     picked = sorted((bytes(r[1]), tuple(r[0])) for r in picked)
-    weights = train(np.array([np.frombuffer(x, np.float32) for x, _ in picked]), np.array([bad[v] for _, v in picked]))
+    if not picked:
+        return rows, bad, np.zeros(DIMS + EXTRAS + 1)
+    return rows, bad, train(np.array([np.frombuffer(x, np.float32) for x, _ in picked]), np.array([bad[v] for _, v in picked]))
+
+
+def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", max_train: int = 20_000,
+                  threshold: float = 0.5) -> DataFrame:
+    """Judge every document by a linear model trained on weak labels.
+
+    Returns one row per input row: ``key``, weak_bad (posterior of the
+    labellers), score (model's P(good), 0 to 1) and kept. Twelve overlapping
+    heuristics vote on each text; expectation-maximisation over the counts of
+    all vote patterns (at most 3^12, whatever the corpus) estimates how often
+    each is right; the posteriors label about ``max_train`` rows, chosen by a
+    hash of key and features, that train a logistic model of hashed character
+    trigram classes. All rows are scored.
+
+    The texts are read once; of each stay its votes and 136 numbers. Null and
+    blank texts are bad (score 0); null and repeated keys are rows like any
+    other, equal texts get equal scores; an empty table gives no rows. Other
+    columns are not read.
+    """
+    rows, bad, weights = fit_quality(docs, key, text, max_train)
 
     def score(batches):
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(-1, DIMS + EXTRAS)
-            good = 1 / (1 + np.exp(np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            good[~x.any(1)] = 0.0
+            good = _good(np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(-1, DIMS + EXTRAS), weights)
             weak = [bad[tuple(v)] for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weak, pa.float64()), pa.array(good, pa.float64()),
                                               pa.array(good >= threshold, pa.bool_())], names=[key, "weak_bad", "score", "kept"])
 
-    return rows.mapInArrow(score, f"`{key}` {kind}, weak_bad double, score double, kept boolean")
+    return rows.mapInArrow(score, f"`{key}` {dict(docs.dtypes)[key]}, weak_bad double, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", max_train: int = 20_000, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``score_quality`` keeps, with all columns; no text is shuffled."""
+    _, _, weights = fit_quality(docs, key, text, max_train)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            x = np.array([describe(t)[1] for t in b.column(at).to_pylist()], np.float32).reshape(-1, DIMS + EXTRAS)
+            yield b.filter(pa.array(_good(x, weights) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -53,7 +53,7 @@ def op7_warc(spark, sf_dir):
 
 def op8_decontaminate(spark, sf_dir):
     found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.withColumnRenamed("item", "item_id")
+    return found.withColumnRenamed("item", "item_id").drop("text_hash")
 
 
 def op9_ngram_join(spark, sf_dir):
