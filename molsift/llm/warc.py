@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from molsift.session import ensure_checkpoint_dir, materialise
+from molsift.session import ensure_checkpoint_dir, hint_if_small, materialise
 
 CRLF = "\r\n"
 HTTP_HEAD = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
@@ -43,9 +43,10 @@ def surt(url: str) -> str:
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html",
-                   min_payload: int = 100, file_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
+                   min_payload: int = 100, file_bytes: int = 16 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one record per row into WARC files of about ``file_bytes`` each.
 
+    Files hold so many records as the mean record size allows for.
     Of rows with equal payloads of at least ``min_payload`` bytes the one with
     the smallest key is a response, the others are revisits that name it; equal
     rows of the smallest key are all responses. Digests and keys alone are
@@ -55,12 +56,12 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     p = pages.select(pages[key].alias("k"), clean_url(pages[url]).alias("u"), F.coalesce(pages[body], F.lit("")).alias("h"))
     p = p.withColumn("n", F.octet_length("h").cast("long")).withColumn("d", F.sha2("h", 256))
     facts = materialise(p.select("k", "n", "d"), "warc-facts")
-    total = facts.agg(F.sum(F.col("n") + 512)).first()[0] or 0
+    mean = facts.agg(F.avg(F.col("n") + 512)).first()[0] or 512
     first = (facts.filter(F.col("n") >= min_payload).groupBy("d").agg(F.min("k").alias("r"), F.count("*").alias("c"))
              .filter((F.col("c") > 1) & F.col("r").isNotNull()))
     again = (facts.join(first, "d").filter(~F.col("k").eqNullSafe(F.col("r")))
              .select(F.col("k").alias("rk"), F.col("d").alias("rd"), "r").distinct())
-    files = max(1, -(-total // file_bytes))
+    again = hint_if_small(materialise(again, "warc-again"))
     p = p.join(again, p.k.eqNullSafe(again.rk) & (p.d == again.rd), "left")
     revisit = F.col("r").isNotNull()
     block = F.concat(F.lit(HTTP_HEAD), F.when(revisit, "").otherwise(F.col("h")))
@@ -75,8 +76,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
                                           f"{CRLF}WARC-Refers-To: <urn:page:"), F.col("r").cast("string"), F.lit(">"))).otherwise("")
     # The text writer ends each value by "\n": the last character of a record.
     record = F.concat(head, also, F.lit(CRLF + CRLF), block, F.lit(CRLF + "\r"))
-    parts = p.select(record.alias("value"), F.xxhash64("k", "d").alias("_h")).repartition(files, "_h")
-    parts.select("value").write.option("lineSep", "\n").text(path)
+    (p.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, int(file_bytes // mean))).text(path))
 
 
 def parse_record(data: bytes, start: int) -> tuple[dict, int, int, int] | None:
@@ -158,8 +158,8 @@ def write_index(records: DataFrame, path: str, block_rows: int = 512) -> None:
         if rows:
             yield _batch(block(), names, kinds)
 
-    captures = records.select("uri", "page_id", "file", "offset", "length").mapInArrow(
-        keyed, "key string, page_id string, file string, offset long, length long")
+    captures = materialise(records.select("uri", "page_id", "file", "offset", "length").mapInArrow(
+        keyed, "key string, page_id string, file string, offset long, length long"), "warc-captures")
     order = ["key", "page_id", "file", "offset"]
     blocks = (captures.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
               .mapInArrow(packed, "part int, seq long, first_key string, data binary"))
@@ -250,19 +250,20 @@ def read_ranges(spark: SparkSession, archives: str, ranges: DataFrame, broadcast
     if ranges.limit(broadcast_rows + 1).count() <= broadcast_rows:
         per_file = F.broadcast(per_file)
     files = spark.read.format("binaryFile").load(archives).select("path", "content")
-    cut = F.transform("r", lambda x: F.struct(x.offset.alias("offset"), F.substring(F.col("content"), (x.offset + 1).cast("int"), x.length.cast("int")).alias("data")))
-    got = files.join(per_file, F.col("path") == F.col("file")).select("file", F.explode(cut).alias("c")).select("file", "c.offset", "c.data")
+    wanted = files.join(per_file, F.col("path") == F.col("file")).select("file", "content", "r")
 
     def run(batches):
         for b in batches:
-            rows = [record_row(d, f, o, 0)[0] for f, o, d in zip(*[c.to_pylist() for c in b.columns])]
-            yield _batch(rows, RECORD_NAMES, RECORD_KINDS)
+            for file, content, r in zip(b.column(0), b.column(1), b.column(2)):
+                data = memoryview(content.as_buffer())
+                rows = [record_row(bytes(data[x["offset"]:x["offset"] + x["length"]]), file.as_py(), x["offset"], 0)[0] for x in r.as_py()]
+                yield _batch(rows, RECORD_NAMES, RECORD_KINDS)
 
-    return got.mapInArrow(run, RECORD_SCHEMA)
+    return wanted.mapInArrow(run, RECORD_SCHEMA)
 
 
 def archive_and_read(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", path: str | None = None,
-                     block_rows: int = 512, file_bytes: int = 8 << 20) -> DataFrame:
+                     block_rows: int = 512, file_bytes: int = 16 << 20) -> DataFrame:
     """Write pages to WARC files, index them, and read every page back through the index.
 
     Returns one row per input row: ``key``, payload_bytes, payload_digest,
