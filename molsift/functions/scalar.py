@@ -99,19 +99,23 @@ def sa_proxy(mw) -> Column:
     return _c(mw) / F.lit(100.0)
 
 
+def strip_text(col) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+
+
 def non_blank(col) -> Column:
-    """B23 predicate: trimmed text is not empty (NULL is blank)."""
-    return F.coalesce(F.length(F.trim(_c(col))) > 0, F.lit(False))
-
-
-def verdict(r2_test, gap) -> Column:
-    """Model quality bands on test R^2 and on the train-test gap."""
-    r2, g = _c(r2_test), _c(gap)
-    quality = (F.when(r2 >= 0.8, F.lit("excellent"))
-               .when(r2 >= 0.6, F.lit("good"))
-               .when(r2 >= 0.4, F.lit("fair"))
-               .otherwise(F.lit("poor")))
-    fit = (F.when(g > 0.2, F.lit("overfit"))
-           .when(g > 0.1, F.lit("slight overfit"))
-           .otherwise(F.lit("balanced")))
-    return F.struct(quality.alias("quality"), fit.alias("fit"))
+    """B23 predicate: stripped text is not empty (NULL is blank)."""
+    return F.coalesce(F.length(strip_text(col)) > 0, F.lit(False))
+
+
+def verdict(r2_train, r2_test) -> Column:
+    """Bands of fit on the training R^2 and of use on the test R^2.
+
+    Training: above 0.85 good, above 0.7 average, else poor. Testing: above
+    0.6 generalises, else does not.
+    """
+    train, test = _c(r2_train), _c(r2_test)
+    fit = F.when(train > 0.85, F.lit("good")).when(train > 0.7, F.lit("average")).otherwise(F.lit("poor"))
+    use = F.when(test > 0.6, F.lit("good")).otherwise(F.lit("poor"))
+    return F.struct(F.when(train.isNotNull(), fit).alias("fit"), F.when(test.isNotNull(), use).alias("generalises"))

@@ -1,41 +1,24 @@
-"""Molecule notation as token and graph arrays.
-
-A molecule is parsed into ``atoms: array<struct<idx, sym, aromatic, charge,
-h, label, bracket>>`` and ``bonds: array<struct<a, b, o>>`` with Spark
-higher-order functions (``transform``/``filter``/``aggregate``). Everything is
-row-local: no shuffle, no Python, so a library of any size is processed in
-one narrow stage. Scope is the organic-subset notation; strings outside it
-get a status, never a silent value.
+"""Molecule notation as token and graph arrays.
+
+``mol_graph`` reads each notation once, in Arrow batches, into ``status``,
+``atoms``, ``bonds``, ``nbrs`` and ``benzene``; no shuffle. What follows is
+column expressions over these arrays, each linear in the molecule.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The token pattern of the notation (bracket atom, two-letter
-# organic halogens, organic subset, aromatic subset, two-digit ring label,
-# ring digit, and the single-character symbols).
-TOKEN_PATTERN = r"(\[[^\]]+\]|Br|Cl|[BCNOPSFI]|[bcnops]|%\d{2}|\d|[()=#\-+\\/.:~@?>*$])"
-BRACKET_PATTERN = r"^\[(\d*)([A-Z][a-z]?|[a-z][a-z]?|\*)(@*)(H\d*)?([+-]+\d*)?(:\d+)?\]$"
-ORGANIC = ["B", "C", "N", "O", "P", "S", "F", "I", "Br", "Cl", "b", "c", "n", "o", "s", "p", "*"]
-BOND_TOKENS = ["-", "=", "#", "$", ":", "/", "\\", "~"]
-
-# Standard atomic masses and the default valences of the
-# organic subset (the lowest valence not below the bond sum is used).
-ATOMIC_MASS = {"H": 1.008, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998,
-               "Si": 28.085, "P": 30.974, "S": 32.06, "Cl": 35.45, "Br": 79.904, "I": 126.904,
-               "Se": 78.971, "As": 74.922, "*": 0.0}
-VALENCES = {"B": [3], "C": [4], "N": [3, 5], "O": [2], "P": [3, 5], "S": [2, 4, 6],
-            "F": [1], "Cl": [1], "Br": [1], "I": [1]}
+from .notation import (  # noqa: F401  (the statuses are used by callers)
+    ATOMIC_MASS, STATUS_EMPTY, STATUS_ERROR, STATUS_INVALID, STATUS_UNPARSABLE, TOKEN_PATTERN, read)
 
-STATUS_EMPTY = "SMILES is empty"
-STATUS_INVALID = "Invalid SMILES"
-STATUS_UNPARSABLE = "Unable to parse SMILES/InChI"
-STATUS_ERROR = "Calculation error"
-
-ATOM_TYPE = "struct<idx:int,sym:string,aromatic:boolean,charge:int,h:int,label:int,bracket:boolean>"
-BOND_TYPE = "struct<a:int,b:int,o:int>"
+ATOM_TYPE = ("struct<idx:int,sym:string,aromatic:boolean,charge:int,h:int,label:int,bracket:boolean,part:int,"
+             "donor:boolean,acceptor:boolean,ring:boolean,mass:double>")
+GRAPH_TYPE = (f"struct<status:string,atoms:array<{ATOM_TYPE}>,bonds:array<struct<a:int,b:int,o:int,ring:boolean>>,"
+              "nbrs:array<array<struct<j:int,o:int>>>,benzene:int>")
 
 
 def _c(col) -> Column:
@@ -48,136 +31,57 @@ def smiles_tokens(col) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(TOKEN_PATTERN), 1)
 
 
-def _classify(t: Column) -> Column:
-    is_atom = t.rlike(r"^\[.*\]$") | t.isin(ORGANIC)
-    kind = (F.when(is_atom, F.lit("a"))
-            .when(t.isin(BOND_TOKENS), F.lit("b"))
-            .when(t == ".", F.lit("d"))
-            .when(t == "(", F.lit("o"))
-            .when(t == ")", F.lit("c"))
-            .when(t.rlike(r"^(%\d{2}|\d)$"), F.lit("r"))
-            .otherwise(F.lit("x")))
-    order = (F.when(t == "=", F.lit(2)).when(t == "#", F.lit(3)).when(t == "$", F.lit(4))
-             .when(t == ":", F.lit(5)).otherwise(F.lit(1)))
-    return F.struct(kind.alias("k"), t.alias("v"), order.alias("o"))
-
-
-def _fold_init() -> Column:
-    return F.struct(
-        F.lit(0).alias("n"), F.lit(-1).alias("prev"), F.lit(0).alias("bo"),
-        F.array().cast("array<int>").alias("stk"),
-        F.array().cast("array<struct<l:string,a:int,o:int>>").alias("ring"),
-        F.array().cast(f"array<{BOND_TYPE}>").alias("bonds"),
-        F.lit(False).alias("err"))
-
-
-def _fold_step(acc: Column, t: Column) -> Column:
-    k = t["k"]
-    n, prev, bo = acc["n"], acc["prev"], acc["bo"]
-    stk, ring, bonds = acc["stk"], acc["ring"], acc["bonds"]
-    match = F.try_element_at(F.filter(ring, lambda r: r["l"] == t["v"]), F.lit(1))
-    top = F.try_element_at(stk, F.lit(-1))
-
-    def bond(a, b, o):
-        return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), o.cast("int").alias("o"))
-
-    new_n = F.when(k == "a", n + 1).otherwise(n)
-    new_prev = F.when(k == "a", n).when(k == "c", F.coalesce(top, prev)).otherwise(prev)
-    new_bo = (F.when(k == "b", t["o"]).when(k == "d", F.lit(-1))
-              .when(k.isin("a", "r"), F.lit(0)).otherwise(bo))
-    new_stk = (F.when(k == "o", F.array_append(stk, prev))
-               .when(k == "c", F.slice(stk, F.lit(1), F.greatest(F.size(stk) - 1, F.lit(0))))
-               .otherwise(stk))
-    new_ring = (F.when((k == "r") & match.isNull(),
-                       F.array_append(ring, F.struct(t["v"].alias("l"), prev.alias("a"), bo.alias("o"))))
-                .when(k == "r", F.filter(ring, lambda r: r["l"] != t["v"]))
-                .otherwise(ring))
-    new_bonds = (F.when((k == "a") & (prev >= 0) & (bo >= 0), F.array_append(bonds, bond(prev, n, bo)))
-                 .when((k == "r") & match.isNotNull(),
-                       F.array_append(bonds, bond(match["a"], prev, F.greatest(match["o"], bo))))
-                 .otherwise(bonds))
-    err = (acc["err"] | (k == "x") | ((k == "c") & (F.size(stk) == 0))
-           | (k.isin("r", "b", "o") & (prev < 0))
-           | ((k == "r") & match.isNotNull() & (match["a"] == prev)))
-    return F.struct(new_n.alias("n"), new_prev.alias("prev"), new_bo.alias("bo"),
-                    new_stk.alias("stk"), new_ring.alias("ring"), new_bonds.alias("bonds"),
-                    err.alias("err"))
-
-
-def _parse_atom(t: Column, i: Column) -> Column:
-    v = t["v"]
-    bracket = v.startswith("[")
-    iso = F.regexp_extract(v, BRACKET_PATTERN, 1)
-    raw_sym = F.when(bracket, F.regexp_extract(v, BRACKET_PATTERN, 2)).otherwise(v)
-    hgrp = F.regexp_extract(v, BRACKET_PATTERN, 4)
-    chg = F.regexp_extract(v, BRACKET_PATTERN, 5)
-    aromatic = (F.substring(raw_sym, 1, 1) != F.upper(F.substring(raw_sym, 1, 1)))
-    sym = F.when(raw_sym == "*", F.lit("*")).otherwise(
-        F.concat(F.upper(F.substring(raw_sym, 1, 1)), F.substring(raw_sym, 2, 1)))
-    h = F.when(~bracket, F.lit(-1)).when(hgrp == "", F.lit(0)).when(hgrp == "H", F.lit(1)) \
-        .otherwise(F.substring(hgrp, 2, 3).try_cast("int"))
-    charge = (F.when(chg == "", F.lit(0))
-              .when(chg.rlike(r"^\++$"), F.length(chg))
-              .when(chg.rlike(r"^-+$"), -F.length(chg))
-              .otherwise(chg.try_cast("int")))
-    label = F.when(sym == "*", F.coalesce(iso.try_cast("int"), F.lit(0)))
-    return F.struct(i.cast("int").alias("idx"), sym.alias("sym"), aromatic.alias("aromatic"),
-                    charge.cast("int").alias("charge"), h.cast("int").alias("h"),
-                    label.cast("int").alias("label"), bracket.alias("bracket"))
-
-
-def bond_weight(o: Column) -> Column:
-    """Valence contribution of a bond: double 2, triple 3, quadruple 4,
-    anything else (unmarked, single, aromatic, directional) 1."""
-    return F.when(o == 2, 2).when(o == 3, 3).when(o == 4, 4).otherwise(1)
-
-
-def _implicit_h(sym: Column, total: Column) -> Column:
-    expr = F.lit(0)
-    for s, vals in VALENCES.items():
-        pick = F.lit(0)
-        for v in reversed(vals):
-            pick = F.when(total <= v, F.lit(v) - total).otherwise(pick)
-        expr = F.when(sym == s, pick).otherwise(expr)
-    return expr
+def _list(rows: list, kind: pa.DataType, missing: list[bool]) -> pa.Array:
+    """A list array of flat structs given as tuples; null where ``missing``."""
+    sizes = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = [x for r in rows for x in r]
+    columns = list(zip(*flat)) if flat else [()] * kind.num_fields
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(sizes), values, mask=pa.array(missing, pa.bool_()))
+
+
+ATOM_ARROW = pa.struct([("idx", pa.int32()), ("sym", pa.string()), ("aromatic", pa.bool_()), ("charge", pa.int32()), ("h", pa.int32()),
+                        ("label", pa.int32()), ("bracket", pa.bool_()), ("part", pa.int32()), ("donor", pa.bool_()), ("acceptor", pa.bool_()),
+                        ("ring", pa.bool_()), ("mass", pa.float64())])
+BOND_ARROW = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("o", pa.int32()), ("ring", pa.bool_())])
+NBR_ARROW = pa.struct([("j", pa.int32()), ("o", pa.int32())])
+
+
+def _graphs(texts: pa.Array) -> pa.Array:
+    status, atoms, bonds, nbrs, benzene, missing = [], [], [], [], [], []
+    for text in texts.to_pylist():
+        why, m = read(text)
+        status.append(why)
+        missing.append(m is None)
+        if m is None:
+            atoms.append([])
+            bonds.append([])
+            nbrs.append([])
+            benzene.append(None)
+            continue
+        ringed = {x for (a, b, _), r in zip(m.bonds, m.in_ring) if r for x in (a, b)}
+        atoms.append([(i, s, m.aromatic[i], m.charge[i], m.h[i], m.label[i], m.bracket[i], m.part[i], *m.hydrogen_bonds(i), i in ringed, ATOMIC_MASS[s])
+                      for i, s in enumerate(m.sym)])
+        bonds.append([(a, b, o, r) for (a, b, o), r in zip(m.bonds, m.in_ring)])
+        nbrs.append([[(j, m.bonds[b][2]) for j, b in around] for around in m.nbrs])
+        benzene.append(len(m.benzene_rings()))
+    inner = _list([x for r in nbrs for x in r], NBR_ARROW, [False] * sum(map(len, nbrs)))
+    outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, nbrs)]).astype(np.int32)), inner, mask=pa.array(missing, pa.bool_()))
+    return pa.StructArray.from_arrays(
+        [pa.array(status, pa.string()), _list(atoms, ATOM_ARROW, missing), _list(bonds, BOND_ARROW, missing), outer, pa.array(benzene, pa.int32())],
+        names=["status", "atoms", "bonds", "nbrs", "benzene"])
 
 
 def mol_graph(df: DataFrame, col: str = "smiles") -> DataFrame:
-    """Add ``tokens``, ``status`` (NULL when valid), ``atoms``, ``bonds``.
+    """Add ``tokens``, ``status`` (NULL when valid), ``atoms``, ``bonds``,
+    ``nbrs`` (neighbours and bond orders of each atom) and ``benzene``.
 
-    Valid molecules carry full atom structs with hydrogen counts (explicit in
-    brackets, else from the default valences; an aromatic atom adds one to
-    its bond sum) and the bond list with orders (0 = unmarked).
+    Bond orders are 1, 2, 3, 4 and 5 (aromatic). The function is marked as not
+    deterministic only so that the optimiser keeps one call of it per row.
     """
-    s = F.col(col)
-    toks = smiles_tokens(s)
-    df = df.withColumn("_typed", F.transform(toks, _classify)).withColumn("tokens", toks)
-    df = df.withColumns({
-        "_fold": F.aggregate(F.col("_typed"), _fold_init(), _fold_step),
-        "_atoms0": F.transform(F.filter(F.col("_typed"), lambda t: t["k"] == "a"), _parse_atom)})
-    covered = F.array_join(F.col("tokens"), "") == s
-    bad_bracket = F.exists(F.col("_atoms0"), lambda a: a["sym"].isNull() | (a["sym"] == "")
-                           | (a["bracket"] & a["h"].isNull()) | a["charge"].isNull())
-    structural_err = (F.col("_fold.err") | (F.size("_fold.ring") > 0) | (F.size("_fold.stk") > 0)
-                      | bad_bracket | (F.size("_atoms0") == 0))
-    status = (F.when(s.isNull() | (F.trim(s) == ""), F.lit(STATUS_EMPTY))
-              .when(s.startswith("InChI="), F.lit(STATUS_UNPARSABLE))
-              .when(~covered | structural_err, F.lit(STATUS_INVALID)))
-    df = df.withColumn("status", status)
-    bonds = F.when(F.col("status").isNull(), F.col("_fold.bonds"))
-    df = df.withColumn("bonds", bonds)
-
-    def finish(a):
-        total = F.aggregate(F.col("bonds"), F.lit(0),
-                            lambda acc, b: acc + F.when((b["a"] == a["idx"]) | (b["b"] == a["idx"]),
-                                                        bond_weight(b["o"])).otherwise(0))
-        total = total + F.when(a["aromatic"], 1).otherwise(0)
-        h = F.when(a["h"] >= 0, a["h"]).when(a["sym"] == "*", F.lit(0)) \
-            .otherwise(_implicit_h(a["sym"], total))
-        return a.withField("h", h.cast("int"))
-
-    atoms = F.when(F.col("status").isNull(), F.transform(F.col("_atoms0"), finish))
-    return df.withColumn("atoms", atoms).drop("_typed", "_fold", "_atoms0")
+    graph = F.arrow_udf(_graphs, GRAPH_TYPE).asNondeterministic()
+    df = df.withColumn("tokens", smiles_tokens(col)).withColumn("_graph", graph(F.col(col)))
+    return df.select("*", "_graph.*").drop("_graph")
 
 
 # --- per-molecule properties (row-local) -------------------------------------
@@ -197,29 +101,13 @@ def n_attachments_text(col) -> Column:
     return F.size(F.filter(toks, lambda t: t.rlike(r"^(\*|\[\d*\*\])$")))
 
 
-def n_parts(atoms="atoms", bonds="bonds") -> Column:
-    """Connected components of the graph (``O.C`` has two)."""
-    labels = components(atoms, bonds)
-    return F.size(F.array_distinct(labels))
-
+def n_parts(atoms="atoms") -> Column:
+    """Connected parts of the graph (``O.C`` has two)."""
+    return F.size(F.array_distinct(F.transform(_c(atoms), lambda a: a["part"])))
 
-def components(atoms="atoms", bonds="bonds", cut=None) -> Column:
-    """Component label (smallest atom index) per atom by min-label
-    propagation; ``cut`` is an optional predicate on a bond to ignore it."""
-    a, b = _c(atoms), _c(bonds)
-    keep = b if cut is None else F.filter(b, lambda x: ~cut(x))
-    init = F.transform(a, lambda x: x["idx"])
 
-    def relax(lbl, _):
-        return F.transform(lbl, lambda l, i: F.aggregate(
-            keep, l, lambda m, e: F.when(e["a"] == i, F.least(m, F.element_at(lbl, e["b"] + 1)))
-            .when(e["b"] == i, F.least(m, F.element_at(lbl, e["a"] + 1))).otherwise(m)))
-    rounds = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)))
-    return F.aggregate(rounds, init, relax)
-
-
-def is_connected(atoms="atoms", bonds="bonds") -> Column:
-    return n_parts(atoms, bonds) == 1
+def is_connected(atoms="atoms") -> Column:
+    return n_parts(atoms) == 1
 
 
 def has_element(sym: str, atoms="atoms") -> Column:
@@ -237,97 +125,89 @@ def is_intermediate(col) -> Column:
     return (F.instr(_c(col), ".") == 0) & (n_attachments_text(col) >= 1)
 
 
-def _mass(sym: Column) -> Column:
-    expr = F.lit(None).cast("double")
-    for s, m in ATOMIC_MASS.items():
-        expr = F.when(sym == s, F.lit(m)).otherwise(expr)
-    return expr
-
-
 def total_h(atoms="atoms") -> Column:
-    return F.aggregate(_c(atoms), F.lit(0), lambda s, a: s + a["h"])
+    return F.aggregate(_c(atoms), F.lit(0), lambda s, a: s + a["h"] + (a["sym"] == "H").cast("int"))
 
 
 def mol_weight(atoms="atoms") -> Column:
-    """Sum of atomic masses plus hydrogens (NULL for an unknown element)."""
-    heavy = F.aggregate(_c(atoms), F.lit(0.0).cast("double"), lambda s, a: s + _mass(a["sym"]))
-    return heavy + total_h(atoms).cast("double") * F.lit(ATOMIC_MASS["H"])
+    """Sum of the atoms' masses and of their hydrogens."""
+    return F.aggregate(_c(atoms), F.lit(0.0), lambda s, a: s + a["mass"] + a["h"] * F.lit(ATOMIC_MASS["H"]))
 
 
 def formula(atoms="atoms") -> Column:
-    """Hill formula (C, H, then the other elements alphabetically)."""
-    a = F.filter(_c(atoms), lambda x: x["sym"] != "*")
-    syms = F.array_sort(F.array_distinct(F.transform(a, lambda x: x["sym"])))
-
-    def part(sym_col, count):
-        return F.when(count == 0, F.lit("")).when(count == 1, sym_col) \
-            .otherwise(F.concat(sym_col, count.cast("string")))
-
-    def count_of(s):
-        return F.size(F.filter(a, lambda x: x["sym"] == s))
-    h = F.aggregate(a, F.lit(0), lambda s, x: s + x["h"])
-    others = F.filter(syms, lambda s: (s != "C") & (s != "H"))
-    rest = F.array_join(F.transform(others, lambda s: part(s, count_of(s))), "")
+    """Hill formula (C, H, then the other elements by name; without C all by name)."""
+    syms = F.transform(F.filter(_c(atoms), lambda x: x["sym"] != "*"), lambda x: x["sym"])
     has_c = F.array_contains(syms, "C")
-    return F.when(has_c, F.concat(part(F.lit("C"), count_of(F.lit("C"))), part(F.lit("H"), h), rest)) \
-        .otherwise(F.array_join(F.array_sort(F.concat(
-            F.transform(syms, lambda s: part(s, count_of(s))),
-            F.array(part(F.lit("H"), h)))), ""))
-
-
-def _neighbours(a: Column, bonds: Column) -> Column:
-    return F.transform(F.filter(bonds, lambda b: (b["a"] == a["idx"]) | (b["b"] == a["idx"])),
-                       lambda b: F.when(b["a"] == a["idx"], b["b"]).otherwise(b["a"]))
+    every = F.when(total_h(atoms) > 0, F.array_union(syms, F.array(F.lit("H")))).otherwise(F.array_distinct(syms))
 
+    def rank(s):
+        return F.when(has_c & (s == "C"), F.lit("0")).when(has_c & (s == "H"), F.lit("1")).otherwise(s)
 
-# The hydrogen-bond rules. Donor: N with H (charge 0 or +1),
-# O or S with exactly one H and no charge, aromatic n with one H.
-# Acceptor: O or S with at most one H and no positive charge, neutral
-# non-aromatic N without H and not bonded to a carbonyl-type carbon,
-# aromatic n/o/s without H, F.
-def _is_donor(a: Column) -> Column:
-    return (((a["sym"] == "N") & (a["h"] >= 1) & a["charge"].isin(0, 1))
-            | (a["sym"].isin("O", "S") & (a["h"] == 1) & (a["charge"] == 0)))
+    def part(s):
+        n = F.when(s == "H", total_h(atoms)).otherwise(F.size(F.filter(syms, lambda x: x == s)))
+        return F.concat(s, F.when(n > 1, n.cast("string")).otherwise(""))
 
-
-def _is_acceptor(a: Column) -> Column:
-    return ((a["sym"].isin("O", "S") & (a["h"] <= 1) & (a["charge"] <= 0) & ~a["aromatic"])
-            | (a["sym"].isin("N", "O", "S") & a["aromatic"] & (a["h"] == 0) & (a["charge"] == 0))
-            | ((a["sym"] == "N") & ~a["aromatic"] & (a["h"] == 0) & (a["charge"] == 0))
-            | (a["sym"] == "F"))
+    order = F.sort_array(F.transform(every, lambda s: F.struct(rank(s).alias("r"), s.alias("s"))))
+    return F.array_join(F.transform(order, lambda x: part(x["s"])), "")
 
 
 def hbd(atoms="atoms") -> Column:
     """Hydrogen-bond donors."""
-    return F.size(F.filter(_c(atoms), _is_donor))
+    return F.size(F.filter(_c(atoms), lambda a: a["donor"]))
 
 
 def hba(atoms="atoms") -> Column:
     """Hydrogen-bond acceptors."""
-    return F.size(F.filter(_c(atoms), _is_acceptor))
+    return F.size(F.filter(_c(atoms), lambda a: a["acceptor"]))
+
+
+def benzene_rings() -> Column:
+    """Six-rings of carbons with aromatic or alternating double bonds."""
+    return F.col("benzene")
+
+
+# --- neighbourhoods ------------------------------------------------------------
+
+def _refine(seed: Column, nbrs: Column) -> Column:
+    """One round: each atom's number from its own and its sorted neighbours' numbers."""
+    return F.transform(seed, lambda x, i: F.xxhash64(x, F.array_sort(F.transform(
+        F.get(nbrs, i), lambda n: F.struct(n["o"].alias("o"), F.get(seed, n["j"]).alias("x"))))))
+
+
+def _atom_seed(atoms: Column) -> Column:
+    return F.transform(atoms, lambda a: F.xxhash64(a["sym"], a["aromatic"], a["charge"], a["h"], a["ring"], F.coalesce(a["label"], F.lit(-1))))
+
+
+def atom_rounds(df: DataFrame, radius: int = 2) -> DataFrame:
+    """Add ``env0`` .. ``env<radius>``: a 64-bit number per atom for its surroundings.
+
+    Each round is a projection of its own, so that a round is worked out once
+    for all neighbours of the next.
+    """
+    df = df.withColumn("env0", _atom_seed(F.col("atoms")))
+    for r in range(1, radius + 1):
+        df = df.withColumn(f"env{r}", _refine(F.col(f"env{r - 1}"), F.col("nbrs")))
+    return df
+
+
+def fingerprint(df: DataFrame, radius: int = 2, n_bits: int = 1024, alias: str = "bits") -> DataFrame:
+    """Circular fingerprint, the sorted on-bits of ``n_bits``.
+
+    Every atom gives one bit per radius from 0 to ``radius``: its number after
+    so many rounds, folded. Equal molecules written differently give equal bits.
+    """
+    df = atom_rounds(df, radius)
+    names = [f"env{r}" for r in range(radius + 1)]
+    bits = F.transform(F.concat(*names), lambda x: F.pmod(x, F.lit(n_bits)).cast("int"))
+    return df.withColumn(alias, F.array_sort(F.array_distinct(bits))).drop(*names)
 
 
-def benzene_rings(atoms="atoms", bonds="bonds") -> Column:
-    """Six-membered rings of aromatic carbons.
+def identity_key(df: DataFrame, rounds: int = 8, alias: str = "mol_key") -> DataFrame:
+    """C11: a key that does not depend on how the molecule is written.
 
-    Paths of aromatic C-C bonds (unmarked or aromatic) are grown atom by atom
-    inside the row; a ring is counted once: smallest atom first, and the
-    second atom smaller than the last.
+    The sorted numbers of all atoms after ``rounds`` rounds, hashed. Molecules
+    that no number of neighbour rounds can tell apart share a key.
     """
-    at, bd = _c(atoms), _c(bonds)
-    arom = F.filter(at, lambda a: (a["sym"] == "C") & a["aromatic"])
-    arom_idx = F.transform(arom, lambda a: a["idx"])
-    edges1 = F.filter(bd, lambda b: b["o"].isin(0, 5) & F.array_contains(arom_idx, b["a"])
-                      & F.array_contains(arom_idx, b["b"]))
-    edges = F.concat(F.transform(edges1, lambda b: F.struct(b["a"].alias("x"), b["b"].alias("y"))),
-                     F.transform(edges1, lambda b: F.struct(b["b"].alias("x"), b["a"].alias("y"))))
-    paths = F.transform(edges, lambda e: F.array(e["x"], e["y"]))
-    paths = F.filter(paths, lambda p: p[0] < p[1])
-    for _ in range(4):
-        paths = F.flatten(F.transform(paths, lambda p: F.transform(
-            F.filter(edges, lambda e: (e["x"] == F.element_at(p, -1)) & ~F.array_contains(p, e["y"])
-                     & (e["y"] > p[0])),
-            lambda e: F.array_append(p, e["y"]))))
-    closed = F.filter(paths, lambda p: F.exists(edges, lambda e: (e["x"] == p[5]) & (e["y"] == p[0]))
-                      & (p[1] < p[5]))
-    return F.size(closed)
+    df = atom_rounds(df, rounds)
+    key = F.sha2(F.concat_ws(",", F.size("bonds").cast("string"), F.transform(F.array_sort(f"env{rounds}"), lambda x: x.cast("string"))), 256)
+    return df.withColumn(alias, key).drop(*[f"env{r}" for r in range(rounds + 1)])

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import smiles as S
-from ..functions.scalar import group_order, non_blank
+from ..functions.scalar import group_order, non_blank, strip_text
+from ..session import hint_if_small
 
 
 def split_valid(df: DataFrame, col: str = "smiles") -> tuple[DataFrame, DataFrame]:
@@ -25,11 +26,10 @@ def split_valid(df: DataFrame, col: str = "smiles") -> tuple[DataFrame, DataFram
 def benzene_filter(df: DataFrame, col: str = "smiles", max_rings: int = 1,
                    banned_element: str = "Si") -> DataFrame:
     """The screening filter: valid molecules without ``banned_element`` and
-    with at most ``max_rings`` benzene rings. The cheap element test runs
-    before the ring search (short-circuit inside the same projection)."""
-    g = S.mol_graph(df, col).where(F.col("status").isNull())
-    g = g.where(~S.has_element(banned_element))
-    return g.where(S.benzene_rings() <= max_rings).select(*df.columns)
+    with at most ``max_rings`` benzene rings. A text without the element's name
+    is not searched for it atom by atom."""
+    g = S.mol_graph(df, col).where(F.col("status").isNull() & (S.benzene_rings() <= max_rings))
+    return g.where(~F.col(col).contains(banned_element) | ~S.has_element(banned_element)).select(*df.columns)
 
 
 def group_contribution(counts: DataFrame, params: DataFrame, baseline: float,
@@ -38,15 +38,15 @@ def group_contribution(counts: DataFrame, params: DataFrame, baseline: float,
                        coef_col: str = "coef", alias: str = "delta", decimals: int = 4) -> DataFrame:
     """``baseline + sum(w_order * n * coef)`` per molecule.
 
-    ``params`` is a small dimension table (group id, coefficient): it is
-    broadcast behind a left join, so unknown groups add nothing and
+    ``params`` is a dimension table (group id, coefficient), broadcast if it is
+    small by count; it is joined from the left, so unknown groups add nothing and
     molecules with no known group keep the baseline. The order of a group
     comes from its id prefix (B24). Rounded half-to-even (B18).
     """
     w = order_weights or {1: 1.0, 2: 1.0, 3: 1.0}
     order = group_order(F.col(group_col))
     weight = F.when(order == 2, F.lit(w[2])).when(order == 3, F.lit(w[3])).otherwise(F.lit(w[1]))
-    j = counts.join(F.broadcast(params.select(group_col, coef_col)), group_col, "left")
+    j = counts.join(hint_if_small(params.select(group_col, coef_col)), group_col, "left")
     contrib = F.coalesce(F.col(n_col) * F.col(coef_col) * weight, F.lit(0.0))
     return j.groupBy(mol_col).agg(F.bround(F.lit(baseline) + F.sum(contrib), decimals).alias(alias))
 
@@ -67,4 +67,4 @@ def dedupe_first(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def non_blank_rows(df: DataFrame, col: str) -> DataFrame:
     """Trim the key and drop blank ones."""
-    return df.withColumn(col, F.trim(F.col(col))).where(non_blank(col))
+    return df.withColumn(col, strip_text(col)).where(non_blank(col))

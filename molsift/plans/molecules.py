@@ -16,22 +16,48 @@ from ..operators.reports import quality_report
 from ..sources.views import table, v_mol
 from .registry import query
 
-# Hand-derived goldens per notation: status, atoms, bonds,
-# attachments, Si, benzene rings, parts, formula, MW (3 dp), HBD, HBA.
+# Hand-derived goldens per notation (worked in FIXTURES section
+# 3): status, atoms, bonds, attachments, Si, benzene rings, parts, formula,
+# MW (3 dp), HBD, HBA.
+BAD = ("Invalid SMILES",) + (None,) * 10
 GOLDENS = [
     ("c1ccccc1", None, 6, 6, 0, False, 1, 1, "C6H6", 78.114, 0, 0),
     ("CCO", None, 3, 2, 0, False, 0, 1, "C2H6O", 46.069, 1, 1),
     ("C[Si](C)(C)Cl", None, 5, 4, 0, True, 0, 1, "C3H9ClSi", 108.640, 0, 0),
     ("c1ccc2ccccc2c1", None, 10, 11, 0, False, 2, 1, "C10H8", 128.174, 0, 0),
     ("c1ccc(-c2ccccc2)cc1", None, 12, 13, 0, False, 2, 1, "C12H10", 154.212, 0, 0),
-    ("CC(=O)O", None, 4, 3, 0, False, 0, 1, "C2H4O2", 60.052, 1, 2),
+    ("CC(=O)O", None, 4, 3, 0, False, 0, 1, "C2H4O2", 60.052, 1, 1),
     ("[1*]C([6*])=O", None, 4, 3, 2, False, 0, 1, "CO", 28.010, 0, 1),
     ("[16*]c1ccc([16*])cc1", None, 8, 8, 2, False, 1, 1, "C6H4", 76.098, 0, 0),
     ("O.C", None, 2, 0, 0, False, 0, 2, "CH6O", 34.058, 0, 0),
-    ("C1CC", "Invalid SMILES", None, None, None, None, None, None, None, None, None, None),
-    ("", "SMILES is empty", None, None, None, None, None, None, None, None, None, None),
+    ("C1CC", *BAD),
+    ("", "SMILES is empty", *(None,) * 10),
     ("[3*]O[17*]", None, 3, 2, 2, False, 0, 1, "O", 15.999, 0, 1),
     ("OCC", None, 3, 2, 0, False, 0, 1, "C2H6O", 46.069, 1, 1),
+    ("c1ccsc1", None, 5, 5, 0, False, 0, 1, "C4H4S", 84.136, 0, 1),
+    ("Cn1cccc1", None, 6, 6, 0, False, 0, 1, "C5H7N", 81.118, 0, 1),
+    ("c1cc[nH]c1", None, 5, 5, 0, False, 0, 1, "C4H5N", 67.091, 1, 0),
+    ("c1ccncc1", None, 6, 6, 0, False, 0, 1, "C5H5N", 79.102, 0, 1),
+    ("O=C1CCC(=O)N1", None, 7, 7, 0, False, 0, 1, "C4H5NO2", 99.089, 1, 2),
+    ("CN(C)C=O", None, 5, 4, 0, False, 0, 1, "C3H7NO", 73.095, 0, 1),
+    ("CS(=O)(=O)C", None, 5, 4, 0, False, 0, 1, "C2H6O2S", 94.128, 0, 2),
+    ("C[N+](=O)[O-]", None, 4, 3, 0, False, 0, 1, "CH3NO2", 61.040, 0, 2),
+    ("c1ccc2c(c1)[nH]c1ccccc12", None, 13, 15, 0, False, 2, 1, "C12H9N", 167.211, 1, 0),
+    ("CN", None, 2, 1, 0, False, 0, 1, "CH5N", 31.058, 1, 1),
+    ("CF", None, 2, 1, 0, False, 0, 1, "CH3F", 34.033, 0, 0),
+    ("C%01CC1", None, 3, 3, 0, False, 0, 1, "C3H6", 42.081, 0, 0),
+    ("[Na+].[Cl-]", None, 2, 0, 0, False, 0, 2, "ClNa", 58.440, 0, 0),
+    ("[H]C", None, 2, 1, 0, False, 0, 1, "CH4", 16.043, 0, 0),
+    ("C1=CC=CC=C1", None, 6, 6, 0, False, 1, 1, "C6H6", 78.114, 0, 0),
+    ("C1=CC=C2C=CC=CC2=C1", None, 10, 11, 0, False, 2, 1, "C10H8", 128.174, 0, 0),
+    ("c1ccccc1c1ccccc1", None, 12, 13, 0, False, 2, 1, "C12H10", 154.212, 0, 0),
+    ("C[NH3+]", None, 2, 1, 0, False, 0, 1, "CH6N", 32.066, 1, 0),
+    ("CC(=O)[O-]", None, 4, 3, 0, False, 0, 1, "C2H3O2", 59.044, 0, 2),
+    ("O=C(N)c1ccccc1", None, 9, 9, 0, False, 1, 1, "C7H7NO", 121.139, 1, 1),
+    ("F/C=C/F", None, 4, 3, 0, False, 0, 1, "C2H2F2", 64.034, 0, 0),
+    ("C[C@H](N)C(=O)O", None, 6, 5, 0, False, 0, 1, "C3H7NO2", 89.094, 2, 2),
+    *[(s, *BAD) for s in ("CC=", "C-", "C==C", "C()C", "C.", ".C", "C12CC12", "C(C)(C)(C)(C)C", "CN(C)(C)C", "C(=)C", "c1cccc1", "cc")],
+    ("[U]", "Calculation error", *(None,) * 10),
 ]
 
 
@@ -56,11 +82,11 @@ def graph(spark, sf):
 
 @query("mol_tokens", "C1", sql=r"""SELECT mol_id, len(regexp_extract_all(smiles, '(\[[^\]]+\]|Br|Cl|[BCNOPSFI]|[bcnops]|%\d{2}|\d|[()=#\-+\\/.:~@?>*$])', 1)) AS n_tokens,
  array_to_string(regexp_extract_all(smiles, '(\[[^\]]+\]|Br|Cl|[BCNOPSFI]|[bcnops]|%\d{2}|\d|[()=#\-+\\/.:~@?>*$])', 1), '') = smiles AS covers
-FROM v_mol WHERE smiles IS NOT NULL""")
+FROM v_mol""")
 def q_mol_tokens(spark, sf):
-    m = v_mol(spark, sf).where(F.col("smiles").isNotNull())
+    m = v_mol(spark, sf)
     t = S.smiles_tokens("smiles")
-    return m.select("mol_id", F.size(t).alias("n_tokens"), (F.array_join(t, "") == F.col("smiles")).alias("covers"))
+    return m.select("mol_id", F.when(F.col("smiles").isNotNull(), F.size(t)).alias("n_tokens"), (F.array_join(t, "") == F.col("smiles")).alias("covers"))
 
 
 @query("mol_status", "B15 C3", sql=f"""SELECT m.mol_id, m.smiles,
@@ -83,7 +109,7 @@ def q_mol_properties(spark, sf):
         S.hbd().alias("hbd"), S.hba().alias("hba"))
 
 
-@query("split_valid", "C3 A9", sql=f"""SELECT m.mol_id, m.smiles, CASE WHEN m.smiles IS NULL THEN {EMPTY_STATUS} ELSE g.status END AS reason
+@query("split_valid", "C3", sql=f"""SELECT m.mol_id, m.smiles, CASE WHEN m.smiles IS NULL THEN {EMPTY_STATUS} ELSE g.status END AS reason
 FROM v_mol m LEFT JOIN {GOLDEN_SQL} ON m.smiles = g.smiles WHERE m.smiles IS NULL OR g.status IS NOT NULL""")
 def q_split_valid(spark, sf):
     """The rejects side of the valid/invalid split, with the reason."""
@@ -92,6 +118,14 @@ def q_split_valid(spark, sf):
     return rejects.select("mol_id", "smiles", "reason")
 
 
+@query("valid_molecules", "C3 C6", sql=f"""SELECT m.mol_id, m.smiles, g.formula FROM v_mol m JOIN {GOLDEN_SQL} ON m.smiles = g.smiles WHERE g.status IS NULL""")
+def q_valid_molecules(spark, sf):
+    """The good side of the split."""
+    from ..operators.molecules import split_valid
+    good, _ = split_valid(v_mol(spark, sf))
+    return good.select("mol_id", "smiles", S.formula().alias("formula"))
+
+
 @query("quality_report", "E3", sql=f"""WITH s AS (SELECT m.smiles, CASE WHEN m.smiles IS NULL THEN {EMPTY_STATUS} ELSE g.status END AS status
  FROM v_mol m LEFT JOIN {GOLDEN_SQL} ON m.smiles = g.smiles)
 SELECT count(*) AS total, count(*) FILTER (WHERE status IS NULL) AS valid,
@@ -103,7 +137,7 @@ def q_quality_report(spark, sf):
     return quality_report(graph(spark, sf), "status", "smiles")
 
 
-@query("benzene_filter", "C4 C5 A6", sql=f"""SELECT m.mol_id, m.smiles FROM v_mol m JOIN {GOLDEN_SQL} ON m.smiles = g.smiles
+@query("benzene_filter", "C4 C5", sql=f"""SELECT m.mol_id, m.smiles FROM v_mol m JOIN {GOLDEN_SQL} ON m.smiles = g.smiles
 WHERE g.status IS NULL AND NOT g.has_si AND g.benzene <= 1""")
 def q_benzene_filter(spark, sf):
     return benzene_filter(v_mol(spark, sf), max_rings=1).select("mol_id", "smiles")
@@ -113,16 +147,16 @@ def q_benzene_filter(spark, sf):
  regexp_replace(smiles, '\[\d+\*\]', '[*]', 'g') AS any_label,
  regexp_replace(smiles, '\[(?:[1-9]|1[0-6])\*\]', '[*]', 'g') AS label_1_16,
  regexp_replace(smiles, '[/\\@]', '', 'g') AS no_stereo,
- len(list_filter(regexp_extract_all(smiles, '(\[[^\]]+\]|Br|Cl|[BCNOPSFI]|[bcnops]|%\d{2}|\d|[()=#\-+\\/.:~@?>*$])', 1), t -> regexp_matches(t, '^(\*|\[\d*\*\])$'))) AS n_att,
- instr(smiles, '.') = 0 AND len(list_filter(regexp_extract_all(smiles, '(\[[^\]]+\]|Br|Cl|[BCNOPSFI]|[bcnops]|%\d{2}|\d|[()=#\-+\\/.:~@?>*$])', 1), t -> regexp_matches(t, '^(\*|\[\d*\*\])$'))) = 0 AS is_product,
- instr(smiles, '.') = 0 AND len(list_filter(regexp_extract_all(smiles, '(\[[^\]]+\]|Br|Cl|[BCNOPSFI]|[bcnops]|%\d{2}|\d|[()=#\-+\\/.:~@?>*$])', 1), t -> regexp_matches(t, '^(\*|\[\d*\*\])$'))) >= 1 AS is_intermediate
-FROM v_mol WHERE smiles IS NOT NULL""")
+ len(regexp_extract_all(smiles, '\[\d*\*\]|\*')) AS n_att,
+ instr(smiles, '.') = 0 AND len(regexp_extract_all(smiles, '\[\d*\*\]|\*')) = 0 AS is_product,
+ instr(smiles, '.') = 0 AND len(regexp_extract_all(smiles, '\[\d*\*\]|\*')) >= 1 AS is_intermediate
+FROM v_mol""")
 def q_attachment_text(spark, sf):
-    m = v_mol(spark, sf).where(F.col("smiles").isNotNull())
+    m = v_mol(spark, sf)
     return m.select("mol_id", normalize_attachments("smiles").alias("any_label"),
                     normalize_attachments("smiles", 16).alias("label_1_16"),
                     strip_stereo("smiles").alias("no_stereo"),
-                    S.n_attachments_text("smiles").alias("n_att"),
+                    F.when(F.col("smiles").isNotNull(), S.n_attachments_text("smiles")).alias("n_att"),
                     S.is_product("smiles").alias("is_product"),
                     S.is_intermediate("smiles").alias("is_intermediate"))
 
@@ -159,7 +193,7 @@ _GC_VALUES = ",".join(f"('{g}', {c})" for g, c in GC_PARAMS)
  SELECT l_partkey AS mol_id, CASE WHEN l_linestatus = 'O' THEN 's_' WHEN l_returnflag = 'R' THEN 't_' ELSE 'f_' END || l_returnflag || l_linestatus AS group_id,
  count(*) AS n FROM lineitem GROUP BY 1, 2),
 params AS (SELECT * FROM (VALUES {_GC_VALUES}) AS p(group_id, coef))
-SELECT c.mol_id, round_even({GC_BASELINE} + sum(coalesce(c.n * p.coef, 0)), 4) AS delta
+SELECT c.mol_id, round_even(CAST({GC_BASELINE} AS DOUBLE) + sum(coalesce(c.n * CAST(p.coef AS DOUBLE), 0)), 4) AS delta
 FROM counts c LEFT JOIN params p ON c.group_id = p.group_id GROUP BY c.mol_id""")
 def q_group_contribution(spark, sf):
     params = spark.createDataFrame(GC_PARAMS, "group_id string, coef double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalar import to_double
+from ..functions.scalar import strip_text, to_double
 
 
 class MissingColumnsError(ValueError):
@@ -25,15 +25,18 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     """A1: a table with a header row under an explicit schema.
 
     Parquet is the stored form; CSV is read with the given schema (no
-    inference pass). A directory of part files is one table (A11).
+    inference pass). A parsed NaN becomes NULL. A directory of part files is one table (A11).
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        return reader.option("header", header).option("mode", "PERMISSIVE").csv(path)
-    return reader.format(fmt).load(path)
+        df = reader.option("header", header).option("mode", "PERMISSIVE").csv(path)
+    else:
+        df = reader.format(fmt).load(path)
+    floats = [c for c, kind in df.dtypes if kind in ("float", "double")]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
 def read_parts(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -52,23 +55,36 @@ def read_pairs(spark: SparkSession, path: str, names=("smiles", "target"),
 
 
 # The charsets tried in order by the text readers. UTF-8 comes
-# first because UTF-8 bytes can decode as GBK without error.
-DEFAULT_ENCODINGS = ("UTF-8", "GBK", "GB2312", "GB18030", "ISO-8859-1", "windows-1252")
+# first because UTF-8 bytes can decode as GBK without error; ISO-8859-1 decodes
+# anything, so nothing can follow it.
+DEFAULT_ENCODINGS = ("UTF-8", "GBK", "GB18030", "ISO-8859-1")
 
 
 def detect_encoding(spark: SparkSession, path: str, encodings=DEFAULT_ENCODINGS) -> str:
-    """A3: first charset under which no line holds U+FFFD.
+    """A3: the first charset that decodes every line of the file.
 
-    Each test is one distributed ``count_if`` over the whole file; only the
-    count reaches the driver.
+    UTF-8 is tested on the raw bytes of the lines; another charset by reading
+    the lines under it through the CSV reader, which puts U+FFFD for what it
+    can't decode. Each test is one distributed aggregate. Raises if none fits.
     """
     for enc in encodings:
-        bad = (spark.read.option("encoding", enc).option("lineSep", "\n").text(path)
-               .agg(F.count_if(F.instr("value", "�") > 0).alias("bad"))
-               .first()["bad"])
+        if enc.upper().replace("-", "") == "UTF8":
+            bad = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value"))).first()[0]
+        else:
+            bad = raw_lines(spark, path, enc).agg(F.count_if(F.instr("line", "\ufffd") > 0)).first()[0]
         if bad == 0:
             return enc
-    return encodings[-1]
+    raise ValueError(f"no charset of {list(encodings)} decodes {path}")
+
+
+def raw_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = False) -> DataFrame:
+    """Lines as they are, in one column ``line``; with ``header`` the first line of each file goes.
+
+    The CSV reader with a separator that no text holds, and without quoting,
+    decodes any charset and knows the first line of each file.
+    """
+    return (spark.read.schema("line string").option("header", header).option("enforceSchema", True).option("sep", "\u0001").option("quote", "")
+            .option("escape", "").option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
 
 
 def read_text_table(spark: SparkSession, path: str, schema: StructType | str,
@@ -83,20 +99,16 @@ def read_lines(spark: SparkSession, path: str, min_fields: int = 3,
                header: bool = True) -> DataFrame:
     """Raw lines kept as they are; lines with fewer comma fields dropped.
 
-    Returns ``(line, smiles)`` where ``smiles`` is the trimmed first field.
+    Returns ``(line, smiles)`` where ``smiles`` is the stripped first field. The
+    header is the first line of each file; a data line equal to it stays.
     """
-    df = spark.read.text(path).withColumnRenamed("value", "line")
-    if header:
-        first = spark.read.text(path).limit(1)  # header text only: one row
-        df = df.join(first.withColumnRenamed("value", "line"), "line", "left_anti")
-    return lines_with_fields(df, "line", min_fields)
+    return lines_with_fields(raw_lines(spark, path, header=header), "line", min_fields)
 
 
 def lines_with_fields(df: DataFrame, line_col: str = "line", min_fields: int = 3) -> DataFrame:
     """A6 on an existing column of lines."""
-    trimmed = F.trim(F.col(line_col))
-    return (df.where(F.size(F.split(trimmed, ",")) >= min_fields)
-            .withColumn("smiles", F.trim(F.split(trimmed, ",").getItem(0))))
+    fields = F.split(strip_text(line_col), ",")
+    return df.where(F.size(fields) >= min_fields).withColumn("smiles", strip_text(fields.getItem(0)))
 
 
 def require_columns(df: DataFrame, cols) -> DataFrame:

@@ -18,14 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# The molecule strings assigned to parts by p_partkey % 14, and
+# The molecule strings assigned to parts by p_partkey % 49, and
 # the fragment strings assigned by p_partkey % 6.
-MOLECULES = [
-    (0, "c1ccccc1"), (1, "CCO"), (2, "C[Si](C)(C)Cl"), (3, "c1ccc2ccccc2c1"),
-    (4, "c1ccc(-c2ccccc2)cc1"), (5, "CC(=O)O"), (6, "[1*]C([6*])=O"),
-    (7, "[16*]c1ccc([16*])cc1"), (8, "O.C"), (9, "C1CC"), (10, ""), (11, "[3*]O[17*]"),
-    (12, "OCC"), (13, None),
-]
+MOLECULES = [*enumerate((
+    "c1ccccc1", "CCO", "C[Si](C)(C)Cl", "c1ccc2ccccc2c1", "c1ccc(-c2ccccc2)cc1", "CC(=O)O", "[1*]C([6*])=O",
+    "[16*]c1ccc([16*])cc1", "O.C", "C1CC", "", "[3*]O[17*]", "OCC", None,
+    "c1ccsc1", "Cn1cccc1", "c1cc[nH]c1", "c1ccncc1", "O=C1CCC(=O)N1", "CN(C)C=O", "CS(=O)(=O)C", "C[N+](=O)[O-]",
+    "c1ccc2c(c1)[nH]c1ccccc12", "CN", "CF", "C%01CC1", "[Na+].[Cl-]", "[H]C", "C1=CC=CC=C1", "C1=CC=C2C=CC=CC2=C1",
+    "c1ccccc1c1ccccc1", "C[NH3+]", "CC(=O)[O-]", "O=C(N)c1ccccc1", "F/C=C/F", "C[C@H](N)C(=O)O",
+    "CC=", "C-", "C==C", "C()C", "C.", ".C", "C12CC12", "C(C)(C)(C)(C)C", "CN(C)(C)C", "C(=)C", "c1cccc1", "cc", "[U]"))]
 FRAGMENTS = [
     (0, "[*]CCO"), (1, "[*]c1ccc([*])cc1"), (2, "[*]C([*])=O"), (3, "[*]CC([*])C[*]"),
     (4, "CCO"), (5, "[*]O[*]"),
@@ -118,7 +119,7 @@ def _values(rows) -> str:
 
 VIEW_SQL = {
     "v_mol": f"""SELECT p.p_partkey AS mol_id, v.smiles AS smiles
-FROM part p JOIN (VALUES {_values(MOLECULES)}) AS v(k, smiles) ON p.p_partkey % 14 = v.k""",
+FROM part p JOIN (VALUES {_values(MOLECULES)}) AS v(k, smiles) ON p.p_partkey % {len(MOLECULES)} = v.k""",
     "v_frag": f"""SELECT p.p_partkey AS frag_id, v.fragment AS fragment,
  CAST((length(v.fragment) - length(replace(v.fragment,'[*]',''))) / 3 AS INT) AS n_att
 FROM part p JOIN (VALUES {_values(FRAGMENTS)}) AS v(k, fragment) ON p.p_partkey % 6 = v.k""",
