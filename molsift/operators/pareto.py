@@ -17,8 +17,9 @@ Plan (exact, no pair enumeration, no single task holding all rows):
    ``r' < r``; such a row is lexicographically smaller and never equal, so the
    test reduces to the remaining objectives: is there an earlier-range point
    ``q`` with ``q.b <= p.b`` and ``q.c <= p.c``? Each range emits its 2-D
-   staircase; staircases are sent to the later ranges and an as-of window
-   (running minimum of ``c`` ordered by ``b``) answers the test per row.
+   staircase; these are merged in doubling steps, so that every range gets the
+   one staircase of all ranges before it, and an as-of window (running minimum
+   of ``c`` ordered by ``b``) answers the test per row.
 
 The per-task numpy kernel compares a block of rows with a block of front
 rows at a time, so memory is bounded by the block sizes, not by the data.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalar import is_finite
+from ..session import materialise
 
 _BLOCK = 1024
 
@@ -95,9 +97,15 @@ def _local_front(obj_cols):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            cand = pdf if front is None else pd.concat([front, pdf], ignore_index=True)
-            keep = front_mask(_objective_matrix(cand, obj_cols))
-            front = cand[keep].reset_index(drop=True)
+            X = _objective_matrix(pdf, obj_cols)
+            if front is not None:  # the batch against the front, then the front against what is left of it
+                fresh = ~_dominated_by(X, _objective_matrix(front, obj_cols))
+                pdf, X = pdf[fresh], X[fresh]
+            keep = front_mask(X)
+            pdf, X = pdf[keep], X[keep]
+            if front is not None and len(pdf):
+                front = front[~_dominated_by(_objective_matrix(front, obj_cols), X)]
+            front = pdf.reset_index(drop=True) if front is None else pd.concat([front, pdf], ignore_index=True)
         if front is not None and len(front):
             yield front
     return run
@@ -172,8 +180,9 @@ def pareto_front(df: DataFrame, maximize: Sequence[str] = (), minimize: Sequence
         obj3 = obj_cols
     schema = work.schema
 
-    # Phase 1: local fronts per input partition, no shuffle.
-    local = work.mapInPandas(_local_front(obj3), schema)
+    # Phase 1: local fronts per input partition, no shuffle. They are written
+    # once, as the range partitioner below reads its input twice.
+    local = materialise(work.mapInPandas(_local_front(obj3), schema), "local-fronts")
 
     # Phase 2: exact merge over ranges of the objective tuple.
     spark = df.sparkSession
@@ -183,15 +192,21 @@ def pareto_front(df: DataFrame, maximize: Sequence[str] = (), minimize: Sequence
               .withColumn("_rp", F.spark_partition_id()))
     out_schema = StructType([StructField(f.name, f.dataType, True) for f in ranged.schema.fields]
                             + [StructField("_kind", IntegerType(), False)])
-    swept = ranged.mapInPandas(_range_sweep(obj3, obj3[1], obj3[2]), out_schema)
-
-    # Staircase rows go to every later range; row of the range keeps its own.
-    target = F.when(
-        F.col("_kind") == 1, F.array(F.col("_rp"))
-    ).when(F.col("_rp") + 1 <= F.lit(k - 1), F.sequence(F.col("_rp") + 1, F.lit(k - 1))
-           ).otherwise(F.array().cast("array<int>"))
-    routed = swept.withColumn("_target", F.explode(target))
-    w = (Window.partitionBy("_target").orderBy(F.col(obj3[1]).asc(), F.col("_kind").asc())
+    swept = materialise(ranged.mapInPandas(_range_sweep(obj3, obj3[1], obj3[2]), out_schema), "range-fronts")
+
+    # A row needs the staircase of all earlier ranges together: staircases are
+    # merged by doubling steps, so each range gets one and none is copied to all.
+    stairs = swept.where("_kind = 0").select("_rp", obj3[1], obj3[2])
+    step = 1
+    while step < k:
+        moved = stairs.withColumn("_rp", F.col("_rp") + step).where(F.col("_rp") < k)
+        lower = F.min(obj3[2]).over(Window.partitionBy("_rp").orderBy(obj3[1], obj3[2]).rowsBetween(Window.unboundedPreceding, -1))
+        stairs = stairs.union(moved).withColumn("_low", lower).where(F.col("_low").isNull() | (F.col(obj3[2]) < F.col("_low"))).drop("_low")
+        stairs = materialise(stairs, "staircases")
+        step *= 2
+    routed = swept.where("_kind = 1").unionByName(
+        stairs.withColumns({"_rp": (F.col("_rp") + 1).cast("int"), "_kind": F.lit(0)}), allowMissingColumns=True)
+    w = (Window.partitionBy("_rp").orderBy(F.col(obj3[1]).asc(), F.col("_kind").asc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     best_c = F.min(F.when(F.col("_kind") == 0, F.col(obj3[2]))).over(w)
     checked = routed.withColumn("_best_c", best_c)

@@ -36,8 +36,8 @@ def property_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def quality_report(df: DataFrame, status_col: str = "status", key_col: str = "smiles") -> DataFrame:
-    """Total, valid, invalid, empty, no-fragment counts, failure rate and
-    the number of distinct valid keys (status NULL means valid)."""
+    """Total, valid, invalid and empty counts, failure rate and the number
+    of distinct valid keys (status NULL means valid)."""
     s = F.col(status_col)
     valid = s.isNull()
     return df.agg(
@@ -50,19 +50,12 @@ def quality_report(df: DataFrame, status_col: str = "status", key_col: str = "sm
 
 
 def summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per column min, max, mean, sample and population sigma, count."""
-    parts = []
-    for c in cols:
-        parts.append(df.agg(
-            F.lit(c).alias("column"),
-            F.count(c).alias("n"),
-            F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
-            F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.stddev_pop(c).alias("std_pop")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Per column min, max, mean, sample and population sigma, count, in one scan."""
+    stats = {"n": F.count, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop}
+    one = df.agg(*[(f(c).cast("double") if name in ("min", "max") else f(c)).alias(f"{name}_{i}")
+                   for i, c in enumerate(cols) for name, f in stats.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in stats]) for i, c in enumerate(cols)])
+    return one.select(F.inline(rows))
 
 
 def group_mean(df: DataFrame, key: str, target: str, alias: str = "mean_target") -> DataFrame:
