@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from molsift.llm.common import hash31, hash_bucket, numbered, word_count
+from molsift.llm.common import hash_bucket, numbered, word_count
 from molsift.session import hint_if_small, materialise
 
 # Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 
 
+def place_hash(key: Column, seed: int) -> Column:
+    """31 random bits of a key, by MD5, so that any SQL engine can repeat them."""
+    return F.shiftright(F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), 1)
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = 3) -> DataFrame:
     """Targets of ``sizes`` (source, n_rows, size): sid, source, n_rows, size, target.
 
@@ -42,7 +47,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = 3) -> Da
 def _placed(docs: DataFrame, key: str, text: str, source: str, weights, max_epochs: int, seed: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows (_k, _n, _h, before: words of their source placed before them) with their source's plan, and the plan."""
     rows = docs.select(docs[key].alias("_k"), docs[source].alias("_s"), word_count(docs[text]).alias("_n"))
-    rows = materialise(rows.withColumn("_h", hash31(F.col("_k"), F.lit(seed))), "mix-rows")
+    rows = materialise(rows.withColumn("_h", place_hash(F.col("_k"), seed)), "mix-rows")
     plan = source_targets(rows.groupBy(F.col("_s").alias("source"))
                           .agg(F.count("*").alias("n_rows"), F.sum("_n").alias("size")), weights, max_epochs)
     budget = F.floor("target").cast("long")
@@ -103,7 +108,7 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     cuts = rows.filter(2 * F.col("before") + F.col("_n") > 2 * F.col("rest")).groupBy("sid").agg(F.min(place).alias("_cut"))
     cuts = plan.join(cuts, "sid", "left").select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), "_cut")
     cuts = hint_if_small(materialise(cuts, "mix-cuts"))
-    mine = F.struct(hash31(docs[key], F.lit(seed)).alias("h"), docs[key].alias("k"), word_count(docs[text]).alias("n"))
+    mine = F.struct(place_hash(docs[key], seed).alias("h"), docs[key].alias("k"), word_count(docs[text]).alias("n"))
     times = F.col("_epochs") + F.when(F.col("_cut").isNull() | (mine < F.col("_cut")), 1).otherwise(0)
     joined = docs.join(cuts, docs[source].eqNullSafe(F.col("_source"))).withColumn("_times", F.array_repeat(F.lit(0), times.cast("int")))
     return joined.select(*[docs[c] for c in docs.columns], F.explode("_times").alias("_one")).drop("_one")

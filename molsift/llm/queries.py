@@ -10,6 +10,7 @@ from molsift.llm.html_text import extract_main_text
 from molsift.llm.jaccard_join import ngram_join
 from molsift.llm.line_dedup import line_report
 from molsift.llm.mixing import mix_sources
+from molsift.llm.oracles import ORACLES  # noqa: F401
 from molsift.llm.pii import KINDS, detect_pii, span_text
 from molsift.llm.quality_model import score_quality
 from molsift.llm.quality_rules import quality_rules
@@ -65,4 +66,3 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op8_decontaminate, op9_ngram_join, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
