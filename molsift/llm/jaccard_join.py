@@ -191,6 +191,13 @@ def _posting_batch(tok: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
          pa.array(np.concatenate([np.zeros(len(t), np.int64), counts]))], names=["token", "node", "known", "c"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 3000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, to bound what a worker holds."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def _arrays(column: pa.Array) -> list[np.ndarray]:
     """The rows of an array<long> column."""
     flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
@@ -205,7 +212,7 @@ def thin_out(members: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
     short, so this repeats, as long as it drops many.
     """
     def postings(batches):
-        for b in batches:
+        for b in _slices(batches):
             sets = _arrays(b.column(1))
             node = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
             yield _posting_batch(np.concatenate(sets) if sets else node, node)
@@ -372,7 +379,7 @@ def _scan(body: DataFrame, kind: str, percent: int, width: int, spare: int, half
     """Read every text (k, t, h) once: document rows (dig not null) and pre-aggregated prefix postings."""
     def describe(batches):
         done: set[bytes] = set()
-        for b in batches:
+        for b in _slices(batches):
             ids = pa.array(b.column(0))
             n, dig, pre = [], [], []
             for t in b.column(1).to_pylist():
@@ -403,7 +410,7 @@ def placed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     body = docs.select(docs[key].alias("k"), docs[text].alias("t"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("h"))
 
     def again(batches):
-        for b in batches:
+        for b in _slices(batches):
             dig, node = b.column(1).to_pylist(), b.column(2).to_pylist()
             sets = [shingle_set(x, width) for x in b.column(0).to_pylist()]
             fit = [i for i, s in enumerate(sets) if digest(s) == dig[i]]
