@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molsift.llm.common import words_of
+from molsift.llm.common import SPACE, SPACE_CHARS, WORD, words_of
 from molsift.session import hint_if_small, materialise
 
 
@@ -21,6 +21,19 @@ def _half_keys(words: str) -> Column:
         xxhash64(slice({words}, cast(size({words}) - h + 1 as int), cast(h as int)), h, 1))))""")
 
 
+def _variants(words: str) -> Column:
+    """Keys of a line and of the line without its 1st, 2nd, ... word.
+
+    A key is the exclusive or of hashes of (word, place), so leaving out a word
+    is what is before it, and what is after it at places one less; both come
+    from running values in one pass over the line.
+    """
+    return F.expr(f"""aggregate({words}, named_struct('i', 0, 'all', 0L, 'moved', 0L, 'out', cast(array() as array<struct<p: bigint, m: bigint>>)),
+        (x, w) -> named_struct('i', x.i + 1, 'all', x.all ^ xxhash64(w, x.i), 'moved', x.moved ^ xxhash64(w, x.i - 1),
+            'out', array_append(x.out, named_struct('p', x.all, 'm', x.moved ^ xxhash64(w, x.i - 1)))),
+        x -> concat(array(x.all), transform(x.out, o -> o.p ^ x.moved ^ o.m)))""")
+
+
 def _one_edit(a: str, b: str) -> Column:
     """Whether word arrays a and b are at most one word edit apart."""
     def less(x, y):
@@ -37,15 +50,15 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     on) is one word edit away: a word replaced, added or left out.
     """
     rows = docs.select(docs[key].alias("k"), F.split(F.coalesce(docs[text], F.lit("")), "\n").alias("l"))
-    lines = rows.select("k", F.posexplode("l").alias("no", "line")).withColumn("w", words_of(F.col("line")))
-    lines = lines.filter(F.size("w") > 0)
-    long = F.size("w") >= min_words
-    lines = lines.select("k", "no", F.unhex(F.md5(F.array_join("w", " "))).alias("c"),
-                         F.when(long, _half_keys("w")).alias("halves"))
+    # Blank lines go by a cheap test first, so that words are cut once per line.
+    lines = rows.select("k", F.posexplode("l").alias("no", "line")).filter(F.col("line").rlike(WORD))
+    lines = lines.select("k", "no", F.split(F.btrim("line", F.lit(SPACE_CHARS)), f"{SPACE}+").alias("w"))
+    lines = lines.select("k", "no", F.xxhash64("w").alias("c1"), F.xxhash64(F.lit(7), "w").alias("c2"),
+                         F.when(F.size("w") >= min_words, _half_keys("w")).alias("halves"))
     lines = materialise(lines, "line-rows")
     place = F.struct(F.col("k").isNull().alias("last"), F.col("k").alias("k"), F.col("no").alias("no"))
     # One class per distinct line; the earliest place of each, pre-aggregated.
-    classes = lines.groupBy("c").agg(F.min(place).alias("p"), F.any_value("halves").alias("halves"), F.count("*").alias("n"))
+    classes = lines.groupBy("c1", "c2").agg(F.min(place).alias("p"), F.any_value("halves").alias("halves"), F.count("*").alias("n"))
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
     # Classes that share a half with another one may have a partner.
@@ -60,8 +73,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     found = rows.join(per_doc, rows.k.eqNullSafe(per_doc.ck)).select("l", F.explode("want").alias("x"))
     found = found.select("x.id", "x.p", words_of(F.expr("get(l, x.no)")).alias("w")).filter(F.size("w") >= min_words)
     found = materialise(found.dropDuplicates(["id"]), "line-words")
-    variants = found.select("id", "p", F.posexplode(F.expr("""concat(array(xxhash64(w)), transform(sequence(1, size(w)),
-        i -> xxhash64(concat(slice(w, 1, i - 1), slice(w, i + 1, size(w))))))""")).alias("cut", "v"))
+    variants = found.select("id", "p", F.posexplode(_variants("w")).alias("cut", "v"))
     variants = materialise(variants, "line-variants")
 
     # Equal variants meet in aggregates, never in pairs: the earliest whole line,
@@ -78,8 +90,8 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     near = near.join(words, "id").join(words.select(F.col("id").alias("with"), F.col("w").alias("w2")), "with").filter(_one_edit("w", "w2"))
     near = materialise(near.select("id", F.lit(True).alias("near")), "line-near")
 
-    touched = classes.select("id", "c", "p", "n").join(near, "id", "left").filter(F.col("near") | (F.col("n") > 1))
-    hit = lines.select("k", "no", "c").join(touched.select("c", "p", F.coalesce("near", F.lit(False)).alias("near")), "c")
+    touched = classes.select("id", "c1", "c2", "p", "n").join(near, "id", "left").filter(F.col("near") | (F.col("n") > 1))
+    hit = lines.select("k", "no", "c1", "c2").join(touched.select("c1", "c2", "p", F.coalesce("near", F.lit(False)).alias("near")), ["c1", "c2"])
     dropped = hit.filter(F.col("near") | (place != F.col("p"))).select("k", "no", (place == F.col("p")).alias("near"))
     return dropped, rows.select("k", F.size("l").alias("n_lines"))
 
