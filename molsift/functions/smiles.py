@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .notation import (  # noqa: F401  (the statuses are used by callers)
-    ATOMIC_MASS, STATUS_EMPTY, STATUS_ERROR, STATUS_INVALID, STATUS_UNPARSABLE, TOKEN_PATTERN, read)
+    AROMATIC, ATOMIC_MASS, STATUS_EMPTY, STATUS_ERROR, STATUS_INVALID, STATUS_UNPARSABLE, TOKEN_PATTERN, read)
 
 ATOM_TYPE = ("struct<idx:int,sym:string,aromatic:boolean,charge:int,h:int,label:int,bracket:boolean,part:int,"
              "donor:boolean,acceptor:boolean,ring:boolean,mass:double>")
@@ -59,12 +59,19 @@ def _graphs(texts: pa.Array) -> pa.Array:
             nbrs.append([])
             benzene.append(None)
             continue
+        rings = m.benzene_rings()
+        for ring in rings:  # one form for rings written with aromatic and with double bonds
+            for a in ring:
+                m.aromatic[a] = True
+                for j, bond in m.nbrs[a]:
+                    if j in ring:
+                        m.bonds[bond][2] = AROMATIC
         ringed = {x for (a, b, _), r in zip(m.bonds, m.in_ring) if r for x in (a, b)}
         atoms.append([(i, s, m.aromatic[i], m.charge[i], m.h[i], m.label[i], m.bracket[i], m.part[i], *m.hydrogen_bonds(i), i in ringed, ATOMIC_MASS[s])
                       for i, s in enumerate(m.sym)])
         bonds.append([(a, b, o, r) for (a, b, o), r in zip(m.bonds, m.in_ring)])
         nbrs.append([[(j, m.bonds[b][2]) for j, b in around] for around in m.nbrs])
-        benzene.append(len(m.benzene_rings()))
+        benzene.append(len(rings))
     inner = _list([x for r in nbrs for x in r], NBR_ARROW, [False] * sum(map(len, nbrs)))
     outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, nbrs)]).astype(np.int32)), inner, mask=pa.array(missing, pa.bool_()))
     return pa.StructArray.from_arrays(
@@ -168,26 +175,22 @@ def benzene_rings() -> Column:
 
 # --- neighbourhoods ------------------------------------------------------------
 
-def _refine(seed: Column, nbrs: Column) -> Column:
-    """One round: each atom's number from its own and its sorted neighbours' numbers."""
-    return F.transform(seed, lambda x, i: F.xxhash64(x, F.array_sort(F.transform(
-        F.get(nbrs, i), lambda n: F.struct(n["o"].alias("o"), F.get(seed, n["j"]).alias("x"))))))
-
-
 def _atom_seed(atoms: Column) -> Column:
     return F.transform(atoms, lambda a: F.xxhash64(a["sym"], a["aromatic"], a["charge"], a["h"], a["ring"], F.coalesce(a["label"], F.lit(-1))))
 
 
-def atom_rounds(df: DataFrame, radius: int = 2) -> DataFrame:
-    """Add ``env0`` .. ``env<radius>``: a 64-bit number per atom for its surroundings.
+def atom_rounds(radius: int) -> Column:
+    """Per radius from 0 on, a 64-bit number per atom for its surroundings.
 
-    Each round is a projection of its own, so that a round is worked out once
-    for all neighbours of the next.
+    A round makes each atom's number from its own and its sorted neighbours'
+    numbers. The rounds are one fold, whose value is bound once per round.
     """
-    df = df.withColumn("env0", _atom_seed(F.col("atoms")))
-    for r in range(1, radius + 1):
-        df = df.withColumn(f"env{r}", _refine(F.col(f"env{r - 1}"), F.col("nbrs")))
-    return df
+    def one(rounds, _):
+        now = F.element_at(rounds, -1)
+        return F.array_append(rounds, F.transform(now, lambda x, i: F.xxhash64(x, F.array_sort(F.transform(
+            F.get(F.col("nbrs"), i), lambda n: F.struct(n["o"].alias("o"), F.get(F.element_at(rounds, -1), n["j"]).alias("x")))))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(radius)), F.array(_atom_seed(F.col("atoms"))), one)
 
 
 def fingerprint(df: DataFrame, radius: int = 2, n_bits: int = 1024, alias: str = "bits") -> DataFrame:
@@ -196,10 +199,8 @@ def fingerprint(df: DataFrame, radius: int = 2, n_bits: int = 1024, alias: str =
     Every atom gives one bit per radius from 0 to ``radius``: its number after
     so many rounds, folded. Equal molecules written differently give equal bits.
     """
-    df = atom_rounds(df, radius)
-    names = [f"env{r}" for r in range(radius + 1)]
-    bits = F.transform(F.concat(*names), lambda x: F.pmod(x, F.lit(n_bits)).cast("int"))
-    return df.withColumn(alias, F.array_sort(F.array_distinct(bits))).drop(*names)
+    bits = F.transform(F.flatten(atom_rounds(radius)), lambda x: F.pmod(x, F.lit(n_bits)).cast("int"))
+    return df.withColumn(alias, F.array_sort(F.array_distinct(bits)))
 
 
 def identity_key(df: DataFrame, rounds: int = 8, alias: str = "mol_key") -> DataFrame:
@@ -208,6 +209,27 @@ def identity_key(df: DataFrame, rounds: int = 8, alias: str = "mol_key") -> Data
     The sorted numbers of all atoms after ``rounds`` rounds, hashed. Molecules
     that no number of neighbour rounds can tell apart share a key.
     """
-    df = atom_rounds(df, rounds)
-    key = F.sha2(F.concat_ws(",", F.size("bonds").cast("string"), F.transform(F.array_sort(f"env{rounds}"), lambda x: x.cast("string"))), 256)
-    return df.withColumn(alias, key).drop(*[f"env{r}" for r in range(rounds + 1)])
+    last = F.transform(F.array_sort(F.element_at(atom_rounds(rounds), -1)), lambda x: x.cast("string"))
+    return df.withColumn(alias, F.sha2(F.concat_ws(",", F.size("bonds").cast("string"), last), 256))
+
+
+def path_fingerprint(df: DataFrame, max_len: int = 4, n_bits: int = 2048, alias: str = "path_bits") -> DataFrame:
+    """Paths of up to ``max_len`` bonds that meet no atom twice, as sorted on-bits.
+
+    A path is the numbers of its atoms and bonds; the smaller of the two
+    directions counts, so that either end gives the same bit.
+    """
+    label = F.transform("atoms", lambda a: F.xxhash64(a["sym"], a["aromatic"]))
+    df = df.withColumn("_label", label)
+    df = df.withColumn("_p0", F.transform("atoms", lambda a: F.struct(F.array(a["idx"]).alias("at"), F.array(F.get(F.col("_label"), a["idx"])).alias("l"))))
+
+    def longer(p):
+        return F.transform(F.filter(F.get(F.col("nbrs"), F.element_at(p["at"], -1)), lambda n: ~F.array_contains(p["at"], n["j"])), lambda n: F.struct(
+            F.array_append(p["at"], n["j"]).alias("at"),
+            F.concat(p["l"], F.array(n["o"].cast("long"), F.get(F.col("_label"), n["j"]))).alias("l")))
+
+    for i in range(1, max_len + 1):
+        df = df.withColumn(f"_p{i}", F.flatten(F.transform(f"_p{i - 1}", longer)))
+    names = [f"_p{i}" for i in range(max_len + 1)]
+    bits = F.transform(F.concat(*names), lambda p: F.pmod(F.least(F.xxhash64(p["l"]), F.xxhash64(F.reverse(p["l"]))), F.lit(n_bits)).cast("int"))
+    return df.withColumn(alias, F.array_sort(F.array_distinct(bits))).drop("_label", *names)

@@ -1,3 +1,3 @@
 """Imports every plan module so that its queries register."""
 
-from . import evaluation, molecules, screening  # noqa: F401
+from . import evaluation, fragments, models, molecules, screening, streaming  # noqa: F401

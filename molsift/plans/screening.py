@@ -60,11 +60,15 @@ _STATS_SQL = """stats AS (SELECT
  avg(logs) AS m3, CASE WHEN stddev_pop(logs) > 0 THEN stddev_pop(logs) ELSE 1.0 END AS s3 FROM v_score)"""
 
 
-@query("stotal_score", "B6 B7 B8 B10 E1 D8 B2", sql=f"""WITH {_STATS_SQL},
+_STOTAL_SQL = f"""WITH {_STATS_SQL},
 sc AS (SELECT v.*, -0.4345 + 0.0124 * ((-logp - m1) / s1) + 0.2086 * ((hbd + hba - m2) / s2)
  + 2.4509 * ((logs - m3) / s3) AS st FROM v_score v, stats)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, logp, hbd, hba, logs,
- round(st, 6) AS stotal, round(1 / (1 + exp(-st)), 6) AS predicted_probability FROM sc""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, %s
+ round(st, 6) AS stotal, round(1 / (1 + exp(-st)), 6) AS predicted_probability FROM sc"""
+QUERY_STOTAL_SQL = _STOTAL_SQL % ""
+
+
+@query("stotal_score", "B6 B7 B8 B10 E1 D8 B2", sql=_STOTAL_SQL % "logp, hbd, hba, logs,")
 def q_stotal_score(spark, sf):
     out = stotal(v_score(spark, sf))
     return out.withColumns({"stotal": r6("stotal"),
