@@ -18,6 +18,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame, rows: int = 2000) -> None:
+    """Let a Python worker see at most ``rows`` rows at a time, as texts may be long.
+
+    Sets the session's limit of rows per Arrow batch if it is higher.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty one."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

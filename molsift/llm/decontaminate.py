@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from molsift.llm.common import bounded_batches
 from molsift.session import hint_if_small, materialise
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -110,6 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     repeated rows and items and null keys are rows like any other; empty tables
     give no rows. Other columns are not read.
     """
+    bounded_batches(docs)
     kind, item_kind = dict(docs.dtypes)[key], dict(benchmark.dtypes)[item_key]
     items = benchmark.select(benchmark[item_key].alias("item"), benchmark[item_text].alias("t"))
 

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from molsift.llm.common import bounded_batches
+
 # Element names by role.
 SKIP = set("script style noscript template svg math iframe object canvas audio video head form button select option "
            "textarea label input nav footer aside menu dialog".split())
@@ -183,6 +185,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=[key, url, "text", "n_chars"])
 
+    bounded_batches(pages)
     rows = pages.select(pages[key], pages[url], pages[body])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")

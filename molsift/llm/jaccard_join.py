@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from molsift.llm.common import bounded_batches
 from molsift.llm.graph import components
 from molsift.session import hint_if_small, materialise
 
@@ -406,6 +407,7 @@ def _scan(body: DataFrame, kind: str, percent: int, width: int, spare: int, half
 def placed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, spare: int = 5,
                 max_tokens: int = 2_000_000, pivots: int = 8, salts: int = 32) -> DataFrame:
     """Rows k, h (MD5 of the text), n and root, the number of the component, null without shingles."""
+    bounded_batches(docs)
     kind = dict(docs.dtypes)[key]
     body = docs.select(docs[key].alias("k"), docs[text].alias("t"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("h"))
 

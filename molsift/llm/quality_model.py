@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molsift.llm.common import hash31
+from molsift.llm.common import bounded_batches, hash31
 from molsift.session import materialise
 
 # Byte classes for the hashed features.
@@ -146,6 +146,7 @@ def _good(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", max_train: int = 20_000) -> tuple[DataFrame, dict, np.ndarray]:
     """Votes and features of all rows (k, votes, x), P(bad) by votes, and the weights of the model."""
+    bounded_batches(docs)
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
@@ -201,6 +202,7 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", max_train: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``score_quality`` keeps, with all columns; no text is shuffled."""
+    bounded_batches(docs)
     _, _, weights = fit_quality(docs, key, text, max_train)
     at = docs.columns.index(text)
 
