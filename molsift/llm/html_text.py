@@ -50,7 +50,8 @@ def boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
         if name in ("class", "id") and tag not in ("body", "html"):
             for one in value.split():
                 parts = set(NAME_PART.findall(one))
-                if parts & BOILER_NAMES and not (parts & CONTENT_NAMES and not parts & {"comment", "comments", "ad", "ads", "related", "sidebar", "footer"}):
+                bad = parts & BOILER_NAMES
+                if bad and not (parts & CONTENT_NAMES and bad <= {"header", "masthead"}):
                     return True
     return False
 
@@ -60,7 +61,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     link_chars = depth = article = links = 0
-    skip = ""
+    skip, found = "", False
     pos, end = 0, len(page)
 
     def flush():
@@ -92,6 +93,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         closing, tag, attrs = m[1] == "/", m[2].lower(), m[3]
         if m[4] != ">":  # the page ends inside a tag
             break
+        if skip and not closing and tag in ("article", "main") and not found and skip in ("div", "section", "span") and not boilerplate(tag, attrs, True):
+            skip = ""  # a wrapper whose name speaks of a sidebar or menu holds the page's first article
         if skip:
             if tag == skip and not attrs.rstrip().endswith("/"):
                 depth += -1 if closing else 1
@@ -124,6 +127,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         elif tag in ("article", "main"):
             flush()
             article += 1
+            found = True
         elif tag == "title":
             close = page.lower().find("</title", pos)
             pos = close if close >= 0 else end

@@ -26,6 +26,8 @@ P = " ".join(PARAGRAPH.split())
     ("<article><p>lone &am", "lone &am"),
     ("<article><!-- <p>no</p> --><p>1 < 2</p><table><tr><td>a</td><td>b</td></tr></table></article>", "1 < 2\na b"),
     ("plain text without any markup", "plain text without any markup"),
+    ("<div class='layout with-sidebar'><div class=main-nav><a>m</a></div><article><header><h1>T</h1></header><p>body</p></article><div class=related><article><p>other</p></article></div></div>", "T\nbody"),
+    ("<header class=site-header><h1>Site</h1></header><div class='cookie-notice'><p>" + P + "</p></div><main><div class=article-header><h1>T</h1></div><p>x</p><form><input><p>f</p></form></main><div id=disqus_thread>" + P + "</div>", "T\nx"),
 ])
 def test_extract(page, want):
     assert extract(page) == want
