@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import smiles as S
@@ -59,10 +59,10 @@ def explode_fragments(df: DataFrame, frags_col: str = "fragments", alias: str =
 
 
 def dedupe_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """H3: keep the first row per key by an explicit order (ties by all
-    columns would be arbitrary, so ``order`` should be unique per key)."""
-    w = Window.partitionBy(key).orderBy(F.col(order).asc())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """H3: the first row per key by an explicit order (unique per key, else any
+    of the ties). An aggregate, so that a hot key is reduced before the shuffle."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
 
 
 def non_blank_rows(df: DataFrame, col: str) -> DataFrame:

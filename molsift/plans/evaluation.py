@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import threshold_label, verdict, yes_no
 from ..operators import evaluation as E
 from ..operators import splits as S
+from ..operators.models import attach
+from ..operators.molecules import dedupe_first
 from ..operators.reports import adaptive_bins, bin_counts, group_mean, histogram
 from ..operators.scoring import composite_score, score_features
 from ..sources.views import table, v_feat, v_lab, v_score
@@ -189,3 +191,18 @@ def q_group_split(spark, sf):
 def q_split_overlap(spark, sf):
     f = v_feat(spark, sf)
     return S.overlap(f.where("part_set = 'train'"), f.where("part_set = 'test'"), "l_suppkey")
+
+
+@query("first_order", "H3", sql="""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT o_custkey, o_orderkey, o_totalprice,
+ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) t WHERE rn = 1""")
+def q_first_order(spark, sf):
+    return dedupe_first(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey")
+
+
+@query("attached", "D7", sql="""WITH p AS (SELECT l_partkey, round(avg(f1), 6) AS prediction FROM v_feat WHERE part_set = 'train' GROUP BY l_partkey)
+SELECT f.l_orderkey, f.l_linenumber, f.l_partkey, f.l_suppkey, p.prediction FROM v_feat f LEFT JOIN p ON f.l_partkey = p.l_partkey WHERE f.part_set = 'test'""")
+def q_attached(spark, sf):
+    """Means of the training rows as predictions made elsewhere; test keys without one keep NULL."""
+    f = v_feat(spark, sf)
+    means = group_mean(f.where("part_set = 'train'"), "l_partkey", "f1", "prediction").select("l_partkey", F.round("prediction", R6).alias("prediction"))
+    return attach(f.where("part_set = 'test'"), means, ["l_partkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "prediction")

@@ -57,6 +57,13 @@ def q_forest_scores(spark, sf):
     return M.evaluate_split(M.fit_forest(train, FEATURES, trees=20, depth=5), train, test, FEATURES)
 
 
+@query("importance_stats", "E15 I5")
+def q_importance_stats(spark, sf):
+    train, _ = sides(spark, sf)
+    stats = M.weight_stats(M.fit_forest(train, FEATURES, trees=20, depth=5).featureImportances.toArray())
+    return spark.createDataFrame([(k, float(v)) for k, v in stats.items()], "statistic string, value double")
+
+
 @query("boosting_scores", "I6 I7 I13")
 def q_boosting_scores(spark, sf):
     train, test = sides(spark, sf)
