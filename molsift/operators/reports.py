@@ -1,5 +1,5 @@
-"""Aggregate reports: E2-E8, E16, G3. One pass each; Spark's partial
-aggregation replaces the reference's per-chunk statistics dictionaries."""
+"""Aggregate reports: E2-E8, E16, G3. One pass each, by
+Spark's partial aggregation."""
 
 from __future__ import annotations
 

@@ -33,8 +33,8 @@ def score_features(df: DataFrame, logp: str = "logp", hbd: str = "hbd", hba: str
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row with mean, population sigma and non-null count per column.
 
-    Spark's partial/final ``avg``/``stddev_pop`` is the reference's
-    (sum, sum_sq, count) merge, with a numerically stable variance.
+    Spark's partial/final ``avg``/``stddev_pop`` merge sums and counts
+    per partition, with a numerically stable variance.
     A column with no value gets mean 0; sigma <= 0 or undefined becomes 1.
     """
     aggs = []
