@@ -179,16 +179,19 @@ def _atom_seed(atoms: Column) -> Column:
     return F.transform(atoms, lambda a: F.xxhash64(a["sym"], a["aromatic"], a["charge"], a["h"], a["ring"], F.coalesce(a["label"], F.lit(-1))))
 
 
+def _next_round(now: Column) -> Column:
+    """Each atom's number made from its own and its sorted neighbours' numbers in ``now``."""
+    return F.transform(now, lambda x, i: F.xxhash64(x, F.array_sort(F.transform(
+        F.get(F.col("nbrs"), i), lambda n: F.struct(n["o"].alias("o"), F.get(now, n["j"]).alias("x"))))))
+
+
 def atom_rounds(radius: int) -> Column:
     """Per radius from 0 on, a 64-bit number per atom for its surroundings.
 
-    A round makes each atom's number from its own and its sorted neighbours'
-    numbers. The rounds are one fold, whose value is bound once per round.
+    The rounds are one fold, whose value is bound once per round.
     """
     def one(rounds, _):
-        now = F.element_at(rounds, -1)
-        return F.array_append(rounds, F.transform(now, lambda x, i: F.xxhash64(x, F.array_sort(F.transform(
-            F.get(F.col("nbrs"), i), lambda n: F.struct(n["o"].alias("o"), F.get(F.element_at(rounds, -1), n["j"]).alias("x")))))))
+        return F.array_append(rounds, _next_round(F.element_at(rounds, -1)))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(radius)), F.array(_atom_seed(F.col("atoms"))), one)
 
@@ -203,13 +206,30 @@ def fingerprint(df: DataFrame, radius: int = 2, n_bits: int = 1024, alias: str =
     return df.withColumn(alias, F.array_sort(F.array_distinct(bits)))
 
 
-def identity_key(df: DataFrame, rounds: int = 8, alias: str = "mol_key") -> DataFrame:
+def stable_round() -> Column:
+    """The atoms' numbers after the first round that tells no more atoms apart.
+
+    Each number holds the one before it, so from then on no round does; that
+    is reached within as many rounds as there are atoms. Numbers are compared
+    with those of the round before, which the fold carries along.
+    """
+    def one(s, _):
+        return F.when(s["n"] == s["before"], s).otherwise(F.transform(F.array(_next_round(s["now"])), lambda x: F.struct(
+            x.alias("now"), F.size(F.array_distinct(x)).alias("n"), s["n"].alias("before")))[0])
+
+    first = F.transform(F.array(_atom_seed(F.col("atoms"))), lambda x: F.struct(
+        x.alias("now"), F.size(F.array_distinct(x)).alias("n"), F.lit(0).alias("before")))[0]
+    return F.aggregate(F.sequence(F.lit(0), F.size("atoms")), first, one, lambda s: s["now"])
+
+
+def identity_key(df: DataFrame, alias: str = "mol_key") -> DataFrame:
     """C11: a key that does not depend on how the molecule is written.
 
-    The sorted numbers of all atoms after ``rounds`` rounds, hashed. Molecules
-    that no number of neighbour rounds can tell apart share a key.
+    The sorted numbers of all atoms after so many rounds as tell more atoms
+    apart, hashed. Molecules that no number of neighbour rounds can tell apart
+    share a key.
     """
-    last = F.transform(F.array_sort(F.element_at(atom_rounds(rounds), -1)), lambda x: x.cast("string"))
+    last = F.transform(F.array_sort(stable_round()), lambda x: x.cast("string"))
     return df.withColumn(alias, F.sha2(F.concat_ws(",", F.size("bonds").cast("string"), last), 256))
 
 

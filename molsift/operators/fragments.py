@@ -186,9 +186,9 @@ def renumber(df: DataFrame) -> DataFrame:
     return df.withColumn("nbrs", around)
 
 
-def distinct_products(df: DataFrame, rounds: int = 8) -> DataFrame:
+def distinct_products(df: DataFrame) -> DataFrame:
     """H2: one row per distinct product by identity key, over all pairs."""
-    return S.identity_key(renumber(df), rounds).dropDuplicates(["mol_key"])
+    return S.identity_key(renumber(df)).dropDuplicates(["mol_key"])
 
 
 def augment(df: DataFrame, k: int = 4) -> DataFrame:

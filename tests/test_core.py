@@ -14,6 +14,7 @@ from molsift.functions.scalar import non_blank, strip_text
 from molsift.operators import evaluation as E
 from molsift.operators import models as M
 from molsift.operators import splits as SP
+from molsift.operators.fragments import distinct_products
 from molsift.operators.molecules import benzene_filter, split_valid
 from molsift.operators.pareto import front_mask, pareto_front
 from molsift.operators.windows import global_row_number, rank_desc, running_sum
@@ -162,6 +163,14 @@ def test_equal_molecules_share_keys_and_bits(spark):
     assert all(r["mol_key"] == 2 and r["bits"] == 2 for r in pairs(other))
 
 
+def test_keys_of_molecules_that_differ_far_from_the_ends(spark):
+    rows = [(at, "C" * at + "C(O)" + "C" * (39 - at)) for at in (17, 18, 19)] + [(20, "C" * 19 + "C(O)" + "C" * 20), (100, "[Na+].[Cl-]"), (101, "C1CCCCC1"), (102, "C")]
+    keys = {r["at"]: r["mol_key"] for r in S.identity_key(S.mol_graph(spark.createDataFrame(rows, "at int, smiles string"))).collect()}
+    assert len(set(keys.values())) == 6 and keys[19] == keys[20]
+    mirrored = spark.createDataFrame([("C" * 18 + "C(O)" + "C" * 21,), ("C" * 21 + "C(O)" + "C" * 18,), ("C" * 19 + "C(O)" + "C" * 20,)], "smiles string")
+    assert distinct_products(S.mol_graph(mirrored)).count() == 2
+
+
 # --- splits, scores, models
 
 def test_splits(spark):
