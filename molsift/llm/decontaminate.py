@@ -98,13 +98,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     0 to 1), seeds (rare n-grams shared) and end (the passage's end among the
     document's words). A pair aligns at a score of ``min_score`` or more.
 
-    Seeds are the rare ``width``-word n-grams of the items by counts over all
-    documents: those in at most ``rare_df`` documents, and in any case the
-    rarer ``rare_share`` of each item's, so that an item that is copied often
-    keeps seeds. A Bloom filter of all item n-grams, of bounded size, travels
-    with the scan of the documents; what passes it is joined on the n-gram. A
-    pair that shares ``min_seeds`` seeds (or all the item has) is aligned over
-    the span of its seeds and the item's length on both sides.
+    Seeds are the rare ``width``-word n-grams that a document shares with an
+    item, by counts over all documents: those in at most ``rare_df`` documents,
+    and in any case ``min_seeds`` and the rarer ``rare_share`` of what the two
+    share, so that a passage that is copied often keeps seeds in every copy,
+    whatever other copies hold. A Bloom filter of all item n-grams, of bounded
+    size, travels with the scan of the documents; what passes it is joined on
+    the n-gram. A pair that shares ``min_seeds`` n-grams (or as many of the
+    item's as any documents hold) is aligned over the span of all n-grams it
+    shares and the item's length on both sides.
 
     Null and empty texts on either side, and items of fewer than ``width``
     words, give nothing; equal words score at any place, so ties end first;
@@ -153,14 +155,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     seen = body.mapInArrow(hits, f"k {kind}, h long, gram long, first long, last long")
     seen = materialise(seen.join(hint_if_small(wanted), "gram", "left_semi"), "leak-hits")
     counts = seen.groupBy("gram").agg(F.count("*").alias("df"))
-    by_item = W.partitionBy("i")
-    seeds = items.select("i", F.explode("grams").alias("gram")).join(hint_if_small(materialise(counts, "leak-counts")), "gram", "left")
-    seeds = (seeds.fillna(0, ["df"]).withColumn("place", F.row_number().over(by_item.orderBy("df", "gram"))).withColumn("all", F.count("*").over(by_item))
-             .filter((F.col("df") <= rare_df) | (F.col("place") <= F.ceil(F.col("all") * rare_share))))
-    seeds = materialise(seeds.withColumn("need", F.least(F.lit(min_seeds), F.count("*").over(by_item))).filter("df > 0").select("i", "gram", "need"), "leak-seeds")
+    seeds = items.select("i", F.explode("grams").alias("gram")).join(hint_if_small(materialise(counts, "leak-counts")), "gram")
+    seeds = materialise(seeds.withColumn("need", F.least(F.lit(min_seeds), F.count("*").over(W.partitionBy("i")))), "leak-seeds")
+    # Copies of a row share all n-grams at the same places, so a set holds each of an item's n-grams once.
     pairs = (seen.join(hint_if_small(seeds), "gram").groupBy("k", "h", "i").agg(
-        F.count_distinct("gram").alias("seeds"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("need").alias("need"))
-        .filter("seeds >= need"))
+        F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("shared"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("need").alias("need")))
+    rare = F.size(F.filter("shared", lambda g, at: (g["df"] <= rare_df) | (at < F.col("need")) | (at < F.ceil(F.size("shared") * rare_share))))
+    pairs = pairs.filter(F.size("shared") >= F.col("need")).withColumn("seeds", rare.cast("long")).drop("shared")
     pairs = pairs.join(hint_if_small(items.select("i", "item", "words")), "i")
     tasks = pairs.groupBy(F.col("k").alias("pk"), F.col("h").alias("ph")).agg(F.collect_list(F.struct("item", "words", "seeds", "first", "last")).alias("items"))
     tasks = hint_if_small(materialise(tasks, "leak-pairs"), 100_000)

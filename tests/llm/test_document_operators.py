@@ -254,6 +254,21 @@ def test_decontamination(spark, docs):
     assert contaminated(every, none).collect() == [] and contaminated(every.limit(0), bench).collect() == []
 
 
+@pytest.mark.parametrize("verbatim", [0, 1])
+def test_decontamination_of_an_edited_copy_in_many_documents(spark, verbatim):
+    import random
+    rng = random.Random(11)
+    words = sentence(rng, 30).replace("\n", " ").split()
+    item = " ".join(words)
+    edit = " ".join("edit" if i in (4, 9, 14, 19, 24) else w for i, w in enumerate(words))
+    assert align(word_hashes(item), word_hashes(edit))[0] >= len(word_hashes(item))
+    rows = [(i, sentence(rng, 20) + "\n" + (edit if i < 100 else item) + "\n" + sentence(rng, 20)) for i in range(100 + verbatim)]
+    df = spark.createDataFrame([*rows, (500, sentence(rng, 60))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in contaminated(df, bench).collect()} == set(range(100 + verbatim))
+    assert [r["doc_id"] for r in keep_clean(df, bench).collect()] == [500]
+
+
 # --- quality
 
 def test_quality_rules_base(spark, docs):
