@@ -49,28 +49,30 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     dropped if an earlier one has the same words, or (from ``min_words`` words
     on) is one word edit away: a word replaced, added or left out.
     """
-    rows = docs.select(docs[key].alias("k"), F.split(F.coalesce(docs[text], F.lit("")), "\n").alias("l"))
+    # The text's hash tells rows of one key apart.
+    rows = docs.select(docs[key].alias("k"), F.xxhash64(docs[text]).alias("h"), F.split(F.coalesce(docs[text], F.lit("")), "\n").alias("l"))
     # Blank lines go by a cheap test first, so that words are cut once per line.
-    lines = rows.select("k", F.posexplode("l").alias("no", "line")).filter(F.col("line").rlike(WORD))
-    lines = lines.select("k", "no", F.split(F.btrim("line", F.lit(SPACE_CHARS)), f"{SPACE}+").alias("w"))
-    lines = lines.select("k", "no", F.xxhash64("w").alias("c1"), F.xxhash64(F.lit(7), "w").alias("c2"),
+    lines = rows.select("k", "h", F.posexplode("l").alias("no", "line")).filter(F.col("line").rlike(WORD))
+    lines = lines.select("k", "h", "no", F.split(F.btrim("line", F.lit(SPACE_CHARS)), f"{SPACE}+").alias("w"))
+    lines = lines.select("k", "h", "no", F.xxhash64("w").alias("c1"), F.xxhash64(F.lit(7), "w").alias("c2"),
                          F.when(F.size("w") >= min_words, _half_keys("w")).alias("halves"))
     lines = materialise(lines, "line-rows")
     place = F.struct(F.col("k").isNull().alias("last"), F.col("k").alias("k"), F.col("no").alias("no"))
     # One class per distinct line; the earliest place of each, pre-aggregated.
-    classes = lines.groupBy("c1", "c2").agg(F.min(place).alias("p"), F.any_value("halves").alias("halves"), F.count("*").alias("n"))
+    classes = lines.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("p"), "h")).alias("at"), F.any_value("halves").alias("halves"), F.count("*").alias("n"))
+    classes = classes.select("c1", "c2", "at.p", "at.h", "halves", "n")
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
     # Classes that share a half with another one may have a partner.
     halves = classes.filter("halves is not null").select("id", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("half")
     some = halves.join(shared, "half", "left_semi").select("id").distinct()
-    chosen = materialise(classes.join(some, "id", "left_semi").select("id", "p", F.col("p.k").alias("k"), F.col("p.no").alias("no")), "line-chosen")
+    chosen = materialise(classes.join(some, "id", "left_semi").select("id", "p", "h", F.col("p.k").alias("k"), F.col("p.no").alias("no")), "line-chosen")
 
     # Their words, from the texts again; then all variants within the edit bound.
-    per_doc = chosen.groupBy(F.col("k").alias("ck")).agg(F.collect_list(F.struct("no", "id", "p")).alias("want"))
+    per_doc = chosen.groupBy(F.col("k").alias("ck"), F.col("h").alias("ch")).agg(F.collect_list(F.struct("no", "id", "p")).alias("want"))
     per_doc = hint_if_small(materialise(per_doc, "line-wanted"), 100_000)
-    found = rows.join(per_doc, rows.k.eqNullSafe(per_doc.ck)).select("l", F.explode("want").alias("x"))
+    found = rows.join(per_doc, rows.k.eqNullSafe(per_doc.ck) & (rows.h == per_doc.ch)).select("l", F.explode("want").alias("x"))
     found = found.select("x.id", "x.p", words_of(F.expr("get(l, x.no)")).alias("w")).filter(F.size("w") >= min_words)
     found = materialise(found.dropDuplicates(["id"]), "line-words")
     variants = found.select("id", "p", F.posexplode(_variants("w")).alias("cut", "v"))

@@ -112,6 +112,18 @@ def test_dedup_lines_keeps_columns(spark):
     assert same_rows(dedup_lines(df).collect(), [(1, "a b c d e\nx", "q"), (2, "y", "q"), (3, None, "q")])
 
 
+@pytest.mark.parametrize("key", [1, None])
+def test_near_lines_of_texts_that_share_a_key(spark, key):
+    # The earliest place of each line is in one of several rows of the key, at the same line number.
+    texts = [f"first{i} b c d e f{i}" for i in range(12)]
+    rows = [(key, t) for t in texts] + [(None if key is None else 2, "x\n" + "\n".join(t.replace(" c ", " edit ") for t in texts))]
+    got = line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert [r["dropped"] for r in got if r["n_lines"] > 1] == [",".join(str(i) for i in range(1, 13))]
+    assert sum(r["n_near"] for r in got if r["n_lines"] > 1) == 12
+    if key is not None:  # rows of one key drop what any of them drops
+        assert {r["n_near"] for r in got if r["n_lines"] == 1} == {0}
+
+
 # --- mixing
 
 def test_mixing(spark, docs):
