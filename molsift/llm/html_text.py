@@ -18,6 +18,15 @@ RAW = set("script style noscript template svg iframe textarea".split())
 BLOCK = set("p div article main section header h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption "
             "blockquote pre figure figcaption address details summary hr center body html fieldset hgroup search".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
+# Elements whose nesting is followed, those that end an open p, and by tag what
+# else an opening tag ends and the element it does not look beyond.
+NESTED = (BLOCK | SKIP | set("td th optgroup".split())) - VOID
+ENDS_P = (BLOCK | set("form nav footer aside menu dialog".split())) - set("body html caption thead tbody tfoot tr".split())
+CELL = ("td", "th", "caption")
+IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
+           "optgroup": (("option", "optgroup"), ("select",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+           "tr": (("tr", *CELL), ("table",)), "body": (("head",), ()),
+           **{t: (("thead", "tbody", "tfoot", "tr", *CELL), ("table",)) for t in ("thead", "tbody", "tfoot")}}
 BOILER_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 BOILER_NAMES = set("ad ads advert adverts advertisement advertisements advertising adsense banner banners promo promos "
                    "promotion sponsor sponsored sponsors sidebar sidebars side aside menu menus nav navbar navigation topnav "
@@ -33,9 +42,9 @@ NAME_PART = re.compile(r"[a-z]+")
 CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
-def boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
+def boilerplate(tag: str, attrs: str, inside_article: bool, skipped: set[str] = SKIP) -> bool:
     """Whether an element's name or attributes say that it is not main text."""
-    if tag in SKIP or (tag == "header" and not inside_article):
+    if tag in skipped or (tag == "header" and not inside_article):
         return True
     if not attrs or tag in ("article", "main", "body", "html") and "role" not in attrs.lower() and "class" not in attrs.lower():
         return False
@@ -56,12 +65,65 @@ def boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
     return False
 
 
+class Open:
+    """The open elements, outermost first, with the places of each name."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.names))
+        self.names.append(tag)
+
+    def cut(self, size: int) -> None:
+        while len(self.names) > size:
+            self.at[self.names.pop()].pop()
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost of ``tags``, -1 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def opens(self, tag: str) -> None:
+        """End what an opening tag ends: an open p, li, cell, ..."""
+        size = len(self.names)
+        if tag in ENDS_P and (p := self.last("p")) > self.last("table", "button", "object", *CELL):
+            size = p
+        if tag in IMPLIED:
+            names, within = IMPLIED[tag]
+            edge = self.last(*within, "table")
+            for name in names:
+                size = min([size, *(x for x in self.at.get(name, ())[-1:] if x > edge)])
+        self.cut(size)
+
+    def closes(self, tag: str, skip: int) -> None:
+        """End the innermost element of the name; one outside a table's cell is not ended from inside it."""
+        place = self.last(tag)
+        edge = self.last("ul", "ol", *CELL) if tag == "li" else self.last(*CELL)
+        if place >= 0 and (place >= skip >= 0 or tag in ("table", "tr", "thead", "tbody", "tfoot", "body", "html") or place >= edge):
+            self.cut(place)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's blocks in order: (text, characters in links, inside an article)."""
+    """The page's blocks in order: (text, characters in links, inside an article).
+
+    A form is skipped unless it wraps the page: an article in it is let
+    through, and without any the form that holds more text than what is
+    outside of forms.
+    """
+    out, form_chars = _lines_of(page, SKIP)
+    if form_chars > sum(len(text) - link for text, link, _ in out) and not any(inside for _, _, inside in out):
+        out, _ = _lines_of(page, SKIP - {"form"})
+    return out
+
+
+def _lines_of(page: str, skipped: set[str]) -> tuple[list[tuple[str, int, bool]], int]:
+    """``lines_of`` with the element names to skip, and the characters in skipped forms outside their controls."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    link_chars = depth = article = links = 0
-    skip, found = "", False
+    link_chars = article = links = form_chars = 0
+    nest, skip, found = Open(), -1, False  # skip: the place of the skipped element
+    unclosed: set[str] = set()
     pos, end = 0, len(page)
 
     def flush():
@@ -77,40 +139,55 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         m = None
         while lt >= 0 and (m := TOKEN.match(page, lt)) is None:
             lt = page.find("<", lt + 1)
-        if not skip:
+        if skip < 0:
             chunk = page[pos:lt] if lt >= 0 else re.sub(r"<[/!?]?$", "", page[pos:end])
             if chunk:
                 parts.append(chunk)
                 if links:
                     link_chars += len(chunk.strip())
+        elif nest.names[skip] == "form" and nest.last(*SKIP) == skip:
+            form_chars += len(page[pos:lt if lt >= 0 else end].strip())
         if m is None:
             break
         pos = m.end()
         if not m[2]:
-            if m[0].startswith("<![CDATA[") and not skip:
+            if m[0].startswith("<![CDATA[") and skip < 0:
                 parts.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
             continue
         closing, tag, attrs = m[1] == "/", m[2].lower(), m[3]
         if m[4] != ">":  # the page ends inside a tag
             break
-        if skip and not closing and tag in ("article", "main") and not found and skip in ("div", "section", "span") and not boilerplate(tag, attrs, True):
-            skip = ""  # a wrapper whose name speaks of a sidebar or menu holds the page's first article
-        if skip:
-            if tag == skip and not attrs.rstrip().endswith("/"):
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skip = ""
-            continue
+        if skip >= 0 and not closing and tag in ("article", "main") and not found and nest.names[skip] in ("div", "section", "span", "form") and not boilerplate(tag, attrs, True, skipped):
+            skip = -1  # a wrapper whose name speaks of a sidebar or menu, or a form, holds the page's first article
+        ended = nest.names[skip] if skip >= 0 else ""
+        if closing:
+            nest.closes(tag, skip)
+        else:
+            nest.opens(tag)
+        if skip >= 0:
+            if len(nest.names) > skip:
+                if not closing and (tag in NESTED or tag == nest.names[skip]) and not attrs.rstrip().endswith("/"):
+                    close = CLOSERS[tag].search(page, pos) if tag in RAW and tag not in unclosed else None
+                    if close:
+                        pos = close.end()
+                    elif tag in RAW:
+                        unclosed.add(tag)
+                    else:
+                        nest.push(tag)
+                continue
+            skip = -1
+            if closing and tag == ended:
+                continue
         if closing:
             if tag in ("article", "main"):
                 flush()
                 article = max(0, article - 1)
             elif tag == "a":
                 links = max(0, links - 1)
-            elif tag in BLOCK:
+            elif tag in BLOCK or tag == "form":
                 flush()
             continue
-        if tag not in VOID and boilerplate(tag, attrs, article > 0):
+        if tag not in VOID and boilerplate(tag, attrs, article > 0, skipped):
             if tag in BLOCK or tag in ("nav", "footer", "aside", "form", "menu", "dialog"):
                 flush()
             else:
@@ -123,8 +200,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             elif tag == "head" and not re.search(r"</head\s*>", page[pos:], re.I):
                 pass  # an unclosed head: its elements are skipped one by one
             else:
-                skip, depth = tag, 1
-        elif tag in ("article", "main"):
+                skip = len(nest.names)
+                nest.push(tag)
+            continue
+        if tag in NESTED and not attrs.rstrip().endswith("/"):
+            nest.push(tag)
+        if tag in ("article", "main"):
             flush()
             article += 1
             found = True
@@ -135,10 +216,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             links += 1
         elif tag in ("br", "td", "th", "img", "wbr"):
             parts.append("" if tag == "wbr" else " ")
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "form":
             flush()
     flush()
-    return out
+    return out, form_chars
 
 
 def main_lines(lines: list[tuple[str, int, bool]], window: int = 3, surge: int = 86) -> list[str]:

@@ -33,6 +33,22 @@ def test_extract(page, want):
     assert extract(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<body><p class=notice>cookies<p>" + P + "<p>" + P + "</body>", f"{P}\n{P}"),
+    ("<body><article><p class=notice>cookies<p>a<p>b</article></body>", "a\nb"),
+    ("<body><article><div><p>a</p><ul><li class=share>share</ul></div><p>b</p></article></body>", "a\nb"),
+    ("<article><ul><li class=share>share<li>one<li>two</ul><p>b</article>", "one\ntwo\nb"),
+    ("<article><div><p class=notice>cookies</div>a<p>b</article>", "a\nb"),
+    ("<article><dl><dt class=ad>ad<dd>a</dl><table><tr><td class=ad>ad<td>a<tr><td>b</table><p>c</article>", "a\na\nb\nc"),
+    ("<body><article><div class=sidebar><div>x</div><p>y<p>z</div><p>a</article>", "a"),
+    ("<body><form action=/><div class=menu><a>m</a></div><article><p>a<p>b</article><input></form></body>", "a\nb"),
+    ("<body><form><div><p>" + P + "</p><select><option>x<option>y</select><p>" + P + "</p></div></form></body>", f"{P}\n{P}"),
+    ("<body><div>" + P + "</div><form><label>name</label><p>short hint</p></form></body>", P),
+])
+def test_ends_of_skipped_elements(page, want):
+    assert extract(page) == want
+
+
 def test_extract_table(spark):
     rows = [(1, "u", "<article>x</article>", "clash"), (None, None, None, "clash"), (1, "u", "<article>x</article>", "clash")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
