@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -225,29 +226,40 @@ def _lines_of(page: str, skipped: set[str]) -> tuple[list[tuple[str, int, bool]]
 def main_lines(lines: list[tuple[str, int, bool]], window: int = 3, surge: int = 86) -> list[str]:
     """Keep the lines between surge and dive points.
 
-    A line weighs its characters outside links. Sums over ``window`` lines
-    from each line on form the distribution: text surges where a sum passes
-    ``surge`` (or the page's largest sum if that is smaller) on a line of
-    weight, and dives where the following sums fall to nothing. Lines of an
-    article element always carry weight, so the span between surge and dive
-    covers it whole; a page with such an element is judged by those lines alone.
+    A line weighs its characters outside links, or nothing if most are in
+    links. Sums over ``window`` lines from each line on form the distribution:
+    text surges where a sum passes ``surge`` on a line of weight, and dives
+    where the following sums fall to nothing. On a page without article
+    element the largest sum is enough if it is smaller.
+
+    The border of an article element ends a window. A line of text in one
+    weighs ``surge`` more, so that it surges by itself and its span covers the
+    article's lines whole; lines outside are judged by their own weights. An
+    article with nothing but links is kept only if nothing surges on the page.
     """
+    weights = [0 if 2 * link > len(text) else len(text) - link for text, link, _ in lines]
     marked = any(inside for _, _, inside in lines)
-    if marked:
-        weights = [max(len(text), surge) if inside else 0 for text, _, inside in lines]
-    else:
-        weights = [0 if 2 * link > len(text) else len(text) - link for text, link, _ in lines]
-    sums = [sum(weights[i:i + window]) for i in range(len(weights))]
-    level = min(surge, max(sums, default=0))
-    kept, on = [], False
-    for i, (text, _, _) in enumerate(lines):
-        if not on:
-            on = level > 0 and weights[i] > 0 and sums[i] >= level
-        elif sums[i] == 0 or (marked and weights[i] == 0):
-            on = False
-        if on:
-            kept.append(text)
-    return kept
+    kept, cards = [False] * len(lines), []
+    for inside, run in groupby(range(len(lines)), lambda i: lines[i][2]):
+        at = list(run)
+        if inside:
+            if any(weights[i] for i in at):  # with the bonus each line of text surges
+                for i in at:
+                    kept[i] = True
+            else:
+                cards += at
+            continue
+        own = [weights[i] for i in at]
+        sums = [sum(own[j:j + window]) for j in range(len(own))]
+        level = surge if marked else min(surge, max(sums))
+        on = False
+        for i, w, total in zip(at, own, sums):
+            on = total > 0 if on else level > 0 and w > 0 and total >= level
+            kept[i] = on
+    if not any(kept):
+        for i in cards:
+            kept[i] = True
+    return [text for (text, _, _), keep in zip(lines, kept) if keep]
 
 
 def extract(page: str | None) -> str:

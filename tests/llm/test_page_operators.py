@@ -49,6 +49,21 @@ def test_ends_of_skipped_elements(page, want):
     assert extract(page) == want
 
 
+CARD = "<div class=cards><article><h3><a href=/2>Another story</a></h3></article></div>"
+TEASER = "<article><h3><a href=/2>Another story</a></h3><p>in short</p></article>"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body><div><div>{P}</div><p>short</p><div>{P}</div></div>{CARD}</body>", f"{P}\nshort\n{P}"),
+    (f"<body>{CARD}<div><h1>Head</h1><p>{P}</p><p><a>link</a></p><p>{P}</p></div></body>", f"Head\n{P}\nlink\n{P}"),
+    (f"<body>{TEASER}<div><p>{P}</p></div></body>", f"Another story\nin short\n{P}"),
+    (f"<body><p>by someone</p>{CARD}<p>a crumb</p></body>", "Another story"),
+    (f"<body><p>a crumb</p><article><ul><li><a>one</a><li><a>two</a></ul><p>{P}</p><p>x</p><p><a>source</a></p></article><p>a crumb</p><ul><li><a>{P}</a></ul></body>", f"one\ntwo\n{P}\nx\nsource"),
+])
+def test_windows_decide_beside_articles(page, want):
+    assert extract(page) == want
+
+
 def test_extract_table(spark):
     rows = [(1, "u", "<article>x</article>", "clash"), (None, None, None, "clash"), (1, "u", "<article>x</article>", "clash")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
