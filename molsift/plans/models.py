@@ -47,27 +47,33 @@ def q_ridge_scores(spark, sf):
 @query("tree_sweep", "I4 I13")
 def q_tree_sweep(spark, sf):
     train, test = sides(spark, sf)
-    rows = M.sweep_tree(train, test, FEATURES, depths=(3, 5, 10))
+    rows = M.sweep_tree(train, test, FEATURES)
     return spark.createDataFrame([tuple(r.values()) for r in rows], "depth int, nodes int, train_r2 double, test_r2 double, gap double")
 
 
 @query("forest_scores", "I5 I13 E15")
 def q_forest_scores(spark, sf):
     train, test = sides(spark, sf)
-    return M.evaluate_split(M.fit_forest(train, FEATURES, trees=20, depth=5), train, test, FEATURES)
+    return M.evaluate_split(M.fit_forest(train, FEATURES), train, test, FEATURES)
 
 
 @query("importance_stats", "E15 I5")
 def q_importance_stats(spark, sf):
     train, _ = sides(spark, sf)
-    stats = M.weight_stats(M.fit_forest(train, FEATURES, trees=20, depth=5).featureImportances.toArray())
+    stats = M.weight_stats(M.fit_forest(train, FEATURES).featureImportances.toArray())
     return spark.createDataFrame([(k, float(v)) for k, v in stats.items()], "statistic string, value double")
 
 
-@query("boosting_scores", "I6 I7 I13")
+@query("boosting_scores", "I6 I13")
 def q_boosting_scores(spark, sf):
     train, test = sides(spark, sf)
-    return M.evaluate_split(M.fit_gbt(train, FEATURES, trees=10, depth=3, rows=0.8, columns="0.8"), train, test, FEATURES)
+    return M.evaluate_split(M.fit_gbt(train, FEATURES), train, test, FEATURES)
+
+
+@query("deep_boosting_scores", "I7 I13")
+def q_deep_boosting_scores(spark, sf):
+    train, test = sides(spark, sf)
+    return M.evaluate_split(M.fit_gbt(train, FEATURES, trees=200, depth=6, rows=0.8, columns="0.8"), train, test, FEATURES)
 
 
 @query("logistic_weights", "I9 E15")
@@ -117,5 +123,5 @@ def q_perceptron_scores(spark, sf):
 @query("perceptron_losses", "I12")
 def q_perceptron_losses(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("y", F.col("label").cast("double"))
-    _, losses = M.fit_mlp(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "embedding", "y", (64, 8, 4, 1), epochs=6, rate=0.05)
+    _, losses = M.fit_mlp(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "embedding", "y", (64, 512, 256, 1))
     return spark.createDataFrame([(i, x) for i, x in enumerate(losses)], "epoch int, loss double")

@@ -239,6 +239,39 @@ def test_perceptron_gradient_and_training(spark):
     assert losses[-1] < losses[0]
 
 
+def test_models_are_registered_with_the_listed_parameters(spark, monkeypatch):
+    made = []
+
+    class Stop(Exception):
+        pass
+
+    class Estimator:
+        def __init__(self, **options):
+            made.append(options)
+
+        def fit(self, _):
+            if "minInstancesPerNode" in made[-1]:
+                return type("Tree", (), {"numNodes": 1})
+            raise Stop
+
+    for name in ("RandomForestRegressor", "GBTRegressor", "DecisionTreeRegressor"):
+        monkeypatch.setattr(M, name, Estimator)
+    monkeypatch.setattr(M, "evaluate_split", lambda *_: spark.createDataFrame([("train", 0.5), ("test", 0.5)], "part_set string, r2 double"))
+    found = entry.queries()
+    for name in ("forest_scores", "importance_stats", "boosting_scores", "deep_boosting_scores"):
+        with pytest.raises(Stop):
+            found[name](spark, SF)
+    assert [(o["numTrees"], o["maxDepth"]) for o in made[:2]] == [(200, 30)] * 2
+    assert [(o["maxIter"], o["maxDepth"], o["subsamplingRate"], o["featureSubsetStrategy"]) for o in made[2:]] == [(20, 3, 1.0, "all"), (200, 6, 0.8, "0.8")]
+    found["tree_sweep"](spark, SF)
+    assert [o["maxDepth"] for o in made[4:]] == [5, 10, 15, 20, 30]
+    monkeypatch.setattr(M, "mlp_gradient", lambda *_: (0.0, [M.Layer(np.zeros((1, 1)), np.zeros(1))] * 3, 1))
+    monkeypatch.setattr(M, "initial_layers", lambda sizes, _: made.append(sizes) or [M.Layer(np.zeros((1, 1)), np.zeros(1))] * 3)
+    losses = iter([1.0] * 99)
+    monkeypatch.setattr(M, "score_mlp", lambda *_: type("Scored", (), {"agg": lambda self, _: type("Row", (), {"first": lambda self: [next(losses)]})()})())
+    assert found["perceptron_losses"](spark, SF).count() == 31 and made[-1] == (64, 512, 256, 1)
+
+
 # --- registered queries
 
 def test_every_query_reads_a_table_and_has_unique_columns(spark):
