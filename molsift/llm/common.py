@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,14 +20,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bounded_batches(df: DataFrame, rows: int = 2000) -> None:
-    """Let a Python worker see at most ``rows`` rows at a time, as texts may be long.
+def bounded_batches(df: DataFrame, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Let a Python worker see at most ``rows`` rows and ``size`` bytes at a time (one row at least), as texts may be long.
 
-    Sets the session's limit of rows per Arrow batch if it is higher.
+    Sets the session's limits per Arrow batch if they are higher.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(re.sub("[^0-9-]", "", conf.get(name))) <= most:
+            conf.set(name, str(most))
 
 
 def words_of(text: Column) -> Column:

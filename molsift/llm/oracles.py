@@ -73,4 +73,16 @@ SELECT e.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM e JOIN k ON k.doc_id = e.doc_id"""
 
 
-ORACLES = {"op3_mix_sources": OP3, "op7_warc": OP7, "op9_ngram_join": OP9, "op10_quality_rules": _op10()}
+OP13 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS r,
+  [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label = v.label AS same, v.r, v.vec_id, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.r <> v.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.vec_id, s.r) AS INT) AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.vec_id, s.r) <= 5"""
+
+
+ORACLES = {"op3_mix_sources": OP3, "op7_warc": OP7, "op9_ngram_join": OP9, "op10_quality_rules": _op10(), "op13_hard_negatives": OP13}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from molsift.llm.common import read_table
 from molsift.llm.decontaminate import contaminated
+from molsift.llm.hard_negatives import mine_negatives
 from molsift.llm.html_text import extract_main_text
 from molsift.llm.jaccard_join import ngram_join
 from molsift.llm.line_dedup import line_report
@@ -65,4 +66,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op8_decontaminate, op9_ngram_join, op10_quality_rules)}
+def op13_hard_negatives(spark, sf_dir):
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(vectors.withColumn("label", label))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op8_decontaminate, op9_ngram_join, op10_quality_rules, op13_hard_negatives)}
