@@ -7,8 +7,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Settings every job of the engine expects. AQE re-plans joins and coalesces
 # small shuffle partitions at run time and splits skewed join partitions.
@@ -86,3 +87,27 @@ def hint_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """
     few = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
+
+
+def _bytes_of(field: T.StructField) -> Column:
+    """Bytes that a value of a column takes, roughly."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(c)
+    if isinstance(field.dataType, T.ArrayType) and not isinstance(field.dataType.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+        return F.size(c) * 8
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.octet_length(F.to_json(F.struct(c)))
+    return F.lit(8)
+
+
+def broadcast_below(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """Mark ``df`` for broadcast only if its values take at most ``most_bytes``.
+
+    ``df`` is scanned once for that, so it should be a table that has been
+    written. Beyond the bound it stays unmarked and the join shuffles; the rows
+    of the result are the same.
+    """
+    each = sum((F.coalesce(_bytes_of(f), F.lit(0)) for f in df.schema.fields), F.lit(16))
+    size = df.agg(F.sum(each.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
