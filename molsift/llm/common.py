@@ -31,6 +31,17 @@ def bounded_batches(df: DataFrame, rows: int = 2000, size: int = 4 << 20) -> Non
             conf.set(name, str(most))
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns of ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty one."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

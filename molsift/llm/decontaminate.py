@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from molsift.llm.common import bounded_batches
-from molsift.session import hint_if_small, materialise
+from molsift.llm.common import bounded_batches, unused_names
+from molsift.session import broadcast_below, hint_if_small, materialise
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 # Characters stripped from the ends of words before they are compared.
@@ -187,6 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all columns."""
+    gk, gh = unused_names(docs, "gk", "gh")
     found = contaminated(docs, benchmark, key, text, **options)
-    found = materialise(found.select(F.col(key).alias("gk"), F.col("text_hash").alias("gh")).distinct(), "leak-found")
-    return docs.join(hint_if_small(found), docs[key].eqNullSafe(F.col("gk")) & (F.xxhash64(docs[text]) == F.col("gh")), "left_anti")
+    found = materialise(found.select(F.col(key).alias(gk), F.col("text_hash").alias(gh)).distinct(), "leak-found")
+    return docs.join(broadcast_below(found), docs[key].eqNullSafe(F.col(gk)) & (F.xxhash64(docs[text]) == F.col(gh)), "left_anti")

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from molsift.llm.common import bounded_batches
+from molsift.llm.common import bounded_batches, unused_names
 from molsift.llm.graph import components
-from molsift.session import hint_if_small, materialise
+from molsift.session import broadcast_below, hint_if_small, materialise
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -480,14 +480,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     are found by key and text hash; they, and not those that stay, are joined
     to the texts, so that texts are not shuffled while those are few.
     """
+    gk, gh = unused_names(docs, "gk", "gh")
     rows = materialise(placed_rows(docs, key, text, **options), "join-placed").filter("root is not null")
     row = F.struct(F.col("k").isNull().alias("last"), F.col("k").alias("k"), F.col("h").alias("h"))
     groups = rows.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("m")).filter("m > 1").select("root", "first")
-    marked = materialise(rows.join(hint_if_small(groups), "root").groupBy(F.col("k").alias("gk"), F.col("h").alias("gh"), "first").agg(F.count("*").alias("m"))
-                         .select("gk", "gh", "m", ((F.col("gh") == F.col("first.h")) & F.col("gk").eqNullSafe(F.col("first.k"))).alias("stays")), "join-marked")
-    same = docs[key].eqNullSafe(F.col("gk")) & (F.md5(F.coalesce(docs[text], F.lit(""))) == F.col("gh"))
-    out = docs.join(hint_if_small(marked.filter("not stays or m > 1").select("gk", "gh")), same, "left_anti")
-    many = marked.filter("stays and m > 1").select("gk", "gh")
+    marked = materialise(rows.join(hint_if_small(groups), "root").groupBy(F.col("k").alias(gk), F.col("h").alias(gh), "first").agg(F.count("*").alias("m"))
+                         .select(gk, gh, "m", ((F.col(gh) == F.col("first.h")) & F.col(gk).eqNullSafe(F.col("first.k"))).alias("stays")), "join-marked")
+    same = docs[key].eqNullSafe(F.col(gk)) & (F.md5(F.coalesce(docs[text], F.lit(""))) == F.col(gh))
+    out = docs.join(broadcast_below(marked.filter("not stays or m > 1").select(gk, gh)), same, "left_anti")
+    many = marked.filter("stays and m > 1").select(gk, gh)
     if many.isEmpty():
         return out
-    return out.unionByName(docs.join(hint_if_small(many), same).dropDuplicates(["gk", "gh"]).select(*[docs[c] for c in docs.columns]))
+    return out.unionByName(docs.join(broadcast_below(many), same).dropDuplicates([gk, gh]).select(*[docs[c] for c in docs.columns]))

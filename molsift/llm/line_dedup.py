@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molsift.llm.common import SPACE, SPACE_CHARS, WORD, words_of
-from molsift.session import hint_if_small, materialise
+from molsift.llm.common import SPACE, SPACE_CHARS, WORD, unused_names, words_of
+from molsift.session import broadcast_below, hint_if_small, materialise
 
 
 def _half_keys(words: str) -> Column:
@@ -71,7 +71,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
     # Their words, from the texts again; then all variants within the edit bound.
     per_doc = chosen.groupBy(F.col("k").alias("ck"), F.col("h").alias("ch")).agg(F.collect_list(F.struct("no", "id", "p")).alias("want"))
-    per_doc = hint_if_small(materialise(per_doc, "line-wanted"), 100_000)
+    per_doc = broadcast_below(materialise(per_doc, "line-wanted"))
     found = rows.join(per_doc, rows.k.eqNullSafe(per_doc.ck) & (rows.h == per_doc.ch)).select("l", F.explode("want").alias("x"))
     found = found.select("x.id", "x.p", words_of(F.expr("get(l, x.no)")).alias("w")).filter(F.size("w") >= min_words)
     found = materialise(found.dropDuplicates(["id"]), "line-words")
@@ -118,7 +118,9 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
     """``docs`` without the lines that ``dropped_lines`` names; all columns stay."""
     dropped, _ = dropped_lines(docs, key, text, min_words)
-    gone = dropped.groupBy(F.col("k").alias("_gone_key")).agg(F.collect_set("no").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(gone, docs[key].eqNullSafe(gone["_gone_key"]), "left")
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    gone_key, gone_lines = unused_names(docs, "_gone_key", "_gone")
+    gone = dropped.groupBy(F.col("k").alias(gone_key)).agg(F.collect_set("no").alias(gone_lines))
+    kept = F.array_join(F.filter(F.split(docs[text], "\n"), lambda _, i: ~F.array_contains(gone_lines, i)), "\n")
+    joined = docs.join(gone, docs[key].eqNullSafe(gone[gone_key]), "left")
+    cut = F.when(F.col(gone_lines).isNull(), docs[text]).otherwise(kept)
+    return joined.select(*[cut.alias(c) if c == text else docs[c] for c in docs.columns])

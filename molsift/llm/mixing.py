@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from molsift.llm.common import hash_bucket, numbered, word_count
-from molsift.session import hint_if_small, materialise
+from molsift.llm.common import hash_bucket, numbered, unused_names, word_count
+from molsift.session import broadcast_below, hint_if_small, materialise
 
 # Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -106,9 +106,10 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     rows, plan = _placed(docs, key, text, source, weights, max_epochs, seed, bucket_rows)
     place = F.struct(F.col("_h").alias("h"), F.col("_k").alias("k"), F.col("_n").alias("n"))
     cuts = rows.filter(2 * F.col("before") + F.col("_n") > 2 * F.col("rest")).groupBy("sid").agg(F.min(place).alias("_cut"))
-    cuts = plan.join(cuts, "sid", "left").select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), "_cut")
-    cuts = hint_if_small(materialise(cuts, "mix-cuts"))
+    name, epochs, cut, times, one = unused_names(docs, "_source", "_epochs", "_cut", "_times", "_one")
+    cuts = plan.join(cuts, "sid", "left").select(F.col("source").alias(name), F.col("epochs").alias(epochs), F.col("_cut").alias(cut))
+    cuts = broadcast_below(materialise(cuts, "mix-cuts"))
     mine = F.struct(place_hash(docs[key], seed).alias("h"), docs[key].alias("k"), word_count(docs[text]).alias("n"))
-    times = F.col("_epochs") + F.when(F.col("_cut").isNull() | (mine < F.col("_cut")), 1).otherwise(0)
-    joined = docs.join(cuts, docs[source].eqNullSafe(F.col("_source"))).withColumn("_times", F.array_repeat(F.lit(0), times.cast("int")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode("_times").alias("_one")).drop("_one")
+    n = F.col(epochs) + F.when(F.col(cut).isNull() | (mine < F.col(cut)), 1).otherwise(0)
+    joined = docs.join(cuts, docs[source].eqNullSafe(F.col(name))).withColumn(times, F.array_repeat(F.lit(0), n.cast("int")))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(times).alias(one)).drop(one)
