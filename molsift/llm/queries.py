@@ -15,6 +15,7 @@ from molsift.llm.oracles import ORACLES  # noqa: F401
 from molsift.llm.pii import KINDS, detect_pii, span_text
 from molsift.llm.quality_model import score_quality
 from molsift.llm.quality_rules import quality_rules
+from molsift.llm.repeat_index import mark_repeats
 from molsift.llm.sharding import shard
 from molsift.llm.token_alignment import align_tokenizers
 from molsift.llm.warc import archive_and_read
@@ -75,10 +76,16 @@ def op11_token_alignment(spark, sf_dir):
     return align_tokenizers(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op12_repeated_passages(spark, sf_dir):
+    marked = mark_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return marked.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine_negatives(vectors.withColumn("label", label))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op8_decontaminate, op9_ngram_join, op10_quality_rules, op11_token_alignment, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_mix_sources, op4_quality_model, op5_shard, op6_html_text, op7_warc, op8_decontaminate, op9_ngram_join, op10_quality_rules, op11_token_alignment, op12_repeated_passages, op13_hard_negatives)}
