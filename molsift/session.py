@@ -101,7 +101,7 @@ def _bytes_of(field: T.StructField) -> Column:
     return F.lit(8)
 
 
-def broadcast_below(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+def broadcast_below(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
     """Mark ``df`` for broadcast only if its values take at most ``most_bytes``.
 
     ``df`` is scanned once for that, so it should be a table that has been
