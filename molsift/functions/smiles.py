@@ -206,8 +206,74 @@ def fingerprint(df: DataFrame, radius: int = 2, n_bits: int = 1024, alias: str =
     return df.withColumn(alias, F.array_sort(F.array_distinct(bits)))
 
 
-def stable_round() -> Column:
-    """The atoms' numbers after the first round that tells no more atoms apart.
+def _pi_electrons(a: Column) -> Column:
+    """Electrons that a ring atom gives to an aromatic ring; null if it can't be in one.
+
+    The count is the same for either writing: an atom of a double or aromatic
+    bond in a ring gives one, a carbon doubly bonded to a hetero atom outside
+    none, and N, O, S with single bonds alone a pair.
+    """
+    around = F.get(F.col("nbrs"), a["idx"])
+    pairs = F.transform(around, lambda n: F.struct(n["o"].alias("o"), F.array_contains("_ring_pairs", F.struct(
+        F.least(a["idx"], n["j"]).alias("a"), F.greatest(a["idx"], n["j"]).alias("b"))).alias("ring"), F.get(F.col("atoms"), n["j"])["sym"].alias("sym")))
+    outer = F.exists(pairs, lambda n: (n["o"] == 2) & ~n["ring"])
+    outer_hetero = F.exists(pairs, lambda n: (n["o"] == 2) & ~n["ring"] & n["sym"].isin("O", "N", "S"))
+    inner = F.exists(pairs, lambda n: (n["o"] == 2) & n["ring"])
+    written = F.exists(pairs, lambda n: n["o"] == AROMATIC)
+    bonded = F.size(around) + a["h"]
+    pair = ((a["sym"] == "N") & (a["charge"] == 0) & (bonded == 3)) | (a["sym"].isin("O", "S", "Se") & (a["charge"] == 0) & (bonded == 2)) \
+        | ((a["sym"] == "C") & (a["charge"] == -1))
+    multiple = F.exists(pairs, lambda n: n["o"].isin(3, 4))
+    return (F.when(~a["ring"] | multiple, None).when(outer, F.when((a["sym"] == "C") & outer_hetero & ~inner, 0))
+            .when(inner, 1).when(written & (a["sym"] == "C") & (a["charge"] == 0), 1).when(pair, 2)
+            .when(written & ((a["sym"] == "N") | (a["charge"] == 1)), 1).when((a["sym"] == "C") & (a["charge"] == 1), 0).when(a["sym"] == "B", 0))
+
+
+def aromatic_form(df: DataFrame, sizes=(5, 6, 7)) -> DataFrame:
+    """C11: mark aromatic rings alike, however they are written (lower case or with double bonds).
+
+    Rings of 5 to 7 atoms whose electrons number 4n + 2 become aromatic: their
+    atoms' flags, and order 5 for their bonds in ``bonds`` and ``nbrs``. Rings
+    are found as paths over ring bonds between atoms that can be in one, from
+    each ring's least atom, in one direction.
+    """
+    keep = df.columns
+    pairs = F.transform(F.filter("bonds", lambda b: b["ring"]), lambda b: F.struct(F.least(b["a"], b["b"]).alias("a"), F.greatest(b["a"], b["b"]).alias("b")))
+    df = df.withColumn("_ring_pairs", pairs)
+    df = df.withColumn("_pi", F.transform("atoms", _pi_electrons))
+
+    def takes_part(i: Column) -> Column:
+        return F.get(F.col("_pi"), i).isNotNull()
+
+    df = df.withColumn("_links", F.filter("_ring_pairs", lambda p: takes_part(p["a"]) & takes_part(p["b"])))
+    df = df.withColumn("_next", F.transform("atoms", lambda a: F.transform(
+        F.filter("_links", lambda p: (p["a"] == a["idx"]) | (p["b"] == a["idx"])), lambda p: F.when(p["a"] == a["idx"], p["b"]).otherwise(p["a"]))))
+    df = df.withColumn("_w1", F.transform(F.filter("atoms", lambda a: F.size(F.get(F.col("_next"), a["idx"])) > 1), lambda a: F.array(a["idx"])))
+    for n in range(2, max(sizes) + 1):
+        def longer(p):
+            ways = F.filter(F.get(F.col("_next"), F.element_at(p, -1)), lambda j: (j > F.get(p, F.lit(0))) & ~F.array_contains(p, j))
+            return F.transform(ways, lambda j: F.array_append(p, j))
+        df = df.withColumn(f"_w{n}", F.flatten(F.transform(f"_w{n - 1}", longer)))
+    closed = [F.filter(f"_w{n}", lambda p: F.array_contains(F.get(F.col("_next"), F.element_at(p, -1)), F.get(p, F.lit(0))) & (F.get(p, F.lit(1)) < F.element_at(p, -1))) for n in sizes]
+
+    def whole(p):
+        electrons = F.aggregate(p, F.lit(0), lambda s, i: s + F.get(F.col("_pi"), i))
+        return electrons % 4 == 2
+
+    df = df.withColumn("_rings", F.filter(F.concat(*closed), whole))
+
+    def order(i: Column, j: Column, o: Column) -> Column:
+        return F.when(F.exists("_rings", lambda r: F.array_contains(r, i) & F.array_contains(r, j)), F.lit(AROMATIC)).otherwise(o)
+
+    atoms = F.transform("atoms", lambda a: a.withField("aromatic", a["aromatic"] | F.exists("_rings", lambda r: F.array_contains(r, a["idx"]))))
+    bonds = F.transform("bonds", lambda b: b.withField("o", F.when(b["ring"], order(b["a"], b["b"], b["o"])).otherwise(b["o"])))
+    nbrs = F.transform("nbrs", lambda around, i: F.transform(around, lambda n: n.withField("o", F.when(F.array_contains("_ring_pairs", F.struct(
+        F.least(i.cast("int"), n["j"]).alias("a"), F.greatest(i.cast("int"), n["j"]).alias("b"))), order(i.cast("int"), n["j"], n["o"])).otherwise(n["o"]))))
+    return df.withColumns({"atoms": atoms, "bonds": bonds, "nbrs": nbrs}).select(*keep)
+
+
+def stable_round(seed: Column) -> Column:
+    """The atoms' numbers, from ``seed`` on, after the first round that tells no more atoms apart.
 
     Each number holds the one before it, so from then on no round does; that
     is reached within as many rounds as there are atoms. Numbers are compared
@@ -217,7 +283,7 @@ def stable_round() -> Column:
         return F.when(s["n"] == s["before"], s).otherwise(F.transform(F.array(_next_round(s["now"])), lambda x: F.struct(
             x.alias("now"), F.size(F.array_distinct(x)).alias("n"), s["n"].alias("before")))[0])
 
-    first = F.transform(F.array(_atom_seed(F.col("atoms"))), lambda x: F.struct(
+    first = F.transform(F.array(seed), lambda x: F.struct(
         x.alias("now"), F.size(F.array_distinct(x)).alias("n"), F.lit(0).alias("before")))[0]
     return F.aggregate(F.sequence(F.lit(0), F.size("atoms")), first, one, lambda s: s["now"])
 
@@ -225,12 +291,30 @@ def stable_round() -> Column:
 def identity_key(df: DataFrame, alias: str = "mol_key") -> DataFrame:
     """C11: a key that does not depend on how the molecule is written.
 
-    The sorted numbers of all atoms after so many rounds as tell more atoms
-    apart, hashed. Molecules that no number of neighbour rounds can tell apart
-    share a key.
+    Aromatic rings are marked alike first. Then the sorted numbers of all atoms
+    after so many rounds as tell more atoms apart. Such rounds can't tell some
+    graphs of two rings and more apart (decalin and bicyclopentyl); there every
+    atom that still has an equal is marked in turn, the rounds go on from the
+    mark, and the sorted outcomes of all marks join the key.
     """
-    last = F.transform(F.array_sort(stable_round()), lambda x: x.cast("string"))
-    return df.withColumn(alias, F.sha2(F.concat_ws(",", F.size("bonds").cast("string"), last), 256))
+    keep = df.columns
+    df = aromatic_form(df.withColumn("_o_atoms", F.col("atoms")).withColumn("_o_bonds", F.col("bonds")).withColumn("_o_nbrs", F.col("nbrs")))
+    df = df.withColumn("_stable", stable_round(_atom_seed(F.col("atoms"))))
+    tied = F.filter(F.sequence(F.lit(0), F.size("atoms") - 1), lambda i: F.size(F.filter("_stable", lambda x: x == F.get(F.col("_stable"), i))) > 1)
+    rings = F.size("bonds") - F.size("atoms") + n_parts("atoms")
+    none = F.array().cast("array<int>")
+    df = df.withColumn("_tied", F.when((rings > 1) & (F.size(F.array_distinct("_stable")) < F.size("atoms")), tied).otherwise(none))
+
+    def marked(v: Column) -> Column:
+        seed = F.transform("_stable", lambda x, i: F.when(i == v, F.xxhash64(x, F.lit(1))).otherwise(x))
+        return F.xxhash64(F.array_sort(stable_round(seed)))
+
+    df = df.withColumn("_marked", F.array_sort(F.transform("_tied", marked)))
+    last = F.transform(F.concat(F.array_sort("_stable"), F.col("_marked")), lambda x: x.cast("string"))
+    key = F.sha2(F.concat_ws(",", F.size("bonds").cast("string"), last), 256)
+    df = df.withColumn("_key", key).drop("atoms", "bonds", "nbrs")
+    df = df.withColumns({"atoms": F.col("_o_atoms"), "bonds": F.col("_o_bonds"), "nbrs": F.col("_o_nbrs")})
+    return df.select(*[c for c in keep if c != alias], F.col("_key").alias(alias))
 
 
 def path_fingerprint(df: DataFrame, max_len: int = 4, n_bits: int = 2048, alias: str = "path_bits") -> DataFrame:

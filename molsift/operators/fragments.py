@@ -1,4 +1,4 @@
-"""Cutting molecules into fragments and joining fragments.
+"""Cutting molecules into fragments and joining fragments.
 
 Pairs come as a table or from a join on an equality key; nothing here pairs
 everything with everything. A fragment is a graph (``atoms``, ``bonds``) with
@@ -7,77 +7,97 @@ attachment atoms ``*``; joining, saturating and capping rearrange its arrays.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import smiles as S
+from ..functions.substructure import CUTS, environments
+
+def cut_bonds(df: DataFrame, alias: str = "cuts") -> DataFrame:
+    """The bonds outside rings whose ends lie in environments that may face each other.
+
+    Adds an array of i (place of the bond), a, b, and la and lb, the numbers of
+    the environments of its ends; the first rule that fits counts, and no bond
+    is cut twice. Bonds are judged on the whole molecule, not one after the other.
+    """
+    rules = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(2 if x == y == 7 else 1).alias("o")) for x, ys in CUTS.items() for y in ys])
+
+    def has(v: Column, label: Column) -> Column:
+        return F.array_contains(F.get(F.col("_env"), v), label)
+
+    def cut(b: Column, i: Column) -> Column:
+        def straight(r):
+            return has(b["a"], r["x"]) & has(b["b"], r["y"])
+        rule = F.get(F.filter("_rules", lambda r: (r["o"] == b["o"]) & (straight(r) | (has(b["a"], r["y"]) & has(b["b"], r["x"])))), F.lit(0))
+        found = F.struct(i.cast("int").alias("i"), b["a"].alias("a"), b["b"].alias("b"), F.when(straight(rule), rule["x"]).otherwise(rule["y"]).alias("la"),
+                         F.when(straight(rule), rule["y"]).otherwise(rule["x"]).alias("lb"))
+        return F.when(~b["ring"] & rule.isNotNull(), found)
+
+    return (environments(df, "_env").withColumn("_rules", rules)
+            .withColumn(alias, F.filter(F.transform("bonds", cut), lambda c: c.isNotNull())).drop("_env", "_rules"))
+
+
+def fragment(df: DataFrame) -> DataFrame:
+    """One row per fragment of each molecule: the columns of ``df``, n_cuts, and the fragment's own atoms, bonds and nbrs.
+
+    A cut leaves an attachment atom on either side, labelled with the number of
+    the environment that it is bonded to. A molecule without cuts is one
+    fragment; the atoms of all fragments but for attachments are those of the
+    molecule.
+    """
+    others = [c for c in df.columns if c not in ("atoms", "bonds", "nbrs")]
+    df = cut_bonds(df, "_cuts").withColumn("_at", F.transform("_cuts", lambda c: c["i"]))
+    kept = F.filter(F.transform("bonds", lambda b, i: F.struct(b.alias("b"), F.array_contains("_at", i.cast("int")).alias("cut"))), lambda x: ~x["cut"])
+    df = df.withColumn("_kept", F.transform(kept, lambda x: x["b"]))
+
+    def merge(part: Column, b: Column) -> Column:
+        x, y = F.get(part, b["a"]), F.get(part, b["b"])
+        return F.transform(part, lambda p: F.when(p == F.greatest(x, y), F.least(x, y)).otherwise(p))
+
+    # The part of each atom: its least atom, after the kept bonds have joined their ends.
+    df = df.withColumn("_part", F.aggregate("_kept", F.transform("atoms", lambda a: a["idx"]), merge))
+    star = F.element_at("atoms", 1)
+    for name, value in {"sym": F.lit("*"), "aromatic": F.lit(False), "charge": F.lit(0), "h": F.lit(0), "bracket": F.lit(True), "donor": F.lit(False),
+                        "acceptor": F.lit(False), "ring": F.lit(False), "mass": F.lit(0.0)}.items():
+        star = star.withField(name, value)
+    n = F.size("atoms")
+
+    def ends(side: str, label: str, shift: int) -> Column:
+        """The attachments at one end of the cuts, numbered after the atoms."""
+        return F.transform("_cuts", lambda c, k: F.struct(c[side].alias("to"), (n + 2 * k + shift).cast("int").alias("idx"), c[label].alias("label")))
+
+    df = df.withColumn("_ends", F.concat(ends("a", "la", 0), ends("b", "lb", 1)))
+    each = df.select(*others, "atoms", "_part", "_kept", "_ends", F.size("_cuts").alias("n_cuts"), F.explode(F.array_distinct("_part")).alias("_p"))
+
+    def mine(v: Column) -> Column:
+        return F.get(F.col("_part"), v) == F.col("_p")
+
+    hands = F.filter("_ends", lambda e: mine(e["to"]))
+    atoms = F.concat(F.filter("atoms", lambda a: mine(a["idx"])), F.transform(hands, lambda e: star.withField("idx", e["idx"]).withField("label", e["label"])))
+    links = F.transform(hands, lambda e: F.struct(e["to"].alias("a"), e["idx"].alias("b"), F.lit(1).alias("o"), F.lit(False).alias("ring")))
+    bonds = F.concat(F.filter("_kept", lambda b: mine(b["a"])), links)
+    out = each.select(*others, "n_cuts", atoms.alias("atoms"), bonds.alias("bonds"))
+    return renumber(out)
+
+
+def attachment_labels(atoms: str = "atoms") -> Column:
+    """The labels of the attachment atoms, in order of size."""
+    return F.array_sort(F.transform(F.filter(atoms, lambda a: a["sym"] == "*"), lambda a: a["label"]))
+
+
+def fragment_text(atoms: str = "atoms") -> Column:
+    """A fragment in words: its formula and the labels of its attachments."""
+    labels = attachment_labels(atoms)
+    return F.concat(S.formula(atoms), F.when(F.size(labels) > 0, F.concat(F.lit("|"), F.array_join(labels.cast("array<string>"), ","))).otherwise(""))
+
+
+def distinct_fragments(df: DataFrame, key: str) -> DataFrame:
+    """One row per molecule (``key``) and distinct fragment: frag_key (its identity), fragment (in words), n_cuts.
 
-# The default cutting rules, as the two ends of a single bond
-# outside rings: element, whether in a ring, and the label the cut leaves there.
-RULES = [("C", True, 16, "C", True, 16), ("C", False, 4, "O", False, 3), ("C", True, 16, "O", False, 3), ("C", False, 1, "N", False, 5),
-         ("C", True, 16, "N", False, 5), ("C", False, 8, "C", True, 16), ("S", False, 12, "N", False, 5)]
-
-CUT_TYPE = "array<struct<comp:int,n_atoms:int,labels:array<int>,members:array<int>>>"
-
-
-def _fragments(sizes: pa.Array, bonds: pa.Array, cuts: pa.Array) -> pa.Array:
-    """Parts of a molecule once its cut bonds (place, label at a, label at b) are gone."""
-    out = []
-    for n, bs, cs in zip(sizes.to_pylist(), bonds.to_pylist(), cuts.to_pylist()):
-        if n is None:
-            out.append(None)
-            continue
-        gone = {c["i"] for c in cs}
-        up = list(range(n))
-
-        def top(x):
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-        for i, b in enumerate(bs):
-            if i not in gone:
-                x, y = top(b["a"]), top(b["b"])
-                up[max(x, y)] = min(x, y)
-        parts: dict[int, dict] = {}
-        for v in range(n):
-            r = top(v)
-            parts.setdefault(r, {"comp": r, "n_atoms": 0, "labels": [], "members": []})
-            parts[r]["n_atoms"] += 1
-            parts[r]["members"].append(v)
-        for c in cs:
-            b = bs[c["i"]]
-            parts[top(b["a"])]["labels"].append(c["la"])
-            parts[top(b["b"])]["labels"].append(c["lb"])
-        out.append([{**p, "labels": sorted(p["labels"])} for p in parts.values()])
-    kind = pa.list_(pa.struct([("comp", pa.int32()), ("n_atoms", pa.int32()), ("labels", pa.list_(pa.int32())), ("members", pa.list_(pa.int32()))]))
-    return pa.array(out, kind)
-
-
-def fragment(df: DataFrame, rules: Sequence[tuple] = RULES) -> DataFrame:
-    """One row per fragment of each molecule (columns of ``df``, ``n_cuts`` and ``fragment``).
-
-    Single bonds outside rings that match a rule in either direction are cut.
-    ``fragment`` holds the atoms that stay together and the labels left by cuts.
+    The same fragment of two molecules stays twice.
     """
-    def end(v: Column, sym: str, ring: bool) -> Column:
-        a = F.get(F.col("atoms"), v)
-        return (a["sym"] == sym) & (a["ring"] == ring)
-
-    def cut(b, i):
-        out = F.lit(None).cast("struct<i:int,la:int,lb:int>")
-        for s1, r1, l1, s2, r2, l2 in reversed(list(rules)):
-            for x, y, la, lb in ((b["a"], b["b"], l1, l2), (b["b"], b["a"], l2, l1)):
-                out = F.when(end(x, s1, r1) & end(y, s2, r2), F.struct(i.cast("int").alias("i"), F.lit(la).alias("la"), F.lit(lb).alias("lb"))).otherwise(out)
-        return F.when((b["o"] == 1) & ~b["ring"], out)
-
-    parts = F.arrow_udf(_fragments, CUT_TYPE).asNondeterministic()
-    with_cuts = df.withColumn("_cuts", F.filter(F.transform("bonds", cut), lambda c: c.isNotNull()))
-    with_parts = with_cuts.withColumn("_parts", parts(F.size("atoms"), F.col("bonds"), F.col("_cuts")))
-    return with_parts.select(*df.columns, F.size("_cuts").alias("n_cuts"), F.explode("_parts").alias("fragment"))
+    each = S.identity_key(fragment(df), "frag_key").select(key, "n_cuts", "frag_key", fragment_text().alias("fragment"))
+    return each.groupBy(key, "frag_key").agg(F.first("n_cuts").alias("n_cuts"), F.first("fragment").alias("fragment"))
 
 
 def pair_attachments(pairs: DataFrame, left: str = "att_a", right: str = "att_b") -> DataFrame:

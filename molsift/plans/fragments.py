@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import smiles as S
+from ..functions.substructure import logp
 from ..operators import fragments as FR
-from ..operators.molecules import explode_fragments
 from ..operators.reports import bit_moments
-from ..sources.views import v_frag, v_mol
+from ..sources.views import v_env, v_frag, v_mol
 from .molecules import GOLDEN_SQL
 from .registry import query
 
@@ -113,17 +113,22 @@ def q_fingerprint_moments(spark, sf):
     return m.select("bit", "on", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-@query("cut_fragments", "C12 C13 E14", sql=f"""SELECT m.mol_id, CAST(g.n_atoms AS BIGINT) AS n_atoms FROM v_mol m JOIN {GOLDEN_SQL} ON m.smiles = g.smiles WHERE g.status IS NULL""")
+@query("cut_fragments", "C12 C13 E14", sql="SELECT mol_id, smiles, n_cuts, fragments FROM v_env")
 def q_cut_fragments(spark, sf):
-    """Atoms of all fragments of a molecule together: cutting loses none."""
-    f = FR.fragment(valid(spark, sf).select("mol_id", "atoms", "bonds"))
-    return f.groupBy("mol_id").agg(F.sum("fragment.n_atoms").alias("n_atoms"))
+    """The distinct fragments of each molecule."""
+    m = S.mol_graph(v_env(spark, sf))
+    per = FR.distinct_fragments(m, "mol_id").groupBy("mol_id").agg(F.first("n_cuts").alias("n_cuts"), F.array_join(F.array_sort(F.collect_list("fragment")), ";").alias("fragments"))
+    return m.select("mol_id", "smiles").join(per, "mol_id")
 
 
-@query("fragment_kinds", "C12 C13 E14")
+@query("fragment_kinds", "C12 C13 E14", sql="""SELECT fragment, count(*) AS n_molecules
+ FROM (SELECT unnest(string_split(fragments, ';')) AS fragment, CASE WHEN n_cuts = 0 THEN smiles END AS whole FROM v_env) GROUP BY fragment, whole""")
 def q_fragment_kinds(spark, sf):
-    """Fragments by size and cut labels, with the molecules that have them."""
-    f = FR.fragment(valid(spark, sf).select("mol_id", "atoms", "bonds"))
-    per = f.groupBy("mol_id").agg(F.collect_list(F.struct("fragment.n_atoms", "fragment.labels")).alias("fragments"))
-    return (explode_fragments(per).groupBy(F.col("fragment.n_atoms").alias("n_atoms"), F.array_join(F.col("fragment.labels").cast("array<string>"), ",").alias("labels"))
-            .agg(F.count(F.lit(1)).alias("n_molecules")))
+    """Fragments over all molecules, with how many molecules have them."""
+    each = FR.distinct_fragments(S.mol_graph(v_env(spark, sf)), "mol_id")
+    return each.groupBy("frag_key").agg(F.first("fragment").alias("fragment"), F.count(F.lit(1)).alias("n_molecules")).drop("frag_key")
+
+
+@query("partition_logp", "C8", sql="SELECT mol_id, smiles, CAST(logp AS DOUBLE) AS logp, 0 AS n_untyped FROM v_env")
+def q_partition_logp(spark, sf):
+    return logp(S.mol_graph(v_env(spark, sf))).select("mol_id", "smiles", F.round("logp", 4).alias("logp"), "n_untyped")
