@@ -1,4 +1,4 @@
-"""Models fitted and scored as Spark jobs.
+"""Models fitted and scored as Spark jobs.
 
 Estimators are MLlib's; what the screening needs beyond them (population
 scaling, ridge by sums, weights tables, pooled folds, an MLP) is here.
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,14 +116,9 @@ def sweep_tree(train: DataFrame, test: DataFrame, cols: Sequence[str], depths=(5
     return sorted(out, key=lambda r: (r["gap"] > max_gap, -r["test_r2"]))
 
 
-def fit_forest(train: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 200, depth: int = 30, seed: int = 42) -> Model:
-    """Random forest with square-root feature sampling."""
-    return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(assemble(train, cols))
-
-
 def fit_gbt(train: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 20, depth: int = 3, eta: float = 0.1,
             rows: float = 1.0, columns: str = "all", seed: int = 42) -> Model:
-    """Gradient boosting (I7: 200 trees, depth 6, rows 0.8, columns "0.8")."""
+    """Gradient boosting; with penalties on the leaves (I7) it is ``trees.boost``."""
     return GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=eta, subsamplingRate=rows,
                         featureSubsetStrategy=columns, seed=seed).fit(assemble(train, cols))
 
