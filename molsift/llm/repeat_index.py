@@ -8,18 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molsift.llm.common import bounded_batches
+from molsift.llm.decontaminate import build_filter, passes
 from molsift.session import broadcast_below, materialise
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of an anchor.
 ANCHOR = 16
-#: Letters in the first sorting key: nine bits each.
-PACKED = 7
 LAST = (1 << 63) - 1
 
 
@@ -35,9 +35,15 @@ def suffix_order(text: np.ndarray, end: np.ndarray, which: np.ndarray, length: i
     """
     n, m = len(text), int(which[-1]) + 1
     at = np.arange(n)
+    # As many letters as fit into one key, numbered by those that occur.
+    present = np.flatnonzero(np.bincount(text, minlength=257))
+    code = np.zeros(257, np.uint64)
+    code[present] = np.arange(len(present))
+    bits = max(1, int(len(present) - 1).bit_length())
+    letters, packed = code[text], min(63 // bits, length)
     key = np.zeros(n, np.uint64)
-    for j in range(PACKED):
-        key = key << np.uint64(9) | text[np.minimum(at + j, end)]
+    for j in range(packed):
+        key = key << np.uint64(bits) | letters[np.minimum(at + j, end)]
     order = np.argsort(key)
     new = np.ones(n, bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
@@ -46,7 +52,7 @@ def suffix_order(text: np.ndarray, end: np.ndarray, which: np.ndarray, length: i
     rank[order] = np.maximum.accumulate(np.where(new, at, 0))
     ends = end[at == end]
     rank[ends], order[:m], new[:m] = which[ends], ends, True
-    h, head, width = PACKED, rank.copy(), PACKED
+    h, head, width = packed, rank.copy(), packed
     while True:
         # Only rows that have equals are sorted on; they stay within their rows.
         last = np.append(new[1:], True)
@@ -95,6 +101,9 @@ class RunLengthIndex:
         lengths = (run_end - self.run + 1)[self.by_letter]
         self.step = np.empty(len(self.run), np.int64)
         self.step[self.by_letter] = np.cumsum(lengths) - lengths
+        self.shift = self.step - self.run
+        # A bucket is small, so the run of a row is looked up, not searched.
+        self.run_of = np.repeat(np.arange(len(self.run), dtype=np.int32), run_end - self.run + 1)
         self.keys = (self.letter * self.n + self.run)[self.by_letter]
         # Intervals of suffixes with equal first letters.
         whole = end[order] - order >= length
@@ -102,8 +111,8 @@ class RunLengthIndex:
         far = length - width
         same = whole[1:] & whole[:-1] & (head[a] == head[b])
         same[same] = head[a[same] + far] == head[b[same] + far]
-        self.interval = np.flatnonzero(np.concatenate([[True], ~same]))
-        self.earliest = np.minimum.reduceat(which[order], self.interval)
+        interval = np.flatnonzero(np.concatenate([[True], ~same]))
+        self.earliest = np.repeat(np.minimum.reduceat(which[order], interval), np.diff(np.append(interval, self.n))).astype(np.int32)
 
     def _common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Letters that the suffixes at p and q share, up to ``length``."""
@@ -133,9 +142,9 @@ class RunLengthIndex:
             who = by_size[:live]
             place = sizes[who] - 1 - t
             letter = data[start[who] + place]
-            r = np.searchsorted(self.run, row[who], side="right") - 1
+            r = self.run_of[row[who]]
             miss = np.flatnonzero(self.letter[r] != letter)
-            dead = np.zeros(live, bool)
+            dead = None
             if len(miss):
                 m = who[miss]
                 after = np.searchsorted(self.keys, letter[miss] * self.n + row[m])
@@ -148,15 +157,16 @@ class RunLengthIndex:
                 row[m] = np.where(below_row, self.run[down], self.run_end[up])
                 at[m] = np.where(below_row, self.first_sample[down], self.last_sample[up])
                 best = np.maximum(share[0], share[1])
-                dead[miss] = best < 0  # a letter that no string has
+                dead = who[miss[best < 0]]  # a letter that no string has
                 got[m] = np.maximum(best, 0)
-            row[who] = np.where(dead, 0, self.step[r] + row[who] - self.run[r])
-            at[who] = np.where(dead, self.first_sample[0], at[who] - 1)
-            got[who] = np.where(dead, 0, got[who] + 1)
+            row[who] += self.shift[r]
+            at[who] -= 1
+            got[who] += 1
+            if dead is not None and len(dead):
+                row[dead], at[dead], got[dead] = 0, self.first_sample[0], 0
             full = who[got[who] >= self.length]
             if len(full):
-                first = self.earliest[np.searchsorted(self.interval, row[full], side="right") - 1]
-                full = full[first < below[full]]
+                full = full[self.earliest[row[full]] < below[full]]
                 found.append((full, sizes[full] - 1 - t))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -166,32 +176,83 @@ class RunLengthIndex:
 # --- anchors: where windows are looked for
 
 
+def _hash_at(data: bytes, at: np.ndarray | None, width: int) -> np.ndarray:
+    """Hash (48 upper bits, the rest 0) of the ``width`` bytes at the given places, or at all."""
+    n = len(data) - 7
+    words = np.ndarray((max(n, 0),), "<u8", buffer=data, strides=(1,))
+    count = len(data) - width + 1
+    h = np.zeros(count if at is None else len(at), np.uint64)
+    for shift in sorted({*range(0, width - 7, 8), width - 8}):
+        h = (h ^ (words[shift:shift + count] if at is None else words[at + shift])) * MIX
+        h ^= h >> np.uint64(29)
+    h *= MIX
+    h ^= h >> np.uint64(32)
+    return h & ~np.uint64(0xFFFF)
+
+
+def anchor_hashes(data: bytes) -> np.ndarray:
+    return _hash_at(data, None, ANCHOR)
+
+
+def may_match(strings: list[bytes], length: int, grid: int = 8) -> np.ndarray:
+    """Which of the strings may have ``length`` bytes in common with another one; the strings are those of ``anchors``.
+
+    Two that do have their anchor in common and so many bytes on both sides of
+    it. With the count on the left cut down to a multiple of ``grid``, they have
+    all but ``grid`` - 1 of those bytes at that place, whose hash is looked for
+    in the others at each such count.
+    """
+    data = b"".join(strings)
+    sizes = np.array([len(s) for s in strings])
+    start = np.cumsum(sizes) - sizes
+    h = np.append(anchor_hashes(data), np.zeros(ANCHOR - 1, np.uint64))
+    at = np.arange(len(data))
+    own = np.repeat(np.arange(len(strings)), sizes)
+    h[at > (start + sizes - ANCHOR)[own]] = ~np.uint64(0)
+    hit = h == np.minimum.reduceat(h, start)[own]
+    place = np.minimum.reduceat(np.where(hit, at, len(data)), start)
+    keep = np.add.reduceat(hit, start, dtype=np.int64) > 1
+    rest = length - ANCHOR
+    for left in range(0, rest + 1, grid):
+        begin, width = place - left, max(ANCHOR, ANCHOR + left + max(0, rest - left - grid + 1))
+        some = np.flatnonzero((begin >= start) & (begin + width <= start + sizes))
+        _, inverse, counts = np.unique(_hash_at(data, begin[some], width), return_inverse=True, return_counts=True)
+        keep[some[counts[inverse] > 1]] = True
+    return keep
+
+
 def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of ``length`` bytes with one anchor: its hash (even), the first window, the end.
+    """Runs of windows of ``length`` bytes with one anchor: its hash (48 upper bits), the first window, the end.
 
     A window's anchor is the least hash of the ANCHOR bytes at its places, so
     equal windows have equal anchors wherever they are.
     """
-    n = len(data) - ANCHOR + 1
-    h = np.zeros(n, np.uint64)
-    for at in range(0, ANCHOR, 8):
-        h = (h ^ np.ndarray((n,), "<u8", buffer=data, offset=at, strides=(1,))) * MIX
-        h ^= h >> np.uint64(29)
-    h *= MIX
-    h ^= h >> np.uint64(32)
+    h = anchor_hashes(data)
     width, s = length - ANCHOR + 1, 1
     while 2 * s <= width:
         h = np.minimum(h[:-s], h[s:])
         s *= 2
     if s < width:
         h = np.minimum(h[:len(h) - (width - s)], h[width - s:])
-    h = h & ~np.uint64(1)
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     return h[start], start, np.append(start[1:], len(h))
 
 
 def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
-    return ((values >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
+    """Bucket of each value; anchors are minima, so their bits are mixed once more."""
+    mixed = (values ^ (values >> np.uint64(31))) * MIX
+    return ((mixed >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
+
+
+def six_bytes(values: np.ndarray) -> np.ndarray:
+    """The 48 bits of each anchor."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).ravel()
+
+
+def eight_bytes(packed: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, 2:] = packed.reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def held_in(values: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -208,10 +269,11 @@ ROWS = "src long, kind int, bucket int, body binary"
 
 def pack(*arrays: np.ndarray) -> bytes:
     head = json.dumps([[a.dtype.str, len(a)] for a in arrays]).encode()
-    return b"".join([len(head).to_bytes(4, "little"), head, *(a.tobytes() for a in arrays)])
+    return zstandard.compress(b"".join([len(head).to_bytes(4, "little"), head, *(a.tobytes() for a in arrays)]), 1)
 
 
 def unpack(body: bytes) -> list[np.ndarray]:
+    body = zstandard.decompress(body)
     at = 4 + int.from_bytes(body[:4], "little")
     out = []
     for kind, n in json.loads(body[4:at]):
@@ -279,13 +341,14 @@ def _scan_anchors(length: int, buckets: int, hold: int):
 
         def flush():
             value, doc = np.concatenate(values), np.repeat(np.arange(len(values)), [len(v) for v in values])
-            order = np.argsort(value, kind="stable")
+            bucket = bucket_of(value, buckets)
+            order = np.lexsort((value, bucket))
             value, doc = value[order], doc[order]
-            cuts = np.searchsorted(bucket_of(value, buckets), np.arange(buckets + 1))
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             yield _batch([(src, 0, src % buckets, pack(np.array([o for o, _ in docs], "<i8"), np.frombuffer(b"".join(h for _, h in docs), np.uint8)))])
             for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                 at = slice(cuts[k], cuts[k + 1])
-                yield _batch([(src, 1, k, pack(value[at], doc[at].astype("<u2")))])
+                yield _batch([(src, 1, k, pack(six_bytes(value[at]), doc[at].astype("<u2")))])
 
         for b in batches:
             for o, h, t in zip(*(c.to_pylist() for c in b.columns)):
@@ -305,7 +368,7 @@ def _scan_anchors(length: int, buckets: int, hold: int):
 def _shared_anchors(often: int):
     """What sources of a bucket have -> to each, those of its anchors that another document has, and those that more than ``often`` have."""
     def work(held):
-        got = [unpack(body) for _, body in held]
+        got = [(eight_bytes(v), d) for v, d in (unpack(body) for _, body in held)]
         values, inverse, counts = np.unique(np.concatenate([v for v, _ in got]), return_inverse=True, return_counts=True)
         at = 0
         for (src, _), (value, doc) in zip(held, got):
@@ -415,8 +478,12 @@ def _look_up(length: int):
         order = sorted(first, key=lambda s: (first[s], s))
         number = {s: i for i, s in enumerate(order)}
         least = np.array([first[s] for s in order], np.int64)
-        index = RunLengthIndex(order, length)
-        pattern, place = index.matches(order, np.searchsorted(least, least))
+        some = np.flatnonzero(may_match(order, length))
+        pattern = place = np.empty(0, np.int64)
+        if len(some) > 1:
+            indexed = [order[i] for i in some.tolist()]
+            pattern, place = RunLengthIndex(indexed, length).matches(indexed, np.searchsorted(least[some], least[some]))
+            pattern = some[pattern]
         by = np.argsort(pattern, kind="stable")
         pattern, place = pattern[by], place[by]
         cuts = np.searchsorted(pattern, np.arange(len(order) + 1))
@@ -474,8 +541,25 @@ def _settle(length: int):
     return work
 
 
+def by_filter(body: DataFrame, some: DataFrame, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``body`` whose (o, h) may be among those of ``some``, and rows whose (o, h) surely is not.
+
+    By a Bloom filter of bounded size, so that only the former, with their
+    texts, go through a join that shuffles.
+    """
+    table, bits = build_filter(some.select(F.xxhash64("o", "h").alias("gram")), most_bits)
+
+    def may(keys: pa.Array) -> pa.Array:
+        out = np.zeros(len(keys), bool)
+        out[passes(table, bits, keys.to_numpy(zero_copy_only=False).view(np.uint64))] = True
+        return pa.array(out)
+
+    test = F.arrow_udf(may, "boolean")(F.xxhash64("o", "h"))
+    return body.filter(test), body.filter(~test)
+
+
 def mark_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, often: int = 5000,
-                 hold: int = 500_000, bucket_bytes: int = 2 << 20) -> DataFrame:
+                 hold: int = 500_000, bucket_bytes: int = 512 << 10, filter_bits: int = 1 << 24) -> DataFrame:
     """The bytes of every text that a document with a smaller key already has in a run of ``length`` or more.
 
     Returns one row per input row: ``key``, n_bytes, spans (maximal runs of
@@ -493,7 +577,9 @@ def mark_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     matching statistics mark the windows that an earlier string has. Sources
     turn marks into spans. Anchors of more than ``often`` documents send single
     windows, bucketed by their own hash, so no bucket grows with one anchor;
-    what many documents have is one string with one key, whoever has it.
+    what many documents have is one string with one key, whoever has it. Strings
+    that can't match by what lies around their anchors are not indexed
+    (``may_match``).
 
     Keys are whole numbers; a null key comes after all others. Rows of equal
     keys don't remove one another's bytes, so repeated rows get equal results.
@@ -514,7 +600,9 @@ def mark_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     long = body.filter(F.octet_length("t") >= length)
     expected = size * 2 // (length - ANCHOR + 2)
     buckets = max(1, expected // 1_000_000 + 1)
-    found = long.join(broadcast_below(copies), ["o", "h"], "left_anti").select("o", "h", "t").mapInArrow(_scan_anchors(length, buckets, hold), ROWS)
+    doubtful, first = by_filter(long, copies, filter_bits)
+    first = first.unionByName(doubtful.join(copies, ["o", "h"], "left_anti").select(*first.columns))
+    found = first.select("o", "h", "t").mapInArrow(_scan_anchors(length, buckets, hold), ROWS)
     told = _exchange(found, buckets, _shared_anchors(often), "repeat-anchors")
     wanted = (told.repartition("src").sortWithinPartitions("src", "kind")
               .mapInArrow(_per_source(_wanted, [("o", pa.int64()), ("h", pa.binary()), ("shared", pa.binary()), ("often", pa.binary())]),
@@ -523,7 +611,8 @@ def mark_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     asked = wanted.agg(F.sum(F.octet_length("shared")) / 4).first()[0] or 0
 
     buckets = int(asked * length * 0.8 // bucket_bytes) + 1
-    found = long.join(broadcast_below(wanted), ["o", "h"]).select("o", "h", "t", "shared", "often").mapInArrow(_scan_text(length, buckets, 8 * hold), ROWS)
+    doubtful, _ = by_filter(long, wanted, filter_bits)
+    found = doubtful.join(wanted, ["o", "h"]).select("o", "h", "t", "shared", "often").mapInArrow(_scan_text(length, buckets, 8 * hold), ROWS)
     told = _exchange(found, buckets, _look_up(length), "repeat-strings")
     gone = (told.repartition("src").sortWithinPartitions("src", "kind")
             .mapInArrow(_per_source(_settle(length), [("o", pa.int64()), ("h", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]),
@@ -545,5 +634,7 @@ def mark_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in b.column(1).to_pylist()], pa.int64()),
                                               pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], names=[key, "n_bytes", "spans", "kept"])
 
-    marked = body.join(broadcast_below(gone.withColumn("found", F.lit(True))), ["o", "h"], "left").select("k", "t", "found", "starts", "ends")
-    return marked.mapInArrow(finish, f"`{key}` {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    touched, others = by_filter(body, gone, filter_bits)
+    marked = touched.join(gone.withColumn("found", F.lit(True)), ["o", "h"], "left").select("k", "t", "found", "starts", "ends")
+    others = others.select("k", "t", F.lit(None).cast("boolean").alias("found"), none.alias("starts"), none.alias("ends"))
+    return marked.unionByName(others).mapInArrow(finish, f"`{key}` {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
