@@ -25,6 +25,15 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once per row, however often they are used afterwards.
+
+    A plain projection may be merged into the next one, which then repeats its
+    expressions wherever they are named; a generator of one row is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def smiles_tokens(col) -> Column:
     """Tokens of the notation; they re-concatenate to the input when the
     string is inside the supported alphabet."""
@@ -185,25 +194,59 @@ def _next_round(now: Column) -> Column:
         F.get(F.col("nbrs"), i), lambda n: F.struct(n["o"].alias("o"), F.get(now, n["j"]).alias("x"))))))
 
 
-def atom_rounds(radius: int) -> Column:
-    """Per radius from 0 on, a 64-bit number per atom for its surroundings.
+# The modulus and factor of the integer hash, which any SQL engine can repeat.
+PRIME, FACTOR = 2_147_483_647, 31_337
 
-    The rounds are one fold, whose value is bound once per round.
-    """
-    def one(rounds, _):
-        return F.array_append(rounds, _next_round(F.element_at(rounds, -1)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(radius)), F.array(_atom_seed(F.col("atoms"))), one)
+def _fold(start: Column, values: Column) -> Column:
+    """The values hashed one after the other, each below the modulus."""
+    return F.aggregate(values, start.cast("long"), lambda s, x: (s * FACTOR + x) % PRIME)
+
+
+def environment_seed(a: Column) -> Column:
+    """An atom by itself as a number: symbol, neighbours, hydrogens, charge, ring."""
+    symbol = F.ascii(a["sym"]) + 256 * F.ascii(F.substring(a["sym"], 2, 1))
+    marks = [symbol, F.size(F.get(F.col("nbrs"), a["idx"])), a["h"], a["charge"] + 16, a["ring"].cast("int"), F.coalesce(a["label"], F.lit(0))]
+    return _fold(F.lit(17), F.array(*[m.cast("long") for m in marks]))
 
 
 def fingerprint(df: DataFrame, radius: int = 2, n_bits: int = 1024, alias: str = "bits") -> DataFrame:
     """Circular fingerprint, the sorted on-bits of ``n_bits``.
 
-    Every atom gives one bit per radius from 0 to ``radius``: its number after
-    so many rounds, folded. Equal molecules written differently give equal bits.
+    Every atom has a number per radius: at 0 that of the atom by itself, then
+    the radius, its last number and the sorted (bond order, last number) of its
+    neighbours, folded by an integer hash. An environment is the set of bonds
+    within its radius; of environments with equal sets the one of the least
+    radius, then number, counts, and those without bonds beyond radius 0 don't.
+    Equal molecules written differently give equal bits.
     """
-    bits = F.transform(F.flatten(atom_rounds(radius)), lambda x: F.pmod(x, F.lit(n_bits)).cast("int"))
-    return df.withColumn(alias, F.array_sort(F.array_distinct(bits)))
+    keep = df.columns
+    numbered = F.transform("bonds", lambda b, k: F.struct(b["a"].alias("a"), b["b"].alias("b"), b["o"].alias("o"), k.cast("int").alias("k")))
+    df = settled(df, _bonds=numbered)
+    df = settled(df, _near=F.transform("atoms", lambda a: F.transform(
+        F.filter("_bonds", lambda b: (b["a"] == a["idx"]) | (b["b"] == a["idx"])), lambda b: F.struct(
+            F.when(b["a"] == a["idx"], b["b"]).otherwise(b["a"]).alias("j"), b["o"].cast("long").alias("o"), b["k"].alias("k")))))
+    df = settled(df, _id0=F.transform("atoms", environment_seed), _set0=F.transform("atoms", lambda a: F.array().cast("array<int>")))
+    for r in range(1, radius + 1):
+        ids, sets = F.col(f"_id{r - 1}"), F.col(f"_set{r - 1}")
+
+        def next_id(x, i):
+            around = F.array_sort(F.transform(F.get(F.col("_near"), i), lambda n: F.struct(n["o"].alias("o"), F.get(ids, n["j"]).alias("x"))))
+            return _fold(F.lit(17), F.concat(F.array(F.lit(r).cast("long"), x), F.flatten(F.transform(around, lambda n: F.array(n["o"], n["x"])))))
+
+        def next_set(x, i):
+            around = F.get(F.col("_near"), i)
+            return F.array_sort(F.array_distinct(F.concat(x, F.transform(around, lambda n: n["k"]), F.flatten(F.transform(around, lambda n: F.get(sets, n["j"]))))))
+
+        df = settled(df, **{f"_id{r}": F.transform(ids, next_id), f"_set{r}": F.transform(sets, next_set)})
+    def at_radius(r):
+        return F.zip_with(f"_set{r}", f"_id{r}", lambda s, x: F.struct(s.alias("s"), F.lit(r).alias("r"), x.alias("x")))
+
+    seen = F.concat(*[at_radius(r) for r in range(1, radius + 1)])
+    df = settled(df, _seen=F.array_sort(F.filter(seen, lambda e: F.size(e["s"]) > 0)))
+    first = F.filter("_seen", lambda e, k: (k == 0) | (F.get(F.col("_seen"), k - 1)["s"] != e["s"]))
+    bits = F.transform(F.concat(F.col("_id0"), F.transform(first, lambda e: e["x"])), lambda x: (x % n_bits).cast("int"))
+    return df.withColumn("_bits", F.array_sort(F.array_distinct(bits))).select(*[c for c in keep if c != alias], F.col("_bits").alias(alias))
 
 
 def _pi_electrons(a: Column) -> Column:
@@ -239,28 +282,28 @@ def aromatic_form(df: DataFrame, sizes=(5, 6, 7)) -> DataFrame:
     """
     keep = df.columns
     pairs = F.transform(F.filter("bonds", lambda b: b["ring"]), lambda b: F.struct(F.least(b["a"], b["b"]).alias("a"), F.greatest(b["a"], b["b"]).alias("b")))
-    df = df.withColumn("_ring_pairs", pairs)
-    df = df.withColumn("_pi", F.transform("atoms", _pi_electrons))
+    df = settled(df, _ring_pairs=pairs)
+    df = settled(df, _pi=F.transform("atoms", _pi_electrons))
 
     def takes_part(i: Column) -> Column:
         return F.get(F.col("_pi"), i).isNotNull()
 
-    df = df.withColumn("_links", F.filter("_ring_pairs", lambda p: takes_part(p["a"]) & takes_part(p["b"])))
-    df = df.withColumn("_next", F.transform("atoms", lambda a: F.transform(
+    df = settled(df, _links=F.filter("_ring_pairs", lambda p: takes_part(p["a"]) & takes_part(p["b"])))
+    df = settled(df, _next=F.transform("atoms", lambda a: F.transform(
         F.filter("_links", lambda p: (p["a"] == a["idx"]) | (p["b"] == a["idx"])), lambda p: F.when(p["a"] == a["idx"], p["b"]).otherwise(p["a"]))))
-    df = df.withColumn("_w1", F.transform(F.filter("atoms", lambda a: F.size(F.get(F.col("_next"), a["idx"])) > 1), lambda a: F.array(a["idx"])))
+    df = settled(df, _w1=F.transform(F.filter("atoms", lambda a: F.size(F.get(F.col("_next"), a["idx"])) > 1), lambda a: F.array(a["idx"])))
     for n in range(2, max(sizes) + 1):
         def longer(p):
             ways = F.filter(F.get(F.col("_next"), F.element_at(p, -1)), lambda j: (j > F.get(p, F.lit(0))) & ~F.array_contains(p, j))
             return F.transform(ways, lambda j: F.array_append(p, j))
-        df = df.withColumn(f"_w{n}", F.flatten(F.transform(f"_w{n - 1}", longer)))
+        df = settled(df, **{f"_w{n}": F.flatten(F.transform(f"_w{n - 1}", longer))})
     closed = [F.filter(f"_w{n}", lambda p: F.array_contains(F.get(F.col("_next"), F.element_at(p, -1)), F.get(p, F.lit(0))) & (F.get(p, F.lit(1)) < F.element_at(p, -1))) for n in sizes]
 
     def whole(p):
         electrons = F.aggregate(p, F.lit(0), lambda s, i: s + F.get(F.col("_pi"), i))
         return electrons % 4 == 2
 
-    df = df.withColumn("_rings", F.filter(F.concat(*closed), whole))
+    df = settled(df, _rings=F.filter(F.concat(*closed), whole))
 
     def order(i: Column, j: Column, o: Column) -> Column:
         return F.when(F.exists("_rings", lambda r: F.array_contains(r, i) & F.array_contains(r, j)), F.lit(AROMATIC)).otherwise(o)
@@ -269,7 +312,8 @@ def aromatic_form(df: DataFrame, sizes=(5, 6, 7)) -> DataFrame:
     bonds = F.transform("bonds", lambda b: b.withField("o", F.when(b["ring"], order(b["a"], b["b"], b["o"])).otherwise(b["o"])))
     nbrs = F.transform("nbrs", lambda around, i: F.transform(around, lambda n: n.withField("o", F.when(F.array_contains("_ring_pairs", F.struct(
         F.least(i.cast("int"), n["j"]).alias("a"), F.greatest(i.cast("int"), n["j"]).alias("b"))), order(i.cast("int"), n["j"], n["o"])).otherwise(n["o"]))))
-    return df.withColumns({"atoms": atoms, "bonds": bonds, "nbrs": nbrs}).select(*keep)
+    df = settled(df, _new_atoms=atoms, _new_bonds=bonds, _new_nbrs=nbrs)
+    return df.select(*[F.col(f"_new_{c}").alias(c) if c in ("atoms", "bonds", "nbrs") else c for c in keep])
 
 
 def stable_round(seed: Column) -> Column:
@@ -299,22 +343,21 @@ def identity_key(df: DataFrame, alias: str = "mol_key") -> DataFrame:
     """
     keep = df.columns
     df = aromatic_form(df.withColumn("_o_atoms", F.col("atoms")).withColumn("_o_bonds", F.col("bonds")).withColumn("_o_nbrs", F.col("nbrs")))
-    df = df.withColumn("_stable", stable_round(_atom_seed(F.col("atoms"))))
+    df = settled(df, _stable=stable_round(_atom_seed(F.col("atoms"))))
     tied = F.filter(F.sequence(F.lit(0), F.size("atoms") - 1), lambda i: F.size(F.filter("_stable", lambda x: x == F.get(F.col("_stable"), i))) > 1)
     rings = F.size("bonds") - F.size("atoms") + n_parts("atoms")
     none = F.array().cast("array<int>")
-    df = df.withColumn("_tied", F.when((rings > 1) & (F.size(F.array_distinct("_stable")) < F.size("atoms")), tied).otherwise(none))
+    df = settled(df, _tied=F.when((rings > 1) & (F.size(F.array_distinct("_stable")) < F.size("atoms")), tied).otherwise(none))
 
     def marked(v: Column) -> Column:
         seed = F.transform("_stable", lambda x, i: F.when(i == v, F.xxhash64(x, F.lit(1))).otherwise(x))
         return F.xxhash64(F.array_sort(stable_round(seed)))
 
-    df = df.withColumn("_marked", F.array_sort(F.transform("_tied", marked)))
+    df = settled(df, _marked=F.array_sort(F.transform("_tied", marked)))
     last = F.transform(F.concat(F.array_sort("_stable"), F.col("_marked")), lambda x: x.cast("string"))
     key = F.sha2(F.concat_ws(",", F.size("bonds").cast("string"), last), 256)
-    df = df.withColumn("_key", key).drop("atoms", "bonds", "nbrs")
-    df = df.withColumns({"atoms": F.col("_o_atoms"), "bonds": F.col("_o_bonds"), "nbrs": F.col("_o_nbrs")})
-    return df.select(*[c for c in keep if c != alias], F.col("_key").alias(alias))
+    df = settled(df, _key=key)
+    return df.select(*[F.col(f"_o_{c}").alias(c) if c in ("atoms", "bonds", "nbrs") else c for c in keep if c != alias], F.col("_key").alias(alias))
 
 
 def path_fingerprint(df: DataFrame, max_len: int = 4, n_bits: int = 2048, alias: str = "path_bits") -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .smiles import settled
+
 SINGLE, DOUBLE, TRIPLE, AROMATIC = 1, 2, 3, 5
 Test = Callable[[Column], Column]
 
@@ -27,7 +29,7 @@ def surroundings(df: DataFrame, alias: str = "around") -> DataFrame:
     """
     atoms, nbrs = F.col("atoms"), F.col("nbrs")
     rings = F.transform(F.filter("bonds", lambda b: b["ring"]), lambda b: F.struct(F.least(b["a"], b["b"]).alias("a"), F.greatest(b["a"], b["b"]).alias("b")))
-    df = df.withColumn("_rings", rings)
+    df = settled(df, _rings=rings)
 
     def marks(i: Column) -> list[Column]:
         a = F.get(atoms, i)
@@ -41,14 +43,14 @@ def surroundings(df: DataFrame, alias: str = "around") -> DataFrame:
 
     one = F.transform(atoms, lambda a: F.struct(*marks(a["idx"]), F.transform(F.filter(
         F.get(nbrs, a["idx"]), lambda n: F.get(atoms, n["j"])["sym"] != "H"), lambda n: F.struct(*bond(a["idx"], n))).alias("near")))
-    df = df.withColumn("_one", one)
+    df = settled(df, _one=one)
     two = F.transform("_one", lambda e, i: e.withField("near", F.transform(e["near"], lambda n: F.struct(
         *[n[c].alias(c) for c in ("j", "o", "in_ring")],
         *[F.get(F.col("_one"), n["j"])[c].alias(c) for c in ("sym", "aromatic", "charge", "ring", "h", "deg")],
         F.transform(F.filter(F.get(F.col("_one"), n["j"])["near"], lambda m: m["j"] != i.cast("int")), lambda m: F.struct(
             m["o"].alias("o"), m["in_ring"].alias("in_ring"),
             *[F.get(F.col("_one"), m["j"])[c].alias(c) for c in ("sym", "aromatic", "charge", "ring", "h", "deg")])).alias("far")))))
-    return df.withColumn(alias, two).drop("_rings", "_one")
+    return settled(df, **{alias: two}).drop("_rings", "_one")
 
 
 def both(*tests: Test) -> Test:
@@ -253,7 +255,7 @@ def atom_types(df: DataFrame, alias: str = "types") -> DataFrame:
     Atoms no type fits (attachments, other elements) have a null type.
     """
     heavy = F.filter("_around", lambda e: e["sym"] != "H")
-    return surroundings(df, "_around").withColumn(alias, F.transform(heavy, _typed)).drop("_around")
+    return settled(surroundings(df, "_around"), **{alias: F.transform(heavy, _typed)}).drop("_around")
 
 
 def logp(df: DataFrame, alias: str = "logp", unknown: str = "n_untyped") -> DataFrame:
@@ -269,4 +271,4 @@ def environments(df: DataFrame, alias: str = "environments") -> DataFrame:
     def of(e: Column) -> Column:
         return F.array_compact(F.array(*[F.when(test(e), F.lit(n)) for n, test in ENVIRONMENTS.items()]))
 
-    return surroundings(df, "_around").withColumn(alias, F.transform("_around", of)).drop("_around")
+    return settled(surroundings(df, "_around"), **{alias: F.transform("_around", of)}).drop("_around")

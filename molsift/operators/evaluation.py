@@ -62,18 +62,25 @@ def auc(points: DataFrame, by: str) -> DataFrame:
 
 
 def interpolate(points: DataFrame, grid: Column, by: str, x: str, y: str) -> DataFrame:
-    """linear interpolation of each series of ``points`` at every value of the array ``grid``.
+    """linear interpolation of each series of ``points`` at every value of the ascending array ``grid``.
 
     Outside the points the end values hold; where points share an x, the last
-    (largest) y counts to the right of it.
+    (largest) y counts to the right of it. Points without x or y are left out.
+
+    Points shrink to the first and last of each grid interval, by an aggregate;
+    what is carried over interval borders is one row per grid value, so no
+    window is longer than the grid, however many points a series has.
     """
-    asked = points.select(by).distinct().select(by, F.explode(grid).alias("_at"), F.lit(None).cast("double").alias("_y"))
-    both = points.select(by, F.col(x).alias("_at"), F.col(y).alias("_y")).unionByName(asked)
-    order = Window.partitionBy(by).orderBy("_at", F.col("_y").isNull(), "_y")
-    known = F.when(F.col("_y").isNotNull(), F.struct(F.col("_at").alias("x"), F.col("_y").alias("y")))
-    low = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(known, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    found = both.withColumns({"_lo": low, "_hi": high}).where(F.col("_y").isNull())
+    point = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    whole = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ends = (whole.groupBy(F.col(by).alias("_by"), F.size(F.filter(grid, lambda g: g < F.col(x))).alias("_slot"))
+            .agg(F.max(point).alias("_last"), F.min(point).alias("_first")))
+    asked = whole.select(by).distinct().select(by, F.posexplode(F.concat(grid, F.array(F.lit(None).cast("double")))).alias("_k", "_at"))
+    rows = asked.join(ends, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_k") == F.col("_slot")), "left")
+    order = Window.partitionBy(by).orderBy("_k")  # one row per grid value
+    low = F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    high = F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing))
+    found = rows.withColumns({"_lo": low, "_hi": high}).where(F.col("_at").isNotNull())
     slope = (F.col("_hi.y") - F.col("_lo.y")) / (F.col("_hi.x") - F.col("_lo.x"))
     value = (F.when(F.col("_lo").isNull(), F.col("_hi.y")).when(F.col("_hi").isNull() | (F.col("_lo.x") == F.col("_at")), F.col("_lo.y"))
              .otherwise(F.col("_lo.y") + slope * (F.col("_at") - F.col("_lo.x"))))

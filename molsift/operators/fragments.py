@@ -33,8 +33,8 @@ def cut_bonds(df: DataFrame, alias: str = "cuts") -> DataFrame:
                          F.when(straight(rule), rule["y"]).otherwise(rule["x"]).alias("lb"))
         return F.when(~b["ring"] & rule.isNotNull(), found)
 
-    return (environments(df, "_env").withColumn("_rules", rules)
-            .withColumn(alias, F.filter(F.transform("bonds", cut), lambda c: c.isNotNull())).drop("_env", "_rules"))
+    df = environments(df, "_env").withColumn("_rules", rules)
+    return S.settled(df, **{alias: F.filter(F.transform("bonds", cut), lambda c: c.isNotNull())}).drop("_env", "_rules")
 
 
 def fragment(df: DataFrame) -> DataFrame:
@@ -48,14 +48,14 @@ def fragment(df: DataFrame) -> DataFrame:
     others = [c for c in df.columns if c not in ("atoms", "bonds", "nbrs")]
     df = cut_bonds(df, "_cuts").withColumn("_at", F.transform("_cuts", lambda c: c["i"]))
     kept = F.filter(F.transform("bonds", lambda b, i: F.struct(b.alias("b"), F.array_contains("_at", i.cast("int")).alias("cut"))), lambda x: ~x["cut"])
-    df = df.withColumn("_kept", F.transform(kept, lambda x: x["b"]))
+    df = S.settled(df, _kept=F.transform(kept, lambda x: x["b"]))
 
     def merge(part: Column, b: Column) -> Column:
         x, y = F.get(part, b["a"]), F.get(part, b["b"])
         return F.transform(part, lambda p: F.when(p == F.greatest(x, y), F.least(x, y)).otherwise(p))
 
     # The part of each atom: its least atom, after the kept bonds have joined their ends.
-    df = df.withColumn("_part", F.aggregate("_kept", F.transform("atoms", lambda a: a["idx"]), merge))
+    df = S.settled(df, _part=F.aggregate("_kept", F.transform("atoms", lambda a: a["idx"]), merge))
     star = F.element_at("atoms", 1)
     for name, value in {"sym": F.lit("*"), "aromatic": F.lit(False), "charge": F.lit(0), "h": F.lit(0), "bracket": F.lit(True), "donor": F.lit(False),
                         "acceptor": F.lit(False), "ring": F.lit(False), "mass": F.lit(0.0)}.items():
@@ -76,8 +76,8 @@ def fragment(df: DataFrame) -> DataFrame:
     atoms = F.concat(F.filter("atoms", lambda a: mine(a["idx"])), F.transform(hands, lambda e: star.withField("idx", e["idx"]).withField("label", e["label"])))
     links = F.transform(hands, lambda e: F.struct(e["to"].alias("a"), e["idx"].alias("b"), F.lit(1).alias("o"), F.lit(False).alias("ring")))
     bonds = F.concat(F.filter("_kept", lambda b: mine(b["a"])), links)
-    out = each.select(*others, "n_cuts", atoms.alias("atoms"), bonds.alias("bonds"))
-    return renumber(out)
+    out = S.settled(each, _new_atoms=atoms, _new_bonds=bonds)
+    return renumber(out.select(*others, "n_cuts", F.col("_new_atoms").alias("atoms"), F.col("_new_bonds").alias("bonds")))
 
 
 def attachment_labels(atoms: str = "atoms") -> Column:
@@ -193,17 +193,17 @@ def cap_vinyl(df: DataFrame) -> DataFrame:
 
 def renumber(df: DataFrame) -> DataFrame:
     """Give atoms dense numbers again and rebuild ``nbrs``, as keys and fingerprints need them."""
-    order = F.transform("atoms", lambda a: a["idx"])
-    df = df.withColumn("_order", order)
+    keep = [c for c in df.columns if c not in ("atoms", "bonds", "nbrs")]
+    df = S.settled(df, _order=F.transform("atoms", lambda a: a["idx"]))
 
     def place(v):
         return (F.array_position("_order", v) - 1).cast("int")
 
-    df = df.withColumn("bonds", F.transform("bonds", lambda b: b.withField("a", place(b["a"])).withField("b", place(b["b"]))))
-    df = df.withColumn("atoms", F.transform("atoms", lambda a, i: a.withField("idx", i.cast("int")))).drop("_order")
-    around = F.transform("atoms", lambda a: F.transform(F.filter("bonds", lambda b: (b["a"] == a["idx"]) | (b["b"] == a["idx"])), lambda b: F.struct(
+    df = S.settled(df, _new_bonds=F.transform("bonds", lambda b: b.withField("a", place(b["a"])).withField("b", place(b["b"]))),
+                   _new_atoms=F.transform("atoms", lambda a, i: a.withField("idx", i.cast("int"))))
+    around = F.transform("_new_atoms", lambda a: F.transform(F.filter("_new_bonds", lambda b: (b["a"] == a["idx"]) | (b["b"] == a["idx"])), lambda b: F.struct(
         F.when(b["a"] == a["idx"], b["b"]).otherwise(b["a"]).alias("j"), b["o"].alias("o"))))
-    return df.withColumn("nbrs", around)
+    return S.settled(df, _new_nbrs=around).select(*keep, *[F.col(f"_new_{c}").alias(c) for c in ("atoms", "bonds", "nbrs")])
 
 
 def distinct_products(df: DataFrame) -> DataFrame:

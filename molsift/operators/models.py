@@ -87,6 +87,76 @@ def fit_ridge_cv(train: DataFrame, cols: Sequence[str], fold: str, alphas: Seque
     return fit_linear(train, cols, label, best), best, error
 
 
+def gram_of_bits(df: DataFrame, bits: str, label: str, n_bits: int, fold: str, stripe: int = 128, at_once: int = 4096) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Per fold the sums X'X, X'y and y'y of on-bit arrays, an intercept first.
+
+    Each task adds up block outer products and gives one row per fold and
+    stripe of the matrix; stripes are summed by groups, so no group holds more
+    than a stripe per task. What reaches the driver is (n_bits + 1)^2 numbers a
+    fold, whatever the number of rows.
+    """
+    k = n_bits + 1
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at in range(0, len(b), at_once):
+                part = b.slice(at, at_once)
+                flat, sizes = part.column(0).flatten().to_numpy(zero_copy_only=False), part.column(0).value_lengths().to_numpy(zero_copy_only=False)
+                x = np.zeros((len(part), k + 1))
+                x[:, 0], x[:, k] = 1.0, part.column(1).to_numpy(zero_copy_only=False)
+                x[np.repeat(np.arange(len(part)), sizes), flat + 1] = 1.0
+                folds = part.column(2).to_numpy(zero_copy_only=False)
+                for f in np.unique(folds).tolist():
+                    mine = x[folds == f]
+                    sums[f] = sums.get(f, 0) + mine.T @ mine
+        for f, m in sums.items():
+            for s in range(0, k + 1, stripe):
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([s], pa.int32()), pa.array([m[s:s + stripe].tobytes()], pa.binary())], names=["fold", "stripe", "m"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in table.column("m").to_pylist())
+        return pa.table({"fold": table.column("fold")[:1], "stripe": table.column("stripe")[:1], "m": pa.array([total.tobytes()], pa.binary())})
+
+    rows = df.where(F.col(bits).isNotNull() & F.col(label).isNotNull()).select(bits, F.col(label).cast("double"), F.col(fold).cast("int"))
+    schema = "fold int, stripe int, m binary"
+    parts: dict[int, dict[int, bytes]] = {}
+    for r in rows.mapInArrow(run, schema).groupBy("fold", "stripe").applyInArrow(add, schema).collect():
+        parts.setdefault(r["fold"], {})[r["stripe"]] = bytes(r["m"])
+    out = {}
+    for f, stripes in sorted(parts.items()):
+        m = np.frombuffer(b"".join(stripes[s] for s in sorted(stripes)), np.float64).reshape(k + 1, k + 1)
+        out[f] = (m[:k, :k], m[:k, k], float(m[k, k]))
+    return out
+
+
+def ridge_on_bits(df: DataFrame, bits: str, label: str, n_bits: int, fold: str,
+                  alphas: Sequence[float] = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1e3)) -> tuple[np.ndarray, float, dict[float, float]]:
+    """I3 on fingerprints: weights (intercept first), the penalty of the smallest squared error over folds, and all errors.
+
+    The intercept is not penalised; every penalty and fold is solved from the
+    sums of one pass, and the weights are those of all rows.
+    """
+    sums = gram_of_bits(df, bits, label, n_bits, fold)
+    xx, xy = sum(s[0] for s in sums.values()), sum(s[1] for s in sums.values())
+    free = np.diag([0.0] + [1.0] * n_bits)
+    error = {}
+    for alpha in alphas:
+        loss = []
+        for gx, gy, yy in sums.values():
+            w = np.linalg.lstsq(xx - gx + alpha * free, xy - gy, rcond=None)[0] if len(sums) > 1 else np.linalg.lstsq(xx + alpha * free, xy, rcond=None)[0]
+            loss.append((yy - 2 * w @ gy + w @ gx @ w) / gx[0, 0])
+        error[alpha] = float(np.mean(loss))
+    best = min(error, key=lambda a: (error[a], a))
+    return np.linalg.lstsq(xx + best * free, xy, rcond=None)[0], best, error
+
+
+def predict_bits(weights: np.ndarray, df: DataFrame, bits: str, out: str = "prediction") -> DataFrame:
+    """Intercept plus the weights of the on-bits; the weights are one literal array."""
+    table = F.array(*[F.lit(float(w)) for w in weights[1:]])
+    return df.withColumn("_w", table).withColumn(out, F.aggregate(bits, F.lit(float(weights[0])), lambda s, i: s + F.get(F.col("_w"), i))).drop("_w")
+
+
 def predict(model: Model, df: DataFrame, cols: Sequence[str], out: str = "prediction") -> DataFrame:
     """The rows with their prediction as one more column; no join."""
     return model.transform(assemble(df, cols)).select(*df.columns, F.col(model.getPredictionCol()).alias(out))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .reports import adaptive_bins, bin_index, group_mean
 from .windows import global_row_number, ntile_of
 
 # Multiplier and modulus of the seeded arithmetic hash, which any
@@ -79,6 +81,27 @@ def group_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) ->
     return outside, inside
 
 
+def stratified_group_split(df: DataFrame, key: str, target: str, share: float = 0.2, seed: int = 42, candidates: Sequence[int] = (5, 4, 3, 2),
+                           min_keys: int = 2) -> tuple[DataFrame, DataFrame]:
+    """F8: (train, test) such that all rows of a key are on one side and the keys' mean targets spread alike over both.
+
+    Keys fall into equal-width bins of their mean target, as many as leave
+    ``min_keys`` in each; of every bin the rounded ``share`` is test. Where no
+    number of bins does that, keys are split by their hash alone. Keys without
+    any target are a stratum of their own.
+    """
+    keys = materialise(group_mean(df, key, target, "_mean").select(key, "_mean"), "split-keys")
+    n = adaptive_bins(keys, "_mean", candidates, min_keys).first()["n_bins"]
+    if n is None:
+        chosen = random_split(keys, key, share, seed, "_side")
+    else:
+        low, high = keys.agg(F.min("_mean"), F.max("_mean")).first()
+        bins = F.coalesce(bin_index(F.col("_mean"), F.lit(low), F.lit(high), n), F.lit(-1))
+        chosen = stratified_split(keys.withColumn("_bin", bins), "_bin", key, share, seed, "_side")
+    inside, outside = split_by_keys(df, chosen.where("_side = 'test'"), key)
+    return outside, inside
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """H4: keys on both sides."""
     return a.select(key).intersect(b.select(key))

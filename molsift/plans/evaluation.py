@@ -187,6 +187,25 @@ def q_group_split(spark, sf):
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 
+BINS_SQL = "least(CAST(floor((m - lo) * n / (hi - lo)) AS INT), n - 1)"
+
+
+@query("stratified_group_split", "F8 E5 E7 F5 D6 H4", sql=f"""WITH k AS (SELECT l_partkey, sum(f1) / count(*) AS m, count(*) AS n_rows FROM v_feat GROUP BY l_partkey),
+r AS (SELECT min(m) AS lo, max(m) AS hi FROM k),
+c AS (SELECT n, b, count(*) AS c FROM (SELECT n, {BINS_SQL} AS b FROM k, r, (VALUES (5), (4), (3), (2)) t(n)) GROUP BY n, b),
+w AS (SELECT max(n) AS n FROM (SELECT n FROM c GROUP BY n HAVING min(c) >= 2 AND count(*) = n)),
+s AS (SELECT l_partkey, n_rows, {BINS_SQL} AS b FROM k, r, w),
+t AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY (l_partkey * 7919 + 42) % 1000003, l_partkey) AS rn, count(*) OVER (PARTITION BY b) AS c FROM s)
+SELECT l_partkey, CASE WHEN rn <= floor(c * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS side, n_rows, 0 AS n_both
+FROM t""")
+def q_stratified_group_split(spark, sf):
+    """Side and rows of every key, and how many keys are on both sides."""
+    train, test = S.stratified_group_split(v_feat(spark, sf), "l_partkey", "f1")
+    both = S.overlap(train, test, "l_partkey").count()
+    sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return sides.groupBy("l_partkey", "side").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_both", F.lit(both))
+
+
 @query("split_overlap", "H4", sql="""SELECT l_suppkey FROM (SELECT l_suppkey FROM v_feat WHERE part_set = 'train' INTERSECT SELECT l_suppkey FROM v_feat WHERE part_set = 'test') t""")
 def q_split_overlap(spark, sf):
     f = v_feat(spark, sf)

@@ -9,7 +9,7 @@ from ..functions import smiles as S
 from ..functions.substructure import logp
 from ..operators import fragments as FR
 from ..operators.reports import bit_moments
-from ..sources.views import v_env, v_frag, v_mol
+from ..sources.views import graph_rows, v_env, v_frag, v_graph, v_mol
 from .molecules import GOLDEN_SQL
 from .registry import query
 
@@ -97,9 +97,31 @@ def q_same_molecule(spark, sf):
     return keyed.join(first, "mol_key").select("mol_id", "first_id")
 
 
-@query("circular_fingerprints", "C9")
+def _folded(start: str, values: str) -> str:
+    return f"list_reduce(list_prepend(CAST({start} AS BIGINT), {values}), lambda s, x: (s * {S.FACTOR} + x) % {S.PRIME})"
+
+
+def _environments(r: int) -> str:
+    """Number and bond set of every atom at radius r, from those at r - 1."""
+    number = _folded("17", f"list_concat([CAST({r} AS BIGINT), any_value(e.x)], flatten(list([CAST(n.o AS BIGINT), f.x] ORDER BY n.o, f.x)))")
+    return f"""e{r} AS (SELECT e.smiles, e.i, {number} AS x, list_sort(list_distinct(list_concat(any_value(e.s), list(n.k), flatten(list(f.s))))) AS s
+ FROM e{r - 1} e JOIN near n ON n.smiles = e.smiles AND n.i = e.i JOIN e{r - 1} f ON f.smiles = n.smiles AND f.i = n.j GROUP BY e.smiles, e.i)"""
+
+
+BITS_SQL = f"""atom AS (SELECT * FROM (VALUES {graph_rows()[0]}) v(smiles, i, sym, sym2, deg, h, charge, ring)),
+bond AS (SELECT * FROM (VALUES {graph_rows()[1]}) v(smiles, k, a, b, o)),
+near AS (SELECT smiles, a AS i, b AS j, o, k FROM bond UNION ALL SELECT smiles, b, a, o, k FROM bond),
+e0 AS (SELECT smiles, i, {_folded("17", "[CAST(x AS BIGINT) FOR x IN [sym + 256 * sym2, deg, h, charge + 16, ring, 0]]")} AS x, CAST([] AS INTEGER[]) AS s FROM atom),
+{_environments(1)}, {_environments(2)},
+seen AS (SELECT smiles, s, min({{'r': r, 'x': x}}).x AS x FROM (SELECT *, 1 AS r FROM e1 UNION ALL SELECT *, 2 FROM e2) GROUP BY smiles, s),
+bits AS (SELECT DISTINCT smiles, CAST(x % 1024 AS INT) AS bit FROM (SELECT smiles, x FROM e0 UNION ALL SELECT smiles, x FROM seen))"""
+
+
+@query("circular_fingerprints", "C9", sql=f"""WITH {BITS_SQL}, t AS (SELECT smiles, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM bits GROUP BY smiles)
+SELECT mol_id, m.smiles, bits FROM v_graph m JOIN t ON t.smiles = m.smiles""")
 def q_circular_fingerprints(spark, sf):
-    return S.fingerprint(valid(spark, sf)).select("mol_id", "smiles", "bits")
+    f = S.fingerprint(S.mol_graph(v_graph(spark, sf)))
+    return f.select("mol_id", "smiles", F.array_join(F.col("bits").cast("array<string>"), ",").alias("bits"))
 
 
 @query("path_fingerprints", "C10")
@@ -107,9 +129,11 @@ def q_path_fingerprints(spark, sf):
     return S.path_fingerprint(valid(spark, sf)).select("mol_id", "smiles", "path_bits")
 
 
-@query("fingerprint_moments", "E16 C9")
+@query("fingerprint_moments", "E16 C9", sql=f"""WITH {BITS_SQL}, n AS (SELECT count(*) AS n FROM v_graph)
+SELECT bit, count(*) AS "on", round(count(*) / any_value(n), 6) AS mean, round(sqrt(count(*) / any_value(n) * (1 - count(*) / any_value(n))), 6) AS sd
+FROM v_graph m JOIN bits b ON b.smiles = m.smiles, n GROUP BY bit""")
 def q_fingerprint_moments(spark, sf):
-    m = bit_moments(S.fingerprint(valid(spark, sf)), "bits")
+    m = bit_moments(S.fingerprint(S.mol_graph(v_graph(spark, sf))), "bits")
     return m.select("bit", "on", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 

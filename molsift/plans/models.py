@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import smiles as S
 from ..functions.scalar import yes_no
 from ..operators import models as M
 from ..operators.evaluation import accuracy, regression_metrics
 from ..operators.splits import kfold
 from ..operators.trees import boost, forest
-from ..sources.views import table, v_feat, v_lab
+from ..session import materialise
+from ..sources.views import table, v_env, v_feat, v_lab
 from .registry import query
 
 FEATURES = ["f1", "f2", "f3", "f4"]
@@ -46,6 +48,17 @@ def q_ridge_scores(spark, sf):
     return M.evaluate_split(model, train, test, FEATURES).withColumn("alpha", F.lit(alpha))
 
 
+@query("ridge_on_fingerprints", "I3 C9 I13 E10")
+def q_ridge_on_fingerprints(spark, sf):
+    """Ridge over 1,024 circular bits, penalty chosen over five folds, metrics per fold side."""
+    price = table(spark, sf, "part").select(F.col("p_partkey").alias("mol_id"), F.col("p_retailprice").cast("double").alias("label"))
+    bits = S.fingerprint(S.mol_graph(v_env(spark, sf))).select("mol_id", "bits").join(price, "mol_id")
+    rows = materialise(bits.withColumn("fold", F.pmod(F.col("mol_id") * 7919 + 42, F.lit(5)).cast("int")), "ridge-bits")
+    weights, alpha, _ = M.ridge_on_bits(rows, "bits", "label", 1024, "fold")
+    scored = M.predict_bits(weights, rows, "bits").withColumn("part_set", F.concat(F.lit("fold "), F.col("fold").cast("string")))
+    return regression_metrics(scored, "label", "prediction", ["part_set"]).withColumn("alpha", F.lit(alpha))
+
+
 @query("tree_sweep", "I4 I13")
 def q_tree_sweep(spark, sf):
     train, test = sides(spark, sf)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -63,18 +64,29 @@ DEFAULT_ENCODINGS = ("UTF-8", "GBK", "GB18030", "ISO-8859-1")
 def detect_encoding(spark: SparkSession, path: str, encodings=DEFAULT_ENCODINGS) -> str:
     """A3: the first charset that decodes every line of the file.
 
-    UTF-8 is tested on the raw bytes of the lines; another charset by reading
-    the lines under it through the CSV reader, which puts U+FFFD for what it
-    can't decode. Each test is one distributed aggregate. Raises if none fits.
+    The file is read once, as raw bytes: every task tries all charsets on its
+    lines, and one aggregate tells which ones none refused. Raises if none fits.
     """
-    for enc in encodings:
-        if enc.upper().replace("-", "") == "UTF8":
-            bad = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value"))).first()[0]
-        else:
-            bad = raw_lines(spark, path, enc).agg(F.count_if(F.instr("line", "\ufffd") > 0)).first()[0]
-        if bad == 0:
-            return enc
-    raise ValueError(f"no charset of {list(encodings)} decodes {path}")
+    names = list(encodings)
+
+    def run(batches):
+        fits = [True] * len(names)
+        for b in batches:
+            raw = b"\n".join(x or b"" for x in b.column(0).to_pylist())
+            for i, name in enumerate(names):
+                if fits[i]:
+                    try:
+                        raw.decode(name)
+                    except UnicodeDecodeError:
+                        fits[i] = False
+        yield pa.RecordBatch.from_arrays([pa.array([fits], pa.list_(pa.bool_()))], names=["fits"])
+
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("value"))
+    all_fit = lines.mapInArrow(run, "fits array<boolean>").agg(*[F.bool_and(F.get("fits", F.lit(i))).alias(f"c{i}") for i in range(len(names))]).first()
+    for name, fit in zip(names, all_fit):
+        if fit is not False:
+            return name
+    raise ValueError(f"no charset of {names} decodes {path}")
 
 
 def raw_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = False) -> DataFrame:
@@ -140,11 +152,17 @@ def union_all(frames) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                header: bool = True, partition_by=None) -> str:
+                header: bool = True, partition_by=None, signature: bool = False) -> str:
     """Distributed write; an empty result still carries its schema.
 
-    ``fmt='csv'`` writes a header per part file; no single-file coalesce.
+    ``fmt='csv'`` writes a header per part file; no single-file coalesce. With
+    ``signature`` each of these headers begins with the UTF-8 byte order mark
+    (utf-8-sig); it needs a header. ``mode='append'`` adds part files.
     """
+    if signature:
+        if fmt != "csv" or not header:
+            raise ValueError("a signature needs CSV with a header")
+        df = df.toDF(f"\ufeff{df.columns[0]}", *df.columns[1:])
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", header)

@@ -48,6 +48,17 @@ WORKED = [
     ("CC(=O)c1ccccc1", 1.8892, 1, "C2H3O|6;C6H5|16"), ("CCO", -0.0014, 0, "C2H6O"), ("CC#N", 0.5299, 0, "C2H3N"), ("CCOCC", 1.0428, 2, "C2H5|4;O|3,3")]
 
 
+# Molecules as graphs, assigned by p_partkey % 10: per atom symbol,
+# neighbours, hydrogens, charge and whether in a ring; per bond its ends and order.
+GRAPHS = [
+    ("CCO", "C 1 3 0 0,C 2 2 0 0,O 1 1 0 0", "0 1 1,1 2 1"), ("CC(=O)O", "C 1 3 0 0,C 3 0 0 0,O 1 0 0 0,O 1 1 0 0", "0 1 1,1 2 2,1 3 1"),
+    ("c1ccccc1", "C 2 1 0 1,C 2 1 0 1,C 2 1 0 1,C 2 1 0 1,C 2 1 0 1,C 2 1 0 1", "0 1 5,1 2 5,2 3 5,3 4 5,4 5 5,0 5 5"),
+    ("C1CC1", "C 2 2 0 1,C 2 2 0 1,C 2 2 0 1", "0 1 1,1 2 1,0 2 1"), ("C[NH3+]", "C 1 3 0 0,N 1 3 1 0", "0 1 1"),
+    ("C[Si](C)(C)Cl", "C 1 3 0 0,Si 4 0 0 0,C 1 3 0 0,C 1 3 0 0,Cl 1 0 0 0", "0 1 1,1 2 1,1 3 1,1 4 1"), ("CC#N", "C 1 3 0 0,C 2 0 0 0,N 1 0 0 0", "0 1 1,1 2 3"),
+    ("C=CC=O", "C 1 2 0 0,C 2 1 0 0,C 2 1 0 0,O 1 0 0 0", "0 1 2,1 2 1,2 3 2"), ("O", "O 0 2 0 0", ""),
+    ("CC(C)(C)C", "C 1 3 0 0,C 4 0 0 0,C 1 3 0 0,C 1 3 0 0,C 1 3 0 0", "0 1 1,1 2 1,1 3 1,1 4 1")]
+
+
 def _literal(spark: SparkSession, rows, name: str) -> DataFrame:
     return spark.createDataFrame(rows, f"k int, {name} string")
 
@@ -66,6 +77,24 @@ def v_env(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("p_partkey").alias("mol_id"), "smiles"))
 
 
+def v_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    lit = F.broadcast(_literal(spark, [(k, row[0]) for k, row in enumerate(GRAPHS)], "smiles"))  # 10 rows, fixed
+    return (part.join(lit, F.pmod(part.p_partkey, F.lit(len(GRAPHS))) == lit.k)
+            .select(F.col("p_partkey").alias("mol_id"), "smiles"))
+
+
+def graph_rows() -> tuple[str, str]:
+    """The atoms (smiles, i, sym, sym2, deg, h, charge, ring) and bonds (smiles, k, a, b, o) of GRAPHS as SQL rows."""
+    atoms, bonds = [], []
+    for smiles, a, b in GRAPHS:
+        for i, x in enumerate(a.split(",")):
+            sym, *marks = x.split()
+            atoms.append(f"('{smiles}',{i},{ord(sym[0])},{ord(sym[1]) if len(sym) > 1 else 0},{','.join(marks)})")
+        bonds += [f"('{smiles}',{k},{','.join(x.split())})" for k, x in enumerate(b.split(",")) if x]
+    return ",".join(atoms), ",".join(bonds)
+
+
 def v_frag(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey")
     lit = F.broadcast(_literal(spark, FRAGMENTS, "fragment"))  # 6 rows, fixed
@@ -125,7 +154,7 @@ def v_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("doc_id") * 31 + 42) % 10).alias("fold"))
 
 
-VIEWS = {"v_mol": v_mol, "v_env": v_env, "v_frag": v_frag, "v_score": v_score, "v_obj": v_obj,
+VIEWS = {"v_mol": v_mol, "v_env": v_env, "v_graph": v_graph, "v_frag": v_frag, "v_score": v_score, "v_obj": v_obj,
          "v_feat": v_feat, "v_lab": v_lab}
 
 
@@ -145,6 +174,8 @@ FROM part p JOIN (VALUES {_values(MOLECULES)}) AS v(k, smiles) ON p.p_partkey %
     "v_env": f"""SELECT p.p_partkey AS mol_id, v.smiles AS smiles, v.logp, v.n_cuts, v.fragments
 FROM part p JOIN (VALUES {",".join(f"({k},'{m}',{p},{c},'{f}')" for k, (m, p, c, f) in enumerate(WORKED))}) AS v(k, smiles, logp, n_cuts, fragments)
  ON p.p_partkey % {len(WORKED)} = v.k""",
+    "v_graph": f"""SELECT p.p_partkey AS mol_id, v.smiles AS smiles
+FROM part p JOIN (VALUES {",".join(f"({k},'{m[0]}')" for k, m in enumerate(GRAPHS))}) AS v(k, smiles) ON p.p_partkey % {len(GRAPHS)} = v.k""",
     "v_frag": f"""SELECT p.p_partkey AS frag_id, v.fragment AS fragment,
  CAST((length(v.fragment) - length(replace(v.fragment,'[*]',''))) / 3 AS INT) AS n_att
 FROM part p JOIN (VALUES {_values(FRAGMENTS)}) AS v(k, fragment) ON p.p_partkey % 6 = v.k""",

@@ -67,6 +67,19 @@ def test_pairs_skip_the_first_line(spark, tmp_path):
     assert [(r[0], r[1]) for r in T.read_pairs(spark, str(path)).collect()] == [("CCO", 1.5), ("CC", None)]
 
 
+def test_signature_and_append(spark, tmp_path):
+    df = spark.createDataFrame([("CCO", 1.5), ("é", None)], "smiles string, score double").coalesce(1)
+    path = str(tmp_path / "sig")
+    for n in (1, 2):
+        T.write_table(df, path, fmt="csv", mode="append", signature=True)
+        parts = sorted((tmp_path / "sig").glob("part-*"))
+        assert len(parts) == n and all(p.read_bytes().startswith(b"\xef\xbb\xbfsmiles,score") for p in parts)
+        back = T.read_table(spark, path, schema="smiles string, score double", fmt="csv")
+        assert sorted(map(str, back.collect())) == sorted(map(str, df.collect() * n))
+    with pytest.raises(ValueError):
+        T.write_table(df, path, fmt="parquet", signature=True)
+
+
 def test_strip_takes_all_white_space(spark):
     df = spark.createDataFrame([("\t a b \n",), (" \t",), (None,)], "x string")
     assert [r[0] for r in df.select(strip_text("x")).collect()] == ["a b", "", None]

@@ -156,3 +156,27 @@ def test_penalties_change_the_leaves_by_the_formula():
     assert (feature[0], cut[0]) == (0, 0) and np.isclose(gain[0], 9 / 5 + 25 / 7 - 1 / 10)
     assert np.allclose(T.shrunk(np.array([-4.0, 0.5, 6.0]), 1.0), [-3.0, 0.0, 5.0])
     assert T.best_splits(g, h, 1.0, 2.0, 4.0)[0][0] == -np.inf  # a side of too few rows
+
+
+def test_ridge_on_bits_solves_the_normal_equations(spark):
+    from molsift.operators import models as M
+    rng = np.random.default_rng(4)
+    rows = [(i, sorted(rng.choice(40, rng.integers(0, 9), replace=False).tolist()), int(i % 3)) for i in range(300)]
+    y = np.array([sum(b) / 10 + rng.normal() for _, b, _ in rows])
+    df = spark.createDataFrame([(*r, float(v)) for r, v in zip(rows, y)], "id long, bits array<int>, fold int, y double").repartition(4)
+    x = np.zeros((300, 41))
+    x[:, 0] = 1
+    for i, b, _ in rows:
+        x[i, np.array(b, int) + 1] = 1
+    folds, free = np.array([r[2] for r in rows]), np.diag([0.0] + [1.0] * 40)
+
+    def solve(some, alpha):
+        return np.linalg.solve(x[some].T @ x[some] + alpha * free, x[some].T @ y[some])
+
+    weights, best, error = M.ridge_on_bits(df, "bits", "y", 40, "fold", (0.1, 1.0, 10.0))
+    for alpha in error:
+        want = np.mean([((y[folds == f] - x[folds == f] @ solve(folds != f, alpha)) ** 2).mean() for f in range(3)])
+        assert np.isclose(error[alpha], want)
+    assert best == min(error, key=error.get) and np.allclose(weights, solve(folds >= 0, best))
+    got = {r["id"]: r["prediction"] for r in M.predict_bits(weights, df, "bits").select("id", "prediction").collect()}
+    assert np.allclose([got[i] for i in range(300)], x @ weights)
