@@ -153,7 +153,7 @@ def _weights(rows: Rows, fit: int, tree: int, seed: int) -> np.ndarray:
 
 
 def forest(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], use: Column, trees: int = 200, depth: int = 30, seed: int = 42,
-           fold: str | None = None, folds: int = 0, mtry: int | None = None, in_task: int = 200_000, at_once: int = 25) -> tuple[DataFrame, DataFrame]:
+           fold: str | None = None, folds: int = 0, mtry: int | None = None, in_task: int = 1_000_000, at_once: int = 25) -> tuple[DataFrame, DataFrame]:
     """Bagged regression trees, each node over sqrt(features) of the features.
 
     Returns the rows with ``fit`` and ``prediction``, and the importances (fit,
