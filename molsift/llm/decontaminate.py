@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from molsift.llm.common import bounded_batches, unused_names
-from molsift.session import broadcast_below, hint_if_small, materialise
+from molsift.session import broadcast_below, materialise
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 # Characters stripped from the ends of words before they are compared.
@@ -88,25 +88,57 @@ def align(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int =
     return best, end
 
 
+def passages(at: np.ndarray, gram: np.ndarray, need: int, length: int, width: int) -> list[tuple[int, int]]:
+    """Where ``need`` different n-grams lie within twice the item's length of each other: (from, to) places to align.
+
+    ``at`` ascends. A passage reaches an item's length beyond its hits on both
+    sides; those that overlap are one.
+    """
+    out: list[list[int]] = []
+    for j, place in enumerate(at.tolist()):
+        end = int(np.searchsorted(at, place + 2 * length, side="right"))
+        if len(set(gram[j:end].tolist())) >= need:
+            begin, stop = max(0, place - length), int(at[end - 1]) + width + length
+            if out and begin <= out[-1][1]:
+                out[-1][1] = max(stop, out[-1][1])
+            else:
+                out.append([begin, stop])
+    return [tuple(x) for x in out]
+
+
+def seed_grams(items: DataFrame, rare_items: int, least_grams: int, min_seeds: int) -> DataFrame:
+    """The n-grams that stand for each item (i, gram, need): those that at most ``rare_items`` items have.
+
+    An item of which fewer than ``least_grams`` are so rare gets its rarest
+    ones. ``need`` is how many of them a passage has to share: ``min_seeds``,
+    or all of an item that has fewer.
+    """
+    grams = materialise(items.select("i", F.explode("grams").alias("gram")).distinct(), "leak-grams")
+    families = grams.groupBy("gram").agg(F.count("*").alias("n_items"))
+    rank = F.row_number().over(W.partitionBy("i").orderBy("n_items", "gram"))
+    kept = grams.join(families, "gram").withColumn("r", rank).filter((F.col("n_items") <= rare_items) | (F.col("r") <= least_grams))
+    return materialise(kept.select("i", "gram", F.least(F.lit(min_seeds), F.count("*").over(W.partitionBy("i"))).alias("need")), "leak-seeds")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-                 item_text: str = "text", width: int = 3, rare_df: int = 32, rare_share: float = 0.5, min_seeds: int = 2,
+                 item_text: str = "text", width: int = 3, rare_df: int = 32, rare_items: int = 16, least_grams: int = 8, min_seeds: int = 2,
                  min_score: float = 0.5, filter_bits: int = 1 << 26) -> DataFrame:
     """Documents that hold a benchmark item, whole or edited.
 
     Returns one row per row of ``docs`` and item that align: ``key``, text_hash
     (xxhash64 of the text, which tells rows of one key apart), item (its key), score (Smith-Waterman score over the item's score with itself,
-    0 to 1), seeds (rare n-grams shared) and end (the passage's end among the
-    document's words). A pair aligns at a score of ``min_score`` or more.
-
-    Seeds are the rare ``width``-word n-grams that a document shares with an
-    item, by counts over all documents: those in at most ``rare_df`` documents,
-    and in any case ``min_seeds`` and the rarer ``rare_share`` of what the two
-    share, so that a passage that is copied often keeps seeds in every copy,
-    whatever other copies hold. A Bloom filter of all item n-grams, of bounded
-    size, travels with the scan of the documents; what passes it is joined on
-    the n-gram. A pair that shares ``min_seeds`` n-grams (or as many of the
-    item's as any documents hold) is aligned over the span of all n-grams it
-    shares and the item's length on both sides.
+    0 to 1), seeds (shared n-grams that at most ``rare_df`` documents have) and
+    end (the passage's end among the document's words). A pair aligns at a score
+    of ``min_score`` or more.
+
+    Seeds are the ``width``-word n-grams that few items have (``seed_grams``),
+    chosen before the join, so an n-gram of all documents and most items joins
+    nothing and a hit joins a bounded number of items. How often documents have
+    an n-gram doesn't exclude it: a passage that is copied often keeps its seeds
+    in every copy. A Bloom filter of the seeds, of bounded size, travels with
+    the scan of the documents; what passes it is joined on the n-gram. Where
+    ``min_seeds`` different ones of an item lie close together (``passages``),
+    the document is aligned with the item, there alone.
 
     Null and empty texts on either side, and items of fewer than ``width``
     words, give nothing; equal words score at any place, so ties end first;
@@ -120,19 +152,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     def item_rows(batches):
         for b in batches:
             hashes = [word_hashes(t) for t in b.column(1).to_pylist()]
-            grams = [np.unique(ngrams(h, width)).view(np.int64) if len(h) >= width else np.empty(0, np.int64) for h in hashes]
+            grams = [ngrams(h, width).view(np.int64) if len(h) >= width else np.empty(0, np.int64) for h in hashes]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in hashes], pa.binary()), pa.array(grams, pa.list_(pa.int64()))],
                                              names=["item", "words", "grams"])
 
     items = items.mapInArrow(item_rows, f"item {item_kind}, words binary, grams array<long>").filter(F.size("grams") > 0)
     items = materialise(items.withColumn("i", F.monotonically_increasing_id()), "leak-items")
-    wanted = items.select(F.explode("grams").alias("gram")).distinct()
+    seeds = seed_grams(items, rare_items, least_grams, min_seeds)
+    wanted = materialise(seeds.select("gram").distinct(), "leak-wanted")
     table, bits = build_filter(wanted, filter_bits)
     body = docs.select(docs[key].alias("k"), docs[text].alias("t"), F.xxhash64(docs[text]).alias("h")).filter("length(t) > 0")
 
     def hits(batches):
         for b in batches:
-            who, gram, first, last = [], [], [], []
+            who, gram, place = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for j, t in enumerate(b.column(1).to_pylist()):
                 h = word_hashes(t)
                 if len(h) < width:
@@ -140,31 +173,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 g = ngrams(h, width)
                 at = passes(table, bits, g)
                 if len(at):
-                    u, begin, inverse = np.unique(g[at], return_index=True, return_inverse=True)
-                    ends = np.zeros(len(u), np.int64)
-                    np.maximum.at(ends, inverse, at)
-                    who.append(np.full(len(u), j))
-                    gram.append(u.view(np.int64))
-                    first.append(at[begin])
-                    last.append(ends)
-            who, gram, first, last = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (who, gram, first, last))
+                    who.append(np.full(len(at), j))
+                    gram.append(g[at].view(np.int64))
+                    place.append(at)
+            who, gram, place = (np.concatenate(x).astype(np.int64) for x in (who, gram, place))
             who = pa.array(who)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(2).take(who), pa.array(gram), pa.array(first), pa.array(last)],
-                                             names=["k", "h", "gram", "first", "last"])
-
-    seen = body.mapInArrow(hits, f"k {kind}, h long, gram long, first long, last long")
-    seen = materialise(seen.join(hint_if_small(wanted), "gram", "left_semi"), "leak-hits")
-    counts = seen.groupBy("gram").agg(F.count("*").alias("df"))
-    seeds = items.select("i", F.explode("grams").alias("gram")).join(hint_if_small(materialise(counts, "leak-counts")), "gram")
-    seeds = materialise(seeds.withColumn("need", F.least(F.lit(min_seeds), F.count("*").over(W.partitionBy("i")))), "leak-seeds")
-    # Copies of a row share all n-grams at the same places, so a set holds each of an item's n-grams once.
-    pairs = (seen.join(hint_if_small(seeds), "gram").groupBy("k", "h", "i").agg(
-        F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("shared"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("need").alias("need")))
-    rare = F.size(F.filter("shared", lambda g, at: (g["df"] <= rare_df) | (at < F.col("need")) | (at < F.ceil(F.size("shared") * rare_share))))
-    pairs = pairs.filter(F.size("shared") >= F.col("need")).withColumn("seeds", rare.cast("long")).drop("shared")
-    pairs = pairs.join(hint_if_small(items.select("i", "item", "words")), "i")
-    tasks = pairs.groupBy(F.col("k").alias("pk"), F.col("h").alias("ph")).agg(F.collect_list(F.struct("item", "words", "seeds", "first", "last")).alias("items"))
-    tasks = hint_if_small(materialise(tasks, "leak-pairs"), 100_000)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(2).take(who), pa.array(gram), pa.array(place)], names=["k", "h", "gram", "at"])
+
+    seen = body.mapInArrow(hits, f"k {kind}, h long, gram long, at long")
+    seen = materialise(seen.join(broadcast_below(wanted), "gram", "left_semi"), "leak-hits")
+    counts = materialise(seen.select("k", "h", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df")), "leak-counts")
+    hit = F.struct("at", "gram", (F.col("df") <= rare_df).alias("rare"))
+    pairs = (seen.join(broadcast_below(counts), "gram").join(broadcast_below(seeds), "gram").groupBy("k", "h", "i")
+             .agg(F.sort_array(F.collect_set(hit)).alias("hits"), F.max("need").alias("need")))
+    grams = F.array_distinct("hits.gram")
+    pairs = pairs.filter(F.size(grams) >= F.col("need"))
+    rare = F.size(F.array_distinct(F.filter("hits", lambda x: x["rare"])["gram"])).cast("long")
+    pairs = pairs.join(broadcast_below(items.select("i", "item", "words")), "i").withColumn("seeds", rare)
+    tasks = pairs.groupBy(F.col("k").alias("pk"), F.col("h").alias("ph")).agg(F.collect_list(F.struct("item", "words", "seeds", "need", F.col("hits.at").alias("at"), F.col("hits.gram").alias("gram"))).alias("items"))
+    tasks = broadcast_below(materialise(tasks, "leak-pairs"))
 
     def score(batches):
         for b in batches:
@@ -172,11 +199,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             for k, t, found, ph in zip(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
                 h = word_hashes(t)
                 for x in found.as_py():
-                    item = np.frombuffer(x["words"], np.uint64)
-                    lo = max(0, x["first"] - len(item))
-                    best, end = align(item, h[lo:x["last"] + width + len(item)])
-                    if best >= min_score * 2 * len(item):
-                        out.append((k.as_py(), ph, x["item"], best / (2 * len(item)), x["seeds"], lo + end))
+                    item, top = np.frombuffer(x["words"], np.uint64), (0, 0)
+                    for lo, hi in passages(np.array(x["at"]), np.array(x["gram"]), x["need"], len(item), width):
+                        best, end = align(item, h[lo:hi])
+                        top = max(top, (best, -(lo + end)))
+                    if top[0] >= min_score * 2 * len(item) and top[0]:
+                        out.append((k.as_py(), ph, x["item"], top[0] / (2 * len(item)), x["seeds"], -top[1]))
             cols = list(zip(*out)) if out else [()] * 6
             types = (b.schema.field(0).type, pa.int64(), b.schema.field(2).type.value_type.field("item").type, pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[key, "text_hash", "item", "score", "seeds", "end"])

@@ -7,7 +7,8 @@ import random
 from pyspark.sql import types as T
 
 # Columns that clash with names used inside the operators.
-CLASH = "k string, h string, n string, size string, node string, region string, shard string, _t string, value string"
+CLASH = ("k string, h string, n string, size string, node string, region string, shard string, _t string, value string, gk string, gh string, "
+         "_source string, _cut string, _epochs string, _times string, _one string, _gone string, _gone_key string, o string, pair string, row string")
 DOC_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -36,6 +36,16 @@ def test_one_row_per_row_and_extra_columns(spark, docs, operator):
     assert same_rows([tuple(map(str, r)) for r in got], [tuple(map(str, r)) for r in operator(df).collect()])
 
 
+@pytest.mark.parametrize("operator", [J.keep_one, keep_good, mix_documents, dedup_lines], ids=lambda f: f.__name__)
+def test_whole_rows_with_extra_columns(spark, docs, operator):
+    """Operators that return the rows themselves keep columns whose names they use inside."""
+    df, _ = docs
+    wide = with_clashes(df)
+    got = operator(wide)
+    assert got.columns == wide.columns
+    assert same_rows([tuple(r) for r in got.select(*df.columns).collect()], [tuple(r) for r in operator(df).collect()])
+
+
 @pytest.mark.parametrize("operator", [*OPERATORS, J.keep_one, keep_good, mix_documents, dedup_lines], ids=lambda f: f.__name__)
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
@@ -281,6 +291,31 @@ def test_decontamination_of_an_edited_copy_in_many_documents(spark, verbatim):
     assert [r["doc_id"] for r in keep_clean(df, bench).collect()] == [500]
 
 
+def test_a_phrase_of_all_documents_and_most_items_joins_nothing(spark):
+    import random
+    from molsift.llm import decontaminate as D
+    rng = random.Random(12)
+    phrase = "choose the best answer from these"
+    items = [sentence(rng, 20).replace("\n", " ") + " " + phrase for _ in range(50)]
+    rows = [(i, sentence(rng, 30) + "\n" + phrase + " " + sentence(rng, 30)) for i in range(300)]
+    rows += [(900 + i, sentence(rng, 30) + "\n" + t + "\n" + sentence(rng, 30)) for i, t in enumerate(items[:5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item"]) for r in contaminated(df, bench).collect()} == {(900 + i, i) for i in range(5)}
+    grams = [(i, D.ngrams(D.word_hashes(t), 3).view("int64").tolist()) for i, t in enumerate(items)]
+    seeds = {r["gram"] for r in D.seed_grams(spark.createDataFrame(grams, "i long, grams array<long>"), 16, 8, 2).collect()}
+    assert not seeds & set(D.ngrams(D.word_hashes(phrase), 3).view("int64").tolist())
+
+
+def test_many_items_alike_keep_seeds(spark):
+    import random
+    rng = random.Random(13)
+    item = sentence(rng, 30).replace("\n", " ")
+    bench = spark.createDataFrame([(i, item) for i in range(40)], "item_id long, text string")
+    df = spark.createDataFrame([(1, sentence(rng, 30) + " " + item), (2, sentence(rng, 60))], "doc_id long, text string")
+    assert {(r["doc_id"], r["item"]) for r in contaminated(df, bench).collect()} == {(1, i) for i in range(40)}
+
+
 # --- quality
 
 def test_quality_rules_base(spark, docs):
