@@ -36,15 +36,28 @@ BOILER_NAMES = set("ad ads advert adverts advertisement advertisements advertisi
                    "login social share sharing related recommended widget widgets toolbar pagination pager skip copyright".split())
 # A word that makes a name of the list above harmless: an article's own header.
 CONTENT_NAMES = set("article content entry post story main body text".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+# Words beside one of the list that make it speak of what an element has or
+# does, or of where it lies, and not of what it is.
+BESIDE = set("with has no without left right top bottom effect effects by".split())
+
+# Attributes as browsers read them: a quote counts only right after the sign of
+# equality; anywhere else it is a letter of a name or value.
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)"""
+ATTRS = rf"""((?:\s++|/|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:{VALUE})?+)?+|=)*+)"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+){ATTRS}(>|\Z)", re.S)
+ATTR = re.compile(rf"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+({VALUE})?+)?+")
 NAME_PART = re.compile(r"[a-z]+")
+WEAK = re.compile(rf"(?i)(?:class|id)\s*=[^>]*\b(?:{'|'.join(sorted(BESIDE))})\b")
 CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
-def boilerplate(tag: str, attrs: str, inside_article: bool, skipped: set[str] = SKIP) -> bool:
-    """Whether an element's name or attributes say that it is not main text."""
+def boilerplate(tag: str, attrs: str, inside_article: bool, skipped: set[str] = SKIP, weak: bool = True) -> bool:
+    """Whether an element's name or attributes say that it is not main text.
+
+    ``weak`` names, such as with-sidebar or side-effects, say so only outside
+    an article, and only as long as they don't take most of a page's text.
+    """
+    weak = weak and not inside_article
     if tag in skipped or (tag == "header" and not inside_article):
         return True
     if not attrs or tag in ("article", "main", "body", "html") and "role" not in attrs.lower() and "class" not in attrs.lower():
@@ -61,7 +74,10 @@ def boilerplate(tag: str, attrs: str, inside_article: bool, skipped: set[str] =
             for one in value.split():
                 parts = set(NAME_PART.findall(one))
                 bad = parts & BOILER_NAMES
-                if bad and not (parts & CONTENT_NAMES and bad <= {"header", "masthead"}):
+                if bad and (parts & BESIDE):
+                    if weak:
+                        return True
+                elif bad and not (parts & CONTENT_NAMES and bad <= {"header", "masthead"}):
                     return True
     return False
 
@@ -110,15 +126,25 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
     A form is skipped unless it wraps the page: an article in it is let
     through, and without any the form that holds more text than what is
-    outside of forms.
+    outside of forms. Elements with weak names are read if they hold more than
+    half of the page's text.
     """
     out, form_chars = _lines_of(page, SKIP)
-    if form_chars > sum(len(text) - link for text, link, _ in out) and not any(inside for _, _, inside in out):
+    if form_chars > _chars(out) and not any(inside for _, _, inside in out):
         out, _ = _lines_of(page, SKIP - {"form"})
+    if WEAK.search(page):
+        more, _ = _lines_of(page, SKIP, False)
+        if _chars(more) > 2 * _chars(out):
+            out = more
     return out
 
 
-def _lines_of(page: str, skipped: set[str]) -> tuple[list[tuple[str, int, bool]], int]:
+def _chars(lines: list[tuple[str, int, bool]]) -> int:
+    """Characters outside links."""
+    return sum(len(text) - link for text, link, _ in lines)
+
+
+def _lines_of(page: str, skipped: set[str], weak: bool = True) -> tuple[list[tuple[str, int, bool]], int]:
     """``lines_of`` with the element names to skip, and the characters in skipped forms outside their controls."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
@@ -158,7 +184,7 @@ def _lines_of(page: str, skipped: set[str]) -> tuple[list[tuple[str, int, bool]]
         closing, tag, attrs = m[1] == "/", m[2].lower(), m[3]
         if m[4] != ">":  # the page ends inside a tag
             break
-        if skip >= 0 and not closing and tag in ("article", "main") and not found and nest.names[skip] in ("div", "section", "span", "form") and not boilerplate(tag, attrs, True, skipped):
+        if skip >= 0 and not closing and tag in ("article", "main") and not found and nest.names[skip] in ("div", "section", "span", "form") and not boilerplate(tag, attrs, True, skipped, weak):
             skip = -1  # a wrapper whose name speaks of a sidebar or menu, or a form, holds the page's first article
         ended = nest.names[skip] if skip >= 0 else ""
         if closing:
@@ -188,7 +214,7 @@ def _lines_of(page: str, skipped: set[str]) -> tuple[list[tuple[str, int, bool]]
             elif tag in BLOCK or tag == "form":
                 flush()
             continue
-        if tag not in VOID and boilerplate(tag, attrs, article > 0, skipped):
+        if tag not in VOID and boilerplate(tag, attrs, article > 0, skipped, weak):
             if tag in BLOCK or tag in ("nav", "footer", "aside", "form", "menu", "dialog"):
                 flush()
             else:

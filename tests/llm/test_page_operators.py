@@ -49,6 +49,24 @@ def test_ends_of_skipped_elements(page, want):
     assert extract(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article><p class=it's>one</p><p>it's two</p></article>", "one\nit's two"),
+    ("<article><p>see <a href=\"x\"\">here</a> now</p></article>", "see here now"),
+    ("<article><p title='a > b' data-x=\"c > d\">text</p></article>", "text"),
+    ("<article><p title=\"never closed>one</p><p>two</p></article>", "one\ntwo"),
+    ("<article><p a=b/c = 'd' e>text</p><br/><hr / >end</article>", "text\nend"),
+    ("<article><img alt='a>b' src=x/><p>=</p></article>", "="),
+    (f"<div class='post-content with-sidebar'><p>{P}</p><p>{P}</p></div>", f"{P}\n{P}"),
+    (f"<div class='container sidebar-right'><div class=sidebar>{P}</div><p>{P}</p><p>{P}</p></div>", f"{P}\n{P}"),
+    (f"<article><h1>Drug</h1><section class=side-effects><p>{P}</p></section></article>", f"Drug\n{P}"),
+    (f"<body><div>{P}{P}{P}</div><div class='sidebar-left'><p>menu of things to see</p></div></body>", P * 3 if P.endswith(' ') else " ".join((P + P + P).split())),
+    ("<p " + "a" * 20000 + "='" + "b" * 20000 + "'>x</p>", "x"),
+    ("<p " + "a " * 20000 + "<p>x</p>", "x"),
+])
+def test_attributes_and_weak_names(page, want):
+    assert extract(page) == want
+
+
 CARD = "<div class=cards><article><h3><a href=/2>Another story</a></h3></article></div>"
 TEASER = "<article><h3><a href=/2>Another story</a></h3><p>in short</p></article>"
 
