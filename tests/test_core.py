@@ -1,5 +1,7 @@
 """Scans, scalar expressions, windows, Pareto fronts, notation, splits and models."""
 
+import inspect
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -18,6 +20,7 @@ from molsift.operators.fragments import distinct_products
 from molsift.operators.molecules import benzene_filter, split_valid
 from molsift.operators.pareto import front_mask, pareto_front
 from molsift.operators.windows import global_row_number, rank_desc, running_sum
+from molsift.plans import models as model_plans
 from molsift.plans.molecules import GOLDENS
 from molsift.session import materialise
 from molsift.sources import tables as T
@@ -267,15 +270,27 @@ def test_models_are_registered_with_the_listed_parameters(spark, monkeypatch):
                 return type("Tree", (), {"numNodes": 1})
             raise Stop
 
-    for name in ("RandomForestRegressor", "GBTRegressor", "DecisionTreeRegressor"):
+    for name in ("GBTRegressor", "DecisionTreeRegressor"):
         monkeypatch.setattr(M, name, Estimator)
+
+    def stand_in(function):
+        def run(*given, **options):
+            bound = inspect.signature(function).bind(*given, **options)
+            bound.apply_defaults()
+            made.append(bound.arguments)
+            raise Stop
+        return run
+
+    for name in ("forest", "boost"):
+        monkeypatch.setattr(model_plans, name, stand_in(getattr(model_plans, name)))
     monkeypatch.setattr(M, "evaluate_split", lambda *_: spark.createDataFrame([("train", 0.5), ("test", 0.5)], "part_set string, r2 double"))
     found = entry.queries()
     for name in ("forest_scores", "importance_stats", "boosting_scores", "deep_boosting_scores"):
         with pytest.raises(Stop):
             found[name](spark, SF)
-    assert [(o["numTrees"], o["maxDepth"]) for o in made[:2]] == [(200, 30)] * 2
-    assert [(o["maxIter"], o["maxDepth"], o["subsamplingRate"], o["featureSubsetStrategy"]) for o in made[2:]] == [(20, 3, 1.0, "all"), (200, 6, 0.8, "0.8")]
+    assert [(o["trees"], o["depth"], o["folds"]) for o in made[:2]] == [(200, 30, 5), (200, 30, 0)]
+    assert [made[2][k] for k in ("maxIter", "maxDepth", "subsamplingRate", "featureSubsetStrategy")] == [20, 3, 1.0, "all"]
+    assert [made[3][k] for k in ("trees", "depth", "eta", "rows", "columns", "l1", "l2")] == [200, 6, 0.1, 0.8, 0.8, 0.1, 1.0]
     found["tree_sweep"](spark, SF)
     assert [o["maxDepth"] for o in made[4:]] == [5, 10, 15, 20, 30]
     monkeypatch.setattr(M, "mlp_gradient", lambda *_: (0.0, [M.Layer(np.zeros((1, 1)), np.zeros(1))] * 3, 1))
