@@ -191,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     rare = F.size(F.array_distinct(F.filter("hits", lambda x: x["rare"])["gram"])).cast("long")
     pairs = pairs.join(broadcast_below(items.select("i", "item", "words")), "i").withColumn("seeds", rare)
     tasks = pairs.groupBy(F.col("k").alias("pk"), F.col("h").alias("ph")).agg(F.collect_list(F.struct("item", "words", "seeds", "need", F.col("hits.at").alias("at"), F.col("hits.gram").alias("gram"))).alias("items"))
-    tasks = broadcast_below(materialise(tasks, "leak-pairs"))
+    tasks = broadcast_below(materialise(tasks, "leak-pairs"), 64 << 20)
 
     def score(batches):
         for b in batches:

@@ -71,7 +71,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
     # Their words, from the texts again; then all variants within the edit bound.
     per_doc = chosen.groupBy(F.col("k").alias("ck"), F.col("h").alias("ch")).agg(F.collect_list(F.struct("no", "id", "p")).alias("want"))
-    per_doc = broadcast_below(materialise(per_doc, "line-wanted"))
+    per_doc = broadcast_below(materialise(per_doc, "line-wanted"), 64 << 20)
     found = rows.join(per_doc, rows.k.eqNullSafe(per_doc.ck) & (rows.h == per_doc.ch)).select("l", F.explode("want").alias("x"))
     found = found.select("x.id", "x.p", words_of(F.expr("get(l, x.no)")).alias("w")).filter(F.size("w") >= min_words)
     found = materialise(found.dropDuplicates(["id"]), "line-words")
