@@ -99,7 +99,7 @@ class Region:
         nearest = np.full(self.n, 2.0, np.float32)
         region = np.full(self.n, -1)
         rows: dict[int, np.ndarray] = {}
-        limit = max(4, min(256, (1 << 24) // self.n))
+        limit = max(4, min(256, (1 << 22) // self.n))
         for x in np.argsort(-self.sizes, kind="stable"):
             if region[x] >= 0:
                 row = rows[region[x]]
@@ -263,12 +263,12 @@ def first_regions(members: DataFrame, percent: int) -> DataFrame:
     return components(links)
 
 
-def _pick_pivots(members: DataFrame, pivots: int, salts: int) -> DataFrame:
-    """The ``pivots`` nodes of each region with the smallest hashes: region, node.
+def _pick_pivots(members: DataFrame, pivots: int, salts: int, level: int) -> DataFrame:
+    """The ``pivots`` nodes of each region with the smallest hashes, others at every level: region, node.
 
     Taken per part of a region first, so a large region is not ranked in one task.
     """
-    ranked = members.select("region", "node", F.xxhash64("node").alias("h")).withColumn("s", F.pmod("h", F.lit(salts)))
+    ranked = members.select("region", "node", F.xxhash64("node", F.lit(level)).alias("h")).withColumn("s", F.pmod("h", F.lit(salts)))
     for by in (["region", "s"], ["region"]):
         ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("h"))).filter(F.col("r") <= pivots)
     return ranked.select("region", "node")
@@ -299,7 +299,7 @@ def _distances(percent: int):
     return run
 
 
-def split_regions(members: DataFrame, percent: int, pivots: int, salts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_regions(members: DataFrame, percent: int, pivots: int, salts: int, level: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One level of the recursion: (links, members of smaller regions, members that pivots cannot part).
 
     Every member meets the pivots of its region and is linked to those within
@@ -311,7 +311,7 @@ def split_regions(members: DataFrame, percent: int, pivots: int, salts: int) ->
     region's unfinished members are returned apart.
     """
     reach = 1 - percent / 100 + 1e-9
-    chosen = _pick_pivots(members, pivots, salts)
+    chosen = _pick_pivots(members, pivots, salts, level)
     parts = members.select(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(salts)).cast("int").alias("part"), "region", "node", "set", F.lit(False).alias("is_pivot"))
     heads = (members.join(chosen, ["region", "node"], "left_semi")
              .select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"), "region", "node", "set", F.lit(True).alias("is_pivot")))
@@ -346,13 +346,15 @@ def _in_task(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("region").applyInPandas(link, "a long, b long")
 
 
-def link_regions(members: DataFrame, percent: int, max_tokens: int, pivots: int = 8, salts: int = 32, depth: int = 6) -> DataFrame:
+def link_regions(members: DataFrame, percent: int, max_tokens: int, pivots: int = 8, salts: int = 32, depth: int = 3) -> DataFrame:
     """Links (a, b) whose components are those of all links inside the regions of ``members`` (region, node, set).
 
     Regions of at most ``max_tokens`` shingles are joined in one task each.
-    Larger ones are split by pivots, level by level. What pivots cannot part,
-    or is too large after ``depth`` levels, is dealt into chunks of half that
-    size, and every two chunks are joined in a task of their own.
+    Larger ones are split by pivots, level by level. What pivots cannot part
+    keeps its unfinished members and gets other pivots at the next level: near
+    copies are linked to a pivot and finished, so few stay. Only what is too
+    large after ``depth`` levels is dealt into chunks of half that size, and
+    every two chunks are joined in a task of their own.
     """
     links = None
     for level in range(depth + 1):
@@ -364,10 +366,10 @@ def link_regions(members: DataFrame, percent: int, max_tokens: int, pivots: int
             return links
         members = members.join(large, "region", "left_semi")
         if level < depth:
-            near, members, stuck = split_regions(members, percent, pivots, salts)
-            links = links.union(near)
-        else:
-            stuck = members
+            near, smaller, stuck = split_regions(members, percent, pivots, salts, level)
+            links, members = links.union(near), smaller.union(stuck)
+            continue
+        stuck = members
         chunks = stuck.groupBy("region").agg(F.ceil(F.sum(F.size("set")) / (max_tokens / 2)).alias("chunks"))
         dealt = stuck.join(hint_if_small(chunks), "region").withColumn("c", F.pmod(F.xxhash64("node", F.lit(2)), "chunks"))
         pairs = dealt.select("region", "node", "set", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
@@ -389,7 +391,7 @@ def _scan(body: DataFrame, kind: str, percent: int, width: int, spare: int, half
                 dig.append(digest(s))
                 fresh = len(s) and dig[-1] not in done  # copies that a task has seen give no postings
                 pre.append(s[:prefix_length(len(s), percent, spare)].view(np.int64) if fresh else np.empty(0, np.int64))
-                if fresh and len(done) < 200_000:
+                if fresh and len(done) < 50_000:
                     done.add(dig[-1])
             node = np.frombuffer(b"".join(x[half:half + 8] for x in dig), np.int64)
             rest = _posting_batch(np.concatenate([np.empty(0, np.int64), *pre]), np.repeat(node, [len(p) for p in pre]))
@@ -405,7 +407,7 @@ def _scan(body: DataFrame, kind: str, percent: int, width: int, spare: int, half
 
 
 def placed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, spare: int = 5,
-                max_tokens: int = 2_000_000, pivots: int = 8, salts: int = 32) -> DataFrame:
+                max_tokens: int = 1_500_000, pivots: int = 8, salts: int = 32) -> DataFrame:
     """Rows k, h (MD5 of the text), n and root, the number of the component, null without shingles."""
     bounded_batches(docs)
     kind = dict(docs.dtypes)[key]
@@ -432,7 +434,7 @@ def placed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     counts = _shared_counts(scanned.filter("dig is null").select("token", "node", "known", "c"))
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * (spare * percent) / 10_000))
     some = classes.join(counts, "node").filter(F.col("shared") >= need).select("rep", "dig", "node")
-    some = hint_if_small(materialise(some, "join-some"), 500_000)
+    some = broadcast_below(materialise(some, "join-some"), 64 << 20)
     members = materialise(body.join(some, body.k.eqNullSafe(some.rep)).select("t", "dig", "node").mapInArrow(again, "node long, set array<long>")
                           .dropDuplicates(["node"]), "join-members")
     members = thin_out(members, percent)
@@ -444,7 +446,7 @@ def placed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, spare: int = 5,
-               max_tokens: int = 2_000_000, pivots: int = 8, salts: int = 32) -> DataFrame:
+               max_tokens: int = 1_500_000, pivots: int = 8, salts: int = 32) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their shingle sets, exact.
 
     Returns one row per input row: ``key``, n_shingles and component_id, the
