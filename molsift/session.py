@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import tempfile
@@ -79,6 +80,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, n: int | None = None, rows: int = 4_000) -> DataFrame:
+    """Deal ``df`` out evenly, about ``rows`` rows to a task, before work that is dear per row.
+
+    A scan splits files by bytes, so millions of short rows may come in a
+    single task. ``n`` is the number of rows if it is known; else they are
+    counted, so ``df`` should be a scan.
+    """
+    n = df.count() if n is None else n
+    return df.repartition(math.ceil(n / rows)) if n > rows else df
+
+
 def hint_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Mark ``df`` for broadcast only if counting shows at most ``max_rows``.
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -63,22 +65,27 @@ def _literal(spark: SparkSession, rows, name: str) -> DataFrame:
     return spark.createDataFrame(rows, f"k int, {name} string")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of ``part``, dealt out to as many tasks as reading their molecules needs."""
+    return spread(table(spark, sf_dir, "part").select("p_partkey"))
+
+
 def v_mol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey")
+    part = _parts(spark, sf_dir)
     lit = F.broadcast(_literal(spark, MOLECULES, "smiles"))  # 14 rows, fixed
     return (part.join(lit, F.pmod(part.p_partkey, F.lit(len(MOLECULES))) == lit.k)
             .select(F.col("p_partkey").alias("mol_id"), "smiles"))
 
 
 def v_env(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey")
+    part = _parts(spark, sf_dir)
     lit = F.broadcast(_literal(spark, [(k, row[0]) for k, row in enumerate(WORKED)], "smiles"))  # 30 rows, fixed
     return (part.join(lit, F.pmod(part.p_partkey, F.lit(len(WORKED))) == lit.k)
             .select(F.col("p_partkey").alias("mol_id"), "smiles"))
 
 
 def v_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey")
+    part = _parts(spark, sf_dir)
     lit = F.broadcast(_literal(spark, [(k, row[0]) for k, row in enumerate(GRAPHS)], "smiles"))  # 10 rows, fixed
     return (part.join(lit, F.pmod(part.p_partkey, F.lit(len(GRAPHS))) == lit.k)
             .select(F.col("p_partkey").alias("mol_id"), "smiles"))
@@ -96,7 +103,7 @@ def graph_rows() -> tuple[str, str]:
 
 
 def v_frag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey")
+    part = _parts(spark, sf_dir)
     lit = F.broadcast(_literal(spark, FRAGMENTS, "fragment"))  # 6 rows, fixed
     n_att = ((F.length("fragment") - F.length(F.replace("fragment", F.lit("[*]"), F.lit(""))))
              / 3).cast("int")
