@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from molsift.operators import fragments as FR
 from molsift.session import spread
 from molsift.sources import views
 
@@ -25,3 +26,13 @@ def test_rows_are_dealt_out_by_their_number(spark):
 def test_molecules_of_one_file_come_in_many_tasks(spark, one_file, name, rows):
     v = views.view(spark, one_file, name)
     assert v.rdd.getNumPartitions() == 3 and v.distinct().count() == rows
+
+
+def test_the_first_rule_that_fits_labels_a_cut(spark):
+    """Ends with several environments, in either direction, and a double bond."""
+    from molsift.functions import smiles as S
+    df = spark.createDataFrame([("CC(=O)OC",), ("COC(C)=O",), ("CC=CC",), ("c1ccc(-c2ccccn2)cc1",), ("C1CCCCC1",)], "smiles string")
+    got = {r["smiles"]: [(c["a"], c["b"], c["la"], c["lb"]) for c in r["cuts"]] for r in FR.cut_bonds(S.mol_graph(df)).collect()}
+    assert got["CC(=O)OC"] == [(1, 3, 1, 3)] and got["COC(C)=O"] == [(1, 2, 3, 1)]
+    assert got["CC=CC"] == [(1, 2, 7, 7)] and got["C1CCCCC1"] == []
+    assert [c[2:] for c in got["c1ccc(-c2ccccn2)cc1"]] == [(16, 14)]
