@@ -190,7 +190,7 @@ def _atom_seed(atoms: Column) -> Column:
 
 def _next_round(now: Column) -> Column:
     """Each atom's number made from its own and its sorted neighbours' numbers in ``now``."""
-    return F.transform(now, lambda x, i: F.xxhash64(x, F.array_sort(F.transform(
+    return F.transform(now, lambda x, i: F.xxhash64(x, F.sort_array(F.transform(
         F.get(F.col("nbrs"), i), lambda n: F.struct(n["o"].alias("o"), F.get(now, n["j"]).alias("x"))))))
 
 
@@ -254,11 +254,10 @@ def _pi_electrons(a: Column) -> Column:
 
     The count is the same for either writing: an atom of a double or aromatic
     bond in a ring gives one, a carbon doubly bonded to a hetero atom outside
-    none, and N, O, S with single bonds alone a pair.
+    none, and N, O, S with single bonds alone a pair. ``_bonded`` has each ring
+    atom's bonds.
     """
-    around = F.get(F.col("nbrs"), a["idx"])
-    pairs = F.transform(around, lambda n: F.struct(n["o"].alias("o"), F.array_contains("_ring_pairs", F.struct(
-        F.least(a["idx"], n["j"]).alias("a"), F.greatest(a["idx"], n["j"]).alias("b"))).alias("ring"), F.get(F.col("atoms"), n["j"])["sym"].alias("sym")))
+    around, pairs = F.get(F.col("nbrs"), a["idx"]), F.get(F.col("_bonded"), a["idx"])
     outer = F.exists(pairs, lambda n: (n["o"] == 2) & ~n["ring"])
     outer_hetero = F.exists(pairs, lambda n: (n["o"] == 2) & ~n["ring"] & n["sym"].isin("O", "N", "S"))
     inner = F.exists(pairs, lambda n: (n["o"] == 2) & n["ring"])
@@ -283,6 +282,9 @@ def aromatic_form(df: DataFrame, sizes=(5, 6, 7)) -> DataFrame:
     keep = df.columns
     pairs = F.transform(F.filter("bonds", lambda b: b["ring"]), lambda b: F.struct(F.least(b["a"], b["b"]).alias("a"), F.greatest(b["a"], b["b"]).alias("b")))
     df = settled(df, _ring_pairs=pairs)
+    bonded = F.transform("atoms", lambda a: F.when(a["ring"], F.transform(F.get(F.col("nbrs"), a["idx"]), lambda n: F.struct(n["o"].alias("o"), F.array_contains("_ring_pairs", F.struct(
+        F.least(a["idx"], n["j"]).alias("a"), F.greatest(a["idx"], n["j"]).alias("b"))).alias("ring"), F.get(F.col("atoms"), n["j"])["sym"].alias("sym")))))
+    df = settled(df, _bonded=bonded)
     df = settled(df, _pi=F.transform("atoms", _pi_electrons))
 
     def takes_part(i: Column) -> Column:
@@ -351,10 +353,10 @@ def identity_key(df: DataFrame, alias: str = "mol_key") -> DataFrame:
 
     def marked(v: Column) -> Column:
         seed = F.transform("_stable", lambda x, i: F.when(i == v, F.xxhash64(x, F.lit(1))).otherwise(x))
-        return F.xxhash64(F.array_sort(stable_round(seed)))
+        return F.xxhash64(F.sort_array(stable_round(seed)))
 
-    df = settled(df, _marked=F.array_sort(F.transform("_tied", marked)))
-    last = F.transform(F.concat(F.array_sort("_stable"), F.col("_marked")), lambda x: x.cast("string"))
+    df = settled(df, _marked=F.sort_array(F.transform("_tied", marked)))
+    last = F.transform(F.concat(F.sort_array("_stable"), F.col("_marked")), lambda x: x.cast("string"))
     key = F.sha2(F.concat_ws(",", F.size("bonds").cast("string"), last), 256)
     df = settled(df, _key=key)
     return df.select(*[F.col(f"_o_{c}").alias(c) if c in ("atoms", "bonds", "nbrs") else c for c in keep if c != alias], F.col("_key").alias(alias))

@@ -9,6 +9,7 @@ from ..functions import smiles as S
 from ..functions.substructure import logp
 from ..operators import fragments as FR
 from ..operators.reports import bit_moments
+from ..session import spread
 from ..sources.views import graph_rows, v_env, v_frag, v_graph, v_mol
 from .molecules import GOLDEN_SQL
 from .registry import query
@@ -25,10 +26,13 @@ def graphs(spark, sf):
 
 
 def pairs(spark, sf):
-    g = graphs(spark, sf)
-    a = g.select("frag_id", F.col("atoms").alias("atoms_a"), F.col("bonds").alias("bonds_a"))
-    b = g.select((F.col("frag_id") - 1).alias("frag_id"), F.col("atoms").alias("atoms_b"), F.col("bonds").alias("bonds_b"))
-    return a.join(b, "frag_id")
+    """The graphs of each two fragments that meet; the texts are joined, as they are shorter than their graphs."""
+    f = v_frag(spark, sf)
+    a = f.select("frag_id", F.col("fragment").alias("text_a"))
+    b = f.select((F.col("frag_id") - 1).alias("frag_id"), F.col("fragment").alias("text_b"))
+    both = spread(a.join(b, "frag_id"), f.count())
+    one = S.mol_graph(both, "text_a").select("frag_id", "text_b", F.col("atoms").alias("atoms_a"), F.col("bonds").alias("bonds_a"))
+    return S.mol_graph(one, "text_b").select("frag_id", "atoms_a", "bonds_a", F.col("atoms").alias("atoms_b"), F.col("bonds").alias("bonds_b"))
 
 
 def joined(spark, sf):

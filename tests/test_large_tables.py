@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molsift.operators import fragments as FR
+from molsift.plans import fragments
 from molsift.session import spread
 from molsift.sources import views
 
@@ -28,6 +29,12 @@ def test_molecules_of_one_file_come_in_many_tasks(spark, one_file, name, rows):
     assert v.rdd.getNumPartitions() == 3 and v.distinct().count() == rows
 
 
+def test_pairs_are_dealt_out_after_the_join(spark, one_file):
+    p = fragments.pairs(spark, one_file)
+    sizes = [len(x) for x in p.select("frag_id").rdd.glom().collect()]
+    assert sum(sizes) == 8_999 and len(sizes) == 3 and max(sizes) <= 4_000
+
+
 def test_the_first_rule_that_fits_labels_a_cut(spark):
     """Ends with several environments, in either direction, and a double bond."""
     from molsift.functions import smiles as S
