@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,11 +16,12 @@ from .registry import query
 from .screening import OBJ_MAX, OBJ_MIN, QUERY_STOTAL_SQL
 
 
-def _arriving(spark, df, files: int):
-    """``df`` written as part files and read back as a stream of one file at a time."""
+def _arriving(spark, df, times: int, rows: int = 500_000):
+    """``df`` written as part files of about ``rows`` rows at most and read back as a stream that arrives in ``times`` parts, of as many files each."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/molsift/stream-{uuid.uuid4().hex}"
-    df.repartition(files).write.parquet(f"{base}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
+    each = max(1, math.ceil(df.count() / (times * rows)))
+    df.repartition(times * each).write.parquet(f"{base}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(f"{base}/in"), base
 
 
 @query("stream_score", "J1", sql=QUERY_STOTAL_SQL)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molsift.operators import fragments as FR
-from molsift.plans import fragments
+from molsift.plans import fragments, streaming
 from molsift.session import spread
 from molsift.sources import views
 
@@ -43,3 +43,13 @@ def test_the_first_rule_that_fits_labels_a_cut(spark):
     assert got["CC(=O)OC"] == [(1, 3, 1, 3)] and got["COC(C)=O"] == [(1, 2, 3, 1)]
     assert got["CC=CC"] == [(1, 2, 7, 7)] and got["C1CCCCC1"] == []
     assert [c[2:] for c in got["c1ccc(-c2ccccn2)cc1"]] == [(16, 14)]
+
+
+@pytest.mark.parametrize("rows, files", [(500, 20), (100_000, 4)])
+def test_stream_of_parts_of_bounded_files(spark, rows, files):
+    sdf, base = streaming._arriving(spark, spark.range(10_000), 4, rows)
+    written = spark.read.parquet(f"{base}/in").groupBy(F.input_file_name()).count().collect()
+    assert len(written) == files and max(r["count"] for r in written) <= max(rows, 2_500)
+    came = []
+    sdf.writeStream.foreachBatch(lambda df, _: came.append(df.count())).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    assert len(came) == 4 and sum(came) == 10_000
