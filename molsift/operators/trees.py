@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -44,27 +45,100 @@ BLOCK = "n int, x binary, y binary, row binary, hash binary, use binary, fold bi
 
 
 def blocks_of(df: DataFrame, cols: Sequence[str], cuts: list[np.ndarray], label: str, key: Sequence[str], use: Column, fold: str | None = None, rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``df`` with a number (_row) each, and the same as blocks (n, x, y, row, hash, use, fold) of binned features.
+    """The rows of ``df`` with a number (_row) and their bins (_x) each, and the same as blocks (n, x, y, row, hash, use, fold).
 
     ``use`` tells which rows are learnt from; rows without a feature or label are left out.
     """
+    d = len(cols)
+
+    @F.pandas_udf("binary")
+    def bins(*values: pd.Series) -> pd.Series:
+        x = np.stack([np.minimum(np.searchsorted(c, v.to_numpy()), len(c) - 1) for c, v in zip(cuts, values)], 1).astype(np.uint8).tobytes()
+        return pd.Series([x[i:i + d] for i in range(0, len(x), d)], dtype=object)
+
     whole = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*cols, label]))
-    whole = materialise(whole.withColumn("_row", F.monotonically_increasing_id()), "trees-rows")
+    whole = whole.withColumns({"_row": F.monotonically_increasing_id(), "_x": bins(*[F.col(c).cast("double") for c in cols])})
+    whole = materialise(whole, "trees-rows")
     part = whole.select("_row", F.col(label).cast("double"), F.xxhash64(*key).alias("_h"), use.cast("int").alias("_use"),
-                        (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"), *[F.col(c).cast("double") for c in cols])
+                        (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"), "_x")
 
     def run(batches):
         for big in batches:
             for at in range(0, len(big), rows):
                 b = big.slice(at, rows)
                 row, y, h, used, f = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-                x = np.stack([np.minimum(np.searchsorted(c, b.column(5 + j).to_numpy(zero_copy_only=False)), len(c) - 1) for j, c in enumerate(cuts)], 1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (
-                    x, y, row, h.astype(np.int64), used.astype(np.int8), f.astype(np.int32)))], names=["n", "x", "y", "row", "hash", "use", "fold"])
+                yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int32()), *(pa.array([v], pa.binary()) for v in (
+                    b"".join(b.column(5).to_pylist()), y.tobytes(), row.tobytes(), h.astype(np.int64).tobytes(), used.astype(np.int8).tobytes(),
+                    f.astype(np.int32).tobytes()))], names=["n", "x", "y", "row", "hash", "use", "fold"])
 
     return whole, materialise(part.mapInArrow(run, BLOCK), "trees-blocks")
 
 
+def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of bins, in order, and the place of each row among them."""
+    d = x.shape[1]
+    if d > 8:
+        found, at = np.unique(x, axis=0, return_inverse=True)
+        return found, at.ravel()
+    wide = np.zeros((len(x), 8), np.uint8)
+    wide[:, 8 - d:] = x
+    found, at = np.unique(wide.view(">u8").ravel(), return_inverse=True)
+    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - d:], at
+
+
+def _bytes_each(x: np.ndarray) -> pa.Array:
+    """One binary value per row of bins."""
+    n, d = x.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * d).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+
+
+def vectors_of(blocks: DataFrame, d: int) -> int:
+    """How many rows of bins are different."""
+    def run(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([_bytes_each(distinct_rows(np.frombuffer(x, np.uint8).reshape(-1, d))[0])], names=["x"])
+    return blocks.select("x").mapInArrow(run, "x binary").distinct().count()
+
+
+def dealt(blocks: DataFrame, n: int, ranges: int, rows: int = 2_000_000, tasks: int = 24) -> tuple[DataFrame, int, int]:
+    """Blocks in chunks of about ``rows`` rows, a partition each, and how many chunks and slices there are.
+
+    Where that makes few tasks, a chunk comes once for each slice of the work on it (at most ``ranges``).
+    """
+    chunks = max(1, -(-n // rows))
+    slices = max(1, min(ranges, -(-tasks // chunks)))
+    number = F.xxhash64("row")
+    each = blocks.select(number.alias("order"), "x", "y", "hash", "use", "fold", F.pmod(number, F.lit(chunks)).cast("int").alias("chunk"),
+                         F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    return each.repartitionById(chunks * slices, F.col("chunk") * slices + F.col("slice")), chunks, slices
+
+
+@dataclass
+class Chunk:
+    """Rows of a task in the order of their bins: the distinct rows of bins, and of each row its place among them and the rest."""
+
+    number: int
+    slice: int
+    x: np.ndarray
+    at: np.ndarray
+    y: np.ndarray
+    hash: np.ndarray
+    use: np.ndarray
+    fold: np.ndarray
+
+    @classmethod
+    def of(cls, batches: Iterator[pa.RecordBatch], d: int) -> "Chunk | None":
+        """From all blocks of a partition of ``dealt``."""
+        blocks = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[2]))
+        if not blocks:
+            return None
+        x, y, h, use, fold = (np.concatenate([np.frombuffer(b[i + 1], k) for b in blocks]) for i, k in enumerate((np.uint8, np.float64, np.int64, np.int8, np.int32)))
+        x, at = distinct_rows(x.reshape(-1, d))
+        order = np.argsort(at, kind="stable")
+        return cls(blocks[0][6], blocks[0][7], x, *(v[order] for v in (at, y, h, use, fold)))
+
+
 @dataclass
 class Rows:
     """Rows of blocks as arrays."""
@@ -146,10 +220,15 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, mtry: int, rng
     return value, gain
 
 
-def _weights(rows: Rows, fit: int, tree: int, seed: int) -> np.ndarray:
-    """Bootstrap counts of the rows that a fit learns from: fit 0 from those in use, fit i from all but fold i - 1."""
-    learn = rows.use > 0 if fit == 0 else rows.fold != fit - 1
-    return np.where(learn, np.searchsorted(POISSON, _mix(rows.hash, seed * 1_000_003 + fit * 10_007 + tree)), 0).astype(float)
+def _weights(h: np.ndarray, fit: int, tree: int, seed: int) -> np.ndarray:
+    """Bootstrap counts of rows by their hashes."""
+    out = np.empty(len(h))
+    for at in range(0, len(h), 1 << 15):
+        u, w = _mix(h[at:at + (1 << 15)], seed * 1_000_003 + fit * 10_007 + tree), 0
+        for p in POISSON:
+            w = w + (u > p).astype(np.int8)
+        out[at:at + (1 << 15)] = w
+    return out
 
 
 def forest(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], use: Column, trees: int = 200, depth: int = 30, seed: int = 42,
@@ -161,121 +240,235 @@ def forest(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], u
     ``use`` and scores all; fit i, for i up to ``folds``, learns from all rows
     but those of fold i - 1 and scores these (cross-validation).
 
-    Nodes of more than ``in_task`` rows are split by histograms: one aggregate
-    per level over (tree, node, feature, bin), and only the level's splits go
-    back to the rows, which carry their node. What is left of a tree below a
-    smaller node is grown in one task, all its nodes of a level at a time. A
-    table of at most ``in_task`` rows starts there, ``at_once`` trees to a task.
+    Rows of equal bins end in the same leaf, so a tree learns from weights and
+    weighted sums of the label per row of bins, added up in chunks of the table
+    and merged by tree. Trees over at most ``in_task`` different rows of bins
+    are grown in a task, up to ``at_once`` of them. Larger nodes are split by
+    histograms first, one job per level in which chunks add up per (tree, node)
+    and only the level's splits go back; what lies below a node of at most
+    ``in_task`` entries is grown in a task of its own.
     """
     cuts = quantile_cuts(df, cols)
     mtry = mtry or max(1, int(np.sqrt(len(cols))))
     rows, blocks = blocks_of(df, cols, cuts, label, key, use, fold)
-    n = blocks.agg(F.sum("n")).first()[0] or 0
-    fits = range(folds + 1)
-    if n <= in_task:
-        found = _forest_in_tasks(blocks, fits, trees, depth, mtry, seed, at_once)
-    else:
-        found = _forest_by_levels(blocks, fits, trees, depth, mtry, seed, in_task, len(cols))
-    found = materialise(found, "trees-found")
-    scores = found.where("feature IS NULL").groupBy("row", "fit").agg((F.sum("value") / trees).alias("prediction"))
+    found = materialise(_grown(blocks, len(cols), folds, trees, depth, mtry, seed, in_task, at_once), "trees-found")
+    each = found.where("feature IS NULL").groupBy("x").agg(F.array(*[F.sum(F.when(F.col("fit") == i, F.col("value"))) / trees for i in range(folds + 1)]).alias("_values"))
+    each = broadcast_below(materialise(each, "trees-scores"))
+    fits = F.array(F.lit(0))
+    if folds:
+        fits = F.when(F.col(fold).cast("int").between(0, folds - 1), F.array(F.lit(0), F.col(fold).cast("int") + 1)).otherwise(fits)
+    scored = rows.join(each, rows["_x"] == each["x"]).select(*rows.columns, "_values", F.explode(fits).alias("fit"))
+    scored = scored.withColumn("prediction", F.get("_values", F.col("fit"))).drop("_row", "_x", "_values")
     per_tree = found.where("feature IS NOT NULL").groupBy("fit", "tree", "feature").agg(F.sum("value").alias("gain"))
     share = per_tree.withColumn("share", F.try_divide("gain", F.sum("gain").over(W.partitionBy("fit", "tree"))))
     sums = share.groupBy("fit", "feature").agg(F.sum("share").alias("s"))
     names = F.array(*[F.lit(c) for c in cols])
     importances = sums.select("fit", F.get(names, F.col("feature")).alias("feature"), F.try_divide("s", F.sum("s").over(W.partitionBy("fit"))).alias("importance"))
-    return rows.join(scores, rows["_row"] == scores["row"]).drop("_row", "row"), importances
+    return scored, importances
 
 
-FOUND = "fit int, tree int, feature int, row long, value double"
+FOUND = "fit int, tree int, feature int, x binary, value double"
 
 
-def _found(fit, tree, feature, row, value) -> pa.RecordBatch:
+def _found(fit: int, tree: int, feature: list | None, x: np.ndarray | None, value: np.ndarray) -> pa.RecordBatch:
     n = len(value)
-    whole = [x if isinstance(x, (np.ndarray, list)) else [x] * n for x in (fit, tree, feature, row)]
-    return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(whole, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))), pa.array(value, pa.float64())],
-                                      names=["fit", "tree", "feature", "row", "value"])
-
-
-def _forest_in_tasks(blocks: DataFrame, fits: Sequence[int], trees: int, depth: int, mtry: int, seed: int, at_once: int) -> DataFrame:
-    groups = -(-trees // at_once)
-
-    def run(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        fit, group = divmod(part, groups)
-        rows = Rows.of(sorted(zip(*(table.column(c).to_pylist() for c in ("n", "x", "y", "row", "hash", "use", "fold"))), key=lambda b: b[3]))
-        scored = np.ones(len(rows.y), bool) if fit == 0 else rows.fold == fit - 1
-        total, out = np.zeros(len(rows.y)), []
-        for tree in range(group * at_once, min(trees, (group + 1) * at_once)):
-            value, gain = grow(rows.x, rows.y, _weights(rows, fit, tree, seed), depth, mtry, np.random.default_rng([seed, fit, tree]))
-            total += value
-            out.append(_found(fit, tree, list(range(len(gain))), None, gain))
-        out.append(_found(fit, group, None, rows.row[scored], total[scored]))
-        return pa.Table.from_batches(out)
+    return pa.RecordBatch.from_arrays([pa.array([fit] * n, pa.int32()), pa.array([tree] * n, pa.int32()), pa.array(feature or [None] * n, pa.int32()),
+                                       pa.nulls(n, pa.binary()) if x is None else _bytes_each(x), pa.array(value, pa.float64())],
+                                      names=["fit", "tree", "feature", "x", "value"])
 
-    parts = F.explode(F.sequence(F.lit(0), F.lit(len(fits) * groups - 1))).alias("part")
-    return blocks.select("*", parts).groupBy("part").applyInArrow(run, FOUND)
 
+OPEN, BELOW, LEAF = 0, 1, 2
 
-def _forest_by_levels(blocks: DataFrame, fits: Sequence[int], trees: int, depth: int, mtry: int, seed: int, in_task: int, d: int) -> DataFrame:
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block in zip(*(c.to_pylist() for c in b.columns)):
-                rows = Rows.of([block])
-                for fit in fits:
-                    scored = np.ones(len(rows.y), bool) if fit == 0 else rows.fold == fit - 1
-                    for tree in range(trees):
-                        w = _weights(rows, fit, tree, seed)
-                        on = np.flatnonzero(scored | (w > 0))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), v), t) for v, t in ((fit, pa.int32()), (tree, pa.int32()), (1, pa.int64()))] + [
-                            pa.array(rows.row[on]), pa.array(rows.y[on]), pa.array(w[on]), pa.array(scored[on]),
-                            pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * d, pa.int32()), pa.array(rows.x[on].ravel().astype(np.int16)))],
-                            names=["fit", "tree", "node", "row", "y", "w", "scored", "x"])
-
-    now = materialise(blocks.mapInArrow(spread, "fit int, tree int, node long, row long, y double, w double, scored boolean, x array<short>"), "trees-spread")
-    out, by, level = None, ["fit", "tree", "node"], 0
-
-    def add(more: DataFrame) -> None:
-        nonlocal out
-        more = more.select("fit", "tree", F.col("feature").cast("int").alias("feature"), "row", "value")
-        out = more if out is None else out.unionByName(more)
-
-    while True:
-        sizes = materialise(now.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("y")).alias("sy")), "trees-sizes")
-        small = broadcast_below(materialise(sizes.where(F.col("rows") <= in_task).select(*by), "trees-small"))
-        add(now.join(small, by, "left_semi").groupBy(*by).applyInArrow(_grow_below(depth - level, mtry, seed), FOUND))
-        large = sizes.where(F.col("rows") > in_task)
-        if large.isEmpty():
-            return out
-        # The features that a node may use: the first by a hash of theirs.
-        cells = (now.where("w > 0").join(broadcast_below(large.select(*by)), by, "left_semi")
-                 .select(*by, F.posexplode("x").alias("f", "bin"), "w", "y").groupBy(*by, "f", "bin")
-                 .agg(F.sum("w").alias("cw"), F.sum(F.col("w") * F.col("y")).alias("cy")))
-        up_to = W.partitionBy(*by, "f").orderBy("bin")
-        cells = cells.withColumns({"lw": F.sum("cw").over(up_to), "ly": F.sum("cy").over(up_to)}).join(large, by).where("lw < sw")
-        gain = F.col("ly") ** 2 / F.col("lw") + (F.col("sy") - F.col("ly")) ** 2 / (F.col("sw") - F.col("lw")) - F.col("sy") ** 2 / F.col("sw")
-        per_feature = cells.groupBy(*by, "f").agg(F.max(F.struct(gain.alias("gain"), (-F.col("bin")).alias("bin"))).alias("top"))
-        drawn = F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64(*by, "f", F.lit(seed)), "f"))
-        best = per_feature.withColumn("drawn", drawn).where(F.col("drawn") <= mtry).groupBy(*by).agg(F.max(F.struct("top", (-F.col("f")).alias("f"))).alias("b"))
-        splits = best.where("b.top.gain > 1e-9").select(*by, F.col("b.top.gain").alias("value"), (-F.col("b.f")).alias("feature"), (-F.col("b.top.bin")).alias("cut"))
-        splits = materialise(splits if level < depth else splits.limit(0), "trees-splits")
-        add(splits.withColumn("row", F.lit(None).cast("long")))
-        joined = now.join(broadcast_below(large.select(*by, (F.col("sy") / F.col("sw")).alias("mean"))), by).join(broadcast_below(splits.drop("value")), by, "left")
-        add(joined.where("feature IS NULL AND scored").select("fit", "tree", F.lit(None).cast("int").alias("feature"), "row", F.col("mean").alias("value")))
-        right = (F.get("x", F.col("feature")) > F.col("cut")).cast("long")
-        now = materialise(joined.where("feature IS NOT NULL").withColumn("node", 2 * F.col("node") + right).select(*now.columns), "trees-level")
-        level += 1
-
-
-def _grow_below(depth: int, mtry: int, seed: int):
-    """The rows of one node -> what its subtree gives."""
-    def run(table: pa.Table) -> pa.Table:
+
+@dataclass
+class Upper:
+    """The upper nodes of a tree, the root first: their splits, or what is to be done with them."""
+
+    feature: list
+    cut: list
+    left: list
+    level: list
+    state: list
+    mean: list
+    size: list
+
+    @classmethod
+    def root(cls, state: int) -> "Upper":
+        return cls([-1], [0], [0], [0], [state], [0.0], [0])
+
+    def split(self, node: int, feature: int, cut: int, sizes: tuple[int, int], in_task: int) -> None:
+        self.feature[node], self.cut[node], self.left[node] = feature, cut, len(self.feature)
+        for n in sizes:
+            for values, v in zip((self.feature, self.cut, self.left, self.level, self.state, self.mean, self.size),
+                                 (-1, 0, 0, self.level[node] + 1, OPEN if n > in_task else BELOW, 0.0, n)):
+                values.append(v)
+
+    def nodes(self, x: np.ndarray) -> np.ndarray:
+        """The last node that each row comes to."""
+        feature, cut, left = (np.array(v) for v in (self.feature, self.cut, self.left))
+        at = np.zeros(len(x), np.int64)
+        on = np.arange(len(x)) if feature[0] >= 0 else np.empty(0, np.int64)
+        while len(on):
+            f = feature[at[on]]
+            at[on] = left[at[on]] + (x[on, f] > cut[at[on]])
+            on = on[feature[at[on]] >= 0]
+        return at
+
+
+def _sums(chunk: Chunk, fit: int, trees: Sequence[int], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each tree, the weight of the rows of each row of bins, and the sum of their weighted labels.
+
+    Fit 0 learns from the rows in use, fit i from all but those of fold i - 1.
+    """
+    on = np.flatnonzero(chunk.use > 0 if fit == 0 else chunk.fold != fit - 1)
+    at, y, h, m = chunk.at[on], chunk.y[on], chunk.hash[on], len(chunk.x)
+    for tree in trees:
+        w = _weights(h, fit, tree, seed)
+        yield np.bincount(at, weights=w, minlength=m), np.bincount(at, weights=w * y, minlength=m)
+
+
+def _scored(chunk: Chunk, fit: int) -> np.ndarray:
+    """Which rows of bins have a row that the fit scores."""
+    return np.bincount(chunk.at, weights=np.ones(len(chunk.at)) if fit == 0 else chunk.fold == fit - 1, minlength=len(chunk.x)) > 0
+
+
+def best_of_node(w: np.ndarray, t: np.ndarray, order: Sequence[int], mtry: int) -> tuple[float, int, int]:
+    """Gain, feature and bin of a node's best split, from weights and weighted sums (feature, bin); feature -1 if nothing splits it.
+
+    As ``grow`` does, it looks at ``mtry`` features in their order, and at further ones until one splits it.
+    """
+    best, known = (0.0, -1, 0), False
+    for k, f in enumerate(order):
+        if k >= mtry and known:
+            break
+        some = np.flatnonzero(w[f] > 0)
+        lw, lt, size, total = np.cumsum(w[f][some])[:-1], np.cumsum(t[f][some])[:-1], w[f].sum(), t[f].sum()
+        if not len(lw):
+            continue
+        known = True
+        gain = lt ** 2 / lw + (total - lt) ** 2 / (size - lw) - total ** 2 / size
+        at = int(gain.argmax())
+        if gain[at] > best[0] + 1e-9 * max(1.0, abs(best[0])):
+            best = (float(gain[at]), int(f), int(some[at]))
+    return best
+
+
+def _grown(blocks: DataFrame, d: int, folds: int, trees: int, depth: int, mtry: int, seed: int, in_task: int, at_once: int) -> DataFrame:
+    """Gains (fit, tree, feature, value) and, per row of bins, sums of leaves (fit, x, value) of all trees of all fits."""
+    n, vectors = blocks.agg(F.sum("n")).first()[0] or 0, vectors_of(blocks, d)
+    chunked, chunks, slices = dealt(blocks, n, trees * (folds + 1))
+    small = vectors <= in_task
+    at_once = max(1, min(at_once, 8 * in_task // max(1, vectors * chunks))) if small else 1
+    groups = [(fit, range(t, min(trees, t + at_once))) for fit in range(folds + 1) for t in range(0, trees, at_once)]
+    upper = {} if small else {(fit, tree): Upper.root(OPEN) for fit in range(folds + 1) for tree in range(trees)}
+    gains = _split_upper(chunked, slices, groups, upper, d, depth, mtry, seed, in_task) if upper else []
+
+    def run(batches):
+        chunk = Chunk.of(batches, d)
+        for fit, some in groups[chunk.slice::slices] if chunk else ():
+            scored, whole = _scored(chunk, fit), list(_sums(chunk, fit, some, seed))
+            keep = np.flatnonzero(scored | np.any([w > 0 for w, _ in whole], 0))
+            x = chunk.x[keep]
+            parts = [(0, 0, np.arange(len(x)))] if small else _parts(upper[fit, some[0]], x, in_task)
+            for node, part, mine in parts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], pa.int32()) for v in (fit, some[0], node, part, chunk.number)] + [pa.array([v.tobytes()], pa.binary()) for v in (
+                        x[mine], scored[keep][mine], np.stack([w[keep][mine] for w, _ in whole]).astype(np.int32), np.stack([t[keep][mine] for _, t in whole]))],
+                    names=["fit", "tree", "node", "part", "chunk", "x", "scored", "w", "t"])
+
+    def below(table: pa.Table) -> pa.Table:
+        fit, tree, node, _ = (table.column(c)[0].as_py() for c in ("fit", "tree", "node", "part"))
+        got = sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "x", "scored", "w", "t"))), key=lambda r: r[0])
+        x, at = distinct_rows(np.frombuffer(b"".join(r[1] for r in got), np.uint8).reshape(-1, d))
+        scored = np.bincount(at, weights=np.frombuffer(b"".join(r[2] for r in got), bool), minlength=len(x)) > 0
+        w, t = (np.concatenate([np.frombuffer(r[i], k).reshape(-1, len(r[2])) for r in got], 1) for i, k in ((3, np.int32), (4, np.float64)))
+        total, out, top = np.zeros(len(x)), [], upper.get((fit, tree))
+        if top and top.state[node] == LEAF:
+            return pa.Table.from_batches([_found(fit, tree, None, x[scored], np.full(scored.sum(), top.mean[node]))])
+        for j in range(len(w)):
+            wj, tj = (np.bincount(at, weights=v[j], minlength=len(x)) for v in (w, t))
+            y = np.divide(tj, wj, out=np.zeros(len(x)), where=wj > 0)
+            value, gain = grow(x, y, wj, depth - (top.level[node] if top else 0), mtry, np.random.default_rng([seed, fit, tree + j, *([node] if top else [])]))
+            total += value
+            out.append(_found(fit, tree + j, list(range(d)), None, gain))
+        return pa.Table.from_batches([*out, _found(fit, tree, None, x[scored], total[scored])])
+
+    by = ["fit", "tree", "node", "part"]
+    sums = chunked.mapInArrow(run, ", ".join(f"{c} int" for c in [*by, "chunk"]) + ", x binary, scored binary, w binary, t binary")
+    nodes = len(groups) if small else sum(f < 0 for u in upper.values() for f in u.feature)
+    found = sums.repartition(min(2_000, max(1, nodes)), *by).groupBy(*by).applyInArrow(below, FOUND)
+    if gains:
+        found = found.unionByName(blocks.sparkSession.createDataFrame(gains, FOUND))
+    return found
+
+
+def _parts(upper: Upper, x: np.ndarray, in_task: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(node, part, rows) of rows of bins; leaves of many rows are dealt into parts, as their value is known."""
+    at = upper.nodes(x)
+    for node in np.unique(at).tolist():
+        mine = np.flatnonzero(at == node)
+        if upper.state[node] != LEAF or upper.size[node] <= in_task:
+            yield node, 0, mine
+            continue
+        part = (x[mine].astype(np.int64) @ (2 * np.arange(x.shape[1]) + 101) ** 2) % (upper.size[node] // in_task + 1)
+        for p in np.unique(part).tolist():
+            yield node, p, mine[part == p]
+
+
+def _split_upper(chunked: DataFrame, slices: int, groups: list, upper: dict, d: int, depth: int, mtry: int, seed: int, in_task: int) -> list[tuple]:
+    """Split the open nodes of ``upper`` level by level until all are small or leaves; the gains as rows of FOUND."""
+    width, gains = 256, []
+
+    def histograms(batches):
+        chunk = Chunk.of(batches, d)
+        for fit, some in groups[chunk.slice::slices] if chunk else ():
+            for tree, (w, t) in zip(some, _sums(chunk, fit, some, seed)):
+                top = upper[fit, tree]
+                live = [v for v, s in enumerate(top.state) if s == OPEN and top.feature[v] < 0]
+                if not live:
+                    continue
+                place = np.full(len(top.state), -1)
+                place[live] = np.arange(len(live))
+                on = np.flatnonzero((w > 0) | _scored(chunk, fit))
+                at = place[top.nodes(chunk.x[on])]
+                on, at = on[at >= 0], at[at >= 0]
+                cell = ((at[:, None] * d + np.arange(d)) * width + chunk.x[on]).ravel()
+                w, t, n = (np.bincount(cell, weights=np.repeat(v, d), minlength=len(live) * d * width).reshape(len(live), -1) for v in (w[on], t[on], np.ones(len(on))))
+                for j, node in enumerate(live):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (fit, tree, node, chunk.number)] + [
+                        pa.array([v[j].tobytes()], pa.binary()) for v in (w, t, n)], names=["fit", "tree", "node", "chunk", "w", "t", "n"])
+
+    def best(table: pa.Table) -> pa.Table:
         fit, tree, node = (table.column(c)[0].as_py() for c in ("fit", "tree", "node"))
-        order = np.argsort(table.column("row").to_numpy())
-        y, w, row, scored = (table.column(c).to_numpy()[order] for c in ("y", "w", "row", "scored"))
-        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)[order].astype(np.uint8)
-        value, gain = grow(x, y, w, depth, mtry, np.random.default_rng([seed, fit, tree, node]))
-        return pa.Table.from_batches([_found(fit, tree, None, row[scored], value[scored]), _found(fit, tree, list(range(len(gain))), None, gain)])
-    return run
+        got = sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "w", "t", "n"))), key=lambda r: r[0])
+        w, t, n = (sum(np.frombuffer(r[i]) for r in got).reshape(d, width) for i in (1, 2, 3))
+        gain, feature, cut = best_of_node(w, t, np.random.default_rng([seed, fit, tree, node]).permutation(d), mtry)
+        left = int(n[feature, :cut + 1].sum()) if feature >= 0 else 0
+        row = (fit, tree, node, gain, feature, cut, t[0].sum() / max(w[0].sum(), 1e-300), left, int(n[0].sum()) - left)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["fit", "tree", "node", "gain", "feature", "cut", "mean", "left", "right"])]).cast(SPLIT)
+
+    while any(s == OPEN and f < 0 for u in upper.values() for s, f in zip(u.state, u.feature)):
+        found = chunked.mapInArrow(histograms, "fit int, tree int, node int, chunk int, w binary, t binary, n binary").groupBy("fit", "tree", "node").applyInArrow(
+            best, "fit int, tree int, node int, gain double, feature int, cut int, mean double, left long, right long").collect()
+        for r in found:
+            top = upper[r["fit"], r["tree"]]
+            top.mean[r["node"]], top.size[r["node"]] = r["mean"], r["left"] + r["right"]
+            if r["feature"] < 0 or top.level[r["node"]] == depth:
+                top.state[r["node"]] = LEAF
+            elif top.size[r["node"]] <= in_task:
+                top.state[r["node"]] = BELOW
+            else:
+                top.split(r["node"], r["feature"], r["cut"], (r["left"], r["right"]), in_task)
+                gains.append((r["fit"], r["tree"], r["feature"], None, r["gain"]))
+        asked = {(r["fit"], r["tree"]) for r in found}
+        for k, top in upper.items():  # without a row to learn from or to score
+            if k not in asked:
+                top.state = [LEAF if s == OPEN and f < 0 else s for s, f in zip(top.state, top.feature)]
+    return gains
+
+
+SPLIT = pa.schema([("fit", pa.int32()), ("tree", pa.int32()), ("node", pa.int32()), ("gain", pa.float64()), ("feature", pa.int32()), ("cut", pa.int32()),
+                   ("mean", pa.float64()), ("left", pa.int64()), ("right", pa.int64())])
 
 
 # --- boosting

@@ -150,6 +150,58 @@ def test_boosting_against_a_plain_version(spark, l1, l2):
     assert len(made) == 5 and abs(sum(importances.values()) - 1) < 1e-9
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """Rows of the tables written on the way."""
+    rows, whole = {}, T.materialise
+
+    def count(df, label):
+        out = whole(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+    monkeypatch.setattr(T, "materialise", count)
+    return rows
+
+
+def repeated(spark, n=2_000):
+    """Many rows, 20 different rows of features."""
+    return spark.range(n).select("id", *[F.pmod(F.col("id") / k, F.lit(m)).cast("int").cast("double").alias(c) for c, k, m in (("a", 1, 5), ("b", 5, 4), ("c", 1, 1))],
+                                 (F.pmod(F.col("id"), F.lit(5)) + F.rand(1)).alias("y"), (F.col("id") % 4 > 0).alias("learn"), (F.col("id") % 2).cast("int").alias("fold"))
+
+
+def test_no_table_holds_a_row_per_row_and_tree(spark, written):
+    scored, importances = T.forest(repeated(spark), COLS, "y", ["id"], F.col("learn"), trees=10, fold="fold", folds=2, in_task=100)
+    assert scored.groupBy("fit").count().orderBy("fit").collect() == [(0, 2_000), (1, 1_000), (2, 1_000)]
+    assert max(n for rows in written.values() for n in rows) == 2_000
+    assert importances.count() == 9
+
+
+@pytest.mark.parametrize("in_task", [100, 7])
+def test_forest_of_sums_is_the_forest_of_rows(spark, in_task):
+    """Against trees grown row by row, with all features at every node."""
+    df = repeated(spark, 300)
+    got = T.forest(df, COLS, "y", ["id"], F.col("learn"), trees=3, depth=3, mtry=3, in_task=in_task)[0].toPandas().sort_values("id")
+    hashes = {r[0]: r[1] for r in df.select("id", F.xxhash64("id")).collect()}
+    h, x = np.array([hashes[i] for i in got["id"]]), np.stack([np.unique(got[c], return_inverse=True)[1] for c in COLS], 1).astype(np.uint8)
+    y = got["y"].to_numpy()
+    want = sum(plain_tree(x, y, np.where(got["learn"], np.searchsorted(T.POISSON, T._mix(h, 42 * 1_000_003 + t)), 0).astype(float), 3)[0] for t in range(3)) / 3
+    assert np.allclose(got["prediction"], want)
+
+
+def test_large_leaves_of_many_features_are_scored_once(spark):
+    df, rows = table(spark, 300)
+    scored, _ = T.forest(df.withColumn("y", F.lit(2.0)), COLS, "y", ["id"], F.col("learn"), trees=4, in_task=40)
+    assert scored.where("abs(prediction - 2) < 1e-9").count() == len(rows)
+
+
+def test_distinct_rows_of_few_and_many_bins():
+    rng = np.random.default_rng(5)
+    for d in (1, 4, 8, 11):
+        x = rng.integers(0, 3, (200, d)).astype(np.uint8)
+        found, at = T.distinct_rows(x)
+        assert (found[at] == x).all() and found.tolist() == [list(r) for r in sorted(set(map(tuple, x.tolist())))]
+
+
 def test_penalties_change_the_leaves_by_the_formula():
     g, h = np.array([[[-4.0, 6.0]]]), np.array([[[3.0, 5.0]]])
     gain, feature, cut = T.best_splits(g, h, 1.0, 2.0, 1.0)
