@@ -516,9 +516,33 @@ def best_splits(g: np.ndarray, h: np.ndarray, l1: float, l2: float, least: float
     return gain[np.arange(len(g)), top], top // g.shape[2], top % g.shape[2]
 
 
+def leaves(g, h, eta: float, l1: float, l2: float):
+    return -eta * shrunk(g, l1) / np.maximum(h + l2, 1e-300)
+
+
+def split_level(tree: Tree, level: int, g: np.ndarray, h: np.ndarray, mine: np.ndarray, eta: float, l1: float, l2: float, least: float,
+                gains: np.ndarray, counts: np.ndarray) -> bool:
+    """Split the nodes of a level by their sums (node, feature of ``mine``, bin); whether any was split."""
+    first = 2 ** level - 1
+    if level == 0:
+        tree.value[0] = leaves(g[0, 0].sum(), h[0, 0].sum(), eta, l1, l2)
+    gain, feature, cut = best_splits(g, h, l1, l2, least)
+    split = np.flatnonzero(gain > 1e-6)
+    if not len(split):
+        return False
+    tree.feature[first + split], tree.cut[first + split] = mine[feature[split]], cut[split]
+    # A split's sums are those of its children, so the last level needs no sums of its own.
+    gl, hl = (np.cumsum(v[split, feature[split]], 1)[np.arange(len(split)), cut[split]] for v in (g, h))
+    gr, hr = (v[split, 0].sum(1) - part for v, part in ((g, gl), (h, hl)))
+    tree.value[2 * (first + split) + 1], tree.value[2 * (first + split) + 2] = leaves(gl, hl, eta, l1, l2), leaves(gr, hr, eta, l1, l2)
+    np.add.at(gains, mine[feature[split]], gain[split])
+    np.add.at(counts, mine[feature[split]], 1)
+    return True
+
+
 def boost(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], use: Column, trees: int = 200, depth: int = 6, eta: float = 0.1,
           rows: float = 0.8, columns: float = 0.8, l1: float = 0.1, l2: float = 1.0, least: float = 1.0, seed: int = 42,
-          keep_every: int = 20, cuts: list[np.ndarray] | None = None) -> tuple[DataFrame, list[Tree], dict[str, float]]:
+          keep_every: int = 20, cuts: list[np.ndarray] | None = None, in_task: int = 500_000) -> tuple[DataFrame, list[Tree], dict[str, float]]:
     """Boosting of squared error by second-order splits, with L1 and L2 penalties on the leaves.
 
     Returns the rows with ``prediction``, the trees and the importances (mean
@@ -528,32 +552,49 @@ def boost(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], us
     -eta * shrunk(G, l1) / (H + l2). Rows (share ``rows``, by a hash of ``key``)
     and columns (share ``columns``) are drawn once per tree.
 
-    A level is one job: blocks add gradients and counts up by (node, feature,
-    bin), tasks are merged in a tree, and only the level's splits are sent on.
-    The blocks carry their rows' scores, held in memory and written every
-    ``keep_every`` trees, so a lost executor costs no more trees than that.
+    Rows of equal bins have the same score at any time, so a tree needs of them
+    no more than how many are drawn and the sum of their labels; neither depends
+    on the trees before. Both are added up for all trees at once, in chunks of
+    the table, and merged by tree; up to ``in_task`` different rows of bins, the
+    trees are then made in a task that reads these sums tree by tree.
+
+    Beyond that a level is one job: blocks add gradients and counts up by (node,
+    feature, bin), tasks are merged in a tree, and only the level's splits are
+    sent on. The blocks carry their rows' scores, held in memory and written
+    every ``keep_every`` trees, so a lost executor costs no more trees than that.
     """
     cuts = cuts or quantile_cuts(df.where(use), cols)
     source, blocks = blocks_of(df, cols, cuts, label, key, use)
     bins, d, sc = max(map(len, cuts)), len(cols), df.sparkSession.sparkContext
     fields = [f.split()[0] for f in BLOCK.split(", ")]
+    options = {"eta": eta, "l1": l1, "l2": l2, "least": least}
     start = source.where(use).agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
     n_rows = blocks.agg(F.sum("n")).first()[0] or 0
     made: list[Tree] = []
     gains, counts = np.zeros(d), np.zeros(d)
 
+    def importances() -> dict[str, float]:
+        mean = np.divide(gains, counts, out=np.zeros(d), where=counts > 0)
+        return dict(zip(cols, (mean / mean.sum() if mean.sum() else mean).tolist()))
+
+    if 0 < vectors_of(blocks, d) <= in_task:
+        found = materialise(_boosted(blocks, n_rows, d, bins, start, trees, depth, rows, columns, seed, options), "boost-found")
+        for r in found.where("no IS NOT NULL").orderBy("no").collect():
+            made.append(Tree(*(np.frombuffer(r[c], k) for c, k in (("feature", np.int64), ("cut", np.int64), ("value", np.float64)))))
+            gains += np.frombuffer(r["gains"])
+            counts += np.frombuffer(r["counts"])
+        each = broadcast_below(materialise(found.where("no IS NULL").select(F.col("x").alias("_found"), F.col("score").alias("prediction")), "boost-scores"))
+        return source.join(each, source["_x"] == each["_found"]).drop("_row", "_x", "_found"), made, importances()
+
     def held(frame: DataFrame):
         """The blocks as arrays, in tasks of 100,000 rows or more."""
         rdd = frame.rdd.map(lambda r: (Rows.of([tuple(r[f] for f in fields)]), np.full(r["n"], start) if r["score"] is None else np.frombuffer(r["score"], np.float64)))
         return rdd.coalesce(max(1, n_rows // 100_000)).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def leaves(g, h):
-        return -eta * shrunk(g, l1) / np.maximum(h + l2, 1e-300)
-
     frame = blocks.withColumn("score", F.lit(None).cast("binary"))
     now, before = held(frame), None
     for no in range(trees):
-        mine = np.sort(np.random.default_rng([seed, no]).permutation(d)[:max(1, round(columns * d))])
+        mine = _columns_of(seed, no, d, columns)
         tree, width = Tree.of_depth(depth), len(mine)
         for level in range(depth):
             first, m = 2 ** level - 1, 2 ** level
@@ -572,19 +613,8 @@ def boost(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], us
             if before is not None:  # the new scores are there, so the old ones may go
                 before.unpersist()
                 before = None
-            if level == 0:
-                tree.value[0] = leaves(g[0, 0].sum(), h[0, 0].sum())
-            gain, feature, cut = best_splits(g, h, l1, l2, least)
-            split = np.flatnonzero(gain > 1e-6)
-            if not len(split):
+            if not split_level(tree, level, g, h, mine, **options, gains=gains, counts=counts):
                 break
-            tree.feature[first + split], tree.cut[first + split] = mine[feature[split]], cut[split]
-            # A split's sums are those of its children, so the last level needs no job.
-            gl, hl = (np.cumsum(v[split, feature[split]], 1)[np.arange(len(split)), cut[split]] for v in (g, h))
-            gr, hr = (v[split, 0].sum(1) - part for v, part in ((g, gl), (h, hl)))
-            tree.value[2 * (first + split) + 1], tree.value[2 * (first + split) + 2] = leaves(gl, hl), leaves(gr, hr)
-            np.add.at(gains, mine[feature[split]], gain[split])
-            np.add.at(counts, mine[feature[split]], 1)
         made.append(tree)
         after = now.map(lambda b, tree=tree: (b[0], b[1] + tree.value[tree.nodes(b[0].x, depth)]))
         if len(made) % keep_every == 0 or no == trees - 1:
@@ -602,6 +632,75 @@ def boost(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], us
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row, np.int64)), pa.array(np.frombuffer(score, np.float64))], names=["row", "prediction"])
 
     found = frame.select("row", "score").mapInArrow(scores, "row long, prediction double")
-    mean = np.divide(gains, counts, out=np.zeros(d), where=counts > 0)
-    importances = dict(zip(cols, (mean / mean.sum() if mean.sum() else mean).tolist()))
-    return source.join(found, source["_row"] == found["row"]).drop("_row", "row"), made, importances
+    return source.join(found, source["_row"] == found["row"]).drop("_row", "_x", "row"), made, importances()
+
+
+def _columns_of(seed: int, no: int, d: int, share: float) -> np.ndarray:
+    """The columns that a tree may use."""
+    return np.sort(np.random.default_rng([seed, no]).permutation(d)[:max(1, round(share * d))])
+
+
+BOOSTED = "no int, feature binary, cut binary, value binary, gains binary, counts binary, x binary, score double"
+
+
+def _boosted(blocks: DataFrame, n: int, d: int, bins: int, start: float, trees: int, depth: int, rows: float, columns: float, seed: int, options: dict,
+             at_once: int = 10) -> DataFrame:
+    """The trees (no, feature, cut, value, gains, counts) and the score of each row of bins (x, score)."""
+    chunked, _, slices = dealt(blocks, n, trees)
+    groups = [range(t, min(trees, t + at_once)) for t in range(0, trees, at_once)]
+
+    def run(batches):
+        chunk = Chunk.of(batches, d)
+        if not chunk:
+            return
+        on = np.flatnonzero(chunk.use > 0)
+        at, y, hashes, m = chunk.at[on], chunk.y[on], chunk.hash[on], len(chunk.x)
+        for some in groups[chunk.slice::slices]:
+            h, t = np.empty((len(some), m), np.int32), np.empty((len(some), m))
+            for j, no in enumerate(some):
+                drawn = np.flatnonzero(_mix(hashes, seed * 1_000_003 + no) < rows)
+                h[j], t[j] = np.bincount(at[drawn], minlength=m), np.bincount(at[drawn], weights=y[drawn], minlength=m)
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (some[0], chunk.number)] + [pa.array([v.tobytes()], pa.binary()) for v in (chunk.x, h, t)],
+                                             names=["no", "chunk", "x", "h", "t"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        got = sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "x", "h", "t"))), key=lambda r: r[0])
+        x, at = distinct_rows(np.frombuffer(b"".join(r[1] for r in got), np.uint8).reshape(-1, d))
+        h, t = (np.concatenate([np.frombuffer(r[i], k).reshape(-1, len(r[1]) // d) for r in got], 1) for i, k in ((2, np.int32), (3, np.float64)))
+        no, m = table.column("no")[0].as_py(), len(x)
+        return pa.table({"no": pa.array(range(no, no + len(h)), pa.int32()), "x": pa.array([x.tobytes() if no + j == 0 else b"" for j in range(len(h))], pa.binary()),
+                         "h": pa.array([np.bincount(at, weights=v, minlength=m).astype(np.int32).tobytes() for v in h], pa.binary()),
+                         "t": pa.array([np.bincount(at, weights=v, minlength=m).tobytes() for v in t], pa.binary())})
+
+    def make(batches):
+        x = None
+        for b in batches:
+            for i in range(len(b)):
+                no, first_x, h, t = (b.column(j)[i].as_py() for j in range(4))
+                if no == 0:
+                    x = np.frombuffer(first_x, np.uint8).reshape(-1, d)
+                    score = np.full(len(x), start)
+                h = np.frombuffer(h, np.int32).astype(float)
+                g = h * score - np.frombuffer(t)
+                mine, tree, gains, counts, at = _columns_of(seed, no, d, columns), Tree.of_depth(depth), np.zeros(d), np.zeros(d), np.zeros(len(x), np.int64)
+                width = len(mine)
+                for level in range(depth):
+                    first, m = 2 ** level - 1, 2 ** level
+                    on = np.flatnonzero((h > 0) & (at >= first))
+                    cell = (((at[on] - first)[:, None] * width + np.arange(width)) * bins + x[np.ix_(on, mine)]).ravel()
+                    sums = (np.bincount(cell, weights=np.repeat(v[on], width), minlength=m * width * bins).reshape(m, width, bins) for v in (g, h))
+                    if not split_level(tree, level, *sums, mine, **options, gains=gains, counts=counts):
+                        break
+                    f = tree.feature[at]
+                    at = np.where(f < 0, at, 2 * at + 1 + (x[np.arange(len(x)), np.maximum(f, 0)] > tree.cut[at]))
+                score = score + tree.value[at]
+                yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (tree.feature, tree.cut, tree.value, gains, counts)),
+                                                  pa.nulls(1, pa.binary()), pa.nulls(1, pa.float64())], names=names)
+        if x is not None:
+            none = [pa.nulls(len(x), k) for k in (pa.int32(), *[pa.binary()] * 5)]
+            yield pa.RecordBatch.from_arrays([*none, _bytes_each(x), pa.array(score)], names=names)
+
+    names = [c.split()[0] for c in BOOSTED.split(", ")]
+    sums = chunked.mapInArrow(run, "no int, chunk int, x binary, h binary, t binary").repartition(len(groups), "no").groupBy("no").applyInArrow(
+        merge, "no int, x binary, h binary, t binary")
+    return materialise(sums, "boost-sums").repartition(1).sortWithinPartitions("no").mapInArrow(make, BOOSTED)

@@ -202,6 +202,22 @@ def test_distinct_rows_of_few_and_many_bins():
         assert (found[at] == x).all() and found.tolist() == [list(r) for r in sorted(set(map(tuple, x.tolist())))]
 
 
+def test_boosting_needs_no_job_per_level(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("boosting", "boosting")
+    scored, made, _ = T.boost(repeated(spark), COLS, "y", ["id"], F.col("learn"), trees=30, depth=3)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("boosting"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(made) == 30 and scored.count() == 2_000 and jobs < 30
+
+
+def test_boosting_by_levels_is_boosting_by_sums(spark):
+    df, _ = table(spark, 150)
+    both = [T.boost(df, COLS, "y", ["id"], F.col("learn"), trees=4, depth=3, keep_every=3, in_task=n) for n in (500_000, 10)]
+    one, two = (b[0].select("id", "prediction").toPandas().sort_values("id") for b in both)
+    assert np.allclose(one.prediction, two.prediction) and all(np.isclose(both[0][2][c], both[1][2][c]) for c in COLS)
+
+
 def test_penalties_change_the_leaves_by_the_formula():
     g, h = np.array([[[-4.0, 6.0]]]), np.array([[[3.0, 5.0]]])
     gain, feature, cut = T.best_splits(g, h, 1.0, 2.0, 1.0)
