@@ -18,6 +18,7 @@ from molsift.llm.graph import components
 from molsift.session import broadcast_below, hint_if_small, materialise
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+SMALL = 64 << 20  # bytes of nodes that may be broadcast, so that sets need no shuffle
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -156,12 +157,13 @@ def combine_shared(tok: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream of (token, node, known) sorted by token -> (node, count) of shared tokens not known before."""
+    """Stream of (token with known as its last bit, node) sorted by token -> (node, count) of shared tokens not known before."""
     held = None  # the last row, if its token has had one row so far; else its token alone
     for b in batches:
-        tok, node, known = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        tok, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         if not len(tok):
             continue
+        tok, known = tok >> 1, (tok & 1).astype(bool)
         starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
         lengths = np.diff(np.append(starts, len(tok)))
         shared = np.repeat(lengths > 1, lengths)
@@ -177,19 +179,33 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _shared_counts(rows: DataFrame) -> DataFrame:
-    """node, shared from pre-aggregated rows (token, node, known, c); rows with a null token are counts."""
-    met = (rows.filter("token is not null").select("token", "node", "known").repartition("token").sortWithinPartitions("token", "node")
+    """node, shared from pre-aggregated rows (token, node, c); rows with a null token are counts."""
+    met = (rows.filter("token is not null").select("token", "node").repartition(F.shiftright("token", 1)).sortWithinPartitions("token")
            .mapInArrow(_count_shared, "node long, c long"))
     return met.union(rows.filter("token is null and c is not null").select("node", "c")).groupBy("node").agg(F.sum("c").alias("shared"))
 
 
-def _posting_batch(tok: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    """Pre-aggregated rows of a batch, as _shared_counts takes them."""
+SHORT = np.uint64(24)  # bits of a shingle's hash that postings leave out
+
+
+def _posting_batch(sets: list[np.ndarray], node: np.ndarray) -> pa.RecordBatch:
+    """Pre-aggregated rows of a batch of sets in their order, as _shared_counts takes them.
+
+    Postings are most of what this operator shuffles, so of a shingle they hold
+    the upper 40 bits, with ``known`` as the last one. Shingles that then look
+    equal only make a set seem to share more: those of other sets do by
+    themselves, and those of one set, neighbours in it, are counted on top.
+    """
+    tok = np.concatenate([np.empty(0, np.int64), *sets])
+    tok = (tok.view(np.uint64) >> SHORT).view(np.int64)
+    node = np.repeat(node, [len(x) for x in sets])
+    same = np.flatnonzero((tok[1:] == tok[:-1]) & (node[1:] == node[:-1]))
     t, n, known, nodes, counts = combine_shared(tok, node)
+    more, again = np.unique(node[same], return_counts=True)
+    nodes, counts = np.concatenate([nodes, more]), np.concatenate([counts, again])
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([t, np.zeros(len(nodes), np.int64)]), mask=np.arange(len(t) + len(nodes)) >= len(t)),
-         pa.array(np.concatenate([n, nodes])), pa.array(np.concatenate([known, np.zeros(len(nodes), bool)])),
-         pa.array(np.concatenate([np.zeros(len(t), np.int64), counts]))], names=["token", "node", "known", "c"])
+        [pa.array(np.concatenate([2 * t + known, np.zeros(len(nodes), np.int64)]), mask=np.arange(len(t) + len(nodes)) >= len(t)),
+         pa.array(np.concatenate([n, nodes])), pa.array(np.concatenate([np.zeros(len(t), np.int64), counts]))], names=["token", "node", "c"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 3000) -> Iterator[pa.RecordBatch]:
@@ -214,20 +230,30 @@ def thin_out(members: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
     """
     def postings(batches):
         for b in _slices(batches):
-            sets = _arrays(b.column(1))
-            node = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
-            yield _posting_batch(np.concatenate(sets) if sets else node, node)
+            yield _posting_batch(_arrays(b.column(1)), b.column(0).to_numpy())
 
     for _ in range(rounds):
         before = members.count()
-        counts = _shared_counts(members.select("node", "set").mapInArrow(postings, "token long, node long, known boolean, c long"))
+        counts = _shared_counts(members.select("node", "set").mapInArrow(postings, "token long, node long, c long"))
         enough = counts.join(members.select("node", F.size("set").alias("n")), "node").filter(100 * F.col("shared") >= percent * F.col("n"))
-        members = materialise(members.join(enough.select("node"), "node", "left_semi"), "join-thin")
-        if members.count() > 0.9 * before:
+        enough = materialise(enough.select("node"), "join-enough")
+        few = enough.count() > 0.9 * before
+        members = members.join(broadcast_below(enough, SMALL), "node", "left_semi")
+        if few:
             break
+        members = materialise(members, "join-thin")
     return members
 
 
+def once_each(members: DataFrame) -> DataFrame:
+    """One row of each node of members (node, set, place), which must have been written; only nodes are shuffled."""
+    first = members.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("node", "first")
+    first = materialise(first, "join-repeated")
+    if first.isEmpty():
+        return members.drop("place")
+    return members.join(broadcast_below(first, SMALL), "node", "left").filter("first is null or place = first").select("node", "set")
+
+
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, prefix) -> (token, first node of the batch), and (null, node, first) links inside the batch."""
     for b in batches:
@@ -394,16 +420,16 @@ def _scan(body: DataFrame, kind: str, percent: int, width: int, spare: int, half
                 if fresh and len(done) < 50_000:
                     done.add(dig[-1])
             node = np.frombuffer(b"".join(x[half:half + 8] for x in dig), np.int64)
-            rest = _posting_batch(np.concatenate([np.empty(0, np.int64), *pre]), np.repeat(node, [len(p) for p in pre]))
+            rest = _posting_batch(pre, node)
             m, r = len(rest), len(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.concat_arrays([b.column(2), pa.nulls(m, pa.string())]),
                  pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(m, pa.int64())]),
                  pa.concat_arrays([pa.array(dig, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(node), rest.column(1)]),
-                 pa.concat_arrays([pa.nulls(r, pa.int64()), rest.column(0)]), pa.concat_arrays([pa.nulls(r, pa.bool_()), rest.column(2)]),
-                 pa.concat_arrays([pa.nulls(r, pa.int64()), rest.column(3)])], names=["k", "h", "n", "dig", "node", "token", "known", "c"])
+                 pa.concat_arrays([pa.nulls(r, pa.int64()), rest.column(0)]), pa.concat_arrays([pa.nulls(r, pa.int64()), rest.column(2)])],
+                names=["k", "h", "n", "dig", "node", "token", "c"])
 
-    return materialise(body.mapInArrow(describe, f"k {kind}, h string, n long, dig binary, node long, token long, known boolean, c long"), "join-scan")
+    return materialise(body.mapInArrow(describe, f"k {kind}, h string, n long, dig binary, node long, token long, c long"), "join-scan")
 
 
 def placed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, spare: int = 5,
@@ -431,14 +457,15 @@ def placed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
             break
     else:
         raise RuntimeError("two classes share either half of their digests")
-    counts = _shared_counts(scanned.filter("dig is null").select("token", "node", "known", "c"))
+    counts = _shared_counts(scanned.filter("dig is null").select("token", "node", "c"))
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * (spare * percent) / 10_000))
     some = classes.join(counts, "node").filter(F.col("shared") >= need).select("rep", "dig", "node")
-    some = broadcast_below(materialise(some, "join-some"), 64 << 20)
-    members = materialise(body.join(some, body.k.eqNullSafe(some.rep)).select("t", "dig", "node").mapInArrow(again, "node long, set array<long>")
-                          .dropDuplicates(["node"]), "join-members")
+    some = broadcast_below(materialise(some, "join-some"), SMALL)
+    members = body.join(some, body.k.eqNullSafe(some.rep)).select("t", "dig", "node").mapInArrow(again, "node long, set array<long>")
+    members = once_each(materialise(members.withColumn("place", F.monotonically_increasing_id()), "join-members"))
     members = thin_out(members, percent)
-    members = members.join(first_regions(members, percent), "node").select(F.col("root").cast("string").alias("region"), "node", "set")
+    regions = broadcast_below(materialise(first_regions(members, percent), "join-first"), SMALL)
+    members = members.join(regions, "node").select(F.col("root").cast("string").alias("region"), "node", "set")
     linked = components(link_regions(materialise(members, "join-regions"), percent, max_tokens, pivots, salts))
     linked = hint_if_small(linked)
     return (rows.join(linked, "node", "left")

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,3 +354,26 @@ def test_null_text_is_rejected(spark, docs):
     df, _ = docs
     assert not any(r["kept"] for r in score_quality(df).filter("score = 0").collect())
     assert hashlib.sha256(b"").hexdigest()  # the digest of no spans
+
+
+def test_short_postings_never_count_too_little(spark):
+    """Shingles that agree in all the bits that postings hold, in one set and in two."""
+    near = np.array([5 << 24, (5 << 24) + 1, 9 << 40], np.uint64).view(np.int64)
+    other = np.array([7 << 24, 8 << 40], np.uint64).view(np.int64)
+    batches = [J._posting_batch(list(sets), np.array(nodes)) for sets, nodes in (((near, other), (1, 2)), ((near,), (3,)))]
+    assert all(0 <= t < 1 << 41 for b in batches for t in b.column(0).to_pylist() if t is not None)
+    rows = spark.createDataFrame([tuple(r.values()) for b in batches for r in b.to_pylist()], "token long, node long, c long")
+    got = {r["node"]: r["shared"] for r in J._shared_counts(rows).collect()}
+    assert got[1] >= 3 and got[3] >= 3 and 2 not in got
+
+
+def test_repeated_rows_leave_one_set_each(spark, tmp_path):
+    spark.createDataFrame([(1, [4], 0), (1, [4], 7), (2, [5], 3), (3, [6], 9), (3, [6], 8)], "node long, set array<long>, place long").write.parquet(f"{tmp_path}/m")
+    assert sorted(map(tuple, J.once_each(spark.read.parquet(f"{tmp_path}/m")).collect())) == [(1, [4]), (2, [5]), (3, [6])]
+
+
+def test_sets_are_not_shuffled_to_thin_them_out(spark):
+    sets = spark.createDataFrame([(i, [j << 30 for j in range(i // 2 * 9, i // 2 * 9 + 9)]) for i in range(40)] + [(99, [1 << 60])], "node long, set array<long>")
+    thin = J.thin_out(sets, 75)
+    assert thin.count() == 40
+    assert "SortMergeJoin" not in thin._jdf.queryExecution().toString()
