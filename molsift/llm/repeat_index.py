@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +44,15 @@ def suffix_order(text: np.ndarray, end: np.ndarray, which: np.ndarray, length: i
     code[present] = np.arange(len(present))
     bits = max(1, int(len(present) - 1).bit_length())
     letters, packed = code[text], min(63 // bits, length)
-    key = np.zeros(n, np.uint64)
-    for j in range(packed):
-        key = key << np.uint64(bits) | letters[np.minimum(at + j, end)]
+    key, have = letters, 1
+    for more in f"{packed:b}"[1:]:  # doubled, and one letter more where the number asks for it
+        for extra in (key, *[letters] * int(more)):
+            width = have if extra is key else 1
+            key = key << np.uint64(bits * width)
+            key[:n - have] |= extra[have:]
+            have += width
+    beyond = np.maximum(packed - (end - at), 0).astype(np.uint64) * np.uint64(bits)
+    key = key >> beyond << beyond  # what follows the string's end is not its own
     order = np.argsort(key)
     new = np.ones(n, bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
@@ -88,6 +97,7 @@ class RunLengthIndex:
         inner = np.ones(self.n, bool)
         inner[ends] = False
         self.text[inner] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+        self.window = sliding_window_view(np.append(self.text, np.zeros(length, np.uint16)), length)
         end, which = np.repeat(ends, sizes), np.repeat(np.arange(len(strings)), sizes)
         order, head, width = suffix_order(self.text, end, which, length)
         # Runs of equal letters before the suffixes, in their order.
@@ -116,8 +126,7 @@ class RunLengthIndex:
 
     def _common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Letters that the suffixes at p and q share, up to ``length``."""
-        j = np.arange(self.length)
-        unlike = self.text[np.minimum(p[:, None] + j, self.n - 1)] != self.text[np.minimum(q[:, None] + j, self.n - 1)]
+        unlike = self.window[p] != self.window[q]
         return np.where(unlike.any(1), unlike.argmax(1), self.length)
 
     def matches(self, patterns: list[bytes], below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,47 +136,55 @@ class RunLengthIndex:
         matching statistics: a row whose suffix begins with the longest match,
         that match's place in the text, and its length. A letter that does not
         precede the row sends it to the end of the nearest run of that letter
-        above or below, whichever sample shares more with the match.
+        above or below, whichever sample shares more with the match. What
+        ``length`` letters match hangs on these letters only, so a long pattern
+        is streamed in pieces that overlap by one letter less, and none has
+        many steps to itself.
         """
-        sizes = np.array([len(p) for p in patterns])
-        data = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int64) + 1
-        start = np.cumsum(sizes) - sizes
+        most, length = 3 * self.length, self.length
+        step = most - length + 1
+        whole = np.array([len(p) for p in patterns], np.int64)
+        cuts = np.maximum(1, -(-(whole - length + 1) // step))
+        of = np.repeat(np.arange(len(patterns)), cuts)
+        offset = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * step
+        sizes = np.minimum(whole[of] - offset, most)
         by_size = np.argsort(-sizes, kind="stable")
+        of, offset, sizes = of[by_size], offset[by_size], sizes[by_size]
+        data = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int64) + 1
+        end = (np.cumsum(whole) - whole)[of] + offset + sizes - 1
+        below = below[of]
+        # Of the place and the length of a match, what they are t steps on is kept less what t steps add to them.
         row, at, got = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.first_sample[0]), np.zeros(len(sizes), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        live = len(sizes)
-        for t in range(int(sizes.max(initial=0))):
-            while sizes[by_size[live - 1]] <= t:
-                live -= 1
-            who = by_size[:live]
-            place = sizes[who] - 1 - t
-            letter = data[start[who] + place]
-            r = self.run_of[row[who]]
-            miss = np.flatnonzero(self.letter[r] != letter)
+        steps = int(sizes.max(initial=0))
+        alive = np.searchsorted(-sizes, -np.arange(steps), "left")
+        for t, live in enumerate(alive.tolist()):
+            letter = data[end[:live] - t]
+            r = self.run_of[row[:live]]
+            m = np.flatnonzero(self.letter[r] != letter)
             dead = None
-            if len(miss):
-                m = who[miss]
-                after = np.searchsorted(self.keys, letter[miss] * self.n + row[m])
+            if len(m):
+                wanted = letter[m]
+                after = np.searchsorted(self.keys, wanted * self.n + row[m])
                 down, up = self.by_letter[np.minimum(after, len(self.keys) - 1)], self.by_letter[np.maximum(after - 1, 0)]
-                down_ok, up_ok = (self.letter[down] == letter[miss]) & (after < len(self.keys)), (self.letter[up] == letter[miss]) & (after > 0)
-                share = [np.where(ok, np.minimum(self._common(at[m], s[x]), got[m]), -1) for ok, s, x in
+                down_ok, up_ok = (self.letter[down] == wanted) & (after < len(self.keys)), (self.letter[up] == wanted) & (after > 0)
+                place, long = at[m] - t, got[m] + t
+                share = [np.where(ok, np.minimum(self._common(place, s[x]), long), -1) for ok, s, x in
                          ((down_ok, self.first_sample, down), (up_ok, self.last_sample, up))]
                 below_row = share[0] >= share[1]
-                r[miss] = np.where(below_row, down, up)
+                r[m] = np.where(below_row, down, up)
                 row[m] = np.where(below_row, self.run[down], self.run_end[up])
-                at[m] = np.where(below_row, self.first_sample[down], self.last_sample[up])
+                at[m] = np.where(below_row, self.first_sample[down], self.last_sample[up]) + t
                 best = np.maximum(share[0], share[1])
-                dead = who[miss[best < 0]]  # a letter that no string has
-                got[m] = np.maximum(best, 0)
-            row[who] += self.shift[r]
-            at[who] -= 1
-            got[who] += 1
+                dead = m[best < 0]  # a letter that no string has
+                got[m] = np.maximum(best, 0) - t
+            row[:live] += self.shift[r]
             if dead is not None and len(dead):
-                row[dead], at[dead], got[dead] = 0, self.first_sample[0], 0
-            full = who[got[who] >= self.length]
-            if len(full):
+                row[dead], at[dead], got[dead] = 0, self.first_sample[0] + t + 1, -t - 1
+            if t + 1 >= length:
+                full = np.flatnonzero(got[:live] + t + 1 >= length)
                 full = full[self.earliest[row[full]] < below[full]]
-                found.append((full, sizes[full] - 1 - t))
+                found.append((of[full], offset[full] + sizes[full] - 1 - t))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*found))
@@ -178,16 +195,24 @@ class RunLengthIndex:
 
 def _hash_at(data: bytes, at: np.ndarray | None, width: int) -> np.ndarray:
     """Hash (48 upper bits, the rest 0) of the ``width`` bytes at the given places, or at all."""
-    n = len(data) - 7
-    words = np.ndarray((max(n, 0),), "<u8", buffer=data, strides=(1,))
+    words = np.ndarray((max(len(data) - 7, 0),), "<u8", buffer=data, strides=(1,))
     count = len(data) - width + 1
+    if at is None:
+        words = words.copy()  # in memory as words, so that they are fast to work on
     h = np.zeros(count if at is None else len(at), np.uint64)
+    rest = np.empty_like(h)
+
+    def fold(bits: int) -> None:
+        np.right_shift(h, np.uint64(bits), out=rest)
+        np.bitwise_xor(h, rest, out=h)
+
     for shift in sorted({*range(0, width - 7, 8), width - 8}):
-        h = (h ^ (words[shift:shift + count] if at is None else words[at + shift])) * MIX
-        h ^= h >> np.uint64(29)
-    h *= MIX
-    h ^= h >> np.uint64(32)
-    return h & ~np.uint64(0xFFFF)
+        np.bitwise_xor(h, words[shift:shift + count] if at is None else words[at + shift], out=h)
+        np.multiply(h, MIX, out=h)
+        fold(29)
+    np.multiply(h, MIX, out=h)
+    fold(32)
+    return np.bitwise_and(h, ~np.uint64(0xFFFF), out=h)
 
 
 def anchor_hashes(data: bytes) -> np.ndarray:
@@ -206,36 +231,63 @@ def may_match(strings: list[bytes], length: int, grid: int = 8) -> np.ndarray:
     sizes = np.array([len(s) for s in strings])
     start = np.cumsum(sizes) - sizes
     h = np.append(anchor_hashes(data), np.zeros(ANCHOR - 1, np.uint64))
-    at = np.arange(len(data))
-    own = np.repeat(np.arange(len(strings)), sizes)
-    h[at > (start + sizes - ANCHOR)[own]] = ~np.uint64(0)
-    hit = h == np.minimum.reduceat(h, start)[own]
-    place = np.minimum.reduceat(np.where(hit, at, len(data)), start)
-    keep = np.add.reduceat(hit, start, dtype=np.int64) > 1
+    h[(start + sizes)[:, None] - np.arange(1, ANCHOR)] = ~np.uint64(0)
+    hits = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, start), sizes))
+    first = np.searchsorted(hits, start)
+    place, keep = hits[first], np.diff(np.append(first, len(hits))) > 1
     rest = length - ANCHOR
     for left in range(0, rest + 1, grid):
         begin, width = place - left, max(ANCHOR, ANCHOR + left + max(0, rest - left - grid + 1))
         some = np.flatnonzero((begin >= start) & (begin + width <= start + sizes))
-        _, inverse, counts = np.unique(_hash_at(data, begin[some], width), return_inverse=True, return_counts=True)
-        keep[some[counts[inverse] > 1]] = True
+        h = _hash_at(data, begin[some], width)
+        order = np.argsort(h)
+        equal = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        keep[some[order[equal]]] = keep[some[order[equal + 1]]] = True
     return keep
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of ``length`` bytes with one anchor: its hash (48 upper bits), the first window, the end.
+def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of ``length`` bytes of a text with one anchor: its hash (48 upper bits), the text, the first window, the end.
 
     A window's anchor is the least hash of the ANCHOR bytes at its places, so
-    equal windows have equal anchors wherever they are.
+    equal windows have equal anchors wherever they are. Texts, of ``length``
+    bytes at least, are worked on end to end; windows over two are left out.
     """
-    h = anchor_hashes(data)
+    h = anchor_hashes(b"".join(texts))
     width, s = length - ANCHOR + 1, 1
     while 2 * s <= width:
         h = np.minimum(h[:-s], h[s:])
         s *= 2
     if s < width:
         h = np.minimum(h[:len(h) - (width - s)], h[width - s:])
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[start], start, np.append(start[1:], len(h))
+    size = np.array([len(t) for t in texts])
+    begin = np.cumsum(size) - size
+    stop = begin + size - length + 1
+    new = np.empty(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    new[begin] = new[stop[:-1]] = True
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(h))
+    text = np.searchsorted(begin, start, "right") - 1
+    own = np.flatnonzero(start < stop[text])
+    text, start, end = text[own], start[own], end[own]
+    return h[start], text, start - begin[text], end - begin[text]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], most_bytes: int = 32 << 10, most: int = 1000) -> Iterator[list[tuple]]:
+    """The rows of batches, whose third column is a text, in groups that together fit a processor's cache; no (o, h) comes twice in a group."""
+    some, size = {}, 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:2] in some:
+                continue
+            some[row[:2]] = row
+            size += len(row[2])
+            if size >= most_bytes or len(some) == most:
+                yield list(some.values())
+                some, size = {}, 0
+    if some:
+        yield list(some.values())
 
 
 def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -288,22 +340,38 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
                                       names=["src", "kind", "bucket", "body"])
 
 
+def _batches(rows: Iterable[tuple], most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``most_bytes``, as a batch costs more than a short row."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[3])
+        if size >= most_bytes or len(some) == 10_000:
+            yield _batch(some)
+            some, size = [], 0
+    if some:
+        yield _batch(some)
+
+
 def _per_bucket(work):
     """Rows sorted by bucket: what a source keeps passes; each bucket's questions go to ``work`` at once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         at, held = None, []
         for b in batches:
             for src, kind, bucket, body in zip(*(c.to_pylist() for c in b.columns)):
                 if kind == 0:
-                    yield _batch([(src, 0, 0, body)])
+                    yield src, 0, 0, body
                     continue
                 if bucket != at and held:
-                    yield from (_batch([x]) for x in work(held))
+                    yield from work(held)
                     held = []
                 at = bucket
                 held.append((src, body))
         if held:
-            yield from (_batch([x]) for x in work(held))
+            yield from work(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(rows(batches))
     return run
 
 
@@ -340,26 +408,31 @@ def _scan_anchors(length: int, buckets: int, hold: int):
         src, docs, values, n = TaskContext.get().partitionId() << 33, {}, [], 0
 
         def flush():
-            value, doc = np.concatenate(values), np.repeat(np.arange(len(values)), [len(v) for v in values])
+            # The 16 lower bits of an anchor are free for its document's number.
+            both = np.sort(np.concatenate(values))
+            both = both[np.append(True, both[1:] != both[:-1])]
+            value, doc = both & ~np.uint64(0xFFFF), (both & np.uint64(0xFFFF)).astype("<u2")
             bucket = bucket_of(value, buckets)
-            order = np.lexsort((value, bucket))
-            value, doc = value[order], doc[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            if buckets > 1:
+                order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
+                value, doc, bucket = value[order], doc[order], bucket[order]
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             yield _batch([(src, 0, src % buckets, pack(np.array([o for o, _ in docs], "<i8"), np.frombuffer(b"".join(h for _, h in docs), np.uint8)))])
             for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                 at = slice(cuts[k], cuts[k + 1])
-                yield _batch([(src, 1, k, pack(six_bytes(value[at]), doc[at].astype("<u2")))])
-
-        for b in batches:
-            for o, h, t in zip(*(c.to_pylist() for c in b.columns)):
-                if (o, h) in docs:
-                    continue
-                docs[o, h] = None
-                values.append(np.unique(anchors(t, length)[0]))
-                n += len(values[-1])
-                if n >= hold or len(docs) == 1 << 16:
-                    yield from flush()
-                    src, docs, values, n = src + 1, {}, [], 0
+                yield _batch([(src, 1, k, pack(six_bytes(value[at]), doc[at]))])
+
+        for some in grouped(batches):
+            some = [x for x in some if x[:2] not in docs]
+            if not some:
+                continue
+            value, text, _, _ = anchors([t for _, _, t in some], length)
+            values.append(value | (len(docs) + text).astype(np.uint64))
+            docs |= dict.fromkeys(x[:2] for x in some)
+            n += len(value)
+            if n >= hold or len(docs) > (1 << 16) - 1000:
+                yield from flush()
+                src, docs, values, n = src + 1, {}, [], 0
         if docs:
             yield from flush()
     return run
@@ -402,80 +475,97 @@ def _wanted(state: bytes, answers: list[bytes]):
 # --- second pass: the text around shared anchors
 
 
-def _scan_text(length: int, buckets: int, hold: int):
-    """(o, h, t, shared, often) -> per source: which string each document has where; per bucket the strings to look up."""
-    def run(batches):
+def _scan_text(length: int, buckets: int, in_row: int, hold: int):
+    """(o, h, t, shared, often) -> per source: which string each document has where; per ``in_row`` buckets the strings to look up, with their bucket among them."""
+    groups = -(-buckets // in_row)
+
+    def rows(batches):
         src = TaskContext.get().partitionId() << 33
-        docs, runs, values, frequent, holders, size = {}, {}, [], [], [], 0
+        docs, runs, found, size, held = {}, defaultdict(count().__next__), [], 0, 0
 
         def flush():
-            rid, doc, at = (np.array(x, np.int64) for x in zip(*holders)) if holders else [np.empty(0, np.int64)] * 3
-            o, least = np.array([k for k, _ in docs], "<i8"), np.full(len(runs), LAST)
+            rid, doc, at, new, value, often = (np.concatenate(x) for x in zip(*found))
+            value, often = value[new], often[new]
+            o, least, strings = np.array([k for k, _ in docs], "<i8"), np.full(len(runs), LAST), list(runs)
             np.minimum.at(least, rid, o[doc])
-            asked: dict[bytes, int] = {}
-            ask_bucket, ask_k, refs, ref_at = [], [], [], [0]
-            for s, value, cut, k in zip(runs, values, frequent, least.tolist()):
-                for x in [s[i:i + length] for i in range(len(s) - length + 1)] if cut else [s]:
-                    i = asked.setdefault(x, len(asked))
-                    if i == len(ask_k):
-                        ask_k.append(k)
-                        ask_bucket.append(xxhash.xxh64_intdigest(x) if cut else value)
-                    ask_k[i] = min(ask_k[i], k)
-                    refs.append(i)
-                ref_at.append(len(refs))
-            windows, ks = np.array([len(s) - length + 1 for s in runs], "<u4"), np.array(ask_k, "<i8")
-            yield _batch([(src, 0, src % buckets, pack(o, np.frombuffer(b"".join(h for _, h in docs), np.uint8), *(x.astype("<u4") for x in (rid, doc, at)),
-                                                       windows, np.array(ref_at, "<u4"), np.array(refs, "<u4"), ks))])
-            bucket, strings = bucket_of(np.array(ask_bucket, np.uint64), buckets), list(asked)
+            sizes = np.array([len(s) for s in strings], np.int64)
+            # A string is asked for as it is; one of a frequent anchor by its windows, each once, which no other string can be.
+            single = np.flatnonzero(~often)
+            n_refs = np.where(often, sizes - length + 1, 1)
+            ref_at = np.append(0, np.cumsum(n_refs))
+            refs = np.zeros(ref_at[-1], np.int64)
+            refs[ref_at[single]] = np.arange(len(single))
+            cut: dict[bytes, int] = {}
+            cut_k: list[int] = []
+            for r in np.flatnonzero(often).tolist():
+                s, k = strings[r], int(least[r])
+                for j in range(len(s) - length + 1):
+                    i = cut.setdefault(s[j:j + length], len(cut))
+                    if i == len(cut_k):
+                        cut_k.append(k)
+                    cut_k[i] = min(cut_k[i], k)
+                    refs[ref_at[r] + j] = len(single) + i
+            asked = [*(strings[i] for i in single.tolist()), *cut]
+            ks = np.concatenate([least[single], np.array(cut_k, np.int64)]).astype("<i8")
+            ask_bucket = np.concatenate([value[single], np.array([xxhash.xxh64_intdigest(s) for s in cut], np.uint64)])
+            ask_size = np.concatenate([sizes[single], np.full(len(cut), length)]).astype("<u4")
+            yield src, 0, src % groups, pack(o, np.frombuffer(b"".join(h for _, h in docs), np.uint8), *(x.astype("<u4") for x in (rid, doc, at)),
+                                             (sizes - length + 1).astype("<u4"), ref_at.astype("<u4"), refs.astype("<u4"), ks)
+            bucket = bucket_of(ask_bucket, buckets)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            cuts = np.searchsorted(bucket[order], np.arange(groups + 1) * in_row)
             for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                 mine = order[cuts[k]:cuts[k + 1]]
-                some = [strings[i] for i in mine.tolist()]
-                yield _batch([(src, 1, k, pack(mine.astype("<u4"), np.array([len(s) for s in some], "<u4"), ks[mine], np.frombuffer(b"".join(some), np.uint8)))])
-
-        for b in batches:
-            for o, h, t, shared, often in zip(*(c.to_pylist() for c in b.columns)):
-                if (o, h) in docs:
-                    continue
-                d = docs.setdefault((o, h), len(docs))
-                value, start, end = anchors(t, length)
-                some = np.flatnonzero(held_in((value >> np.uint64(32)).astype("<u4"), np.frombuffer(shared, "<u4")))
-                cut = held_in(value[some], np.frombuffer(often, "<u8"))
-                for v, at, to, f in zip(value[some].tolist(), start[some].tolist(), end[some].tolist(), cut.tolist()):
-                    x = t[at:to + length - 1]
-                    r = runs.setdefault(x, len(runs))
-                    if r == len(values):
-                        values.append(v)
-                        frequent.append(f)
-                        size += len(x)
-                    holders.append((r, d, at))
-                if size >= hold or len(holders) >= hold // 16:
-                    yield from flush()
-                    src += 1
-                    docs, runs, values, frequent, holders, size = {}, {}, [], [], [], 0
+                yield src, 1, k, pack(mine.astype("<u4"), (bucket[mine] - k * in_row).astype("<u2"), ask_size[mine], ks[mine],
+                                      np.frombuffer(b"".join([asked[i] for i in mine.tolist()]), np.uint8))
+
+        for some in grouped(batches):
+            some = [x for x in some if x[:2] not in docs]
+            if not some:
+                continue
+            texts = [x[2] for x in some]
+            value, text, start, end = anchors(texts, length)
+            cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+            upper, keep, often = (value >> np.uint64(32)).astype("<u4"), np.zeros(len(value), bool), np.zeros(len(value), bool)
+            for (_, _, _, shared, frequent), a, z in zip(some, cuts, cuts[1:]):
+                keep[a:z] = held_in(upper[a:z], np.frombuffer(shared, "<u4"))
+                if frequent:
+                    often[a:z] = held_in(value[a:z], np.frombuffer(frequent, "<u8"))
+            value, text, start, end, often = (x[keep] for x in (value, text, start, end, often))
+            known = len(runs)
+            # A string's number is its place in ``runs``; one that is above all before it is new.
+            rid = np.array([runs[texts[d][a:z]] for d, a, z in zip(text.tolist(), start.tolist(), (end + length - 1).tolist())], np.int64)
+            new = np.diff(np.maximum.accumulate(np.append(known - 1, rid))) > 0
+            found.append((rid, len(docs) + text, start, new, value, often))
+            docs |= dict.fromkeys(x[:2] for x in some)
+            size += int((end - start + length - 1)[new].sum())
+            held += len(rid)
+            if size >= hold or held >= hold // 16:
+                yield from flush()
+                src += 1
+                docs, runs, found, size, held = {}, defaultdict(count().__next__), [], 0, 0
         if docs:
             yield from flush()
 
+    def run(batches):
+        return _batches(rows(batches))
     return run
 
 
 def _look_up(length: int):
-    """The strings of a bucket, from all sources -> to each source, for its strings, the first key that holds them and the windows that earlier ones have."""
-    def work(held):
-        got = [unpack(body) for _, body in held]
+    """The strings of some buckets, from all sources -> to each source, for its strings, the first key that holds them and the windows that earlier ones have."""
+    def answers(got: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]) -> Iterator[tuple[np.ndarray, ...] | None]:
+        """Of one bucket: from what each source asks (its numbers, sizes and keys, and the strings) to what it is told."""
         first: dict[bytes, int] = {}
         mine = []
         for _, sizes, ks, data in got:
-            data, at, names = data.tobytes(), 0, []
-            for n, k in zip(sizes.tolist(), ks.tolist()):
-                s = data[at:at + n]
-                at += n
-                names.append(s)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            names = [data[a:z] for a, z in zip((ends - sizes).tolist(), ends.tolist())]
+            for s, k in zip(names, ks.tolist()):
                 if first.get(s, LAST) >= k:
                     first[s] = k
             mine.append(names)
-        order = sorted(first, key=lambda s: (first[s], s))
+        order = [s for _, s in sorted(zip(first.values(), first))]
         number = {s: i for i, s in enumerate(order)}
         least = np.array([first[s] for s in order], np.int64)
         some = np.flatnonzero(may_match(order, length))
@@ -485,15 +575,34 @@ def _look_up(length: int):
             pattern, place = RunLengthIndex(indexed, length).matches(indexed, np.searchsorted(least[some], least[some]))
             pattern = some[pattern]
         by = np.argsort(pattern, kind="stable")
-        pattern, place = pattern[by], place[by]
+        pattern, place = pattern[by], place[by].astype("<u4")
         cuts = np.searchsorted(pattern, np.arange(len(order) + 1))
-        for (src, _), (idx, _, ks, _), names in zip(held, got, mine):
+        for (idx, _, ks, _), names in zip(got, mine):
             at = np.array([number[s] for s in names], np.int64)
             count = np.where(ks == least[at], cuts[at + 1] - cuts[at], 0)
             marks = np.repeat(cuts[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             earlier = least[at] < ks
-            if earlier.any() or len(marks):
-                yield src, 1, 0, pack(idx[earlier], least[at[earlier]], np.repeat(idx, count), place[marks].astype("<u4"))
+            yield (idx[earlier], least[at[earlier]], np.repeat(idx, count), place[marks]) if earlier.any() or len(marks) else None
+
+    def work(held):
+        got = [unpack(body) for _, body in held]
+        told: list[list[tuple[np.ndarray, ...]]] = [[] for _ in held]
+        # Rows are sorted by bucket, so a bucket is a slice of each.
+        buckets = np.unique(np.concatenate([bucket for _, bucket, _, _, _ in got]))
+        cuts = [np.stack([np.searchsorted(bucket, buckets), np.searchsorted(bucket, buckets, "right")], 1).tolist() for _, bucket, _, _, _ in got]
+        bytes_at = [np.append(0, np.cumsum(sizes, dtype=np.int64)) for _, _, sizes, _, _ in got]
+        for k in range(len(buckets)):
+            some = [i for i, c in enumerate(cuts) if c[k][0] < c[k][1]]
+            asked = []
+            for i in some:
+                (idx, _, sizes, ks, data), (a, z) = got[i], cuts[i][k]
+                asked.append((idx[a:z], sizes[a:z], ks[a:z], data[bytes_at[i][a]:bytes_at[i][z]].tobytes()))
+            for i, answer in zip(some, answers(asked)):
+                if answer:
+                    told[i].append(answer)
+        for (src, _), parts in zip(held, told):
+            if parts:
+                yield src, 1, 0, pack(*(np.concatenate(x) for x in zip(*parts)))
     return work
 
 
@@ -559,7 +668,7 @@ def by_filter(body: DataFrame, some: DataFrame, most_bits: int) -> tuple[DataFra
 
 
 def mark_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, often: int = 5000,
-                 hold: int = 500_000, bucket_bytes: int = 512 << 10, filter_bits: int = 1 << 24) -> DataFrame:
+                 hold: int = 500_000, bucket_bytes: int = 512 << 10, filter_bits: int = 1 << 24, most_in_row: int = 32) -> DataFrame:
     """The bytes of every text that a document with a smaller key already has in a run of ``length`` or more.
 
     Returns one row per input row: ``key``, n_bytes, spans (maximal runs of
@@ -612,8 +721,10 @@ def mark_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     buckets = int(asked * length * 0.8 // bucket_bytes) + 1
     doubtful, _ = by_filter(long, wanted, filter_bits)
-    found = doubtful.join(wanted, ["o", "h"]).select("o", "h", "t", "shared", "often").mapInArrow(_scan_text(length, buckets, 8 * hold), ROWS)
-    told = _exchange(found, buckets, _look_up(length), "repeat-strings")
+    # Sources and buckets both grow with the table; from some hundreds of buckets on, several travel in a row and are looked up one after the other.
+    in_row = max(1, min(most_in_row, buckets // 256))
+    found = doubtful.join(wanted, ["o", "h"]).select("o", "h", "t", "shared", "often").mapInArrow(_scan_text(length, buckets, in_row, 8 * hold), ROWS)
+    told = _exchange(found, -(-buckets // in_row), _look_up(length), "repeat-strings")
     gone = (told.repartition("src").sortWithinPartitions("src", "kind")
             .mapInArrow(_per_source(_settle(length), [("o", pa.int64()), ("h", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]),
                         "o long, h binary, starts array<long>, ends array<long>"))

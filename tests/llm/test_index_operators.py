@@ -181,6 +181,39 @@ def test_run_length_index(seed):
     assert sorted(zip(*(x.tolist() for x in index.matches(patterns, below)))) == want
 
 
+def test_long_patterns_have_no_steps_to_themselves():
+    """A pattern of 5,000 letters takes as many steps as one of 60, give or take a few."""
+    rng = random.Random(5)
+    long = bytes(rng.choice(b"abcd") for _ in range(5000))
+    index = R.RunLengthIndex([long[100:160], long], 20)
+
+    class Counted:
+        def __init__(self, values):
+            self.values, self.asked = values, 0
+
+        def __getitem__(self, at):
+            self.asked += 1
+            return self.values[at]
+    index.run_of = Counted(index.run_of)
+    pattern, place = index.matches([long[100:160], long], np.array([2, 1]))
+    assert sorted(place[pattern == 1].tolist()) == list(range(100, 141)) and sorted(place[pattern == 0].tolist()) == list(range(41))
+    assert index.run_of.asked <= 60
+
+
+def test_rows_between_sources_and_buckets_are_bounded(spark, docs, monkeypatch):
+    """However many buckets there are, a source sends some hundreds of rows."""
+    df, rows = docs
+    sent, exchange = {}, R._exchange
+
+    def count(found, buckets, work, label):
+        sent[label] = (buckets, found.groupBy("src").count().agg({"count": "max"}).first()[0])
+        return exchange(found, buckets, work, label)
+    monkeypatch.setattr(R, "_exchange", count)
+    got = repeats(df, bucket_bytes=20)
+    assert same_rows(got, brute_repeats([(r[0], r[1]) for r in rows], 50))
+    assert max(sent["repeat-strings"]) <= 513
+
+
 # --- hard negatives
 
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())])
