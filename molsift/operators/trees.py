@@ -44,11 +44,8 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
 BLOCK = "n int, x binary, y binary, row binary, hash binary, use binary, fold binary"
 
 
-def blocks_of(df: DataFrame, cols: Sequence[str], cuts: list[np.ndarray], label: str, key: Sequence[str], use: Column, fold: str | None = None, rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``df`` with a number (_row) and their bins (_x) each, and the same as blocks (n, x, y, row, hash, use, fold).
-
-    ``use`` tells which rows are learnt from; rows without a feature or label are left out.
-    """
+def binned(df: DataFrame, cols: Sequence[str], cuts: list[np.ndarray], label: str) -> DataFrame:
+    """The rows of ``df`` that have all features and a label, with their bins (_x)."""
     d = len(cols)
 
     @F.pandas_udf("binary")
@@ -57,8 +54,15 @@ def blocks_of(df: DataFrame, cols: Sequence[str], cuts: list[np.ndarray], label:
         return pd.Series([x[i:i + d] for i in range(0, len(x), d)], dtype=object)
 
     whole = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*cols, label]))
-    whole = whole.withColumns({"_row": F.monotonically_increasing_id(), "_x": bins(*[F.col(c).cast("double") for c in cols])})
-    whole = materialise(whole, "trees-rows")
+    return whole.withColumn("_x", bins(*[F.col(c).cast("double") for c in cols]))
+
+
+def blocks_of(df: DataFrame, cols: Sequence[str], cuts: list[np.ndarray], label: str, key: Sequence[str], use: Column, fold: str | None = None, rows: int = 16_384) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` with a number (_row) and their bins (_x) each, and the same as blocks (n, x, y, row, hash, use, fold).
+
+    ``use`` tells which rows are learnt from; rows without a feature or label are left out.
+    """
+    whole = materialise(binned(df.withColumn("_row", F.monotonically_increasing_id()), cols, cuts, label), "trees-rows")
     part = whole.select("_row", F.col(label).cast("double"), F.xxhash64(*key).alias("_h"), use.cast("int").alias("_use"),
                         (F.col(fold) if fold else F.lit(0)).cast("int").alias("_fold"), "_x")
 
@@ -82,7 +86,7 @@ def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return found, at.ravel()
     wide = np.zeros((len(x), 8), np.uint8)
     wide[:, 8 - d:] = x
-    found, at = np.unique(wide.view(">u8").ravel(), return_inverse=True)
+    found, at = np.unique(wide.view(">u8").ravel().astype(np.uint64), return_inverse=True)
     return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - d:], at
 
 
@@ -126,6 +130,8 @@ class Chunk:
     hash: np.ndarray
     use: np.ndarray
     fold: np.ndarray
+    #: The fit whose rows were drawn last, and these.
+    drawn: "tuple[int, Bootstrap] | None" = None
 
     @classmethod
     def of(cls, batches: Iterator[pa.RecordBatch], d: int) -> "Chunk | None":
@@ -138,6 +144,18 @@ class Chunk:
         order = np.argsort(at, kind="stable")
         return cls(blocks[0][6], blocks[0][7], x, *(v[order] for v in (at, y, h, use, fold)))
 
+    @classmethod
+    def of_rows(cls, batches: Iterator[pa.RecordBatch], d: int) -> "Chunk | None":
+        """From all rows of a partition of ``dealt_by_bins``, in an order that hangs on them alone."""
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return None
+        x = np.concatenate([np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8) for b in parts])
+        y, h, use, fold = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in parts]) for i in range(1, 5))
+        x, at = distinct_rows(x.reshape(-1, d))
+        order = np.lexsort((y, h, at))
+        return cls(parts[0].column(5)[0].as_py(), 0, x, *(v[order] for v in (at, y, h, use, fold)))
+
 
 @dataclass
 class Rows:
@@ -161,6 +179,27 @@ class Rows:
 # --- forest
 
 
+def dealt_by_bins(rows: DataFrame, rows_each: int = 2_000_000, tasks: int = 24, least: int = 4_096, buckets: int = 1 << 16) -> tuple[DataFrame, int]:
+    """The rows (_x, y, h, use, fold) in chunks of about ``rows_each``, a partition each, and how many rows of bins are different.
+
+    Rows of equal bins stay together, so nearly every row of bins is in one
+    chunk only, and what chunks add up per row of bins comes once, however many
+    rows there are. Rows are laid end to end by a bucket of their bins and,
+    within it, by their hashes, and cut into chunks of equal size; so bins that
+    very many rows have take several chunks.
+    """
+    bucket = F.pmod(F.xxhash64("_x"), F.lit(buckets)).cast("int")
+    sizes = rows.groupBy("_x").agg(F.count("*").alias("n")).groupBy(bucket.alias("_bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("vectors")).orderBy("_bucket").toPandas()
+    n, vectors = int(sizes["n"].sum()), int(sizes["vectors"].sum())
+    chunks = max(1, -(-n // rows_each), min(tasks, n // least))
+    before = pd.DataFrame({"_bucket": sizes["_bucket"].astype("int32"), "_n": sizes["n"].astype("int64"), "_before": (sizes["n"].cumsum() - sizes["n"]).astype("int64")})
+    table = F.broadcast(rows.sparkSession.createDataFrame(before, "_bucket int, _n long, _before long"))  # at most ``buckets`` rows
+    share = F.pmod(F.xxhash64("h", "y"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chunk = F.least(F.floor((F.col("_before") + share * F.col("_n")) * F.lit(chunks / max(1, n))), F.lit(chunks - 1)).cast("int")
+    each = rows.withColumn("_bucket", bucket).join(table, "_bucket").select("_x", "y", "h", "use", "fold", chunk.alias("chunk"))
+    return each.repartitionById(chunks, F.col("chunk")), vectors
+
+
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, mtry: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """One regression tree, all nodes of a level at a time: the value of each row's leaf, and each feature's gain.
 
@@ -220,29 +259,77 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, mtry: int, rng
     return value, gain
 
 
-def _weights(h: np.ndarray, fit: int, tree: int, seed: int) -> np.ndarray:
-    """Bootstrap counts of rows by their hashes."""
-    out = np.empty(len(h))
-    for at in range(0, len(h), 1 << 15):
-        u, w = _mix(h[at:at + (1 << 15)], seed * 1_000_003 + fit * 10_007 + tree), 0
-        for p in POISSON:
-            w = w + (u > p).astype(np.int8)
-        out[at:at + (1 << 15)] = w
-    return out
+def _counts() -> np.ndarray:
+    """Bootstrap count of each value of a hash's 16 upper bits, and 16 on top of the least one where the lower bits matter."""
+    low, high = (np.searchsorted(POISSON, (np.arange(1 << 16) + more) / 65536.0) for more in (0, 1))
+    return np.where(low == high, low, low + 16).astype(np.uint8)
+
+
+class Bootstrap:
+    """Rows with their bootstrap counts, and these added up by groups of rows that follow each other.
 
+    The counts of a row are those of ``_mix`` of its hash: how many of POISSON
+    are less. Rows are worked on in blocks that fit a processor's cache.
+    """
 
-def forest(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], use: Column, trees: int = 200, depth: int = 30, seed: int = 42,
-           fold: str | None = None, folds: int = 0, mtry: int | None = None, in_task: int = 1_000_000, at_once: int = 25) -> tuple[DataFrame, DataFrame]:
+    BLOCK = 1 << 15
+
+    def __init__(self, at: np.ndarray, y: np.ndarray, h: np.ndarray, m: int):
+        self.at, self.y, self.hash, self.m, self.table = at, y, h, m, _counts()
+        self.found = np.empty(len(y), np.uint8)
+        h = h.astype(np.uint64)
+        self.mixed = h ^ (h >> np.uint64(30))
+        new = np.append(True, at[1:] != at[:-1])[:len(at)]
+        new[::self.BLOCK] = True
+        starts = np.flatnonzero(new)
+        cuts = np.searchsorted(starts, np.arange(0, len(at) + self.BLOCK, self.BLOCK)).tolist()
+        self.blocks = [(k * self.BLOCK, starts[a:z] - k * self.BLOCK, at[starts[a:z]]) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
+
+    def sums(self, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each group, the sum of the counts, and that of the counts times the labels."""
+        w, t = np.zeros(self.m), np.zeros(self.m)
+        add = np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
+        add ^= add >> np.uint64(30)
+        x, rest, count = (np.empty(self.BLOCK, k) for k in (np.uint64, np.uint64, np.uint8))
+        found = self.found
+        for first, starts, group in self.blocks:
+            mixed, y, seen = (v[first:first + self.BLOCK] for v in (self.mixed, self.y, found))
+            x, rest, count = (v[:len(y)] for v in (x, rest, count))
+            each = rest.view(np.float64)  # the same memory, once the hashes are used
+            # As ``_mix`` does it; its last step leaves the upper bits as they are.
+            np.bitwise_xor(mixed, add, out=x)
+            np.multiply(x, np.uint64(0xBF58476D1CE4E5B9), out=x)
+            np.right_shift(x, np.uint64(27), out=rest)
+            np.bitwise_xor(x, rest, out=x)
+            np.multiply(x, np.uint64(0x94D049BB133111EB), out=x)
+            np.right_shift(x, np.uint64(48), out=rest)
+            np.take(self.table, rest.view(np.int64), out=seen, mode="clip")
+            np.bitwise_and(seen, 15, out=count)
+            np.copyto(each, count)
+            w[group] += np.add.reduceat(each, starts)
+            np.multiply(each, y, out=each)
+            t[group] += np.add.reduceat(each, starts)
+        close = np.flatnonzero(found > 15)
+        more = np.searchsorted(POISSON, _mix(self.hash[close], salt)) - (found[close] & 15)
+        np.add.at(w, self.at[close], more)
+        np.add.at(t, self.at[close], more * self.y[close])
+        return w, t
+
+
+def forest(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str] | Column, use: Column, trees: int = 200, depth: int = 30, seed: int = 42,
+           fold: str | None = None, folds: int = 0, mtry: int | None = None, in_task: int = 1_000_000, at_once: int = 25,
+           keep: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Bagged regression trees, each node over sqrt(features) of the features.
 
-    Returns the rows with ``fit`` and ``prediction``, and the importances (fit,
+    Returns the rows (all columns, or those of ``keep``) with ``fit`` and ``prediction``, and the importances (fit,
     feature, importance; 1 in all per fit). Fit 0 learns from the rows of
     ``use`` and scores all; fit i, for i up to ``folds``, learns from all rows
-    but those of fold i - 1 and scores these (cross-validation).
+    but those of fold i - 1 and scores these (cross-validation). Rows are drawn
+    by the hash of their ``key``, or by ``key`` if that is a hash already.
 
     Rows of equal bins end in the same leaf, so a tree learns from weights and
-    weighted sums of the label per row of bins, added up in chunks of the table
-    and merged by tree. Trees over at most ``in_task`` different rows of bins
+    weighted sums of the label per row of bins, added up in chunks of the table,
+    by bins, and merged by tree. Trees over at most ``in_task`` different rows of bins
     are grown in a task, up to ``at_once`` of them. Larger nodes are split by
     histograms first, one job per level in which chunks add up per (tree, node)
     and only the level's splits go back; what lies below a node of at most
@@ -250,15 +337,20 @@ def forest(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], u
     """
     cuts = quantile_cuts(df, cols)
     mtry = mtry or max(1, int(np.sqrt(len(cols))))
-    rows, blocks = blocks_of(df, cols, cuts, label, key, use, fold)
-    found = materialise(_grown(blocks, len(cols), folds, trees, depth, mtry, seed, in_task, at_once), "trees-found")
+    hashed = key if isinstance(key, Column) else F.xxhash64(*key)
+    inner = {"_h": hashed, "_use": F.coalesce(use, F.lit(False)).cast("tinyint"), "_fold": F.coalesce(F.col(fold).cast("int"), F.lit(-1)) if fold else F.lit(0)}
+    whole = binned(df, cols, cuts, label).withColumns(inner)
+    shown = [c for c in df.columns if keep is None or c in keep]
+    rows = materialise(whole.select(*shown, *([] if label in shown else [label]), "_x", *inner), "trees-rows")
+    learnt = rows.select("_x", F.col(label).cast("double").alias("y"), F.col("_h").alias("h"), F.col("_use").alias("use"), F.col("_fold").alias("fold"))
+    found = materialise(_grown(learnt, len(cols), folds, trees, depth, mtry, seed, in_task, at_once), "trees-found")
     each = found.where("feature IS NULL").groupBy("x").agg(F.array(*[F.sum(F.when(F.col("fit") == i, F.col("value"))) / trees for i in range(folds + 1)]).alias("_values"))
     each = broadcast_below(materialise(each, "trees-scores"))
     fits = F.array(F.lit(0))
     if folds:
-        fits = F.when(F.col(fold).cast("int").between(0, folds - 1), F.array(F.lit(0), F.col(fold).cast("int") + 1)).otherwise(fits)
-    scored = rows.join(each, rows["_x"] == each["x"]).select(*rows.columns, "_values", F.explode(fits).alias("fit"))
-    scored = scored.withColumn("prediction", F.get("_values", F.col("fit"))).drop("_row", "_x", "_values")
+        fits = F.when(F.col("_fold").between(0, folds - 1), F.array(F.lit(0), F.col("_fold") + 1)).otherwise(fits)
+    scored = rows.join(each, rows["_x"] == each["x"]).select(*shown, "_values", F.explode(fits).alias("fit"))
+    scored = scored.withColumn("prediction", F.get("_values", F.col("fit"))).drop("_values")
     per_tree = found.where("feature IS NOT NULL").groupBy("fit", "tree", "feature").agg(F.sum("value").alias("gain"))
     share = per_tree.withColumn("share", F.try_divide("gain", F.sum("gain").over(W.partitionBy("fit", "tree"))))
     sums = share.groupBy("fit", "feature").agg(F.sum("share").alias("s"))
@@ -320,11 +412,11 @@ def _sums(chunk: Chunk, fit: int, trees: Sequence[int], seed: int) -> Iterator[t
 
     Fit 0 learns from the rows in use, fit i from all but those of fold i - 1.
     """
-    on = np.flatnonzero(chunk.use > 0 if fit == 0 else chunk.fold != fit - 1)
-    at, y, h, m = chunk.at[on], chunk.y[on], chunk.hash[on], len(chunk.x)
+    if chunk.drawn is None or chunk.drawn[0] != fit:
+        on = np.flatnonzero(chunk.use > 0 if fit == 0 else chunk.fold != fit - 1)
+        chunk.drawn = fit, Bootstrap(chunk.at[on], chunk.y[on], chunk.hash[on], len(chunk.x))
     for tree in trees:
-        w = _weights(h, fit, tree, seed)
-        yield np.bincount(at, weights=w, minlength=m), np.bincount(at, weights=w * y, minlength=m)
+        yield chunk.drawn[1].sums(seed * 1_000_003 + fit * 10_007 + tree)
 
 
 def _scored(chunk: Chunk, fit: int) -> np.ndarray:
@@ -353,19 +445,18 @@ def best_of_node(w: np.ndarray, t: np.ndarray, order: Sequence[int], mtry: int)
     return best
 
 
-def _grown(blocks: DataFrame, d: int, folds: int, trees: int, depth: int, mtry: int, seed: int, in_task: int, at_once: int) -> DataFrame:
+def _grown(rows: DataFrame, d: int, folds: int, trees: int, depth: int, mtry: int, seed: int, in_task: int, at_once: int) -> DataFrame:
     """Gains (fit, tree, feature, value) and, per row of bins, sums of leaves (fit, x, value) of all trees of all fits."""
-    n, vectors = blocks.agg(F.sum("n")).first()[0] or 0, vectors_of(blocks, d)
-    chunked, chunks, slices = dealt(blocks, n, trees * (folds + 1))
+    chunked, vectors = dealt_by_bins(rows)
     small = vectors <= in_task
-    at_once = max(1, min(at_once, 8 * in_task // max(1, vectors * chunks))) if small else 1
+    at_once = max(1, min(at_once, 8 * in_task // max(1, vectors))) if small else 1
     groups = [(fit, range(t, min(trees, t + at_once))) for fit in range(folds + 1) for t in range(0, trees, at_once)]
     upper = {} if small else {(fit, tree): Upper.root(OPEN) for fit in range(folds + 1) for tree in range(trees)}
-    gains = _split_upper(chunked, slices, groups, upper, d, depth, mtry, seed, in_task) if upper else []
+    gains = _split_upper(chunked, groups, upper, d, depth, mtry, seed, in_task) if upper else []
 
     def run(batches):
-        chunk = Chunk.of(batches, d)
-        for fit, some in groups[chunk.slice::slices] if chunk else ():
+        chunk = Chunk.of_rows(batches, d)
+        for fit, some in groups if chunk else ():
             scored, whole = _scored(chunk, fit), list(_sums(chunk, fit, some, seed))
             keep = np.flatnonzero(scored | np.any([w > 0 for w, _ in whole], 0))
             x = chunk.x[keep]
@@ -398,7 +489,7 @@ def _grown(blocks: DataFrame, d: int, folds: int, trees: int, depth: int, mtry:
     nodes = len(groups) if small else sum(f < 0 for u in upper.values() for f in u.feature)
     found = sums.repartition(min(2_000, max(1, nodes)), *by).groupBy(*by).applyInArrow(below, FOUND)
     if gains:
-        found = found.unionByName(blocks.sparkSession.createDataFrame(gains, FOUND))
+        found = found.unionByName(rows.sparkSession.createDataFrame(gains, FOUND))
     return found
 
 
@@ -415,13 +506,13 @@ def _parts(upper: Upper, x: np.ndarray, in_task: int) -> Iterator[tuple[int, int
             yield node, p, mine[part == p]
 
 
-def _split_upper(chunked: DataFrame, slices: int, groups: list, upper: dict, d: int, depth: int, mtry: int, seed: int, in_task: int) -> list[tuple]:
+def _split_upper(chunked: DataFrame, groups: list, upper: dict, d: int, depth: int, mtry: int, seed: int, in_task: int) -> list[tuple]:
     """Split the open nodes of ``upper`` level by level until all are small or leaves; the gains as rows of FOUND."""
     width, gains = 256, []
 
     def histograms(batches):
-        chunk = Chunk.of(batches, d)
-        for fit, some in groups[chunk.slice::slices] if chunk else ():
+        chunk = Chunk.of_rows(batches, d)
+        for fit, some in groups if chunk else ():
             for tree, (w, t) in zip(some, _sums(chunk, fit, some, seed)):
                 top = upper[fit, tree]
                 live = [v for v, s in enumerate(top.state) if s == OPEN and top.feature[v] < 0]

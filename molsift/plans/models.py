@@ -68,10 +68,11 @@ def q_tree_sweep(spark, sf):
 
 def forest_of(spark, sf, folds: int):
     """The forest of the survey: 200 trees without a limit of depth that matters, and as many per fold."""
-    rows = v_feat(spark, sf)
+    rows = v_feat(spark, sf).select(*FEATURES, "label", "part_set", F.xxhash64(*KEY).alias("drawn_by"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
     if folds:
-        rows = kfold(rows.withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber")), folds, "k")
-    return forest(rows, FEATURES, "label", KEY, F.col("part_set") == "train", trees=200, depth=30, fold="fold" if folds else None, folds=folds)
+        rows = kfold(rows, folds, "k")
+    return forest(rows, FEATURES, "label", F.col("drawn_by"), F.col("part_set") == "train", trees=200, depth=30, fold="fold" if folds else None, folds=folds,
+                  keep=["label", "part_set"])
 
 
 @query("forest_scores", "I5 I13 E10 E11")

@@ -188,6 +188,26 @@ def test_forest_of_sums_is_the_forest_of_rows(spark, in_task):
     assert np.allclose(got["prediction"], want)
 
 
+def test_rows_of_equal_bins_are_added_up_in_one_chunk(spark):
+    """However many chunks there are, the rows of bins that they add up are hardly more than the different ones; chunks are of equal size."""
+    bins = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.pmod(F.col("id"), F.lit(500)))  # a third of all rows has the same bins
+    rows = spark.range(20_000).select(F.substring(F.encode(F.format_string("%04d", bins), "UTF-8"), 1, 4).alias("_x"), F.col("id").cast("double").alias("y"), F.xxhash64("id").alias("h"),
+                                      F.lit(1).cast("tinyint").alias("use"), F.lit(0).alias("fold"))
+    chunked, vectors = T.dealt_by_bins(rows, rows_each=1_000)
+    per = chunked.withColumn("part", F.spark_partition_id()).groupBy("chunk").agg(F.count("*").alias("n"), F.countDistinct("_x").alias("different"), F.countDistinct("part").alias("parts")).collect()
+    assert vectors == 500 and len(per) == 20 and sum(r["n"] for r in per) == 20_000
+    assert sum(r["different"] for r in per) <= 500 + 2 * 20 and max(r["n"] for r in per) < 1_200 and all(r["parts"] == 1 for r in per)
+
+
+@pytest.mark.parametrize("n, m", [(0, 3), (1, 1), (1 << 14, 7), (50_000, 40_000)])
+def test_bootstrap_counts_are_those_of_the_hashes(n, m):
+    rng = np.random.default_rng(n)
+    at, y, h = np.sort(rng.integers(0, m, n)), rng.normal(size=n), rng.integers(-1 << 63, (1 << 63) - 1, n)
+    w, t = T.Bootstrap(at, y, h, m).sums(42_000_126)
+    want = np.searchsorted(T.POISSON, T._mix(h, 42_000_126)).astype(float)
+    assert np.array_equal(w, np.bincount(at, weights=want, minlength=m)) and np.allclose(t, np.bincount(at, weights=want * y, minlength=m))
+
+
 def test_large_leaves_of_many_features_are_scored_once(spark):
     df, rows = table(spark, 300)
     scored, _ = T.forest(df.withColumn("y", F.lit(2.0)), COLS, "y", ["id"], F.col("learn"), trees=4, in_task=40)
